@@ -193,8 +193,10 @@ def exact_quantiles(
     task holds all values of a key.
     """
     keys = list(keys)
-    rows = df.select(*keys, col(value).cast("double").alias("_x")).where(
-        F.col("_x").isNotNull() & ~F.isnan("_x")
+    # Missing values become null, which neither ``percentile`` nor ``count`` sees. A filter here would
+    # be pushed below the projection and repeat a long value expression at every level.
+    rows = df.select(*keys, col(value).cast("double").alias("_v")).select(
+        *keys, F.when(~F.isnan("_v"), F.col("_v")).alias("_x")
     )
     if is_small(df):
         marks = F.array(*[F.lit(float(q)) for q in wanted.values()])
@@ -205,9 +207,9 @@ def exact_quantiles(
     if not keys:
         rows = rows.withColumn(_ALL, F.lit(0))
     by = keys or [_ALL]
-    counted = rows.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    counted = rows.groupBy(*by, "_x").agg(F.count("_x").alias("_n"))
     ranked = ordered_scan(counted, by, ["_x"], sums={"_upto": "_n"})
-    totals = _renamed(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_total")), by)
+    totals = _renamed(rows.groupBy(*by).agg(F.count("_x").alias("_total")), by)
     ranked = ranked.join(totals, _same_keys(ranked, totals, by))
     picks: list[Column] = []
     for name, q in wanted.items():

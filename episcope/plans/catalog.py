@@ -1,6 +1,11 @@
 """Importing this module registers every query."""
 
-from episcope.plans import episode_queries, frame_queries  # noqa: F401
+from episcope.plans import (  # noqa: F401
+    episode_queries,
+    frame_queries,
+    pose_queries,
+    statistics_queries,
+)
 from episcope.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -291,7 +291,7 @@ class Tables:
             F.array_sort(F.collect_list(F.struct("component_index", *[F.col(c) for c in ordered]))).alias("c"),
             F.max("count").alias("n"),
         )
-        arrays = {m: F.transform("c", lambda x, m=m: x[m]) for m in ordered}
+        arrays = {m: F.col(f"c.{m}") for m in ordered}
         arrays["q10"] = F.when(F.col("label") % 7 == 1, F.reverse(arrays["q90"])).otherwise(arrays["q10"])
         arrays["mean"] = F.when(
             F.col("label") % 7 == 2, F.transform(arrays["mean"], lambda x: x + 10.0)
