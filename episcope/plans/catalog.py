@@ -2,9 +2,11 @@
 
 from episcope.plans import (  # noqa: F401
     episode_queries,
+    expectation_queries,
     frame_queries,
     pose_queries,
     statistics_queries,
+    temporal_queries,
 )
 from episcope.plans.registry import QUERIES
 
