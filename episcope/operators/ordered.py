@@ -121,7 +121,9 @@ def ordered_scan(
         local["_first"] = F.lag(F.lit(1)).over(window).isNull()
     if split and leads_:
         local["_last"] = F.lead(F.lit(1)).over(window).isNull()
-    out = work.select("*", *[c.alias(n) for n, c in local.items()])
+    replaced = [n for n in local if n in work.columns and n not in (*keys, *order)]
+    out = work.select("*", *[c.alias(f"_o_{n}") for n, c in local.items()]).drop(*replaced)
+    out = out.withColumnsRenamed({f"_o_{n}": n for n in local})
 
     if split:
         out = _carry_over_blocks(work, out, keys, order, named, number, groups)

@@ -5,7 +5,9 @@ from episcope.plans import (  # noqa: F401
     expectation_queries,
     frame_queries,
     pose_queries,
+    source_queries,
     statistics_queries,
+    streaming_queries,
     temporal_queries,
 )
 from episcope.plans.registry import QUERIES

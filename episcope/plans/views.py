@@ -6,6 +6,7 @@ the rest are projections that Catalyst folds into each query.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from episcope.functions.columns import rounded
 from episcope.operators.ordered import exact_quantiles, ordered_scan
-from episcope.session import split_policy, written
+from episcope.session import scratch_folder, split_policy, written
 
 UNITS_PER_SECOND = 15.0
 EPISODES_PER_PREFIX = 30
@@ -21,7 +22,7 @@ EPISODES_PER_FILE = 10
 VECTORS_PER_EPISODE = 50
 STAT_QUANTILES = {"q01": 0.01, "q10": 0.10, "q50": 0.50, "q90": 0.90, "q99": 0.99}
 
-_WRITTEN: dict[tuple, DataFrame] = {}
+_WRITTEN: dict[tuple, tuple[DataFrame, str]] = {}
 
 
 class Tables:
@@ -37,8 +38,15 @@ class Tables:
     def _once(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, split_policy(self.spark), name)
         if key not in _WRITTEN:
-            _WRITTEN[key] = written(build(), f"{name}-{abs(hash(key)) :x}")
-        return _WRITTEN[key]
+            place = f"{name}-{uuid.uuid4().hex}"
+            _WRITTEN[key] = (written(build(), place), place)
+        return _WRITTEN[key][0]
+
+    def path(self, name: str) -> str:
+        """Where a written view lies."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, split_policy(self.spark), name)
+        folder = f"{scratch_folder(self.spark)}/{self.spark.sparkContext.applicationId}"
+        return f"{folder}/{_WRITTEN[key][1]}"
 
     # ---- episodes and frames ---------------------------------------------------------------
 
@@ -70,7 +78,7 @@ class Tables:
                 F.concat(F.lit("src"), F.floor(F.col("episode_index") / EPISODES_PER_PREFIX).cast("string")),
             )
             .drop("n"),
-            f"numbered-{abs(hash((self.sf_dir, split_policy(self.spark)))):x}",
+            f"numbered-{uuid.uuid4().hex}",
         )
         local = ordered_scan(
             numbered, ["source_prefix"], ["episode_index"], number="n", sums={"stop": "length"}
@@ -463,5 +471,4 @@ def sql_with(names: str, body: str, extra: str = "") -> str:
     ctes = [f"{n} as ({_SQL[n][1]})" for n in needed]
     if extra:
         ctes.append(extra)
-    head = "with recursive " if "recursive" in body or "union all -- fold" in extra else "with "
-    return _plain_counts((head + ",\n".join(ctes) + "\n" if ctes else "") + body)
+    return _plain_counts(("with recursive " + ",\n".join(ctes) + "\n" if ctes else "") + body)
