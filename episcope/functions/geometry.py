@@ -51,11 +51,17 @@ def unit(q: Quat) -> list[Column]:
 
 
 def with_unit(df: DataFrame, name: str, q: Quat) -> DataFrame:
-    """Add columns ``<name>0 .. <name>3`` with the normalised components."""
+    """Add columns ``<name>0 .. <name>3`` with the normalised components, NaN for a zero norm.
+
+    They are never null, which keeps the generated code of later arithmetic short.
+    """
     staged = df.withColumns({f"{name}{i}": c for i, c in enumerate(q)})
     parts = [F.col(f"{name}{i}") for i in range(4)]
     sized = staged.withColumn("_norm", F.nullif(norm(parts), F.lit(0.0)))
-    return sized.withColumns({f"{name}{i}": c / F.col("_norm") for i, c in enumerate(parts)}).drop("_norm")
+    nan = F.lit(float("nan"))
+    return sized.withColumns(
+        {f"{name}{i}": F.coalesce(c / F.col("_norm"), nan) for i, c in enumerate(parts)}
+    ).drop("_norm")
 
 
 def to_wxyz(q: Quat, order: str) -> list[Column]:

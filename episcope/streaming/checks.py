@@ -51,7 +51,7 @@ def stream_expectations(stream: DataFrame, suite: Sequence[Expectation], time: s
 
 
 _STATE = "seen binary, rows long, duplicates long, late long"
-_STATUS = "rows long, distinct_frames long, duplicates long, late long, first_frame long, highest long"
+_STATUS = "rows long, distinct_frames long, duplicates long, late long, highest long"
 
 
 def stream_chain(stream: DataFrame, keys: Sequence[str], frame: str, time: str, lateness: str,
@@ -95,7 +95,7 @@ def stream_chain(stream: DataFrame, keys: Sequence[str], frame: str, time: str,
             {
                 **{n: [k] for n, k in zip(names, key)},
                 "rows": [rows], "distinct_frames": [len(spots)], "duplicates": [duplicates], "late": [late],
-                "first_frame": [start + int(spots[0])], "highest": [start + int(spots[-1])],
+                "highest": [start + int(spots[-1])],
             }
         )
 
