@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from episcope.functions.columns import clip
+
 # Fixed values of the calibration rules.
 ENCODER_COUNTS = (2405, 3110)
 ENCODER_ZERO = 2048
@@ -49,7 +51,7 @@ def gripper_to_angular(x: Column, bounds: tuple[float, float] = REPAIRED_BOUNDS)
     """Linear gripper position to the normalised angle."""
     linear = unscale(x, LINEAR_BOUNDS)
     ratio = (HORN_RADIUS**2 + linear * linear - ARM_LENGTH**2) / (2 * HORN_RADIUS * linear)
-    return rescale(F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), ratio))), bounds)
+    return rescale(F.asin(clip(ratio, -1.0, 1.0)), bounds)
 
 
 def gripper_from_angular(x: Column) -> Column:
@@ -86,7 +88,7 @@ def decode_action(x: Column, input_range: tuple[float, float], output_range: tup
     """Clip to the input range and map it linearly to the output range."""
     low, high = _bounds(input_range)
     out_low, out_high = output_range
-    part = (F.greatest(F.lit(low), F.least(F.lit(high), x)) - low) / F.lit(high - low)
+    part = (clip(x, low, high) - low) / F.lit(high - low)
     return F.lit(out_low) + part * F.lit(out_high - out_low)
 
 

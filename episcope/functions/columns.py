@@ -30,6 +30,11 @@ def close(a: Column, b: Column, absolute: float = ABSOLUTE_TOLERANCE) -> Column:
     return F.coalesce(~F.isnan(a) & ~F.isnan(b) & (F.abs(a - b) <= bound), F.lit(False))
 
 
+def clip(c: Column, low: float, high: float) -> Column:
+    """Limit to ``[low, high]``; NaN stays NaN (``least`` alone would turn it into ``high``)."""
+    return F.when(F.isnan(c), c).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), c)))
+
+
 def nan_to_null(c: Column | str) -> Column:
     """Expectations treat NaN as missing."""
     c = col(c)

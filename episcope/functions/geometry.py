@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episcope.functions.columns import finite
+from episcope.functions.columns import clip, finite
 
 Quat = Sequence[Column]
 Vec = Sequence[Column]
@@ -86,7 +86,7 @@ def quaternion_valid(q: Column) -> Column:
 
 def geodesic_acos(a: Quat, b: Quat) -> Column:
     """Angle in radians from the clamped dot product of two unit quaternions in one order."""
-    return 2.0 * F.acos(F.least(F.lit(1.0), F.abs(dot(a, b))))
+    return 2.0 * F.acos(clip(F.abs(dot(a, b)), 0.0, 1.0))
 
 
 def geodesic_atan2(a: Quat, a_order: str, b: Quat, b_order: str) -> Column:
@@ -119,7 +119,7 @@ def geodesic_trace(a: Quat, a_order: str, b: Quat, b_order: str) -> Column:
         for j in range(3):
             term = ra[j][i] * rb[j][i]
             trace = term if trace is None else trace + term
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1.0) / 2.0)))
+    return F.acos(clip((trace - 1.0) / 2.0, -1.0, 1.0))
 
 
 def max_basis_displacement(a: Quat, a_order: str, b: Quat, b_order: str) -> Column:
