@@ -25,7 +25,10 @@ MAX_DISTINCT_FOR_SET = 20  # fixed value of the fitting rule
 
 @dataclass(frozen=True)
 class Expectation:
-    """``unexpected`` is true for a row that breaks the rule; ``fails`` is a table-level verdict."""
+    """``unexpected`` is true for a row that breaks the rule; ``table`` is a table-level verdict.
+
+    ``scope`` limits a row rule to some rows; ``tag`` is passed on to the results.
+    """
 
     type: str
     kwargs: Mapping[str, object]
@@ -35,6 +38,8 @@ class Expectation:
     prepare: Callable[[DataFrame, Sequence[str]], DataFrame] | None = None
     table: Callable[[DataFrame], Column] | None = None
     unique: str | None = None
+    scope: Column | None = None
+    tag: str = ""
 
     def runnable(self, df: DataFrame) -> bool:
         return all(c in df.columns for c in self.columns)
@@ -274,7 +279,10 @@ def reference_statistic() -> Expectation:
 
 def run_suite(df: DataFrame, suite: Sequence[Expectation], by: Sequence[str] = ()) -> DataFrame:
     """One row per group and expectation:
-    ``ordinal, type, kwargs, status, success, unexpected_count, element_count``."""
+    ``ordinal, tag, type, kwargs, status, success, unexpected_count, element_count``.
+
+    Several suites on the same rows can share the pass: give each its ``tag`` (and ``scope``).
+    """
     by = list(by)
     ready = [e.runnable(df) for e in suite]
     work = df
@@ -288,30 +296,29 @@ def run_suite(df: DataFrame, suite: Sequence[Expectation], by: Sequence[str] = (
         if e.table is not None:
             aggs.append(F.max(e.table(df)).alias(f"_t{i}") if e.type != "row_count_equal" else e.table(df).alias(f"_t{i}"))
         else:
-            aggs.append(count_true(e.unexpected(df)).alias(f"_u{i}"))
-            aggs.append(count_true(e.evaluated(df)).alias(f"_e{i}"))
+            bad, seen = e.unexpected(df), e.evaluated(df)
+            if e.scope is not None:
+                bad, seen = e.scope & bad, e.scope & seen
+            aggs += [count_true(bad).alias(f"_u{i}"), count_true(seen).alias(f"_e{i}")]
     one = work.groupBy(*by).agg(*aggs)
     for i, (e, ok) in enumerate(zip(suite, ready)):
         if ok and e.unique:
-            one = _join_unique(one, df, e.unique, i, by)
-    none = F.lit(None).cast("long")
+            one = _join_unique(one, df if e.scope is None else df.where(e.scope), e.unique, i, by)
     rows = []
     for i, (e, ok) in enumerate(zip(suite, ready)):
-        if not ok:
-            status, success, bad, seen = "NOT_EXECUTED", F.lit(None).cast("boolean"), none, none
-        elif e.table is not None:
-            status, success, bad, seen = "EXECUTED", F.col(f"_t{i}"), none, none
-        else:
-            status, success = "EXECUTED", F.col(f"_u{i}") == 0
-            bad, seen = F.col(f"_u{i}"), F.col(f"_e{i}")
-        rows.append(
-            F.struct(
-                F.lit(i).alias("ordinal"), F.lit(e.type).alias("type"), F.lit(e.kwargs_text).alias("kwargs"),
-                F.lit(status).alias("status"), success.alias("success"), bad.alias("unexpected_count"),
-                seen.alias("element_count"),
-            )
-        )
-    return one.select(*by, F.explode(F.array(*rows)).alias("r")).select(*by, "r.*")
+        counted = ok and e.table is None
+        success = "cast(null as boolean)" if not ok else f"_u{i} = 0" if counted else f"_t{i}"
+        counts = (f"_u{i}", f"_e{i}") if counted else ("cast(null as bigint)",) * 2
+        status = "EXECUTED" if ok else "NOT_EXECUTED"
+        texts = ", ".join(_quoted(v) for v in (e.tag, e.type, e.kwargs_text, status))
+        rows.append(f"{i}, {texts}, {success}, {', '.join(counts)}")
+    names = "ordinal, tag, type, kwargs, status, success, unexpected_count, element_count"
+    return one.select(*by, F.expr(f"stack({len(rows)}, {', '.join(rows)})").alias(*names.split(", ")))
+
+
+def _quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _join_unique(one: DataFrame, df: DataFrame, c: str, i: int, by: list[str]) -> DataFrame:
@@ -397,6 +404,7 @@ def fit_suite(fixture: DataFrame) -> list[Expectation]:
             kept = F.when(~_missing(fixture, f.name), F.col(f.name))
             aggs += [F.min(kept).alias(f"_lo{i}"), F.max(kept).alias(f"_hi{i}")]
     seen = fixture.agg(*aggs).first()
+    values = _value_sets(fixture, [f.name for f in fields if not isinstance(f.dataType, numeric)])
     suite = [columns_match_set([f.name for f in fields])]
     for i, f in enumerate(fields):
         if seen[f"_m{i}"] == 0:
@@ -406,14 +414,26 @@ def fit_suite(fixture: DataFrame) -> list[Expectation]:
         if isinstance(f.dataType, numeric):
             if seen[f"_lo{i}"] is not None:
                 suite.append(between(f.name, float(seen[f"_lo{i}"]), float(seen[f"_hi{i}"])))
-            continue
-        some = fixture.where(F.col(f.name).isNotNull()).select(f.name).distinct().limit(MAX_DISTINCT_FOR_SET + 1)
-        values = [r[0] for r in some.collect()]
-        if 0 < len(values) <= MAX_DISTINCT_FOR_SET:
-            suite.append(distinct_in_set(f.name, values))
+        elif 0 < len(values[f.name]) <= MAX_DISTINCT_FOR_SET:
+            boolean = isinstance(f.dataType, T.BooleanType)
+            suite.append(distinct_in_set(f.name, [v == "true" if boolean else v for v in values[f.name]]))
     return suite
 
 
+def _value_sets(fixture: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
+    """At most 21 distinct values (as text) of each column, in one job."""
+    parts = None
+    for n in names:
+        some = fixture.where(F.col(n).isNotNull()).select(
+            F.lit(n).alias("name"), F.col(n).cast("string").alias("value")
+        ).distinct().limit(MAX_DISTINCT_FOR_SET + 1)
+        parts = some if parts is None else parts.unionByName(some)
+    out: dict[str, list[str]] = {n: [] for n in names}
+    for row in parts.collect() if parts is not None else []:
+        out[row["name"]].append(row["value"])
+    return out
+
+
 def disjoint_split(df: DataFrame, fit: Column) -> tuple[DataFrame, DataFrame]:
     """Fit rows and validate rows by one fixed rule; a null rule sends a row to the validated side."""
     chosen = F.coalesce(fit, F.lit(False))

@@ -76,11 +76,12 @@ def _mark_chain(items: DataFrame, keys: Sequence[str], cap: int, first: DataFram
     """Add ``_start``: the item lies on the chain that begins at ``first`` (keys, _k)."""
     keys = list(keys)
     block = F.floor((F.col("_k") - 1) / block_items)
-    chain = _table(_successors(items, keys, cap).withColumn("_b", block), "chain")
+    chain = _successors(items, keys, cap).withColumn("_b", block)
     key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select(*keys).schema)
     entries = first.select(*keys, "_k")
     blocks = int((items.agg(F.max("_k")).first()[0] or 1) - 1) // block_items + 1
     if blocks > 1:
+        chain = _table(chain, "chain")
         # Blocks hold at most block_items rows, whatever the key.
         jumps = chain.groupBy(*keys, "_b").applyInPandas(
             _leave_block, f"{key_types}, _k long, _next long, _b long, _exit long"

@@ -108,17 +108,15 @@ def in_accepted_set(answers: DataFrame, frames: DataFrame, expected_t: str, key:
     return joined.withColumn("digest_ok", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def evaluate_answers(answers: DataFrame, requests: DataFrame, frames: DataFrame, key: str = "video",
+def evaluate_answers(answers: DataFrame, expected: DataFrame, frames: DataFrame, key: str = "video",
                      tick: float = TICK_SECONDS) -> DataFrame:
-    """Score returned frames against the as-of answer.
+    """Score returned frames against the ``expected`` answers of ``asof_latest``.
 
     Right means: time within ``max(1e-9, tick * 1e-6)`` seconds of the expected one, and a digest
     from the accepted set. ``within_half_interval`` is the looser rule of the suites.
     """
-    expected = asof_latest(requests, frames, key).select(
-        "request_id", F.col("returned_t").alias("expected_t")
-    )
-    joined = answers.join(expected, "request_id")
+    wanted = expected.select("request_id", F.col("returned_t").alias("expected_t"))
+    joined = answers.join(wanted, "request_id")
     joined = in_accepted_set(joined, frames, "expected_t", key)
     gaps = local_interval(frames, key).withColumnRenamed("t", "expected_t")
     joined = joined.join(gaps, [key, "expected_t"], "left")

@@ -7,7 +7,7 @@ information. The SQL twins are written separately at the end.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -51,14 +51,18 @@ class Case:
     informed: list[E.Expectation]
     fit: Column | None = None
     fixture: DataFrame | None = None
-    extra: dict = field(default_factory=dict)
 
     @property
     def public_rows(self) -> DataFrame:
         return self.rows.select("branch", *self.public)
 
+    @property
+    def enriched(self) -> list[str]:
+        """What the table holds besides the public columns."""
+        return [c for c in self.rows.columns if c not in self.public]
+
     def scaffold(self) -> list[E.Expectation]:
-        out = [E.columns_match_set(list(self.public), ignore=["branch"])]
+        out = [E.columns_match_set(list(self.public), ignore=self.enriched)]
         for name, type_ in self.public.items():
             out += [E.not_null(name), E.of_type(name, type_)]
         return out
@@ -70,23 +74,19 @@ class Case:
         else:
             source, _ = E.disjoint_split(self.rows.where(F.col("branch") == "reference"), self.fit)
         suite = E.fit_suite(source.select(*self.public))
-        return [E.columns_match_set(list(self.public), ignore=["branch"]), *suite[1:]]
+        return [E.columns_match_set(list(self.public), ignore=self.enriched), *suite[1:]]
 
-    @property
-    def validated(self) -> DataFrame:
-        if self.fit is None:
-            return self.public_rows
-        _, rest = E.disjoint_split(self.rows, self.fit)
-        return rest.select("branch", *self.public)
-
-    def results(self, arm: str) -> DataFrame:
-        suite, rows = {
-            "declared": lambda: (self.scaffold() + self.declared, self.public_rows),
-            "fitted": lambda: (self.fitted, self.validated),
-            "informed": lambda: (self.informed, self.rows),
-        }[arm]()
-        out = E.run_suite(rows, suite, by=["branch"])
-        return out.select(F.lit(self.name).alias("case"), F.lit(arm).alias("arm"), "*")
+    def results(self) -> DataFrame:
+        """All arms and both branches in one pass over the case table.
+
+        The fitted arm looks only at rows that were not used for fitting.
+        """
+        rest = None if self.fit is None else ~F.coalesce(self.fit, F.lit(False))
+        suite = [replace(e, tag="declared") for e in self.scaffold() + self.declared]
+        suite += [replace(e, tag="fitted", scope=rest) for e in self.fitted]
+        suite += [replace(e, tag="informed") for e in self.informed]
+        out = E.run_suite(self.rows, suite, by=["branch"])
+        return out.withColumnRenamed("tag", "arm").select(F.lit(self.name).alias("case"), "*")
 
 
 def _half(df: DataFrame, key: str) -> int:
@@ -305,10 +305,8 @@ def all_results(t: Tables) -> DataFrame:
     def build() -> DataFrame:
         out = None
         for make in CASES.values():
-            case = make(t)
-            for arm in ARMS:
-                part = case.results(arm)
-                out = part if out is None else out.unionByName(part)
+            part = make(t).results()
+            out = part if out is None else out.unionByName(part)
         return out
 
     return t._once("suite_results", build)

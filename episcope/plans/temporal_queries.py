@@ -59,8 +59,9 @@ def scored(t: Tables) -> DataFrame:
     def build() -> DataFrame:
         keep = ["video", "request_id", "t", "group", "returned_t", "returned_digest"]
         faulty = O.first_n_returned(t.requests, t.media_frames).select(*keep, F.lit("faulty").alias("branch"))
-        repaired = O.asof_latest(t.requests, t.media_frames).select(*keep, F.lit("repaired").alias("branch"))
-        return O.evaluate_answers(faulty.unionByName(repaired), t.requests, t.media_frames)
+        right = t._once("asof_answers", lambda: O.asof_latest(t.requests, t.media_frames))
+        repaired = right.select(*keep, F.lit("repaired").alias("branch"))
+        return O.evaluate_answers(faulty.unionByName(repaired), right, t.media_frames)
 
     return t._once("scored_requests", build)
 

@@ -14,11 +14,13 @@ class SplitPolicy:
 
     A key with more than about ``2 * rows_per_block`` rows is cut into blocks of about
     ``rows_per_block`` rows. ``sample_per_block`` sets how many sampled order values stand behind
-    each cut. Inputs that the planner puts at no more than ``small_bytes`` are not cut at all.
+    each cut; with the defaults one row in 500,000 is sampled, so a key of 10^11 rows sends 200,000
+    order values to the task that sorts them. Inputs that the planner puts at no more than
+    ``small_bytes`` are not cut at all.
     """
 
     rows_per_block: int = 4_000_000
-    sample_per_block: int = 32
+    sample_per_block: int = 8
     small_bytes: int = 64 * 1024 * 1024
 
     @property
