@@ -95,7 +95,7 @@ def _half(df: DataFrame, key: str) -> int:
 
 
 def window_case(t: Tables) -> Case:
-    kept = R.select_episodes(t.frames, t.episodes.where(F.col("episode_index") % 4 == 1))
+    kept = R.select_episodes(t.frames, t.episodes.where("split = 'failure'"))
     rows = R.frames_with_bounds(kept, t.episodes)
     start, stop = F.col("dataset_from_index"), F.col("dataset_to_index")
     wrong, right = F.col("relative_index"), F.col("index")
@@ -325,7 +325,7 @@ CASE_SQL = _SCORED + f""",
 c_window as (select branch, f.index as absolute_index, 0::bigint as delta_index, dataset_from_index as episode_start, dataset_to_index as episode_end,
   greatest(dataset_from_index, least(dataset_to_index - 1, case when branch = 'faulty' then rel else f.index end)) as selected_index,
   case when branch = 'faulty' then rel < dataset_from_index or rel >= dataset_to_index else false end as is_pad
-  from (select *, row_number() over (order by index) - 1 as rel from v_frames where episode_index % 4 = 1) f
+  from (select *, row_number() over (order by index) - 1 as rel from v_frames where split = 'failure') f
   join v_episodes e on e.episode_index = f.episode_index, {_BR}),
 c_chain as (select branch, episode_index, length, dataset_from_index - case when branch = 'faulty' then fs else 0 end as dataset_from_index,
   dataset_to_index - case when branch = 'faulty' then fs else 0 end as dataset_to_index

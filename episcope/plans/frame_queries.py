@@ -31,9 +31,9 @@ case when episode_index % 17 = 7 and frame_index = 3 then task_index + 1 else ta
 
 
 @query("B4", "v_frames", """select split, episode_index, index, row_number() over (order by index) - 1 as relative_index
-from v_frames where episode_index % 4 = 1""")
+from v_frames where split = 'failure'""")
 def select_episodes(t: Tables) -> DataFrame:
-    chosen = t.episodes.where(F.col("episode_index") % 4 == 1)
+    chosen = t.episodes.where("split = 'failure'")
     return R.select_episodes(t.frames, chosen).select("split", "episode_index", "index", "relative_index")
 
 
@@ -45,12 +45,14 @@ def frames_with_bounds(t: Tables) -> DataFrame:
     )
 
 
-@query("C3", "", """select l_orderkey as orderkey, 'unknown' as finding from (select distinct l_orderkey from lineitem)
-where l_orderkey not in (select o_orderkey from orders where o_orderkey % 10 <> 3)
-union all select o_orderkey, 'missing' from orders where o_orderkey % 10 <> 3 and o_orderkey not in (select l_orderkey from lineitem)""")
+@query("C3", "", """select k as orderkey, 'unknown' as finding from (select distinct k from lk) where k not in (select o_orderkey from orders)
+union all select o_orderkey, 'missing' from orders where o_orderkey not in (select k from lk)""",
+       extra="lk as (select case when l_linenumber = 7 then -1 - l_orderkey else l_orderkey end as k from lineitem)")
 def unknown_and_missing(t: Tables) -> DataFrame:
-    lines = t.table("lineitem").select(F.col("l_orderkey").alias("orderkey"))
-    orders = t.table("orders").where(F.col("o_orderkey") % 10 != 3).select(F.col("o_orderkey").alias("orderkey"))
+    """Orders without lines are in the data; lines of unknown orders come from rewritten keys."""
+    key = F.when(F.col("l_linenumber") == 7, -1 - F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    lines = t.table("lineitem").select(key.alias("orderkey"))
+    orders = t.table("orders").select(F.col("o_orderkey").alias("orderkey"))
     return R.unknown_and_missing(lines, orders, ["orderkey"])
 
 
@@ -197,10 +199,10 @@ def window_query(t: Tables) -> DataFrame:
 @query("W2", "v_frames v_episodes", """select f.episode_index, f.index, rel + d as requested, d as delta_index,
 greatest(dataset_from_index, least(dataset_to_index - 1, rel + d)) as selected_index,
 rel + d < dataset_from_index or rel + d >= dataset_to_index as is_pad
-from (select *, row_number() over (order by index) - 1 as rel from v_frames where episode_index % 4 = 1) f
+from (select *, row_number() over (order by index) - 1 as rel from v_frames where split = 'failure') f
 join v_episodes e on e.episode_index = f.episode_index cross join (select unnest([-3, -1, 0, 2, 5]) as d)""")
 def relative_index_bug(t: Tables) -> DataFrame:
-    kept = R.select_episodes(t.frames, t.episodes.where(F.col("episode_index") % 4 == 1))
+    kept = R.select_episodes(t.frames, t.episodes.where("split = 'failure'"))
     rows = R.frames_with_bounds(kept, t.episodes)
     return R.window_query(rows, OFFSETS, base="relative_index", value=None).select(
         "episode_index", "index", (F.col("relative_index") + F.col("delta_index")).alias("requested"),

@@ -64,7 +64,7 @@ def budgeted_sample(t: Tables) -> DataFrame:
 @query("A8", "", """select doc_id, case when doc_id % 40 = 3 then 'missing' when doc_id % 40 = 5 then 'size changed' else 'content changed' end as problem
 from documents where doc_id % 40 in (3, 5, 9)""")
 def verify_digests(t: Tables) -> DataFrame:
-    """The manifest comes from the whole texts; some objects are dropped or altered afterwards."""
+    """The manifest comes from the whole texts; some objects are renamed or altered afterwards."""
     docs = t.table("documents").select("doc_id", F.col("text").cast("binary").alias("content"))
     manifest = docs.select("doc_id", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
     k = F.col("doc_id") % 40
@@ -72,7 +72,8 @@ def verify_digests(t: Tables) -> DataFrame:
     # Same length, other bytes: flip the first byte.
     first = F.when(F.substring("content", 1, 1) == F.lit("#").cast("binary"), F.lit("!").cast("binary")).otherwise(F.lit("#").cast("binary"))
     flipped = F.concat(first, F.substring("content", 2, 2**31 - 1))
-    seen = docs.where(k != 3).withColumn("content", F.when(k == 5, longer).when(k == 9, flipped).otherwise(F.col("content")))
+    content = F.when(k == 5, longer).when(k == 9, flipped).otherwise(F.col("content"))
+    seen = docs.select(F.when(k == 3, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), content.alias("content"))
     return H.verify_digests(seen, manifest, "doc_id")
 
 
