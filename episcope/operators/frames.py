@@ -11,6 +11,7 @@ from episcope.functions.columns import count_true
 from episcope.operators.ordered import ordered_scan
 
 EPISODE = ("split", "episode_index")
+BITS = 62  # numbers per bitmap word
 
 
 # ---- frames against their episodes --------------------------------------------------------------
@@ -20,20 +21,50 @@ def frame_summary(
     frames: DataFrame, keys: Sequence[str] = EPISODE, *, index: str = "index",
     frame_index: str = "frame_index", task: str = "task_index",
 ) -> DataFrame:
-    """One aggregate per episode: counts, ranges, distinct counts, and the first task."""
-    return frames.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("frames"),
-        F.min(index).alias("index_min"),
-        F.max(index).alias("index_max"),
-        F.avg(index).alias("index_mean"),
-        F.count_distinct(index).alias("index_distinct"),
-        F.min(frame_index).alias("frame_min"),
-        F.max(frame_index).alias("frame_max"),
-        F.count_distinct(frame_index).alias("frame_distinct"),
-        F.min(task).alias("task_min"),
-        F.max(task).alias("task_max"),
-        F.avg(task).alias("task_mean"),
-        F.min_by(task, frame_index).alias("first_task"),
+    """Per episode: counts, ranges, exact distinct counts, and the first task.
+
+    Distinct numbers are counted with bitmaps: rows are first reduced per run of 62 numbers to one
+    long with a bit per number, which combines well before the shuffle because frames lie in order.
+    Plain distinct counts would carry every row, twice, through the aggregation.
+    """
+    both = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col(index).cast("long").alias("v")),
+        F.struct(F.lit(1).alias("kind"), F.col(frame_index).cast("long").alias("v")),
+    )
+    rows = frames.select(*keys, F.col(task).alias("_task"), F.explode(both).alias("_x")).select(
+        *keys, "_task", F.col("_x.kind").alias("_kind"), F.col("_x.v").alias("_v")
+    )
+    bit = F.pmod("_v", F.lit(BITS))
+    runs = rows.groupBy(*keys, "_kind", (F.col("_v") - bit).alias("_run")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_v").alias("_lo"),
+        F.max("_v").alias("_hi"),
+        F.sum(F.col("_v").cast("double")).alias("_sum"),
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(_v, {BITS}) as int))")).alias("_bits"),
+        F.min("_task").alias("_tlo"),
+        F.max("_task").alias("_thi"),
+        F.sum(F.col("_task").cast("double")).alias("_tsum"),
+        F.min_by("_task", "_v").alias("_first"),
+    )
+    is_index, is_frame = F.col("_kind") == 0, F.col("_kind") == 1
+
+    def of(kind: Column, c: str) -> Column:
+        return F.when(kind, F.col(c))
+
+    count = F.sum(of(is_frame, "_n"))
+    return runs.withColumn("_distinct", F.bit_count("_bits").cast("long")).groupBy(*keys).agg(
+        count.alias("frames"),
+        F.min(of(is_index, "_lo")).alias("index_min"),
+        F.max(of(is_index, "_hi")).alias("index_max"),
+        (F.sum(of(is_index, "_sum")) / count).alias("index_mean"),
+        F.coalesce(F.sum(of(is_index, "_distinct")), F.lit(0)).alias("index_distinct"),
+        F.min(of(is_frame, "_lo")).alias("frame_min"),
+        F.max(of(is_frame, "_hi")).alias("frame_max"),
+        F.coalesce(F.sum(of(is_frame, "_distinct")), F.lit(0)).alias("frame_distinct"),
+        F.min(of(is_frame, "_tlo")).alias("task_min"),
+        F.max(of(is_frame, "_thi")).alias("task_max"),
+        (F.sum(of(is_frame, "_tsum")) / count).alias("task_mean"),
+        F.min_by(of(is_frame, "_first"), of(is_frame, "_lo")).alias("first_task"),
     )
 
 
@@ -111,11 +142,15 @@ def row_identity_totals(frames: DataFrame, episodes: DataFrame, by: Sequence[str
     """Rows, violating rows and violating episodes."""
     joined = frames_with_bounds(frames, episodes)
     bad = F.coalesce(F.col("index") != F.col("dataset_from_index") + F.col("frame_index"), F.lit(False))
-    return joined.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("episode_index").alias("episodes"),
-        count_true(bad).alias("violating_rows"),
-        F.count_distinct(F.when(bad, F.col("episode_index"))).alias("violating_episodes"),
+    # Per episode first, so that the episode counts need no distinct.
+    per_episode = joined.groupBy(*by, "episode_index").agg(
+        F.count(F.lit(1)).alias("_rows"), count_true(bad).alias("_bad")
+    )
+    return per_episode.groupBy(*by).agg(
+        F.sum("_rows").alias("rows"),
+        F.count(F.lit(1)).alias("episodes"),
+        F.sum("_bad").alias("violating_rows"),
+        count_true(F.col("_bad") > 0).alias("violating_episodes"),
     )
 
 
@@ -219,10 +254,11 @@ def outside(requested: Column, start: Column, stop: Column) -> Column:
 def window_query(
     frames: DataFrame, offsets: Sequence[int], *, base: str = "index", index: str = "index",
     start: str = "dataset_from_index", stop: str = "dataset_to_index", value: str | None = "value",
+    lookup: DataFrame | None = None,
 ) -> DataFrame:
     """Per frame and offset: the clamped absolute index, the padding flag and the value found there.
 
-    ``base`` is the column the offset is added to; passing a relative index shows the known fault.
+    Values are looked up in ``lookup`` (by default in ``frames`` itself). ``base`` is the column the offset is added to; passing a relative index shows the known fault.
     """
     asked = frames.withColumn("delta_index", F.explode(F.array(*[F.lit(int(o)) for o in offsets])))
     requested = F.col(base) + F.col("delta_index")
@@ -236,7 +272,8 @@ def window_query(
         return out
     # Many-to-one: the clamped index meets one frame, and each frame is met at most offsets-many times
     # from inside its episode plus the few clamped edges.
-    found = frames.select(F.col(index).alias("selected_index"), F.col(value).alias("selected_value"))
+    source = frames if lookup is None else lookup
+    found = source.select(F.col(index).alias("selected_index"), F.col(value).alias("selected_value"))
     return out.join(found, "selected_index", "left")
 
 

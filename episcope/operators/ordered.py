@@ -5,7 +5,8 @@
 order; windows then run per block, and one small table carries totals and edge values from block
 to block. The cuts come from a sample that is a pure function of the row values, so every
 evaluation (also a retry after a lost executor) sees the same blocks. The sample only places the
-cuts: every row is kept.
+cuts: every row is kept. Keys and order must themselves be repeatable; if they come out of floating
+point sums over shuffled rows, write that table first.
 """
 
 from __future__ import annotations
@@ -78,12 +79,14 @@ def ordered_scan(
     leads: Values | None = None,
     fills: Values | None = None,
     backfills: Values | None = None,
+    planned: int | None = None,
 ) -> DataFrame:
     """Add running columns; ``order`` must be unique inside ``keys`` for a fixed result.
 
     ``number``: ordinal from 1. ``sums``: running total up to and with the row (null counts as 0).
     ``lags`` / ``leads``: value of the previous / next row. ``fills`` / ``backfills``: nearest
-    non-null value at or before / at or after the row.
+    non-null value at or before / at or after the row. ``planned``: the caller's own estimate of
+    the size of ``df`` in bytes, for inputs whose joins the planner overrates.
     """
     groups = [dict(g or {}) for g in (sums, lags, leads, fills, backfills)]
     named = {out: f"_v_{out}" for g in groups for out in g}
@@ -96,7 +99,7 @@ def ordered_scan(
         work, keys = work.withColumn(_ALL, F.lit(0)), [_ALL]
 
     policy = split_policy(df.sparkSession)
-    split = not is_small(df, policy)
+    split = not is_small(df, policy, planned)
     if split:
         work = add_blocks(work, keys, order, policy)
     part = [*keys, _BLOCK] if split else list(keys)

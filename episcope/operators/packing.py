@@ -102,7 +102,7 @@ def _mark_chain(items: DataFrame, keys: Sequence[str], cap: int, first: DataFram
     marks = flagged.groupBy(*keys, "_b").applyInPandas(
         _walk_block, f"{key_types}, _k long, _b long, _start boolean"
     )
-    return items.join(marks.drop("_b"), [*keys, "_k"])
+    return _table(items.join(marks.drop("_b"), [*keys, "_k"]), "marked")
 
 
 def _numbered(items: DataFrame, keys: Sequence[str], order: Sequence[str], size: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from episcope.functions.columns import count_true, finite
 from episcope.operators.ordered import exact_quantiles, ordered_scan
-from episcope.session import written
+from episcope.session import planned_bytes, written
 
 # Fixed values of the study design.
 MOMENT_TOLERANCE = 1e-5
@@ -157,10 +157,16 @@ def episode_orders(vectors: DataFrame, shifts: Sequence[int] = (1, 2, 3)) -> Dat
     ).select("_o.order_name", "episode_index", "_o.position")
 
 
-def order_replay(vectors: DataFrame, orders: DataFrame) -> DataFrame:
-    """Re-sequence episodes; frames keep their order inside an episode. ``ordinal`` counts from 0."""
+def order_replay(vectors: DataFrame, orders: DataFrame, order_count: int = 4) -> DataFrame:
+    """Re-sequence episodes; frames keep their order inside an episode. ``ordinal`` counts from 0.
+
+    Each of the ``order_count`` orders lists an episode once.
+    """
     joined = vectors.join(orders, "episode_index")
-    numbered = ordered_scan(joined, ["order_name"], ["position", "frame_index"], number="ordinal")
+    numbered = ordered_scan(
+        joined, ["order_name"], ["position", "frame_index"], number="ordinal",
+        planned=planned_bytes(vectors) * order_count,
+    )
     return numbered.withColumn("ordinal", F.col("ordinal") - 1)
 
 

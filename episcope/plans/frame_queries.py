@@ -191,7 +191,7 @@ from v_frames f join v_episodes e on e.episode_index = f.episode_index cross joi
 join v_frames v on v.index = q.selected_index""")
 def window_query(t: Tables) -> DataFrame:
     rows = R.frames_with_bounds(t.frames, t.episodes)
-    return R.window_query(rows, OFFSETS).select(
+    return R.window_query(rows, OFFSETS, lookup=t.frames).select(
         "episode_index", "index", "delta_index", "selected_index", "is_pad", "selected_value"
     )
 

@@ -187,7 +187,7 @@ def decode_action(t: Tables) -> DataFrame:
 def base_pose_from_xml(t: Tables) -> DataFrame:
     """A model text is built per row; its body has a position and no quaternion."""
     xml = F.format_string(
-        "<mujoco><worldbody><body name='base0' pos='%.3f -0.5 0.75'/></worldbody></mujoco>", F.round("dx", 3)
+        "<model><worldbody><body name='base0' pos='%.3f -0.5 0.75'/></worldbody></model>", F.round("dx", 3)
     )
     p, q = G.base_pose_from_xml(xml, "base0")
     return t.poses.select(

@@ -48,10 +48,13 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
-def is_small(df: DataFrame, policy: SplitPolicy | None = None) -> bool:
-    """True if the planner bounds ``df`` by the ``small_bytes`` setting."""
+def is_small(df: DataFrame, policy: SplitPolicy | None = None, planned: int | None = None) -> bool:
+    """True if the size estimate is within the ``small_bytes`` setting.
+
+    The planner multiplies sizes over joins; a caller that knows better passes ``planned`` bytes.
+    """
     policy = policy or split_policy(df.sparkSession)
-    return planned_bytes(df) <= policy.small_bytes
+    return (planned_bytes(df) if planned is None else planned) <= policy.small_bytes
 
 
 def scratch_folder(spark: SparkSession) -> str:
