@@ -14,30 +14,34 @@ TICK_SECONDS = 1e-6
 
 
 def frames_at_times(frames: DataFrame, *, last: bool, key: str = "video") -> DataFrame:
-    """One row per video and time with its first or last frame and how many frames share the time."""
-    frame = F.struct(F.col("t"), F.col("frame_id"), F.col("digest"))
-    pick = (F.max_by if last else F.min_by)(frame, "frame_id")
-    return frames.groupBy(key, "t").agg(pick.alias("frame"), F.count(F.lit(1)).alias("equivalents"))
+    """One row per video and time: its first or last frame and how many frames share the time.
+
+    Only numbers pass through the aggregation; digests are joined to the final answers.
+    """
+    pick = (F.max if last else F.min)("frame_id")
+    return frames.groupBy(key, "t").agg(pick.alias("frame_id"), F.count(F.lit(1)).alias("equivalents"))
 
 
 def _side_by_side(requests: DataFrame, times: DataFrame, key: str) -> DataFrame:
     """Frame times and requests in one table; at equal times the frame comes first."""
-    none = F.lit(None).cast(times.schema["frame"].dataType)
+    none = F.lit(None).cast("long")
     left = times.select(
-        key, "t", F.lit(0).alias("side"), F.lit(-1).cast("long").alias("request_id"), "frame", "equivalents"
+        key, "t", F.lit(0).alias("side"), F.lit(-1).cast("long").alias("request_id"), "frame_id", "equivalents"
     )
     right = requests.select(
-        key, "t", F.lit(1).alias("side"), "request_id", none.alias("frame"),
-        F.lit(None).cast("long").alias("equivalents"),
+        key, "t", F.lit(1).alias("side"), "request_id", none.alias("frame_id"), none.alias("equivalents")
     )
     return left.unionByName(right)
 
 
-def _answers(requests: DataFrame, found: DataFrame, key: str) -> DataFrame:
+def _answers(requests: DataFrame, found: DataFrame, frames: DataFrame, key: str) -> DataFrame:
+    """Add the digest of the returned frame and the other columns of the request."""
+    digests = frames.select(
+        key, F.col("frame_id").alias("returned_frame"), F.col("digest").alias("returned_digest")
+    )
+    out = found.join(digests, [key, "returned_frame"], "left")
     extra = [c for c in requests.columns if c not in (key, "t", "request_id")]
-    if not extra:
-        return found
-    return found.join(requests.select("request_id", *extra), "request_id")
+    return out.join(requests.select("request_id", *extra), "request_id") if extra else out
 
 
 def asof_latest(requests: DataFrame, frames: DataFrame, key: str = "video") -> DataFrame:
@@ -50,23 +54,26 @@ def asof_latest(requests: DataFrame, frames: DataFrame, key: str = "video") -> D
     both = _side_by_side(requests, times, key)
     seen = ordered_scan(
         both, [key], ["t", "side", "request_id"],
-        fills={"_hit": F.when(F.col("side") == 0, F.struct("frame", "equivalents"))},
+        fills={"_hit": F.when(F.col("side") == 0, F.struct("t", "frame_id", "equivalents"))},
     ).where(F.col("side") == 1)
-    first = times.groupBy(key).agg(F.min_by(F.struct("frame", "equivalents"), "t").alias("_first"))
-    chosen = seen.join(first, key, "left").withColumn("_use", F.coalesce("_hit", "_first"))
-    found = chosen.select(
-        key, "request_id", "t", F.col("_use.frame.t").alias("returned_t"),
-        F.col("_use.frame.frame_id").alias("returned_frame"), F.col("_use.frame.digest").alias("returned_digest"),
-        F.col("_use.equivalents").alias("equivalents"), F.col("_hit").isNull().alias("fell_back"),
+    first = times.groupBy(key).agg(
+        F.min("t").alias("_t"), F.min_by("frame_id", "t").alias("_frame"), F.min_by("equivalents", "t").alias("_eq")
+    )
+    found = seen.join(first, key, "left").select(
+        key, "request_id", "t",
+        F.coalesce("_hit.t", "_t").alias("returned_t"),
+        F.coalesce("_hit.frame_id", "_frame").alias("returned_frame"),
+        F.coalesce("_hit.equivalents", "_eq").alias("equivalents"),
+        F.col("_hit").isNull().alias("fell_back"),
     )
-    return _answers(requests, found, key)
+    return _answers(requests, found, frames, key)
 
 
 def nearest_in_time(requests: DataFrame, frames: DataFrame, key: str = "video") -> DataFrame:
     """The frame with the smallest time difference; the earlier one on a tie."""
     times = frames_at_times(frames, last=False, key=key)
     both = _side_by_side(requests, times, key)
-    hit = F.when(F.col("side") == 0, F.col("frame"))
+    hit = F.when(F.col("side") == 0, F.struct("t", "frame_id"))
     seen = ordered_scan(
         both, [key], ["t", "side", "request_id"], fills={"_before": hit}, backfills={"_after": hit}
     ).where(F.col("side") == 1)
@@ -75,10 +82,9 @@ def nearest_in_time(requests: DataFrame, frames: DataFrame, key: str = "video")
     )
     use = F.when(F.col("_before").isNotNull() & earlier, F.col("_before")).otherwise(F.col("_after"))
     found = seen.withColumn("_use", use).select(
-        key, "request_id", "t", F.col("_use.t").alias("returned_t"),
-        F.col("_use.frame_id").alias("returned_frame"), F.col("_use.digest").alias("returned_digest"),
+        key, "request_id", "t", F.col("_use.t").alias("returned_t"), F.col("_use.frame_id").alias("returned_frame")
     )
-    return _answers(requests, found, key)
+    return _answers(requests, found, frames, key)
 
 
 def first_n_returned(requests: DataFrame, frames: DataFrame, key: str = "video") -> DataFrame:
