@@ -54,3 +54,14 @@ def mixed(values: np.ndarray) -> np.ndarray:
         v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return v ^ (v >> np.uint64(31))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names`` with underscores added until no column has them."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from episcope.llm import exact_topk, packing, pii, token_counts, token_files
+from episcope.llm import (
+    decontamination,
+    exact_topk,
+    language_models,
+    line_templates,
+    near_duplicates,
+    packing,
+    pii,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from episcope.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +93,34 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best candidates by integer inner product for every 20th vector."""
     return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document for toxicity with a lexicon learned outside the held-out fold."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs across documents."""
+    cleaned = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query()
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in which a benchmark item occurs with at most a tenth of its characters edited."""
+    return decontamination.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicate documents of every document."""
+    return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document between wanted documents and all documents."""
+    return language_models.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
