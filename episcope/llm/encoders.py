@@ -1,21 +1,24 @@
 """Public tokenizer files inside tasks: cached encoding of white-space chunks.
 
 A tokenizer whose pre-tokens never hold white space encodes the chunks between blanks on their own,
-so a chunk seen before costs one dictionary lookup. Other tokenizers encode whole texts.
+so a chunk seen before costs one dictionary lookup. Files whose rules are known (composition, blanks,
+lower case, a cutting pattern, byte-level BPE) are recognised by their specification; for others whole
+texts are encoded.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-#: Chunks kept per worker, and the longest chunk that is kept. Past the bound the cache starts anew.
-CACHE_ENTRIES = 300_000
-CACHE_CHARS = 40
+#: Chunks and pre-tokens kept per worker, and the longest that are kept. Past a bound they start anew.
+CHUNK_ENTRIES, WORD_ENTRIES, CACHE_CHARS = 600_000, 400_000, 40
 
 
 def _cuts_at_white_space(spec: dict) -> bool:
@@ -25,15 +28,69 @@ def _cuts_at_white_space(spec: dict) -> bool:
     first = steps[0] if steps else {}
     if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert"):
         return False
+    if first["pattern"].get("Regex") is None or len(steps) < 2:
+        return False
     if any(s.get("type") != "ByteLevel" or s.get("add_prefix_space") or s.get("use_regex") for s in steps[1:]):
         return False
-    normal = spec.get("normalizer") or {"normalizers": []}
-    if any(s.get("type") not in ("NFC", "Replace", "Lowercase") for s in normal.get("normalizers", [normal])):
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or steps[1]["pattern"] != {"Regex": r"\s+"}:
+        return False
+    if spec["model"]["type"] != "BPE" or any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
         return False
-    pattern = regex.compile(first["pattern"].get("Regex") or regex.escape(first["pattern"].get("String", "")))
+    pattern = regex.compile(first["pattern"]["Regex"])
     return not any(pattern.search(blank) for blank in " \n\t\r")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Words(dict):
+    """Ids of lower-case pre-tokens, merged by the library's model when first seen."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= WORD_ENTRIES:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class _Chunks(dict):
+    """Ids of chunks between blanks.
+
+    A chunk of Latin-1 characters without special tokens has nothing to compose, one lower case and no
+    doubtful class, so it is cut here and its pre-tokens are looked up. Others go to the library whole.
+    """
+
+    def __init__(self, tokenizer, pattern: str):
+        super().__init__()
+        self.tokenizer, self.cut = tokenizer, regex.compile(pattern).findall
+        self.words = _Words(tokenizer.model)
+        special = [regex.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(special) or "(?!)").search
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (chunk.isascii() or max(chunk) < "\u0100") and not self.special(chunk):
+            ids = b"".join(map(self.words.__getitem__, self.cut(chunk.lower())))
+        else:
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CHUNK_ENTRIES:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, as the library gives them."""
 
@@ -45,29 +102,19 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.by_chunk = _cuts_at_white_space(json.load(f))
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
+            spec = json.load(f)
+        self.chunks = None
+        if _cuts_at_white_space(spec) and sys.byteorder == "little" and array("I").itemsize == 4:
+            pre = spec["pre_tokenizer"]
+            self.chunks = _Chunks(self.tokenizer, pre.get("pretokenizers", [pre])[0]["pattern"]["Regex"])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_chunk:
-            return self._plain(texts)
-        chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        missing = set().union(*chunks).difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE_ENTRIES:
-            missing = set().union(*chunks)
-            self.cache = {"": b""}
-        new = list(missing)
-        found = dict(zip(new, self._plain(new), strict=True))
-        self.cache.update(found)
-        out = [b"".join(map(self.cache.__getitem__, c)) for c in chunks]
-        for chunk in new:
-            if len(chunk) > CACHE_CHARS:
-                self.cache.pop(chunk, None)
-        return out
+        if self.chunks is None:
+            encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
+        ids = self.chunks.__getitem__
+        blanks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        return [b"".join(map(ids, chunks)) for chunks in blanks]
 
 
 @lru_cache(maxsize=4)

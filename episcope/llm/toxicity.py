@@ -140,21 +140,35 @@ def _term_counts(rows: DataFrame, only: set[str] | None) -> DataFrame:
     return rows.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _largest(support: dict[str, int]) -> str:
+    """The longest of the terms whose support is within three percent of the largest."""
+    most = max(support.values())
+    return max((t for t, n in support.items() if n >= 0.97 * most), key=lambda t: (len(t), t))
+
+
 def _pick(toxic: list[set[str]], clean: list[set[str]], weights: dict[str, float], least: int) -> dict[str, float]:
-    """Greedy choice: the term that explains most toxic documents not yet explained, as long as some do."""
+    """Choose terms: first those common among toxic and all but absent among clean documents, then greedily
+    the one that explains most toxic documents not yet explained. Of related terms one is taken."""
+    against = Counter(t for terms in clean for t in terms)
     holders: dict[str, set[int]] = {}
     for i, terms in enumerate(toxic):
         for t in terms:
             holders.setdefault(t, set()).add(i)
-    against = Counter(t for terms in clean for t in terms)
     chosen: dict[str, float] = {}
-    while holders:
-        best = max(holders, key=lambda t: (len(holders[t]) - 10 * against[t], -len(t), t))
-        if len(holders[best]) - 10 * against[best] < least:
-            break
-        explained = holders.pop(best)
+    explained: set[int] = set()
+
+    def choose(support: dict[str, int]) -> None:
+        best = _largest(support)
         chosen[best] = weights[best]
-        holders = {t: left for t, h in holders.items() if (left := h - explained)}
+        explained.update(holders[best])
+        for t in [t for t in holders if t.startswith(best.rstrip()) or best.startswith(t)]:
+            del holders[t]
+
+    common = max(least, math.ceil(0.02 * len(toxic)))
+    while support := {t: len(h) for t, h in holders.items() if len(h) >= max(common, 100 * against[t])}:
+        choose(support)
+    while support := {t: n for t, h in holders.items() if (n := len(h - explained) - 10 * against[t]) >= least}:
+        choose(support)
     return chosen
 
 
