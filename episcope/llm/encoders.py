@@ -17,8 +17,10 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: Chunks and pre-tokens kept per worker, and the longest that are kept. Past a bound they start anew.
-CHUNK_ENTRIES, WORD_ENTRIES, CACHE_CHARS = 600_000, 400_000, 40
+#: Chunks and pre-tokens kept per worker, and the longest that are kept. Past the bound they start anew.
+CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 40
+#: Signs that often end a chunk and never start a longer pre-token there.
+END_SIGNS = frozenset(".,;:!?")
 
 
 def _cuts_at_white_space(spec: dict) -> bool:
@@ -48,44 +50,42 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class _Words(dict):
-    """Ids of lower-case pre-tokens, merged by the library's model when first seen."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.model, self.letters = model, str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-
-    def __missing__(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= WORD_ENTRIES:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class _Chunks(dict):
-    """Ids of chunks between blanks.
+    """Ids of chunks between blanks, and of the pre-tokens in them.
 
-    A chunk of Latin-1 characters without special tokens has nothing to compose, one lower case and no
-    doubtful class, so it is cut here and its pre-tokens are looked up. Others go to the library whole.
+    A printable chunk of Latin-1 characters without special tokens has nothing to compose, one lower case and no
+    doubtful class, so it is cut here, and only pre-tokens not seen before are merged by the library's
+    model. Other chunks go to the library whole.
     """
 
     def __init__(self, tokenizer, pattern: str):
         super().__init__()
-        self.tokenizer, self.cut = tokenizer, regex.compile(pattern).findall
-        self.words = _Words(tokenizer.model)
+        self.tokenizer, self.model, self.cut = tokenizer, tokenizer.model, regex.compile(pattern).findall
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         special = [regex.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(special) or "(?!)").search
 
+    def _merged(self, token: str) -> bytes:
+        letters = token if token.isascii() else token.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _ids(self, chunk: str) -> bytes:
+        if not chunk.isascii() and max(chunk) > "\u00ff":
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if chunk.isalpha():
+            lower = chunk.lower()
+            return self._merged(chunk) if lower == chunk else self[lower]
+        if chunk[-1:] in END_SIGNS and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self[chunk[-1]]
+        if not chunk.isprintable() or self.special(chunk):
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        parts = self.cut(chunk.lower())
+        return self._merged(chunk) if parts == [chunk] else b"".join(map(self.__getitem__, parts))
+
     def __missing__(self, chunk: str) -> bytes:
-        if (chunk.isascii() or max(chunk) < "\u0100") and not self.special(chunk):
-            ids = b"".join(map(self.words.__getitem__, self.cut(chunk.lower())))
-        else:
-            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        ids = self._ids(chunk)
         if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CHUNK_ENTRIES:
+            if len(self) >= CACHE_ENTRIES:
                 self.clear()
             self[chunk] = ids
         return ids
