@@ -286,8 +286,11 @@ def near_duplicate_classes(
         "key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
     rest = rest.join(nodes.select("node", "signature"), "node").join(sets, "node")
-    more = rest.groupBy("key", "i", "j").applyInPandas(partial(_block_pair, threshold=threshold), linked)
-    more = saved(more, "near-more")
+
+    def apart(members: pd.DataFrame) -> pd.DataFrame:
+        return _block_pair(members, threshold)
+
+    more = saved(rest.groupBy("key", "i", "j").applyInPandas(apart, linked), "near-more")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 

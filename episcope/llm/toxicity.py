@@ -208,27 +208,10 @@ def fit_lexicon(
         for t, k in common.items()
     }
     strong = {t: w for t, w in weights.items() if w >= 2.0}
-    everything = Lexicon(strong, lexicon.exceptions)
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, around = [], []
-            for text in batch.column("text").to_pylist():
-                words = folded_words(text)
-                known = {w: t for w in set(words) if (t := terms_of({w}) & strong.keys())}
-                found.append(sorted(set().union(*known.values())) if known else [])
-                pairs = {f" {a} {b} " for a, b in zip(words, words[1:], strict=False) if a in known or b in known}
-                around.append(sorted(pairs))
-            yield pa.RecordBatch.from_pydict(
-                {"label": batch.column("label").cast(pa.int32()), "terms": pa.array(found, pa.list_(pa.string())),
-                 "pairs": pa.array(around, pa.list_(pa.string()))}
-            )
-
-    looked = rows.mapInArrow(look, "label int, terms array<string>, pairs array<string>")
-    seen = looked.select("label", "terms").filter(F.size("terms") > 0).collect()  # at most max_labels rows
+    lexicon.exceptions |= _exceptions(rows, set(strong), least)
+    seen = _strong_terms(rows, set(strong), lexicon.exceptions).filter(F.size("terms") > 0).collect()  # max_labels rows
     by_label = {v: [set(r["terms"]) for r in seen if r["label"] == v] for v in (0, 1)}
-    lexicon.weights = _pick(by_label[1], by_label[0], everything.weights, least)
-    lexicon.exceptions |= _exceptions(looked, set(lexicon.weights), least)
+    lexicon.weights = _pick(by_label[1], by_label[0], strong, least)
     automaton = lexicon.automaton()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,15 +224,46 @@ def fit_lexicon(
     return lexicon
 
 
-def _exceptions(looked: DataFrame, chosen: set[str], least: int) -> set[str]:
-    """Pairs of words around a term that clean documents use and toxic ones do not."""
+def _exceptions(rows: DataFrame, strong: set[str], least: int) -> set[str]:
+    """Pairs of words around a strong term that clean documents use and toxic ones do not."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            around = []
+            for text in batch.column("text"):
+                words = folded_words(text.as_py())
+                known = {w for w in set(words) if not strong.isdisjoint(terms_of({w}))}
+                pairs = zip(words, words[1:], strict=False) if known else ()
+                around.append(sorted({f" {a} {b} " for a, b in pairs if a in known or b in known}))
+            label = batch.column("label").cast(pa.int32())
+            yield pa.RecordBatch.from_pydict({"label": label, "pairs": pa.array(around, pa.list_(pa.string()))})
+
     counts = (
-        looked.select("label", F.explode("pairs").alias("pair")).groupBy("pair")
+        rows.mapInArrow(look, "label int, pairs array<string>").select("label", F.explode("pairs").alias("pair"))
+        .groupBy("pair")
         .agg(F.count_if(F.col("label") == 0).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic"))
         .filter((F.col("clean") >= least) & (F.col("toxic") * 20 <= F.col("clean")))
     )
-    inside = lambda p: any(terms_of({w}) & chosen for w in p.split())
-    return {r["pair"] for r in counts.collect() if inside(r["pair"])}
+    return {r["pair"] for r in counts.collect()}
+
+
+def _strong_terms(rows: DataFrame, strong: set[str], exceptions: set[str]) -> DataFrame:
+    """label and the strong terms of each row, without words inside an exception phrase."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column("text"):
+                words = folded_words(text.as_py())
+                if exceptions:
+                    lifted = [f" {a} {b} " in exceptions for a, b in zip(words, words[1:], strict=False)]
+                    near = zip(words, [False, *lifted], [*lifted, False], strict=False)
+                    words = [w for w, before, after in near if not before and not after]
+                found.append(sorted(terms_of(set(words)) & strong))
+            label = batch.column("label").cast(pa.int32())
+            yield pa.RecordBatch.from_pydict({"label": label, "terms": pa.array(found, pa.list_(pa.string()))})
+
+    return rows.mapInArrow(look, "label int, terms array<string>")
 
 
 def toxicity_scores(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
