@@ -36,7 +36,6 @@ HEADLINE = (
     "vector_moments",
     "histogram_quantile",
     "condition_matrix",
-    "moments_f32_replay",
     "asof_latest_at_or_before",
     "retrieval_metrics",
     "conversion_coverage",

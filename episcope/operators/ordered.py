@@ -1,29 +1,29 @@
 """Running values over ordered groups, without ever putting a large group into one task.
 
 ``ordered_scan`` gives row numbers, running totals, previous/next values and fills inside
-``keys`` in the order of ``order``. A key that holds very many rows is cut into blocks along the
-order; windows then run per block, and one small table carries totals and edge values from block
-to block. The cuts come from a sample that is a pure function of the row values, so every
-evaluation (also a retry after a lost executor) sees the same blocks. The sample only places the
-cuts: every row is kept. Keys and order must themselves be repeatable; if they come out of floating
-point sums over shuffled rows, write that table first.
+``keys`` in the order of ``order``. The rows are dealt by range of (keys, order) and written once to
+the shared folder, with the number of their range as ``_block``; the input is evaluated for that alone.
+Windows then run per key and block, and one small table carries totals and edge values from block to
+block for the keys that lie in more than one. There is one path for every size, and what it returns
+does not depend on where the ranges end.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from episcope.functions.columns import col
-from episcope.session import SplitPolicy, is_small, split_policy
+from episcope.session import written
 
 _ALL = "_all"
 _BLOCK = "_block"
-_POINTS = "_points"
-_AT = "_at"
+_EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
 
 Values = Mapping[str, "Column | str"]
 
@@ -36,36 +36,10 @@ def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed({k: f"_r_{k}" for k in keys})
 
 
-def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], policy: SplitPolicy) -> DataFrame:
-    """One row per heavy key with its sorted cut points: at most ``rows / rows_per_block`` in total."""
-    sampled = df.select(*keys, F.struct(*order).alias(_AT)).where(
-        F.pmod(F.xxhash64(*keys, *order), F.lit(policy.sample_step)) == 0
-    )
-    points = sampled.groupBy(*keys).agg(F.array_sort(F.collect_list(_AT)).alias(_POINTS))
-    heavy = points.where(F.size(_POINTS) >= 2 * policy.sample_per_block)
-    return heavy.withColumn(
-        _POINTS,
-        F.filter(_POINTS, lambda _, i: (i + 1) % policy.sample_per_block == 0),
-    )
-
-
-def add_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], policy: SplitPolicy) -> DataFrame:
-    """Add ``_block`` (0 for an ordinary key) and keep ``_points``, which is null for those keys."""
-    cuts = _renamed(cut_points(df, keys, order, policy), keys)
-    # Bounded: the table of cuts has at most rows / rows_per_block entries.
-    joined = df.join(F.broadcast(cuts), _same_keys(df, cuts, keys), "left").drop(
-        *[f"_r_{k}" for k in keys]
-    )
-    # Binary search: how many cut points lie at or before the row.
-    search = F.expr(
-        f"aggregate(sequence(20, 0, -1), 0, (i, s) -> "
-        f"if(get({_POINTS}, i + shiftleft(1, s) - 1) <= {_AT}, i + shiftleft(1, s), i))"
-    )
-    return (
-        joined.withColumn(_AT, F.struct(*order))
-        .withColumn(_BLOCK, F.when(F.col(_POINTS).isNotNull(), search).otherwise(F.lit(0)))
-        .drop(_AT)
-    )
+def dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` as a written table, dealt by range of (keys, order), with ``_block``, the number of the range."""
+    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+    return written(ranged.withColumn(_BLOCK, F.spark_partition_id()), f"ordered-{uuid.uuid4().hex}")
 
 
 def ordered_scan(
@@ -75,35 +49,35 @@ def ordered_scan(
     *,
     number: str | None = None,
     sums: Values | None = None,
+    totals: Values | None = None,
     lags: Values | None = None,
     leads: Values | None = None,
     fills: Values | None = None,
     backfills: Values | None = None,
-    planned: int | None = None,
 ) -> DataFrame:
     """Add running columns; ``order`` must be unique inside ``keys`` for a fixed result.
 
     ``number``: ordinal from 1. ``sums``: running total up to and with the row (null counts as 0).
-    ``lags`` / ``leads``: value of the previous / next row. ``fills`` / ``backfills``: nearest
-    non-null value at or before / at or after the row. ``planned``: the caller's own estimate of
-    the size of ``df`` in bytes, for inputs whose joins the planner overrates.
+    ``totals``: total over the key. ``lags`` / ``leads``: value of the previous / next row. ``fills`` /
+    ``backfills``: nearest non-null value at or before / at or after the row. Sums and totals take whole
+    numbers and decimals only, since floating sums depend on where blocks end.
     """
-    groups = [dict(g or {}) for g in (sums, lags, leads, fills, backfills)]
+    groups = [dict(g or {}) for g in (sums, totals, lags, leads, fills, backfills)]
     named = {out: f"_v_{out}" for g in groups for out in g}
     work = df.withColumns({named[out]: col(c) for g in groups for out, c in g.items()})
-    sums_, lags_, leads_, fills_, backfills_ = groups
-    if sums_:
-        work = work.withColumns({named[o]: F.coalesce(F.col(named[o]), F.lit(0)) for o in sums_})
+    sums_, totals_, lags_, leads_, fills_, backfills_ = groups
+    summed = {o: named[o] for o in (*sums_, *totals_)}
+    inexact = [o for o, c in summed.items() if not isinstance(work.schema[c].dataType, _EXACT)]
+    if inexact:
+        raise ValueError(f"running sums take whole numbers or decimals: {inexact}")
+    if summed:
+        work = work.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in summed.values()})
     unkeyed = not keys
     if unkeyed:
         work, keys = work.withColumn(_ALL, F.lit(0)), [_ALL]
 
-    policy = split_policy(df.sparkSession)
-    split = not is_small(df, policy, planned)
-    if split:
-        work = add_blocks(work, keys, order, policy)
-    part = [*keys, _BLOCK] if split else list(keys)
-    window = Window.partitionBy(*part).orderBy(*order)
+    work = dealt(work, keys, order)
+    window = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
     to_here = window.rowsBetween(Window.unboundedPreceding, 0)
     from_here = window.rowsBetween(0, Window.unboundedFollowing)
 
@@ -112,6 +86,8 @@ def ordered_scan(
         local[number] = F.row_number().over(window).cast("long")
     for o in sums_:
         local[o] = F.sum(named[o]).over(to_here)
+    for o in totals_:
+        local[o] = F.sum(named[o]).over(Window.partitionBy(*keys, _BLOCK))
     for o in lags_:
         local[o] = F.lag(named[o]).over(window)
     for o in leads_:
@@ -120,25 +96,34 @@ def ordered_scan(
         local[o] = F.last(named[o], ignorenulls=True).over(to_here)
     for o in backfills_:
         local[o] = F.first(named[o], ignorenulls=True).over(from_here)
-    if split and lags_:
+    if lags_:
         local["_first"] = F.lag(F.lit(1)).over(window).isNull()
-    if split and leads_:
+    if leads_:
         local["_last"] = F.lead(F.lit(1)).over(window).isNull()
     replaced = [n for n in local if n in work.columns and n not in (*keys, *order)]
     out = work.select("*", *[c.alias(f"_o_{n}") for n, c in local.items()]).drop(*replaced)
     out = out.withColumnsRenamed({f"_o_{n}": n for n in local})
-
-    if split:
-        out = _carry_over_blocks(work, out, keys, order, named, number, groups)
-    extra = [*named.values(), _BLOCK, _POINTS, "_first", "_last"] + ([_ALL] if unkeyed else [])
+    out = _carry_over_blocks(work, out, keys, order, named, number, groups)
+    extra = [*named.values(), _BLOCK, "_first", "_last"] + ([_ALL] if unkeyed else [])
     return out.drop(*extra)
 
 
+def _spanning(work: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that lie in more than one block; each block can add one at most, where it ends.
+
+    Such a key is the smallest or the largest of every block it is in.
+    """
+    ends = work.groupBy(_BLOCK).agg(F.min(F.struct(*keys)).alias("lo"), F.max(F.struct(*keys)).alias("hi"))
+    at_end = ends.select(_BLOCK, F.explode(F.array("lo", "hi")).alias("k"))
+    wide = at_end.groupBy("k").agg(F.min(_BLOCK).alias("a"), F.max(_BLOCK).alias("b")).where("a < b")
+    return wide.select(*[F.col(f"k.{k}").alias(f"_r_{k}") for k in keys])
+
+
 def _carry_over_blocks(work, out, keys, order, named, number, groups) -> DataFrame:
-    sums, lags, leads, fills, backfills = groups
+    sums, totals, lags, leads, fills, backfills = groups
     at = F.struct(*order)
     edges: dict[str, Column] = {"_n": F.count(F.lit(1))}
-    for o in sums:
+    for o in (*sums, *totals):
         edges[f"_e_{o}"] = F.sum(named[o])
     for o in lags:
         edges[f"_e_{o}"] = F.max_by(named[o], at)
@@ -148,18 +133,19 @@ def _carry_over_blocks(work, out, keys, order, named, number, groups) -> DataFra
         edges[f"_e_{o}"] = F.max_by(named[o], F.when(F.col(named[o]).isNotNull(), at))
     for o in backfills:
         edges[f"_e_{o}"] = F.min_by(named[o], F.when(F.col(named[o]).isNotNull(), at))
-    blocks = (
-        work.where(F.col(_POINTS).isNotNull())
-        .groupBy(*keys, _BLOCK)
-        .agg(*[c.alias(n) for n, c in edges.items()])
-    )
-    # One row per block of a heavy key, so this window is small.
+    spanning = _spanning(work, keys)
+    # Bounded: fewer keys than blocks span two.
+    inside = work.join(F.broadcast(spanning), _same_keys(work, spanning, keys), "left_semi")
+    blocks = inside.groupBy(*keys, _BLOCK).agg(*[c.alias(n) for n, c in edges.items()])
+    # One row per block of a spanning key, so this window is small.
     window = Window.partitionBy(*keys).orderBy(_BLOCK)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     after = window.rowsBetween(1, Window.unboundedFollowing)
     carried: dict[str, Column] = {"_c_n": F.sum("_n").over(before)}
     for o in sums:
         carried[f"_c_{o}"] = F.sum(f"_e_{o}").over(before)
+    for o in totals:
+        carried[f"_c_{o}"] = F.sum(f"_e_{o}").over(Window.partitionBy(*keys))
     for o in lags:
         carried[f"_c_{o}"] = F.lag(f"_e_{o}").over(window)
     for o in leads:
@@ -169,16 +155,16 @@ def _carry_over_blocks(work, out, keys, order, named, number, groups) -> DataFra
     for o in backfills:
         carried[f"_c_{o}"] = F.first(f"_e_{o}", ignorenulls=True).over(after)
     joint = [*keys, _BLOCK]
-    carry = _renamed(
-        blocks.select(*joint, *[c.alias(n) for n, c in carried.items()]), joint
-    )
-    # Bounded: at most two blocks per rows_per_block rows.
+    carry = _renamed(blocks.select(*joint, *[c.alias(n) for n, c in carried.items()]), joint)
+    # Bounded: at most two rows per block.
     merged = out.join(F.broadcast(carry), _same_keys(out, carry, joint), "left")
     final: dict[str, Column] = {}
     if number:
         final[number] = F.col(number) + F.coalesce("_c_n", F.lit(0))
     for o in sums:
         final[o] = F.col(o) + F.coalesce(f"_c_{o}", F.lit(0))
+    for o in totals:
+        final[o] = F.coalesce(f"_c_{o}", o)
     for o in lags:
         final[o] = F.when(F.col("_first"), F.col(f"_c_{o}")).otherwise(F.col(o))
     for o in leads:
@@ -193,29 +179,17 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key; null and NaN values are left out.
 
-    Small inputs use the built-in ``percentile``. Larger ones count equal values first, number the
-    distinct values with ``ordered_scan`` and pick the two ranks around each quantile, so that no
-    task holds all values of a key.
+    Equal values are counted first; the distinct ones get running counts, and two ranks are picked around
+    each quantile, so that no task holds all values of a key.
     """
     keys = list(keys)
-    # Missing values become null, which neither ``percentile`` nor ``count`` sees. A filter here would
-    # be pushed below the projection and repeat a long value expression at every level.
+    # Missing values become null, which ``count`` does not see. A filter here would be pushed below the
+    # projection and repeat a long value expression at every level.
     rows = df.select(*keys, col(value).cast("double").alias("_v")).select(
         *keys, F.when(~F.isnan("_v"), F.col("_v")).alias("_x")
     )
-    if is_small(df):
-        marks = F.array(*[F.lit(float(q)) for q in wanted.values()])
-        found = rows.groupBy(*keys).agg(F.percentile("_x", marks).alias("_q"))
-        return found.select(
-            *keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(wanted)]
-        )
-    if not keys:
-        rows = rows.withColumn(_ALL, F.lit(0))
-    by = keys or [_ALL]
-    counted = rows.groupBy(*by, "_x").agg(F.count("_x").alias("_n"))
-    ranked = ordered_scan(counted, by, ["_x"], sums={"_upto": "_n"})
-    totals = _renamed(rows.groupBy(*by).agg(F.count("_x").alias("_total")), by)
-    ranked = ranked.join(totals, _same_keys(ranked, totals, by))
+    counted = rows.groupBy(*keys, "_x").agg(F.count("_x").alias("_n"))
+    ranked = ordered_scan(counted, keys, ["_x"], sums={"_upto": "_n"}, totals={"_total": "_n"})
     picks: list[Column] = []
     for name, q in wanted.items():
         place = (F.col("_total") - 1) * F.lit(float(q))
@@ -223,11 +197,10 @@ def exact_quantiles(
             held = (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
             picks.append(F.max(F.when(held, F.col("_x"))).alias(f"_{name}_{side}"))
         picks.append(F.max(place - F.floor(place)).alias(f"_{name}_part"))
-    found = ranked.groupBy(*by).agg(*picks)
-    return found.select(
-        *keys,
-        *[
-            (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_part")).alias(n)
-            for n in wanted
-        ],
-    )
+    found = ranked.groupBy(*keys).agg(*picks)
+
+    def between(name: str) -> Column:
+        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * F.col(f"_{name}_part"))
+
+    return found.select(*keys, *[between(n).alias(n) for n in wanted])

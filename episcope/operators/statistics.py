@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from episcope.functions.columns import count_true, finite
 from episcope.operators.ordered import exact_quantiles, ordered_scan
-from episcope.session import planned_bytes, written
 
 # Fixed values of the study design.
 MOMENT_TOLERANCE = 1e-5
@@ -157,17 +156,19 @@ def episode_orders(vectors: DataFrame, shifts: Sequence[int] = (1, 2, 3)) -> Dat
     ).select("_o.order_name", "episode_index", "_o.position")
 
 
-def order_replay(vectors: DataFrame, orders: DataFrame, order_count: int = 4) -> DataFrame:
+def order_replay(vectors: DataFrame, orders: DataFrame) -> DataFrame:
     """Re-sequence episodes; frames keep their order inside an episode. ``ordinal`` counts from 0.
 
-    Each of the ``order_count`` orders lists an episode once.
+    Only frame numbers and episode lengths are ordered; vectors meet their ordinal by a join.
     """
-    joined = vectors.join(orders, "episode_index")
-    numbered = ordered_scan(
-        joined, ["order_name"], ["position", "frame_index"], number="ordinal",
-        planned=planned_bytes(vectors) * order_count,
+    ranks = ordered_scan(
+        vectors.select("episode_index", "frame_index"), ["episode_index"], ["frame_index"], number="_rank"
     )
-    return numbered.withColumn("ordinal", F.col("ordinal") - 1)
+    lengths = ranks.groupBy("episode_index").agg(F.count(F.lit(1)).alias("_frames"))
+    placed = ordered_scan(orders.join(lengths, "episode_index"), ["order_name"], ["position"], sums={"_stop": "_frames"})
+    before = placed.select("order_name", "episode_index", "position", (F.col("_stop") - F.col("_frames")).alias("_before"))
+    ordered = vectors.join(ranks, ["episode_index", "frame_index"]).join(before, "episode_index")
+    return ordered.withColumn("ordinal", F.col("_before") + F.col("_rank") - 1).drop("_before", "_rank")
 
 
 def with_batches(replayed: DataFrame, sizes: Sequence[int]) -> DataFrame:
@@ -378,105 +379,6 @@ def sensitivity_span(stats: DataFrame, fixed: str) -> DataFrame:
     )
 
 
-# ---- exact single-precision replay ---------------------------------------------------------------
-
-
-def _f(c: Column) -> Column:
-    return c.cast("float")
-
-
-def single_batches(batched: DataFrame, vector: str, keys: Sequence[str]) -> DataFrame:
-    """Per batch and component: count, mean, mean of squares and centred squares, all in float32 and
-    added in row order. A batch is at most ``batch_size`` rows."""
-    long = batched.select(
-        *keys, "batch_ordinal", "ordinal", F.posexplode(vector).alias("component_index", "x")
-    )
-    lists = long.groupBy(*keys, "component_index", "batch_ordinal").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", _f(F.col("x")).alias("x")))), lambda s: s["x"]).alias("xs")
-    )
-    zero = _f(F.lit(0.0))
-
-    def mean(values: Column) -> Column:
-        total = F.aggregate(values, zero, lambda s, x: _f(s + x))
-        return _f(total / _f(F.size(values)))
-
-    with_mean = lists.withColumn("m", mean(F.col("xs")))
-    squares = F.transform("xs", lambda x: _f(x * x))
-    centred = F.transform("xs", lambda x: _f(_f(x - F.col("m")) * _f(x - F.col("m"))))
-    return with_mean.select(
-        *keys, "component_index", "batch_ordinal", F.size("xs").cast("long").alias("n"), "m",
-        mean(squares).alias("q"), F.aggregate(centred, zero, lambda s, x: _f(s + x)).alias("c"),
-    )
-
-
-def moments_f32_replay(batched: DataFrame, vector: str, keys: Sequence[str], batches_per_step: int = 50_000) -> DataFrame:
-    """Float32 running mean and std in batch order, by squares and by the centred update.
-
-    The recurrence is serial by definition, so it runs as a chain of steps over at most
-    ``batches_per_step`` batches per component; the state between steps is one row per component,
-    written to the shared folder. It is a diagnostic; ``moments_merge`` is the form for scale.
-    """
-    batches = single_batches(batched, vector, keys)
-    by = [*keys, "component_index"]
-    last = batches.agg(F.max("batch_ordinal")).first()[0]
-    if last is None or last < batches_per_step:
-        return _finish(_fold(batches, None, by))
-    batches = written(batches, f"f32-batches-{id(batches):x}")
-    state = None
-    for step in range(int(last // batches_per_step) + 1):
-        chunk = batches.where(F.floor(F.col("batch_ordinal") / batches_per_step) == step)
-        state = written(_fold(chunk, state, by), f"f32-state-{id(batches):x}-{step}")
-    return _finish(state)
-
-
-def _fold(batches: DataFrame, state: DataFrame | None, by: Sequence[str]) -> DataFrame:
-    listed = batches.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("batch_ordinal", "n", "m", "q", "c"))).alias("bs")
-    )
-    zero = _f(F.lit(0.0))
-    empty = F.struct(
-        F.lit(0).cast("long").alias("n"), zero.alias("m"), zero.alias("q"), zero.alias("wm"), zero.alias("c")
-    )
-    if state is None:
-        start, joined = empty, listed
-    else:
-        kept = state.select(*by, F.col("s").alias("_s"))
-        joined = kept.join(listed, list(by), "left").withColumn(
-            "bs", F.coalesce("bs", F.filter("bs", lambda _: F.lit(False)), F.array().cast(dict(listed.dtypes)["bs"]))
-        )
-        start = F.coalesce("_s", empty)
-
-    def step(s: Column, b: Column) -> Column:
-        total = s["n"] + b["n"]
-        weight = _f(b["n"] / total)
-        delta = _f(b["m"] - s["wm"])
-        spread = _f(s["n"] * b["n"] / total)
-        first = s["n"] == 0
-        return F.struct(
-            total.alias("n"),
-            F.when(first, b["m"]).otherwise(_f(s["m"] + _f(_f(b["m"] - s["m"]) * weight))).alias("m"),
-            F.when(first, b["q"]).otherwise(_f(s["q"] + _f(_f(b["q"] - s["q"]) * weight))).alias("q"),
-            F.when(first, b["m"]).otherwise(_f(s["wm"] + _f(delta * weight))).alias("wm"),
-            F.when(first, b["c"]).otherwise(
-                _f(_f(s["c"] + b["c"]) + _f(_f(delta * delta) * spread))
-            ).alias("c"),
-        )
-
-    return joined.select(*by, F.aggregate("bs", start, step).alias("s"))
-
-
-def _finish(folded: DataFrame) -> DataFrame:
-    s = F.col("s")
-    zero = _f(F.lit(0.0))
-    keys = [c for c in folded.columns if c != "s"]
-    variance = F.greatest(zero, _f(s["q"] - _f(s["m"] * s["m"])))
-    return folded.select(
-        *keys, s["n"].alias("count"), s["m"].alias("mean"), _f(F.sqrt(variance)).alias("std"),
-        s["wm"].alias("stable_mean"),
-        _f(F.sqrt(F.greatest(zero, _f(s["c"] / _f(s["n"]))))).alias("stable_std"),
-    )
-
-
 # ---- statistics arrays of one feature -----------------------------------------------------------
 
 ORDERED_METRICS = ("min", "q01", "q10", "q50", "q90", "q99", "max")

@@ -102,12 +102,6 @@ def moments_merge(t: Tables) -> DataFrame:
     return _round(M.moments_merge(long, "batch"), "mean std").withColumn("count", F.col("count").cast("long"))
 
 
-@query("D10")
-def moments_f32_replay(t: Tables) -> DataFrame:
-    """Checked bit for bit against NumPy in the tests; SQL engines do not fix the order of float sums."""
-    return M.moments_f32_replay(M.with_batches(_replayed(t), (8, 32)), "state", ["order_name", "batch_size"])
-
-
 @query("D11", "v_vec v_comp", """select order_name, batch_size, feature_group, component_index, count, round(mean, 6) + 0.0 as mean, round(std, 6) + 0.0 as std
 from cs where arm = 'first_row' and batch_size = 32""", extra=_COND)
 def first_of_batch_moments(t: Tables) -> DataFrame:

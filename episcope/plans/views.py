@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from episcope.functions.columns import rounded
 from episcope.operators.ordered import exact_quantiles, ordered_scan
-from episcope.session import scratch_folder, split_policy, written
+from episcope.session import scratch_folder, written
 
 UNITS_PER_SECOND = 15.0
 EPISODES_PER_PREFIX = 30
@@ -36,7 +36,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _once(self, name: str, build) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, split_policy(self.spark), name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _WRITTEN:
             place = f"{name}-{uuid.uuid4().hex}"
             _WRITTEN[key] = (written(build(), place), place)
@@ -44,7 +44,7 @@ class Tables:
 
     def path(self, name: str) -> str:
         """Where a written view lies."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, split_policy(self.spark), name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         folder = f"{scratch_folder(self.spark)}/{self.spark.sparkContext.applicationId}"
         return f"{folder}/{_WRITTEN[key][1]}"
 

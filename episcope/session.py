@@ -1,80 +1,24 @@
-"""What the package needs from a Spark session: split settings and the shared scratch folder."""
+"""What the package needs from a Spark session: the shared scratch folder, and the package on workers."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import zipfile
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@dataclass(frozen=True)
-class SplitPolicy:
-    """When and how an ordered group is cut into blocks.
-
-    A key with more than about ``2 * rows_per_block`` rows is cut into blocks of about
-    ``rows_per_block`` rows. ``sample_per_block`` sets how many sampled order values stand behind
-    each cut; with the defaults one row in 500,000 is sampled, so a key of 10^11 rows sends 200,000
-    order values to the task that sorts them. Inputs that the planner puts at no more than
-    ``small_bytes`` are not cut at all.
-    """
-
-    rows_per_block: int = 4_000_000
-    sample_per_block: int = 8
-    small_bytes: int = 64 * 1024 * 1024
-
-    @property
-    def sample_step(self) -> int:
-        return max(1, self.rows_per_block // self.sample_per_block)
-
-
-def split_policy(spark: SparkSession) -> SplitPolicy:
-    """Read ``spark.episcope.split.*`` from the session, with defaults."""
-    base = SplitPolicy()
-
-    def setting(name: str, default: int) -> int:
-        return int(spark.conf.get(f"spark.episcope.split.{name}", str(default)))
-
-    return SplitPolicy(
-        rows_per_block=setting("rowsPerBlock", base.rows_per_block),
-        sample_per_block=setting("samplePerBlock", base.sample_per_block),
-        small_bytes=setting("smallBytes", base.small_bytes),
-    )
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` (file sizes, multiplied out over joins)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def is_small(df: DataFrame, policy: SplitPolicy | None = None, planned: int | None = None) -> bool:
-    """True if the size estimate is within the ``small_bytes`` setting.
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    The planner multiplies sizes over joins; a caller that knows better passes ``planned`` bytes.
+    Only a session on a local master may leave it unset; its one process then gets a folder beside the
+    warehouse, and keeps to it.
     """
-    policy = policy or split_policy(df.sparkSession)
-    return (planned_bytes(df) if planned is None else planned) <= policy.small_bytes
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only for a local master."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    global _LOCAL_SCRATCH
-    if _LOCAL_SCRATCH is None:
-        _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="spark-episcope-", dir="/tmp")
-    return _LOCAL_SCRATCH
-
-
-_LOCAL_SCRATCH: str | None = None
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/episcope-scratch"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

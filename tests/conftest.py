@@ -7,21 +7,18 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-FORCED = {
-    "spark.episcope.split.rowsPerBlock": "40",
-    "spark.episcope.split.samplePerBlock": "4",
-    "spark.episcope.split.smallBytes": "0",
-}
+FORCED = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
         .appName("episcope-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -32,12 +29,13 @@ def spark():
 
 @pytest.fixture
 def split_small(spark):
-    """Force every ordered operator to cut its keys into tiny blocks."""
+    """Make every ordered operator deal its rows into many small blocks."""
+    before = {k: spark.conf.get(k) for k in FORCED}
     for k, v in FORCED.items():
         spark.conf.set(k, v)
     yield
-    for k in FORCED:
-        spark.conf.unset(k)
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 @pytest.fixture(scope="session")

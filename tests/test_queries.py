@@ -41,7 +41,7 @@ def test_query_matches_sql_when_split(spark, duck, sf_dir, split_small, name):
 
 def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) == len(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
 
 

@@ -1,4 +1,4 @@
-"""Single-precision replay bit for bit against NumPy, and moments on a bad case for differencing."""
+"""Moments on a bad case for differencing, and replay orders."""
 
 import numpy as np
 import pandas as pd
@@ -7,45 +7,6 @@ from pyspark.sql import functions as F
 
 from episcope.operators import statistics as M
 
-F32 = np.float32
-
-
-def numpy_replay(x, size):
-    count, mean, squares = 0, None, None
-    wide = None
-    for i in range(0, len(x), size):
-        b = x[i : i + size]
-        n = len(b)
-        m, q = b.mean(axis=0), (b**2).mean(axis=0)
-        centred = ((b - m) ** 2).sum(axis=0, dtype=F32)
-        if count == 0:
-            mean, squares, wide = m, q, (m.copy(), centred)
-        else:
-            total = count + n
-            w = F32(n / total)
-            mean = mean + (m - mean) * w
-            squares = squares + (q - squares) * w
-            delta = m - wide[0]
-            wide = (wide[0] + delta * w, wide[1] + centred + delta**2 * F32(count * n / total))
-        count += n
-    std = np.sqrt(np.maximum(F32(0), squares - mean**2))
-    return mean, std, wide[0], np.sqrt(np.maximum(F32(0), wide[1] / F32(count)))
-
-
-@pytest.mark.parametrize("size,step", [(1, 50_000), (8, 50_000), (32, 50_000), (8, 5)])
-def test_float32_replay_is_bit_equal(spark, size, step):
-    rng = np.random.default_rng(3)
-    x = (rng.normal(size=(300, 14)) * 10 + 100).astype(F32)
-    rows = pd.DataFrame({"ordinal": np.arange(len(x)), "v": [list(map(float, r)) for r in x]})
-    df = spark.createDataFrame(rows).withColumn("v", F.transform("v", lambda e: e.cast("float")))
-    out = M.moments_f32_replay(M.with_batches(df, [size]), "v", ["batch_size"], batches_per_step=step)
-    got = out.toPandas().sort_values("component_index")
-    want = numpy_replay(x, size)
-    for name, w in zip(("mean", "std", "stable_mean", "stable_std"), want):
-        assert np.array_equal(got[name].to_numpy(dtype=F32), w.astype(F32)), name
-    assert set(got["count"]) == {300}
-
-
 def test_merge_is_stable_where_differencing_is_not(spark):
     x = 1e9 + np.arange(64) % 4
     df = spark.createDataFrame(pd.DataFrame({"feature_group": "f", "component_index": 0, "x": x, "batch": np.arange(64) // 8}))
