@@ -37,6 +37,8 @@ def frame_summary(
     bit = F.pmod("_v", F.lit(BITS))
     runs = rows.groupBy(*keys, "_kind", (F.col("_v") - bit).alias("_run")).agg(
         F.count(F.lit(1)).alias("_n"),
+        F.count("_v").alias("_vn"),
+        F.count("_task").alias("_tn"),
         F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"),
         F.sum(F.col("_v").cast("double")).alias("_sum"),
@@ -56,14 +58,15 @@ def frame_summary(
         count.alias("frames"),
         F.min(of(is_index, "_lo")).alias("index_min"),
         F.max(of(is_index, "_hi")).alias("index_max"),
-        (F.sum(of(is_index, "_sum")) / count).alias("index_mean"),
+        (F.sum(of(is_index, "_sum")) / F.sum(of(is_index, "_vn"))).alias("index_mean"),
         F.coalesce(F.sum(of(is_index, "_distinct")), F.lit(0)).alias("index_distinct"),
         F.min(of(is_frame, "_lo")).alias("frame_min"),
         F.max(of(is_frame, "_hi")).alias("frame_max"),
         F.coalesce(F.sum(of(is_frame, "_distinct")), F.lit(0)).alias("frame_distinct"),
         F.min(of(is_frame, "_tlo")).alias("task_min"),
         F.max(of(is_frame, "_thi")).alias("task_max"),
-        (F.sum(of(is_frame, "_tsum")) / count).alias("task_mean"),
+        (F.sum(of(is_frame, "_tsum")) / F.sum(of(is_frame, "_tn"))).alias("task_mean"),
+        (count - F.sum(of(is_frame, "_tn"))).alias("task_nulls"),
         F.min_by(of(is_frame, "_first"), of(is_frame, "_lo")).alias("first_task"),
     )
 
@@ -99,9 +102,9 @@ def frame_contracts(
             run_of(F.col("frames"), F.col("frame_min"), F.col("frame_max"), F.col("frame_distinct"),
                    F.lit(0), n)
         ).alias("order_ok"),
-        sure((F.col("task_min") == F.col("task_max")) & (F.col("resolved_task") == F.col("task"))).alias(
-            "task_ok"
-        ),
+        sure(
+            (F.col("task_min") == F.col("task_max")) & (F.col("task_nulls") == 0) & (F.col("resolved_task") == F.col("task"))
+        ).alias("task_ok"),
     )
 
 
@@ -139,18 +142,29 @@ def row_identity(frames: DataFrame, episodes: DataFrame, keys: Sequence[str] = E
 
 
 def row_identity_totals(frames: DataFrame, episodes: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
-    """Rows, violating rows and violating episodes."""
-    joined = frames_with_bounds(frames, episodes)
-    bad = F.coalesce(F.col("index") != F.col("dataset_from_index") + F.col("frame_index"), F.lit(False))
-    # Per episode first, so that the episode counts need no distinct.
-    per_episode = joined.groupBy(*by, "episode_index").agg(
-        F.count(F.lit(1)).alias("_rows"), count_true(bad).alias("_bad")
+    """Rows, violating rows and episodes, rows without identity, and episodes of a wrong length.
+
+    Frames are counted per episode and difference of index and frame index first, so one row per
+    episode meets its declaration when all is well.
+    """
+    keys = [*by, "episode_index"]
+    gap = F.col("index").cast("long") - F.col("frame_index")
+    counted = frames.groupBy(*keys, gap.alias("_gap")).agg(F.count(F.lit(1)).alias("_n"))
+    declared = episodes.select(*keys, "dataset_from_index", F.col("length").alias("_length"), F.lit(True).alias("_known"))
+    joined = counted.join(declared, keys, "left")
+    bad = F.col("_gap") != F.col("dataset_from_index")
+    per_episode = joined.groupBy(*keys, "_length", "_known").agg(
+        F.sum("_n").alias("_rows"),
+        F.sum(F.when(bad, F.col("_n")).otherwise(0)).alias("_bad"),
+        F.sum(F.when(F.col("_gap").isNull(), F.col("_n")).otherwise(0)).alias("_nulls"),
     )
     return per_episode.groupBy(*by).agg(
         F.sum("_rows").alias("rows"),
         F.count(F.lit(1)).alias("episodes"),
         F.sum("_bad").alias("violating_rows"),
         count_true(F.col("_bad") > 0).alias("violating_episodes"),
+        F.sum("_nulls").alias("null_rows"),
+        count_true(F.col("_known") & (F.col("_rows") != F.col("_length"))).alias("length_errors"),
     )
 
 
@@ -185,23 +199,44 @@ def summary_vs_frames(summaries: DataFrame, frames: DataFrame, keys: Sequence[st
     )
 
 
-def coverage_gate(totals: DataFrame, expected_rows: int, expected_episodes: int) -> DataFrame:
-    """One row: INCOMPLETE unless everything was seen without errors, then CHECK_FAILED or PASS."""
+def summary_mismatches(summaries: DataFrame, frames: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:
+    """Every published summary that its frames contradict: keys, field, published, observed."""
+    published = summaries.withColumnsRenamed({f"task_{m}": f"pub_{m}" for m in ("min", "max", "mean")})
+    both = published.join(frame_summary(frames, keys), list(keys))
+    episode = F.col("episode_index")
+    pairs = {f"episode_index/{m}": (F.col(f"ep_{m}"), episode) for m in ("min", "max", "mean")}
+    pairs |= {f"task_index/{m}": (F.col(f"pub_{m}"), F.col(f"task_{m}")) for m in ("min", "max", "mean")}
+    pairs["episode_index/count"] = (F.col("ep_count"), F.col("frames"))
+    cells = [
+        F.struct(F.lit(f).alias("field"), a.cast("double").alias("published"), b.cast("double").alias("observed"))
+        for f, (a, b) in pairs.items()
+    ]
+    long = both.select(*keys, F.explode(F.array(*cells)).alias("_c")).select(*keys, "_c.*")
+    near = F.when(F.col("field") == "task_index/mean", F.abs(F.col("published") - F.col("observed")) <= 1e-6)
+    return long.where(~F.coalesce(near.otherwise(F.col("published") == F.col("observed")), F.lit(False)))
+
+
+def coverage_gate(totals: DataFrame, findings: DataFrame, episodes: DataFrame) -> DataFrame:
+    """One row: INCOMPLETE unless everything declared was seen without errors, then CHECK_FAILED or PASS.
+
+    ``totals`` are those of ``row_identity_totals``, ``findings`` the unknown and missing episodes.
+    Wrong lengths and rows without identity are integrity errors as those are.
+    """
     one = totals.agg(
-        F.sum("rows").alias("rows"),
-        F.sum("episodes").alias("episodes"),
-        F.sum("violating_rows").alias("violating_rows"),
-        F.sum("integrity_errors").alias("integrity_errors"),
+        *[F.sum(c).alias(c) for c in ("rows", "episodes", "violating_rows")],
+        F.sum(F.col("null_rows") + F.col("length_errors")).alias("_errors"),
     )
+    found = findings.agg(F.count(F.lit(1)).alias("_found"))
+    declared = episodes.agg(F.sum("length").alias("expected_rows"), F.count(F.lit(1)).alias("expected_episodes"))
+    row = one.crossJoin(found).crossJoin(declared)  # one row each
+    row = row.withColumn("integrity_errors", F.coalesce("_errors", F.lit(0)) + F.col("_found"))
     whole = (
-        (F.col("rows") == expected_rows)
-        & (F.col("episodes") == expected_episodes)
+        F.col("rows").eqNullSafe(F.col("expected_rows"))
+        & (F.col("episodes") == F.col("expected_episodes"))
         & (F.col("integrity_errors") == 0)
     )
-    return one.withColumn(
-        "status",
-        F.when(~whole, "INCOMPLETE").when(F.col("violating_rows") > 0, "CHECK_FAILED").otherwise("PASS"),
-    )
+    status = F.when(~whole, "INCOMPLETE").when(F.col("violating_rows") > 0, "CHECK_FAILED").otherwise("PASS")
+    return row.select("rows", "episodes", "violating_rows", "integrity_errors", status.alias("status"))
 
 
 def select_episodes(frames: DataFrame, chosen: DataFrame, keys: Sequence[str] = EPISODE) -> DataFrame:

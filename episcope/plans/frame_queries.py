@@ -143,12 +143,26 @@ def turn_order(t: Tables) -> DataFrame:
     return turns.select("conv_id", ok.alias("order_ok"))
 
 
-@query("K16", "v_frames v_episodes", """select f.split, count(*) as rows, count(distinct f.episode_index) as episodes,
-count_if(f.index <> dataset_from_index + frame_index) as violating_rows,
-count(distinct case when f.index <> dataset_from_index + frame_index then f.episode_index end) as violating_episodes
-from bent f join v_episodes e on e.split = f.split and e.episode_index = f.episode_index group by f.split""", extra=_BENT)
+_GATE = _BENT + """,
+gate as (select f.split, f.episode_index, any_value(e.length) as length, count(*) as n, count_if(f.index <> dataset_from_index + frame_index) as bad,
+  count_if(f.index is null or f.frame_index is null) as nulls, count_if(e.length is null) as unknown
+  from lost f left join v_episodes e on e.split = f.split and e.episode_index = f.episode_index group by all)"""
+_LOST = _GATE.replace("\ngate as", """
+lost as (select * replace (case when episode_index % 23 = 4 and frame_index = 1 then null else index end as index) from bent where not (episode_index % 29 = 6 and frame_index = 0)),
+gate as""")
+
+
+def _lost(t: Tables) -> DataFrame:
+    """Bent frames, some of which are missing or have lost their index."""
+    e, i = F.col("episode_index"), F.col("frame_index")
+    kept = _bent(t).where(~((e % 29 == 6) & (i == 0)))
+    return kept.withColumn("index", F.when(~((e % 23 == 4) & (i == 1)), F.col("index")))
+
+
+@query("K16", "v_frames v_episodes", """select split, cast(sum(n) as bigint) as rows, count(*) as episodes, cast(sum(bad) as bigint) as violating_rows,
+count_if(bad > 0) as violating_episodes, cast(sum(nulls) as bigint) as null_rows, count_if(n <> length) as length_errors from gate group by split""", extra=_LOST)
 def frame_row_identity(t: Tables) -> DataFrame:
-    return R.row_identity_totals(_bent(t), t.episodes)
+    return R.row_identity_totals(_lost(t), t.episodes)
 
 
 @query("W15", "v_frames v_episodes", """select episode_index, event_id, index, frame_index from (
@@ -159,29 +173,53 @@ def violation_examples(t: Tables) -> DataFrame:
     return R.examples(bad, ["episode_index"], ["event_id"], 3).select("episode_index", "event_id", "index", "frame_index")
 
 
+def _published(t: Tables) -> DataFrame:
+    return t.episode_meta.select(
+        "split", "episode_index",
+        *[L.cell("episode_index", m).alias(f"ep_{m}") for m in ("min", "max", "mean", "count")],
+        *[L.cell("task_index", m).alias(f"task_{m}") for m in ("min", "max", "mean")],
+    )
+
+
 @query("K17", "v_frames v_episodes", """select e.split, count_if(sum_episode = e.episode_index) as episode_matches, count_if(sum_episode <> e.episode_index) as episode_differs,
 count_if(sum_task = ta and sum_task = tb) as task_matches, count_if(not (sum_task = ta and sum_task = tb)) as task_differs,
 count_if(e.length = n) as count_matches, count_if(e.length <> n) as count_differs
 from v_episodes e join (select split, episode_index, count(*) as n, min(task_index) as ta, max(task_index) as tb from bent group by all) o
 on o.split = e.split and o.episode_index = e.episode_index group by e.split""", extra=_BENT)
 def summary_vs_frames(t: Tables) -> DataFrame:
-    published = t.episode_meta.select(
-        "split", "episode_index",
-        *[L.cell("episode_index", m).alias(f"ep_{m}") for m in ("min", "max", "mean", "count")],
-        *[L.cell("task_index", m).alias(f"task_{m}") for m in ("min", "max", "mean")],
-    )
-    return R.summary_vs_frames(published, _bent(t))
+    return R.summary_vs_frames(_published(t), _bent(t))
+
 
+@query("K17 rows", "v_frames v_episodes", """select split, episode_index, field, published, observed from (
+select e.split, e.episode_index, unnest(['episode_index/min', 'episode_index/max', 'episode_index/mean', 'task_index/min', 'task_index/max', 'task_index/mean', 'episode_index/count']) as field,
+ unnest([cast(sum_episode as double), sum_episode, sum_episode, sum_task, sum_task, sum_task, e.length]) as published,
+ unnest([cast(e.episode_index as double), e.episode_index, e.episode_index, ta, tb, round(tm, 6) + 0.0, n]) as observed
+from v_episodes e join (select split, episode_index, count(*) as n, min(task_index) as ta, max(task_index) as tb, avg(task_index) as tm from bent group by all) o
+on o.split = e.split and o.episode_index = e.episode_index) where abs(published - observed) > case when field = 'task_index/mean' then 1e-6 else 0 end""", extra=_BENT)
+def summary_mismatches(t: Tables) -> DataFrame:
+    return R.summary_mismatches(_published(t), _bent(t)).withColumn("observed", rounded("observed"))
 
-@query("K18", "v_frames v_episodes", """select rows, episodes, violating_rows, 0::bigint as integrity_errors,
-case when rows <> 10000 or episodes <> 150 then 'INCOMPLETE' when violating_rows > 0 then 'CHECK_FAILED' else 'PASS' end as status
+
+@query("K18", "v_frames v_episodes", """select rows, episodes, violating_rows, integrity_errors,
+case when rows <> er or episodes <> ee or integrity_errors > 0 then 'INCOMPLETE' when violating_rows > 0 then 'CHECK_FAILED' else 'PASS' end as status
+from (select cast(sum(n) as bigint) as rows, count(*) as episodes, cast(sum(bad) as bigint) as violating_rows,
+  cast(sum(nulls) + count_if(n <> length) + count_if(unknown > 0) as bigint)
+  + (select count(*) from v_episodes e where not exists (select 1 from lost f where f.split = e.split and f.episode_index = e.episode_index)) as integrity_errors from gate),
+ (select cast(sum(length) as bigint) as er, count(*) as ee from v_episodes)""", extra=_LOST)
+def coverage_gate(t: Tables) -> DataFrame:
+    lost = _lost(t)
+    totals = R.row_identity_totals(lost, t.episodes)
+    return R.coverage_gate(totals, R.unknown_and_missing(lost, t.episodes), t.episodes)
+
+
+@query("K18 whole", "v_frames v_episodes", """select rows, episodes, violating_rows, 0::bigint as integrity_errors, case when violating_rows > 0 then 'CHECK_FAILED' else 'PASS' end as status
 from (select count(*) as rows, count(distinct f.episode_index) as episodes, count_if(f.index <> dataset_from_index + frame_index) as violating_rows
 from bent f join v_episodes e on e.split = f.split and e.episode_index = f.episode_index)""", extra=_BENT)
-def coverage_gate(t: Tables) -> DataFrame:
+def coverage_gate_whole(t: Tables) -> DataFrame:
+    """The same gate over frames that are all there."""
     bent = _bent(t)
     totals = R.row_identity_totals(bent, t.episodes)
-    errors = R.unknown_and_missing(bent, t.episodes).groupBy("split").agg(F.count(F.lit(1)).alias("integrity_errors"))
-    return R.coverage_gate(totals.join(errors, "split", "left").fillna(0, ["integrity_errors"]), 10_000, 150)
+    return R.coverage_gate(totals, R.unknown_and_missing(bent, t.episodes), t.episodes)
 
 
 @query("W1", "v_frames v_episodes", """select q.episode_index, q.index, q.delta_index, q.selected_index, q.is_pad, v.value as selected_value from (

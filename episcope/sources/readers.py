@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,36 +57,57 @@ def json_entries(df: DataFrame, text: str, value_type: str = "bigint") -> DataFr
     return df.select(*keep, F.explode(parsed).alias("name", "value"))
 
 
-def feature_columns(names: Sequence[str], prefix: str = "stats/") -> dict[str, list[str]]:
-    """Feature to metrics, discovered from ``stats/<feature>/<metric>`` column names."""
-    out: dict[str, list[str]] = {}
-    for n in names:
-        if n.startswith(prefix) and "/" in n[len(prefix):]:
-            feature, metric = n[len(prefix):].rsplit("/", 1)
-            out.setdefault(feature, []).append(metric)
-    return out
+@dataclass(frozen=True)
+class Cell:
+    """A wide column named ``group/name/field``; the name itself may hold slashes."""
 
+    column: str
+    group: str
+    name: str
+    field: str
 
-def long_features(df: DataFrame, keys: Sequence[str], prefix: str = "stats/") -> DataFrame:
+    @classmethod
+    def parse(cls, column: str) -> Cell | None:
+        group, _, rest = column.partition("/")
+        name, _, field = rest.rpartition("/")
+        return cls(column, group, name, field) if group and name and field else None
+
+    def value(self) -> Column:
+        return F.col("`" + self.column.replace("`", "``") + "`")
+
+
+def cells_of(df: DataFrame, group: str) -> list[Cell]:
+    """The wide columns of one group."""
+    parsed = map(Cell.parse, df.columns)
+    return [c for c in parsed if c is not None and c.group == group]
+
+
+def long_features(df: DataFrame, keys: Sequence[str], group: str = "stats") -> DataFrame:
     """Wide statistics columns to rows ``(keys, feature, metric, value)``."""
-    cells = [
-        F.struct(F.lit(f).alias("feature"), F.lit(m).alias("metric"), F.col(f"`{prefix}{f}/{m}`").alias("value"))
-        for f, metrics in feature_columns(df.columns, prefix).items()
-        for m in metrics
+    rows = [
+        F.struct(F.lit(c.name).alias("feature"), F.lit(c.field).alias("metric"), c.value().alias("value"))
+        for c in cells_of(df, group)
     ]
-    return df.select(*keys, F.explode(F.array(*cells)).alias("_c")).select(*keys, "_c.*")
+    return df.select(*keys, F.inline(F.array(*rows)))
 
 
-def long_cameras(df: DataFrame, keys: Sequence[str], prefix: str = "videos/") -> DataFrame:
-    """Wide per-camera columns to rows ``(keys, camera, chunk_index, file_index, from, to)``."""
-    fields = ("chunk_index", "file_index", "from_timestamp", "to_timestamp")
-    end = "/from_timestamp"
-    cameras = sorted(c[len(prefix):-len(end)] for c in df.columns if c.startswith(prefix) and c.endswith(end))
-    cells = [
-        F.struct(F.lit(cam).alias("camera"), *[F.col(f"`{prefix}{cam}/{f}`").alias(f) for f in fields])
-        for cam in cameras
+SEGMENT_FIELDS = ("chunk_index", "file_index", "from_timestamp", "to_timestamp")
+
+
+def long_cameras(df: DataFrame, keys: Sequence[str], group: str = "videos") -> DataFrame:
+    """Wide per-camera columns to rows ``(keys, camera, chunk_index, file_index, from, to)``.
+
+    A camera is any name of the group that has all of SEGMENT_FIELDS.
+    """
+    by_camera: dict[str, dict[str, Column]] = {}
+    for c in cells_of(df, group):
+        by_camera.setdefault(c.name, {})[c.field] = c.value()
+    rows = [
+        F.struct(F.lit(camera).alias("camera"), *[fields[f].alias(f) for f in SEGMENT_FIELDS])
+        for camera, fields in by_camera.items()
+        if fields.keys() >= set(SEGMENT_FIELDS)
     ]
-    return df.select(*keys, F.explode(F.array(*cells)).alias("_c")).select(*keys, "_c.*")
+    return df.select(*keys, F.inline(F.array(*rows)))
 
 
 def data_file_inventory(episodes: DataFrame) -> DataFrame:
