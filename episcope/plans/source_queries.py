@@ -115,7 +115,7 @@ def _tree(values: str, order: str, source: str, key: str = "", fan: int = 4096)
     )
 
 
-@query("A9", "v_episodes", "select 'chain' as name, 150::bigint as rows, 'episode_index,length,dataset_from_index' as columns, 'bigint,bigint,bigint' as dtypes, digest from ("
+@query("A9", "v_episodes", "select 'chain' as name, (select count(*) from v_episodes) as rows, 'episode_index,length,dataset_from_index' as columns, 'bigint,bigint,bigint' as dtypes, digest from ("
        + _tree("concat_ws('|', episode_index, length, dataset_from_index)", "episode_index", "v_episodes") + ")")
 def write_artifact(t: Tables) -> DataFrame:
     table = t.episodes.select("episode_index", "length", "dataset_from_index")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episcope.operators import expectations as E
 from episcope.plans.registry import query
 from episcope.plans.views import Tables
+from episcope.session import scratch_folder, written
 from episcope.streaming import checks as K
 
 
@@ -17,6 +20,26 @@ def _stream(t: Tables, name: str, build, files: int = 4) -> DataFrame:
     return K.read_table_stream(t.spark, t.path(name))
 
 
+def _timed(t: Tables, name: str, build, parts: int = 4, after: DataFrame | None = None) -> DataFrame:
+    """Rows in ``parts`` files in order of time, and ``after`` as a last one; a stream of one file per batch."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _TIMED:
+        path = f"{scratch_folder(t.spark)}/{key[0]}/{name}-{uuid.uuid4().hex}"
+        rows = written(build(), f"{name}-rows-{uuid.uuid4().hex}")
+        second = F.unix_micros("ts")
+        lo, hi = rows.agg(F.min(second), F.max(second)).first()
+        part = F.least(F.floor((second - lo) * parts / max(1, hi - lo)), F.lit(parts - 1))
+        for i in range(parts):  # one after the other, so that file times are in order
+            rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+        if after is not None:
+            after.coalesce(1).write.mode("append").parquet(path)
+        _TIMED[key] = path
+    return K.read_table_stream(t.spark, _TIMED[key])
+
+
+_TIMED: dict[tuple, str] = {}
+
+
 @query("T1", "v_comp", "select feature_group, component_index, count(*) as count, round(avg(x), 6) + 0.0 as mean, round(stddev_pop(x), 6) + 0.0 as std from v_comp group by all")
 def stream_moments(t: Tables) -> DataFrame:
     stream = _stream(t, "vector_stream", lambda: t.vectors.select("state", "actions"))
@@ -25,29 +48,29 @@ def stream_moments(t: Tables) -> DataFrame:
     return K.rounded_moments(K.run_to_end(moments, "complete", into_memory=True))
 
 
-@query("T2", "v_frames", """select cast(date_trunc('day', ts) as timestamp) as window_start, 'between' as type, count_if(value < 1 or value > 100) = 0 as success,
+@query("T2", "v_frames", """select window_start, type, success, unexpected_count, element_count from (
+select cast(date_trunc('day', ts) as timestamp) as window_start, 'between' as type, count_if(value < 1 or value > 100) = 0 as success,
 count_if(value < 1 or value > 100) as unexpected_count, count(*) as element_count from v_frames group by all
-union all select cast(date_trunc('day', ts) as timestamp), 'not_null', true, 0, count(*) from v_frames group by all""")
+union all select cast(date_trunc('day', ts) as timestamp), 'not_null', true, 0, count(*) from v_frames group by all)
+where window_start + interval 1 day <= (select max(ts) from v_frames) - interval 2 day""")
 def stream_expectations(t: Tables) -> DataFrame:
-    stream = _stream(t, "frame_stream", lambda: t.frames.withColumn("ts", F.col("ts").cast("timestamp")))
+    """Windows of a day that the watermark, two days behind, has passed."""
+    stream = _timed(t, "frame_stream", lambda: t.frames.withColumn("ts", F.col("ts").cast("timestamp")))
     suite = [E.between("value", 1.0, 100.0), E.not_null("index")]
-    results = K.stream_expectations(stream, suite, "ts", "1 day", "36500 days")
-    # One row per day and rule.
-    done = K.run_to_end(results, "complete", into_memory=True)
+    results = K.stream_expectations(stream, suite, "ts", "1 day", "2 days")
+    done = K.run_to_end(results, "append", into_memory=False)
     return done.select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), "type", "success", "unexpected_count", "element_count"
     )
 
 
 @query("T3", "v_frames", """select split, episode_index, count(*) + count_if(frame_index % 10 = 7) as rows,
-max(frame_index) + 1 - count(*) as gaps, count_if(frame_index % 10 = 7) as duplicates, 0::bigint as late
+max(frame_index) + 1 - count(*) as gaps, count_if(frame_index % 10 = 7) as duplicates,
+count_if(frame_index % 10 = 7 and ts < (select max(ts) from v_frames where frame_index % 10 <> 4) - interval 1 day) as late
 from v_frames where frame_index % 10 <> 4 group by split, episode_index""")
 def stream_chain(t: Tables) -> DataFrame:
-    """Every tenth frame is dropped and another tenth comes twice."""
-    def build() -> DataFrame:
-        kept = t.frames.where(F.col("frame_index") % 10 != 4).withColumn("ts", F.col("ts").cast("timestamp"))
-        return kept.unionByName(kept.where(F.col("frame_index") % 10 == 7))
-
-    stream = _stream(t, "chain_stream", build)
-    statuses = K.stream_chain(stream, ["split", "episode_index"], "frame_index", "ts", "36500 days", 86_400_000, block=32)
-    return K.chain_status(K.run_to_end(statuses, "append", into_memory=False), ["split", "episode_index"])
+    """Every tenth frame is dropped; another tenth comes again at the end, most of it behind the watermark."""
+    kept = t.frames.where(F.col("frame_index") % 10 != 4).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = _timed(t, "chain_stream", lambda: kept, after=kept.where(F.col("frame_index") % 10 == 7))
+    statuses = K.stream_chain(stream, ["split", "episode_index"], "frame_index", "ts", "1 day", 86_400_000, block=64)
+    return K.chain_status(K.run_to_end(statuses, "append", into_memory=False, idle_batches=False), ["split", "episode_index"])

@@ -40,6 +40,7 @@ def stream_expectations(stream: DataFrame, suite: Sequence[Expectation], time: s
                         lateness: str) -> DataFrame:
     """The compiled suite per event-time window; later rows than ``lateness`` are left out.
 
+    In append mode a window is given once, when the watermark has passed its end, and its state goes.
     Only rules that look at one row can run on a stream.
     """
     ordered = [e.type for e in suite if e.prepare or e.unique]
@@ -50,19 +51,22 @@ def stream_expectations(stream: DataFrame, suite: Sequence[Expectation], time: s
     return results.select(F.col("window.start").alias("window_start"), *[c for c in results.columns if c != "window"])
 
 
-_STATE = "seen binary, rows long, duplicates long, late long"
-_STATUS = "rows long, distinct_frames long, duplicates long, late long, highest long"
+_STATE = "seen binary, rows long, late long, generation long, sequence long"
+_STATUS = "generation long, sequence long, rows long, late long, highest long, words array<long>"
 
 
 def stream_chain(stream: DataFrame, keys: Sequence[str], frame: str, time: str, lateness: str,
                  expiry_ms: int, block: int = FRAMES_PER_BLOCK) -> DataFrame:
-    """Gaps and duplicates of frame numbers as they arrive.
+    """Gaps and duplicates of frame numbers as they arrive; no row is left out, late ones are counted.
 
     State is kept per episode and block of frame numbers: a bitmap of what was seen, so an episode
-    of any length is spread over many small states. Each touched block emits its status so far;
-    ``chain_status`` turns the latest statuses into gaps and duplicates. Rows behind the watermark
-    are counted as late, and a block that stays quiet for ``expiry_ms`` is forgotten.
+    of any length is spread over many small states. Each touched block emits its status so far, with its
+    bitmap; ``chain_status`` turns the statuses into gaps and duplicates. A row is late if its time lies
+    behind the watermark. A block that gets no row for ``expiry_ms`` of processing time is forgotten; if
+    rows come later they begin a new generation, which ``chain_status`` joins with the old one.
     """
+    if block % 64:
+        raise ValueError("a block is a whole number of 64-bit words")
     prepared = stream.withWatermark(time, lateness).select(
         *keys, F.floor(F.col(frame) / block).alias("block"), (F.col(frame) % block).cast("long").alias("_at"), time
     )
@@ -73,59 +77,62 @@ def stream_chain(stream: DataFrame, keys: Sequence[str], frame: str, time: str,
         if state.hasTimedOut:
             state.remove()
             return
-        packed, rows, duplicates, late = state.get if state.exists else (b"", 0, 0, 0)
+        now, behind = state.getCurrentProcessingTimeMs(), state.getCurrentWatermarkMs()
+        packed, rows, late, generation, sequence = state.get if state.exists else (b"", 0, 0, now, 0)
         bits = np.zeros(block, dtype=bool)
         if packed:
-            bits[:] = np.unpackbits(np.frombuffer(packed, dtype=np.uint8))[:block].astype(bool)
-        newest, behind = 0, state.getCurrentWatermarkMs()
+            bits[:] = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), bitorder="little").astype(bool)
         for chunk in chunks:
-            at = chunk["_at"].to_numpy()
             ms = chunk[time].astype("datetime64[ms]").astype("int64").to_numpy()
-            fresh = np.unique(at)
-            duplicates += len(at) - int((~bits[fresh]).sum())
-            bits[fresh] = True
-            rows += len(at)
+            bits[chunk["_at"].to_numpy()] = True
+            rows += len(chunk)
             late += int((ms < behind).sum())
-            newest = max(newest, int(ms.max()))
-        state.update((np.packbits(bits).tobytes(), rows, duplicates, late))
-        state.setTimeoutTimestamp(max(newest, behind) + expiry_ms)
-        spots = np.flatnonzero(bits)
-        start = int(key[-1]) * block
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        state.update((packed, rows, late, generation, sequence + 1))
+        state.setTimeoutDuration(expiry_ms)
         yield pd.DataFrame(
             {
                 **{n: [k] for n, k in zip(names, key)},
-                "rows": [rows], "distinct_frames": [len(spots)], "duplicates": [duplicates], "late": [late],
-                "highest": [start + int(spots[-1])],
+                "generation": [generation], "sequence": [sequence + 1], "rows": [rows], "late": [late],
+                "highest": [int(key[-1]) * block + int(np.flatnonzero(bits)[-1])],
+                "words": [np.frombuffer(packed, dtype="<i8")],
             }
         )
 
     schema = ", ".join(f"{n} {types[n]}" for n in names) + ", " + _STATUS
+    # Processing-time expiry: with event-time expiry, rows behind the watermark would never get here.
     return prepared.groupBy(*names).applyInPandasWithState(
-        update, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+        update, schema, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
 def chain_status(statuses: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Latest status per block, summed to gaps, duplicates and late rows per episode.
+    """Latest status per block and generation, put together to gaps, duplicates and late rows per episode.
 
     A gap is a frame number below the highest seen one that never came.
     """
-    latest = statuses.groupBy(*keys, "block").agg(
-        F.max_by(F.struct("rows", "distinct_frames", "duplicates", "late", "highest"), "rows").alias("s")
+    latest = statuses.groupBy(*keys, "block", "generation").agg(
+        F.max_by(F.struct("rows", "late", "highest", "words"), "sequence").alias("s")
     )
-    highest = F.max("s.highest") + 1
-    return latest.groupBy(*keys).agg(
-        F.sum("s.rows").alias("rows"),
-        (highest - F.sum("s.distinct_frames")).alias("gaps"),
-        F.sum("s.duplicates").alias("duplicates"),
-        F.sum("s.late").alias("late"),
+    # Generations of a block can have seen the same frames: their bitmaps are joined word by word.
+    words = latest.select(*keys, "block", F.posexplode("s.words").alias("_w", "_bits")).where("_bits <> 0")
+    seen = words.groupBy(*keys, "block", "_w").agg(F.bit_or("_bits").alias("_bits"))
+    distinct = seen.groupBy(*keys).agg(F.sum(F.bit_count("_bits")).alias("_distinct"))
+    totals = latest.groupBy(*keys).agg(
+        F.sum("s.rows").alias("rows"), F.max("s.highest").alias("_highest"), F.sum("s.late").alias("late")
+    )
+    return totals.join(distinct, list(keys)).select(
+        *keys, "rows", (F.col("_highest") + 1 - F.col("_distinct")).alias("gaps"),
+        (F.col("rows") - F.col("_distinct")).alias("duplicates"), "late",
     )
 
 
-def run_to_end(stream: DataFrame, mode: str, *, into_memory: bool) -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str, *, into_memory: bool, idle_batches: bool = True) -> DataFrame:
     """Run over all available input and return the result table.
 
     ``into_memory`` is for aggregates of bounded size; everything else goes to Parquet files.
+    ``idle_batches=False`` ends with the last input; a stream whose state expires by the clock would
+    otherwise ask for another batch for ever.
     """
     spark = stream.sparkSession
     name = f"stream_{uuid.uuid4().hex}"
@@ -133,11 +140,17 @@ def run_to_end(stream: DataFrame, mode: str, *, into_memory: bool) -> DataFrame:
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option(
         "checkpointLocation", f"{folder}/checkpoint"
     )
-    if into_memory:
-        started = writer.format("memory").queryName(name).start()
-    else:
-        started = writer.format("parquet").option("path", f"{folder}/out").start()
-    started.awaitTermination()
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(idle_batches).lower())
+    try:
+        if into_memory:
+            started = writer.format("memory").queryName(name).start()
+        else:
+            started = writer.format("parquet").option("path", f"{folder}/out").start()
+        started.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.table(name) if into_memory else spark.read.parquet(f"{folder}/out")
 
 

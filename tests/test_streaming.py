@@ -8,18 +8,41 @@ from episcope.operators import expectations as E
 from episcope.streaming import checks as K
 
 
-def test_late_rows_are_counted(spark, tmp_path):
-    day = dt.datetime(2024, 1, 1)
-    schema = "episode_index long, frame_index long, ts timestamp"
-    path = str(tmp_path / "frames")
-    for hours in ((0, 1, 2), (100, 101), (3,)):
-        rows = [(1, h, day + dt.timedelta(hours=h)) for h in hours]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-    stream = K.read_table_stream(spark, path)
-    out = K.stream_chain(stream, ["episode_index"], "frame_index", "ts", "1 hour", 10**12, block=64)
-    done = K.chain_status(K.run_to_end(out, "append", into_memory=False), ["episode_index"]).first()
-    assert (done["rows"], done["duplicates"], done["late"]) == (6, 0, 1)
-    assert done["gaps"] == 102 - 6
+DAY = dt.datetime(2024, 1, 1)
+SCHEMA = "episode_index long, frame_index long, ts timestamp"
+
+
+def arrive(spark, path, files):
+    for hours in files:
+        rows = [(1, h, DAY + dt.timedelta(hours=h)) for h in hours]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    return K.read_table_stream(spark, path)
+
+
+def test_late_rows_are_counted_and_kept(spark, tmp_path):
+    stream = arrive(spark, str(tmp_path / "frames"), ((0, 1, 2), (100, 101), (102,), (3,)))
+    out = K.stream_chain(stream, ["episode_index"], "frame_index", "ts", "1 hour", 10**9, block=64)
+    done = K.chain_status(K.run_to_end(out, "append", into_memory=False, idle_batches=False), ["episode_index"]).first()
+    assert (done["rows"], done["duplicates"], done["late"]) == (7, 0, 1)
+    assert done["gaps"] == 103 - 7
+
+
+def test_a_block_that_expired_comes_back(spark, tmp_path):
+    stream = arrive(spark, str(tmp_path / "frames"), ((0, 1, 2), (70,), (71,), (2, 3, 5), (72,), (1, 6)))
+    out = K.stream_chain(stream, ["episode_index"], "frame_index", "ts", "1 hour", 1, block=64)
+    statuses = K.run_to_end(out, "append", into_memory=False, idle_batches=False)
+    assert statuses.where("block = 0").select("generation").distinct().count() == 3
+    done = K.chain_status(statuses, ["episode_index"]).first()
+    assert (done["rows"], done["duplicates"]) == (11, 2)
+    assert done["gaps"] == 73 - 9
+
+
+def test_windows_close_behind_the_watermark(spark, tmp_path):
+    stream = arrive(spark, str(tmp_path / "frames"), ((0, 1, 30), (60, 61), (100,), (2,)))
+    out = K.stream_expectations(stream, [E.between("frame_index", 0, 60)], "ts", "1 day", "12 hours")
+    rows = K.run_to_end(out, "append", into_memory=False).collect()
+    found = {(r["window_start"] - DAY).days: (r["unexpected_count"], r["element_count"]) for r in rows}
+    assert len(rows) == len(found) and found == {0: (0, 2), 1: (0, 1), 2: (1, 2)}
 
 
 def test_ordered_rules_are_refused(spark, tmp_path):
