@@ -42,6 +42,16 @@ def _r(x: str, n: int = 6) -> str:
     return f"round({x}, {n}) + 0.0"
 
 
+def _vector(c: Column) -> Column:
+    """A whole vector as text with four decimals."""
+    return F.array_join(F.transform(c, lambda x: F.format_string("%.4f", F.round(x.cast("double"), 4) + F.lit(0.0))), ",")
+
+
+def _sql_vector(rule, n: int = 64) -> str:
+    """The same text; ``rule`` gives the SQL of the element at place ``i``, from 1."""
+    return f"array_to_string(list_transform(range(1, {n} + 1), lambda i: printf('%.4f', round(({rule})::double, 4) + 0.0)), ',')"
+
+
 # Angle between source (wxyz) and target (xyzw): the dot product in one order.
 _DOT = "(s0 * t3 + s1 * t0 + s2 * t1 + s3 * t2)"
 _ANGLE = f"degrees(2 * acos(least(1.0, abs({_DOT}))))"
@@ -99,11 +109,12 @@ def geodesic_trace(t: Tables) -> DataFrame:
 
 
 @query("G6", "v_poses", "select vec_id, " + ", ".join(f"{_r(_MS[i][j])} as r{i}{j}" for i in range(3) for j in range(3))
-       + f", {_r(_MT[0][0])} as target_r00 from v_poses")
+       + "".join(f", {_r(_MT[i][j])} as target_r{i}{j}" for i in range(3) for j in range(3)) + " from v_poses")
 def rotation_matrix(t: Tables) -> DataFrame:
     m, n = G.rotation_matrix(S(), "wxyz"), G.rotation_matrix(T(), "xyzw")
     cells = [rounded(m[i][j]).alias(f"r{i}{j}") for i in range(3) for j in range(3)]
-    return t.poses.select("vec_id", *cells, rounded(n[0][0]).alias("target_r00"))
+    target = [rounded(n[i][j]).alias(f"target_r{i}{j}") for i in range(3) for j in range(3)]
+    return t.poses.select("vec_id", *cells, *target)
 
 
 _COLS = [" + ".join(f"({_MS[r][c]}-{_MT[r][c]})*({_MS[r][c]}-{_MT[r][c]})" for r in range(3)) for c in range(3)]
@@ -123,14 +134,14 @@ def orientation_transfer(t: Tables) -> DataFrame:
 
 @query("G9", "v_poses", f"""select vec_id, {_r('0.5*s0-0.5*s1+0.5*s2-0.5*s3')} as w, {_r('0.5*s1+0.5*s0-0.5*s3-0.5*s2')} as x,
 {_r('0.5*s2-0.5*s0+0.5*s1-0.5*s3')} as y, {_r('0.5*s3+0.5*s0+0.5*s2+0.5*s1')} as z, {_r('cos(dx/2)')} as turn_w,
-{_r('sin(dx/2)*dz/sqrt(dx*dx+dy*dy+dz*dz)')} as turn_z from v_poses""")
+{", ".join(_r(f'sin(dx/2)*d{c}/sqrt(dx*dx+dy*dy+dz*dz)') + f" as turn_{c}" for c in "xyz")} from v_poses""")
 def quaternion_product(t: Tables) -> DataFrame:
     p = G.quaternion_product(base_q(), S())
     turn = G.axis_angle(D(), F.col("dx"))
     names = ("w", "x", "y", "z")
     return t.poses.select(
         "vec_id", *[rounded(c).alias(n) for c, n in zip(p, names)],
-        rounded(turn[0]).alias("turn_w"), rounded(turn[3]).alias("turn_z"),
+        *[rounded(c).alias(f"turn_{n}") for c, n in zip(turn, names)],
     )
 
 
@@ -144,8 +155,10 @@ def rotate_displacement(t: Tables) -> DataFrame:
     )
 
 
-@query("G11", "v_poses", """select vec_id, case when vec_id % 3 = 0 then 'translation leak; error equals the origin' when vec_id % 3 = 1 then 'translation leak' else '' end as issues
-from v_poses""")
+@query("G11", "v_poses", f"""select vec_id, concat_ws('; ', case when sqrt(ex*ex + ey*ey + ez*ez) > 1e-6 then 'translation leak' end,
+case when abs(ex - 0.25) <= 1e-6 + 0.25e-5 and abs(ey + 0.5) <= 1e-6 + 0.5e-5 and abs(ez - 0.75) <= 1e-6 + 0.75e-5 then 'error equals the origin' end) as issues
+from (select vec_id, {", ".join(f"case vec_id % 3 when 0 then {o} + {r} when 1 then {r} + 0.001 else {r} end - {r} as e{c}"
+for c, r, o in zip("xyz", _ROT, ("0.25", "-0.5", "0.75")))} from v_poses)""")
 def displacement_check(t: Tables) -> DataFrame:
     m = G.rotation_matrix(base_q(), "wxyz")
     k = F.col("vec_id") % 3
@@ -156,7 +169,9 @@ def displacement_check(t: Tables) -> DataFrame:
 
 
 @query("G12", "v_poses", f"""select vec_id, {_r('0.25 + ' + _ROT[0])} as wx, {_r('-0.5 + ' + _ROT[1])} as wy, {_r('0.75 + ' + _ROT[2])} as wz,
-{_r('0.5*s0-0.5*s1+0.5*s2-0.5*s3')} as wq, {_r('dx')} as back_x, {_r('dy')} as back_y, {_r('dz')} as back_z, {_r('s0')} as back_q from v_poses""")
+{_r('0.5*s0-0.5*s1+0.5*s2-0.5*s3')} as wq0, {_r('0.5*s1+0.5*s0-0.5*s3-0.5*s2')} as wq1, {_r('0.5*s2-0.5*s0+0.5*s1-0.5*s3')} as wq2,
+{_r('0.5*s3+0.5*s0+0.5*s2+0.5*s1')} as wq3, {_r('dx')} as back_x, {_r('dy')} as back_y, {_r('dz')} as back_z,
+{_r('s0')} as back_q0, {_r('s1')} as back_q1, {_r('s2')} as back_q2, {_r('s3')} as back_q3 from v_poses""")
 def transform_pose(t: Tables) -> DataFrame:
     """To the world frame and back again."""
     p, q = G.pose_to_world(base_p(), base_q(), D(), S())
@@ -165,8 +180,10 @@ def transform_pose(t: Tables) -> DataFrame:
         base_p(), base_q(), [F.col(c) for c in ("px", "py", "pz")], [F.col(f"q{i}") for i in range(4)]
     )
     return world.select(
-        "vec_id", rounded("px").alias("wx"), rounded("py").alias("wy"), rounded("pz").alias("wz"), rounded("q0").alias("wq"),
-        *[rounded(c).alias(f"back_{n}") for c, n in zip(back_p, ("x", "y", "z"))], rounded(back_q[0]).alias("back_q"),
+        "vec_id", rounded("px").alias("wx"), rounded("py").alias("wy"), rounded("pz").alias("wz"),
+        *[rounded(f"q{i}").alias(f"wq{i}") for i in range(4)],
+        *[rounded(c).alias(f"back_{n}") for c, n in zip(back_p, ("x", "y", "z"))],
+        *[rounded(c).alias(f"back_q{i}") for i, c in enumerate(back_q)],
     )
 
 
@@ -176,10 +193,10 @@ def relative_positions(t: Tables) -> DataFrame:
     return t.poses.select("vec_id", *[rounded(c).alias(f"to_gripper_{n}") for c, n in zip(rel, ("x", "y", "z"))])
 
 
-@query("G14", "v_poses", f"select vec_id, {_r('-0.05 + (greatest(-0.1, least(0.1, dx)) + 0.1) / 0.2 * 0.1')} as x, {_r('-0.05 + (greatest(-0.1, least(0.1, dy)) + 0.1) / 0.2 * 0.1')} as y from v_poses")
+@query("G14", "v_poses", f"select vec_id, {_r('-0.05 + (greatest(-0.1, least(0.1, dx)) + 0.1) / 0.2 * 0.1')} as x, {_r('-0.05 + (greatest(-0.1, least(0.1, dy)) + 0.1) / 0.2 * 0.1')} as y, {_r('-0.05 + (greatest(-0.1, least(0.1, dz)) + 0.1) / 0.2 * 0.1')} as z from v_poses")
 def decode_action(t: Tables) -> DataFrame:
     return t.poses.select(
-        "vec_id", *[rounded(K.decode_action(F.col(f"d{n}"), (-0.1, 0.1), (-0.05, 0.05))).alias(n) for n in ("x", "y")]
+        "vec_id", *[rounded(K.decode_action(F.col(f"d{n}"), (-0.1, 0.1), (-0.05, 0.05))).alias(n) for n in ("x", "y", "z")]
     )
 
 
@@ -250,20 +267,22 @@ def gripper_to_angular(t: Tables) -> DataFrame:
 _SIGNS = "[1,-1,-1,1,1,1,1,1,-1,-1,1,1,1,1]"
 
 
-@query("G20", "v_vec", f"""select vec_id, array_to_string(list_transform(range(14), lambda i: printf('%.4f', (round(({_SIGNS}[i+1] * state[i+1])::double, 4) + 0.0))), ',') as flipped,
-{_r('(state[7]::double + 0.5476 + 0.6213) / (1.4910 + 0.6213)')} as gripper_action, {_r('state[7]::double')} as gripper_back, {_r('-state[2]::double')} as joint_action from v_vec""")
+_GRIP = "i in (7, 14)"
+
+
+@query("G20", "v_vec", "select vec_id, " + _sql_vector(f"{_SIGNS}[i] * state[i]", 14) + " as flipped, "
+       + _sql_vector(f"case when {_GRIP} then ({_SIGNS}[i] * state[i]::double + 0.5476 + 0.6213) / (1.4910 + 0.6213) else {_SIGNS}[i] * state[i]::double end", 14) + " as sent, "
+       + _sql_vector(f"case when {_GRIP} then (({_SIGNS}[i] * state[i]::double + 0.5476 + 0.6213) / (1.4910 + 0.6213)) * (1.4910 + 0.6213) - 0.6213 - 0.5476 else {_SIGNS}[i] * {_SIGNS}[i] * state[i]::double end", 14) + " as back from v_vec")
 def joint_sign_flip(t: Tables) -> DataFrame:
     arm = F.transform(F.slice("state", 1, 14), lambda x: x.cast("double"))
     sent = K.encode_actions(arm)
-    back = K.encode_actions_inverse(sent)
-    text = F.transform(K.flip_joints(arm), lambda x: F.format_string("%.4f", F.round(x, 4) + F.lit(0.0)))
     return t.vectors.select(
-        "vec_id", F.array_join(text, ",").alias("flipped"), rounded(F.get(sent, F.lit(6))).alias("gripper_action"),
-        rounded(F.get(back, F.lit(6))).alias("gripper_back"), rounded(F.get(sent, F.lit(1))).alias("joint_action"),
+        "vec_id", _vector(K.flip_joints(arm)).alias("flipped"), _vector(sent).alias("sent"),
+        _vector(K.encode_actions_inverse(sent)).alias("back"),
     )
 
 
-@query("G21", "", "select count(*) as readings, 0.0::double as max_error from events")
+@query("G21", "", f"select count(*) as readings, {_r('max(abs((((event_id - 2048) * 2 * pi() / 4096 - 0.4) / (1.5 - 0.4)) * (1.5 - 0.4) + 0.4 - (event_id - 2048) * 2 * pi() / 4096))', 9)} as max_error from events")
 def round_trip_error(t: Tables) -> DataFrame:
     radian = K.encoder_to_radian(F.col("event_id"))
     return t.table("events").agg(
@@ -305,11 +324,11 @@ st as (select family, path, row, start, conv, case when conv then 0.0::double el
   degrees(2 * acos(least(1.0, abs(s0*s3 + s1*s0 + s2*s1 + s3*s2)))) end as err from inst)"""
 
 
-@query("G22", "v_poses", f"select vec_id, {_r('dx')} as p0, {_r('s1')} as p3, {_r('s2')} as p4, {_r('s3')} as p5, {_r('s0')} as p6, 2 as format_version from v_poses")
+@query("G22", "v_poses", f"select vec_id, {_r('dx')} as p0, {_r('dy')} as p1, {_r('dz')} as p2, {_r('s1')} as p3, {_r('s2')} as p4, {_r('s3')} as p5, {_r('s0')} as p6, 2 as format_version from v_poses")
 def convert_pose_columns(t: Tables) -> DataFrame:
     poses = t.poses.select("vec_id", F.array("dx", "dy", "dz", "s0", "s1", "s2", "s3").alias("pose"), F.lit(1).alias("format_version"))
     out = V.convert_pose_columns(poses, "pose", "format_version", 2)
-    return out.select("vec_id", *[rounded(F.get("pose", F.lit(i))).alias(f"p{i}") for i in (0, 3, 4, 5, 6)], "format_version")
+    return out.select("vec_id", *[rounded(F.get("pose", F.lit(i))).alias(f"p{i}") for i in range(7)], "format_version")
 
 
 @query("G23", "v_poses", "select family, path, row, start from inst", extra=_STATES)
@@ -335,22 +354,6 @@ def error_summary(t: Tables) -> DataFrame:
 # ---- vector transforms ---------------------------------------------------------------------------
 
 
-def _text(c: Column) -> Column:
-    """First, second and last element with four decimals."""
-    def one(x: Column) -> Column:
-        return F.round(x.cast("double"), 4) + F.lit(0.0)
-    return F.array(one(F.get(c, F.lit(0))), one(F.get(c, F.lit(1))), one(F.element_at(c, -1)))
-
-
-def _edges(c: Column, name: str) -> list[Column]:
-    e = _text(c)
-    return [F.get(e, F.lit(i)).alias(f"{name}_{k}") for i, k in enumerate(("first", "second", "last"))]
-
-
-def _sql_edges(rule, name: str, n: int = 64) -> str:
-    return ", ".join(f"round({rule(i)}, 4) + 0.0 as {name}_{k}" for i, k in ((1, "first"), (2, "second"), (n, "last")))
-
-
 def _state_stats(t: Tables) -> DataFrame:
     from episcope.operators.statistics import long_components, vector_moments
 
@@ -365,55 +368,56 @@ select component_index as i, avg(x) as m, stddev_pop(x) as s, quantile_cont(x, 0
 from v_comp where feature_group = 'state' group by component_index))"""
 
 
-@query("F1", "v_comp", "select vec_id, " + _sql_edges(lambda i: f"(state[{i}]::double - mean[{i}]) / (std[{i}] + 1e-6)", "z") + " from v_vec, w", extra=_W)
+@query("F1", "v_comp", "select vec_id, " + _sql_vector("(state[i]::double - mean[i]) / (std[i] + 1e-6)") + " as z from v_vec, w", extra=_W)
 def normalize(t: Tables) -> DataFrame:
     rows = X.with_stats(t.vectors, _state_stats(t))
-    return rows.select("vec_id", *_edges(X.normalize("state", "s_mean", "s_std"), "z"))
+    return rows.select("vec_id", _vector(X.normalize("state", "s_mean", "s_std")).alias("z"))
 
 
-@query("F2", "v_comp", "select vec_id, " + _sql_edges(lambda i: f"(state[{i}]::double - q01[{i}]) / (q99[{i}] - q01[{i}] + 1e-6) * 2 - 1", "z") + " from v_vec, w", extra=_W)
+@query("F2", "v_comp", "select vec_id, " + _sql_vector("(state[i]::double - q01[i]) / (q99[i] - q01[i] + 1e-6) * 2 - 1") + " as z from v_vec, w", extra=_W)
 def normalize_quantile(t: Tables) -> DataFrame:
     rows = X.with_stats(t.vectors, _state_stats(t))
-    return rows.select("vec_id", *_edges(X.normalize_quantile("state", "s_q01", "s_q99"), "z"))
+    return rows.select("vec_id", _vector(X.normalize_quantile("state", "s_q01", "s_q99")).alias("z"))
 
 
-@query("F3", "v_vec", "select vec_id, " + _sql_edges(lambda i: f"state[{i}]::double", "back") + ", " + _sql_edges(lambda i: f"state[{i}]::double", "qback") + " from v_vec")
+@query("F3", "v_comp", "select vec_id, " + _sql_vector("(state[i]::double - mean[i]) / (std[i] + 1e-6) * (std[i] + 1e-6) + mean[i]") + " as back, "
+       + _sql_vector("(((state[i]::double - q01[i]) / (q99[i] - q01[i] + 1e-6) * 2 - 1) + 1) / 2 * (q99[i] - q01[i] + 1e-6) + q01[i]") + " as qback from v_vec, w", extra=_W)
 def unnormalize(t: Tables) -> DataFrame:
     rows = X.require_columns(X.with_stats(t.vectors, _state_stats(t)), ["state"])
     z, zq = X.normalize("state", "s_mean", "s_std"), X.normalize_quantile("state", "s_q01", "s_q99")
     return rows.select(
-        "vec_id", *_edges(X.unnormalize(z, "s_mean", "s_std"), "back"), *_edges(X.unnormalize_quantile(zq, "s_q01", "s_q99"), "qback")
+        "vec_id", _vector(X.unnormalize(z, "s_mean", "s_std")).alias("back"),
+        _vector(X.unnormalize_quantile(zq, "s_q01", "s_q99")).alias("qback"),
     )
 
 
 _MASK = (6, -1, 6, -1)
+_MASKED = "i <= 6 or i between 8 and 13"
 
 
-@query("F4", "v_vec", """select vec_id, round(actions[1]::double - state[1]::double, 4) + 0.0 as d_first, round(actions[7]::double, 4) + 0.0 as d_gripper,
-round(actions[8]::double - state[8]::double, 4) + 0.0 as d_eighth, round(actions[64]::double, 4) + 0.0 as d_last from v_vec""")
+@query("F4", "v_vec", "select vec_id, " + _sql_vector(f"actions[i]::double - case when {_MASKED} then state[i]::double else 0 end") + " as d from v_vec")
 def delta_actions(t: Tables) -> DataFrame:
     d = X.delta_actions("actions", "state", X.run_length_mask(*_MASK))
-    names = {0: "d_first", 6: "d_gripper", 7: "d_eighth", 63: "d_last"}
-    return t.vectors.select("vec_id", *[rounded(F.get(d, F.lit(i)), 4).alias(n) for i, n in names.items()])
+    return t.vectors.select("vec_id", _vector(d).alias("d"))
 
 
-@query("F5", "v_vec", "select vec_id, " + _sql_edges(lambda i: f"actions[{i}]::double", "a") + " from v_vec")
+@query("F5", "v_vec", "select vec_id, " + _sql_vector(f"(actions[i]::double - case when {_MASKED} then state[i]::double else 0 end) + case when {_MASKED} then state[i]::double else 0 end") + " as a from v_vec")
 def absolute_actions(t: Tables) -> DataFrame:
     mask = X.run_length_mask(*_MASK)
     moved = t.vectors.withColumn("d", X.delta_actions("actions", "state", mask))
-    return moved.select("vec_id", *_edges(X.absolute_actions("d", "state", mask), "a"))
+    return moved.select("vec_id", _vector(X.absolute_actions("d", "state", mask)).alias("a"))
 
 
-@query("F6", "v_vec", "select vec_id, cast(16 as integer) as kept, round(actions[1]::double, 4) + 0.0 as a_first, round(actions[5]::double, 4) + 0.0 as a_second, round(actions[61]::double, 4) + 0.0 as a_last from v_vec")
+@query("F6", "v_vec", "select vec_id, cast(len([x for x in range(64) if x % 4 = 0]) as integer) as kept, " + _sql_vector("actions[(i - 1) * 4 + 1]", 16) + " as a from v_vec")
 def subsample_actions(t: Tables) -> DataFrame:
     kept = X.subsample("actions", 4)
-    return t.vectors.select("vec_id", F.size(kept).alias("kept"), *_edges(kept, "a"))
+    return t.vectors.select("vec_id", F.size(kept).alias("kept"), _vector(kept).alias("a"))
 
 
-@query("F7", "v_vec", "select vec_id, cast(80 as integer) as width, round(state[1]::double, 4) + 0.0 as s_first, round(state[2]::double, 4) + 0.0 as s_second, 0.0::double as s_last from v_vec")
+@query("F7", "v_vec", "select vec_id, cast(greatest(len(state), 80) as integer) as width, " + _sql_vector("coalesce(state[i], 0)", 80) + " as s from v_vec")
 def pad_to_dim(t: Tables) -> DataFrame:
     wide = X.pad_to_dim("state", 80)
-    return t.vectors.select("vec_id", F.size(wide).alias("width"), *_edges(wide, "s"))
+    return t.vectors.select("vec_id", F.size(wide).alias("width"), _vector(wide).alias("s"))
 
 
 # ---- structure -----------------------------------------------------------------------------------
@@ -426,12 +430,11 @@ def safe_names(t: Tables) -> DataFrame:
     return flat.select("episode_index", F.get("stats__index__min", F.lit(0)).alias("stats__index__min"), F.lit(back).alias("restored"))
 
 
-@query("B5", "v_vec", "select vec_id, cast(state[1] as double) as cam_high, cast(actions[1] as double) as cam_low, label from v_vec")
+@query("B5", "v_vec", "select vec_id, " + _sql_vector("state[i]") + " as cam_high, " + _sql_vector("actions[i]") + " as cam_low, label from v_vec")
 def repack(t: Tables) -> DataFrame:
     tree = X.repack(t.vectors, {"images": {"high": "state", "low": "actions"}, "meta": {"label": "label"}}, keep=["vec_id"])
     return tree.select(
-        "vec_id", F.get("images.high", F.lit(0)).cast("double").alias("cam_high"),
-        F.get("images.low", F.lit(0)).cast("double").alias("cam_low"), "meta.label",
+        "vec_id", _vector(F.col("images.high")).alias("cam_high"), _vector(F.col("images.low")).alias("cam_low"), "meta.label",
     )
 
 

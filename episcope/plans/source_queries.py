@@ -12,6 +12,7 @@ from episcope.operators import lineage as L
 from episcope.operators import packing as Q
 from episcope.operators.expectations import run_suite
 from episcope.plans.episode_queries import FINDINGS_SQL, findings
+from episcope.functions.columns import rounded
 from episcope.plans.registry import query
 from episcope.plans.views import UNITS_PER_SECOND, Tables
 from episcope.session import scratch_folder
@@ -89,15 +90,22 @@ def long_cameras(t: Tables) -> DataFrame:
     return long.where(F.col("chunk_index").isNotNull()).select("doc_id", "camera", "from_timestamp", "to_timestamp")
 
 
-@query("B9", "v_episodes", """select feature, metric, count(*) as cells, round(sum(v), 4) + 0.0 as total from (
-select 'index' as feature, 'min' as metric, cast(sum_index_min as double) as v from v_episodes
-union all select 'task_index', 'max', cast(sum_task as double) from v_episodes union all select 'frame_index', 'mean', (length - 1) / 2.0 from v_episodes) group by all""")
+_STD = "case when length > 1 then sqrt((length * length - 1) / 12.0) else 0 end"
+_CELLS = {
+    "episode_index": ("sum_episode", "sum_episode", "sum_episode", "0"),
+    "index": ("sum_index_min", "sum_index_min + length - 1", "sum_index_min + (length - 1) / 2.0", _STD),
+    "task_index": ("sum_task", "sum_task", "sum_task", "0"),
+    "frame_index": ("0", "length - 1", "(length - 1) / 2.0", _STD),
+    "timestamp": ("0", "(length - 1) / 15.0", "(length - 1) / 30.0", f"({_STD}) / 15.0"),
+}
+
+
+@query("B9", "v_episodes", " union all ".join(
+    f"select episode_index, '{feature}' as feature, '{metric}' as metric, round(cast({x} as double), 6) + 0.0 as value from v_episodes"
+    for feature, cells in _CELLS.items() for metric, x in zip(("min", "max", "mean", "std", "count"), (*cells, "length"))))
 def long_features(t: Tables) -> DataFrame:
     long = S.long_features(t.episode_meta, ["episode_index"])
-    wanted = F.concat_ws("/", "feature", "metric").isin("index/min", "task_index/max", "frame_index/mean")
-    return long.where(wanted).groupBy("feature", "metric").agg(
-        F.count(F.lit(1)).alias("cells"), (F.round(F.sum(F.get("value", F.lit(0))), 4) + F.lit(0.0)).alias("total")
-    )
+    return long.select("episode_index", "feature", "metric", rounded(F.get("value", F.lit(0))).alias("value"))
 
 
 # ---- writing -------------------------------------------------------------------------------------
