@@ -10,7 +10,8 @@ A template's documents are told apart by what surrounds the line (the leaves of
 copies of one document count once and do not empty each other, while a boilerplate line counts in
 every text it was put into.
 
-What is shuffled first is a few hashes per line; tokens move only for lines of leaves that recur.
+Lines are parsed once and written with their hashes. What is shuffled first is a few hashes per line;
+tokens are made again, and moved, only for lines of leaves that recur.
 Leaves, templates and dropped lines are joined as tables, so no list of them meets in one place.
 
 Defined results: a null text stays null, an empty one empty; short lines (few tokens or characters)
@@ -31,8 +32,8 @@ VARIABLE = "<*>"
 
 def _tokens(line: Column) -> Column:
     """Tokens of a line; those with a digit become the variable field."""
-    words = F.split(F.trim(line), r"[ \t\r\x0b\f]+")
-    return F.transform(words, lambda w: F.when(F.rlike(w, F.lit("[0-9]")), VARIABLE).otherwise(w))
+    masked = F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)
+    return F.split(F.trim(F.when(F.rlike(line, F.lit("[0-9]")), masked).otherwise(line)), r"[ \t\r\x0b\f]+")
 
 
 def _key(text_col: str) -> Column:
@@ -41,18 +42,30 @@ def _key(text_col: str) -> Column:
 
 
 def _lines(docs: DataFrame, text_col: str, min_tokens: int, min_chars: int) -> DataFrame:
-    """One row per line that may be dropped: key of its text, place, tokens, leaf, body, around."""
-    lines = F.transform(F.split(text_col, "\n"), lambda x: F.struct(F.length(F.trim(x)).alias("chars"), _tokens(x).alias("tokens")))
-    df = docs.filter(F.col(text_col).isNotNull()).select(_key(text_col).alias("key"), lines.alias("lines"))
-    leaf = lambda x: F.xxhash64(F.size(x["tokens"]), F.slice(x["tokens"], 1, LEAD))
-    df = df.withColumn("leaves", F.transform("lines", leaf))
-    df = df.select("key", "leaves", F.posexplode("lines").alias("place", "line"))
+    """One row per line that may be dropped: key of its text, place, leaf, body, around, and the line.
+
+    Lines are parsed here only; the rows are written, and later steps read the columns they need.
+    """
+    df = docs.filter(F.col(text_col).isNotNull()).select(_key(text_col).alias("key"), F.split(text_col, "\n").alias("lines"))
+
+    cut = lambda line: F.struct(F.length(F.trim(line)).alias("chars"), _tokens(line).alias("tokens"))
+
+    def parsed(it: Column) -> Column:
+        tokens = it["tokens"]
+        return F.struct(
+            F.size(tokens).alias("n"), F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEAD)).alias("leaf"),
+            F.xxhash64(tokens).alias("body"), it["chars"].alias("chars"),
+        )
+
+    df = df.select("key", "lines", F.transform("lines", cut).alias("cut"))  # tokens are made once a line
+    df = df.select("key", "lines", F.transform("cut", parsed).alias("parsed"))
+    df = df.select("key", "lines", F.col("parsed.leaf").alias("leaves"), F.posexplode("parsed").alias("place", "it"))
     near = lambda step: F.coalesce(F.get("leaves", F.col("place") + step), F.lit(0).cast("long"))
-    return df.filter((F.col("line.chars") >= min_chars) & (F.size("line.tokens") >= min_tokens)).select(
-        "key", "place", F.get("leaves", F.col("place")).alias("leaf"),
-        F.xxhash64("line.tokens").alias("body"), F.xxhash64(near(-1), near(1)).alias("around"),
-        F.col("line.tokens").alias("tokens"),
+    rows = df.filter((F.col("it.chars") >= min_chars) & (F.col("it.n") >= min_tokens)).select(
+        "key", "place", "it.leaf", "it.body", F.xxhash64(near(-1), near(1)).alias("around"),
+        F.get("lines", F.col("place")).alias("line"),
     )
+    return saved(rows, "lines")
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -62,15 +75,12 @@ def _alike(a: Column, b: Column) -> Column:
     return F.when(F.size(a) <= LEAD, 1.0).otherwise(equal / (F.size(a) - LEAD))
 
 
-def recurring_lines(
-    docs: DataFrame, text_col: str = "text", min_documents: int = 20, similarity: float = 0.7, rounds: int = 2,
-    min_tokens: int = 3, min_chars: int = 16,
-) -> DataFrame:
+def recurring_lines(lines: DataFrame, min_documents: int = 20, similarity: float = 0.7, rounds: int = 2) -> DataFrame:
     """leaf, body, tokens, template (leader's body), documents: lines whose template recurs."""
-    lines = _lines(docs, text_col, min_tokens, min_chars)
     places = lines.select("leaf", "around").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     leaves = saved(places.filter(F.col("n") >= min_documents).select("leaf"), "lines-leaves")
-    inside = lines.join(leaves, "leaf").groupBy("leaf", "body", "around").agg(F.any_value("tokens").alias("tokens"))
+    inside = lines.select("leaf", "body", "around", "line").join(leaves, "leaf")
+    inside = inside.groupBy("leaf", "body", "around").agg(_tokens(F.min("line")).alias("tokens"))
     inside = saved(inside, "lines-inside")
     bodies = inside.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n"), F.min("tokens").alias("tokens"))
     left = bodies
@@ -103,12 +113,12 @@ def drop_recurring_lines(
 
     Columns of these two names are replaced.
     """
-    found = recurring_lines(docs, text_col, min_documents, similarity, rounds, min_tokens, min_chars)
+    lines = _lines(docs, text_col, min_tokens, min_chars)
+    found = recurring_lines(lines, min_documents, similarity, rounds)
     drops = saved(found.select("leaf", "body"), "lines-drops")
-    lines = _lines(docs, text_col, min_tokens, min_chars).select("key", "place", "leaf", "body")
     # equal texts share a key: their places are the same, so one row per key is enough
     key, gone, left = fresh(docs.columns, "_key", "_gone", "_left")
-    places = lines.join(drops, ["leaf", "body"]).groupBy(F.col("key").alias(key)).agg(
+    places = lines.select("key", "place", "leaf", "body").join(drops, ["leaf", "body"]).groupBy(F.col("key").alias(key)).agg(
         F.sort_array(F.collect_set("place")).alias(gone)
     )
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", text_col)]
