@@ -306,9 +306,10 @@ def _worst(c: str = "") -> Column:
 
 
 def condition_matrix(cells: DataFrame, sizes: Sequence[int], tolerance: float = MOMENT_TOLERANCE) -> DataFrame:
-    """Orders by batch sizes: the worst error and PASS or FAIL, one row per order."""
-    out = cells.groupBy("order_name").pivot("batch_size", [int(s) for s in sizes]).agg(_worst().alias("worst"))
+    """Arms and orders by batch sizes: the worst error and PASS or FAIL, one row per arm and order."""
+    out = cells.groupBy("arm", "order_name").pivot("batch_size", [int(s) for s in sizes]).agg(_worst().alias("worst"))
     return out.select(
+        "arm",
         "order_name",
         *[F.col(str(s)).alias(f"worst_{s}") for s in sizes],
         *[F.when(F.col(str(s)) <= tolerance, "PASS").otherwise("FAIL").alias(f"verdict_{s}") for s in sizes],

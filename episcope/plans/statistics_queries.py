@@ -22,7 +22,7 @@ def _long(t: Tables) -> DataFrame:
 
 
 def _replayed(t: Tables) -> DataFrame:
-    return M.order_replay(t.vectors, M.episode_orders(t.vectors))
+    return M.order_replay(t.vectors, M.episode_orders(t.vectors, range(1, 11)))
 
 
 def _reference(t: Tables) -> DataFrame:
@@ -48,7 +48,7 @@ def _round(df: DataFrame, names: str, digits: int = 6) -> DataFrame:
 _ORD = """nn as (select max(episode_index) + 1 as n from v_vec),
 fa as (select n, case when n % 3 <> 0 then 3 when n % 7 <> 0 then 7 when n % 11 <> 0 then 11 when n % 13 <> 0 then 13 else 1 end as a from nn),
 ords as (select 'natural' as order_name, episode_index, episode_index as position from (select distinct episode_index from v_vec)
- union all select 'shift' || b, episode_index, (a * episode_index + b) % n from (select distinct episode_index from v_vec), fa, (select unnest([1, 2, 3]) as b)),
+ union all select 'shift' || b, episode_index, (a * episode_index + b) % n from (select distinct episode_index from v_vec), fa, (select unnest(range(1, 11)) as b)),
 rep as (select o.order_name, v.*, row_number() over (partition by o.order_name order by o.position, v.frame_index) - 1 as ordinal
   from v_vec v join ords o on o.episode_index = v.episode_index)"""
 _COND = _ORD + """,
@@ -103,9 +103,9 @@ def moments_merge(t: Tables) -> DataFrame:
 
 
 @query("D11", "v_vec v_comp", """select order_name, batch_size, feature_group, component_index, count, round(mean, 6) + 0.0 as mean, round(std, 6) + 0.0 as std
-from cs where arm = 'first_row' and batch_size = 32""", extra=_COND)
+from cs where arm = 'first_row'""", extra=_COND)
 def first_of_batch_moments(t: Tables) -> DataFrame:
-    long = M.long_components(M.first_of_batch(_replayed(t), [32]), FEATURES, ["order_name", "batch_size"])
+    long = M.long_components(M.first_of_batch(_replayed(t), SIZES), FEATURES, ["order_name", "batch_size"])
     return _round(M.moments_by_squares(long, ["order_name", "batch_size", *M.COMPONENT]), "mean std")
 
 
@@ -165,11 +165,11 @@ def normalization_effect(t: Tables) -> DataFrame:
     return _round(out, "max_component_delta median_l2 p95_l2", 4)
 
 
-@query("D17", "v_vec v_comp", "select order_name, " + ", ".join(f"round(max(greatest(m, s)) filter (where batch_size = {b}), 6) + 0.0 as worst_{b}" for b in SIZES)
+@query("D17", "v_vec v_comp", "select arm, order_name, " + ", ".join(f"round(max(greatest(m, s)) filter (where batch_size = {b}), 6) + 0.0 as worst_{b}" for b in SIZES)
        + ", " + ", ".join(f"case when max(greatest(m, s)) filter (where batch_size = {b}) <= 1e-5 then 'PASS' else 'FAIL' end as verdict_{b}" for b in SIZES)
-       + " from ce where arm = 'first_row' group by order_name", extra=_COND)
+       + " from ce group by arm, order_name", extra=_COND)
 def condition_matrix(t: Tables) -> DataFrame:
-    out = M.condition_matrix(_cells(t).where("arm = 'first_row'"), SIZES)
+    out = M.condition_matrix(_cells(t), SIZES)
     return _round(out, " ".join(f"worst_{b}" for b in SIZES))
 
 
@@ -202,15 +202,14 @@ def arm_rollup(t: Tables) -> DataFrame:
     return _round(both, "max_mean_error max_std_error")
 
 
-@query("D21", "v_vec v_comp", """select 'order' as varied, cast(batch_size as varchar) as held, feature_group, round(max(m), 6) + 0.0 as mean_span, round(max(s), 6) + 0.0 as std_span from (
-select batch_size, feature_group, component_index, max(mean) - min(mean) as m, max(std) - min(std) as s from cs where arm = 'first_row' group by all) group by batch_size, feature_group
-union all select 'batch', order_name, feature_group, round(max(m), 6) + 0.0, round(max(s), 6) + 0.0 from (
-select order_name, feature_group, component_index, max(mean) - min(mean) as m, max(std) - min(std) as s from cs where arm = 'first_row' group by all) group by order_name, feature_group""", extra=_COND)
+@query("D21", "v_vec v_comp", """select arm, 'order' as varied, cast(batch_size as varchar) as held, feature_group, round(max(m), 6) + 0.0 as mean_span, round(max(s), 6) + 0.0 as std_span from (
+select arm, batch_size, feature_group, component_index, max(mean) - min(mean) as m, max(std) - min(std) as s from cs group by all) group by arm, batch_size, feature_group
+union all select arm, 'batch', order_name, feature_group, round(max(m), 6) + 0.0, round(max(s), 6) + 0.0 from (
+select arm, order_name, feature_group, component_index, max(mean) - min(mean) as m, max(std) - min(std) as s from cs group by all) group by arm, order_name, feature_group""", extra=_COND)
 def sensitivity_span(t: Tables) -> DataFrame:
-    stats = _conditions(t).where("arm = 'first_row'")
     parts = [
-        M.sensitivity_span(stats, fixed).select(
-            F.lit(varied).alias("varied"), F.col(fixed).cast("string").alias("held"), "feature_group", "mean_span", "std_span")
+        M.sensitivity_span(_conditions(t), fixed).select(
+            "arm", F.lit(varied).alias("varied"), F.col(fixed).cast("string").alias("held"), "feature_group", "mean_span", "std_span")
         for varied, fixed in (("order", "batch_size"), ("batch", "order_name"))
     ]
     return _round(parts[0].unionByName(parts[1]), "mean_span std_span")

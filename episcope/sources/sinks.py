@@ -22,10 +22,15 @@ def write_artifact(df: DataFrame, path: str, name: str, order: Sequence[str], di
     )
 
 
+def _in_order(report: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows dealt by range, so that the part files follow one another in order."""
+    return report.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+
+
 def write_report_csv(report: DataFrame, path: str, order: Sequence[str]) -> None:
-    """A small ordered report as one CSV file; aggregate first, this is not for raw rows."""
-    report.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """An ordered report as CSV part files; a small one is a single file."""
+    _in_order(report, order).write.mode("overwrite").csv(path, header=True)
 
 
 def write_report_json(report: DataFrame, path: str, order: Sequence[str]) -> None:
-    report.orderBy(*order).coalesce(1).write.mode("overwrite").json(path)
+    _in_order(report, order).write.mode("overwrite").json(path)
