@@ -50,6 +50,36 @@ def read_meta_json(t: Tables) -> DataFrame:
     return S.json_entries(t.table("events").select("event_id", "props"), "props")
 
 
+@query("A3 files", "v_episodes", "select episode_index, episode_id, length, task from v_episodes")
+def read_json_files(t: Tables) -> DataFrame:
+    """Episode lists as files of one JSON object per line, read back with their schema."""
+    path = _scratch(t, "episode-lines")
+    t.episodes.select("episode_index", "episode_id", "length", "task").write.json(path)
+    return S.read_json_lines(t.spark, path, "episode_index long, episode_id string, length long, task string")
+
+
+@query("A8 files", "", """select block, case when block % 5 = 2 then 'missing' when block % 5 = 3 then 'size changed' end as problem from (
+select c_custkey // 50 as block, string_agg(c_name || chr(10), '' order by c_custkey) as fresh,
+  string_agg(c_name || chr(10), '' order by c_custkey) || case when c_custkey // 50 % 5 = 3 then 'x' else '' end as claimed from customer group by c_custkey // 50)
+where block % 5 = 2 or octet_length(encode(fresh)) <> octet_length(encode(claimed))""")
+def verify_file_digests(t: Tables) -> DataFrame:
+    """One file per fifty customers; the manifest is made from the table, with wrong entries for some."""
+    path = _scratch(t, "objects")
+    block = F.floor(F.col("c_custkey") / 50)
+    customers = t.table("customer").select(block.alias("block"), "c_custkey", "c_name")
+    ordered = customers.repartition("block").sortWithinPartitions("block", "c_custkey")
+    ordered.select("block", "c_name").write.partitionBy("block").text(path)
+    found = F.regexp_extract("path", r"block=(\d+)", 1).cast("long")
+    seen = S.read_objects(t.spark, path).select(found.alias("block"), "content").where(F.col("block") % 5 != 2)
+    names = F.array_sort(F.collect_list(F.struct("c_custkey", "c_name")))
+    whole = F.concat(F.array_join(F.transform(names, lambda x: x["c_name"]), "\n"), F.lit("\n"))
+    claimed = F.when(F.col("block") % 5 == 3, F.concat("text", F.lit("x"))).otherwise(F.col("text")).cast("binary")
+    manifest = customers.groupBy("block").agg(whole.alias("text")).select(
+        "block", F.length(claimed).cast("long").alias("size"), F.sha2(claimed, 256).alias("sha256")
+    )
+    return H.verify_digests(seen, manifest, "block")
+
+
 @query("A6", "v_episodes", """select split, 0::bigint as chunk_index, episode_index // 10 as file_index, count(*) as episodes, cast(sum(length) as bigint) as frames
 from v_episodes group by split, episode_index // 10""")
 def data_file_inventory(t: Tables) -> DataFrame:
