@@ -172,8 +172,15 @@ def test_missing_shard_column(spark, tmp_path):
 
 
 def test_coverage_gate_order(spark):
-    def status(rows, bad, errors):
-        df = spark.createDataFrame([(rows, 1, bad, errors)], "rows long, episodes long, violating_rows long, integrity_errors long")
-        return R.coverage_gate(df, 10, 1).first()["status"]
-
-    assert [status(10, 0, 0), status(10, 3, 0), status(9, 3, 0), status(10, 0, 1)] == ["PASS", "CHECK_FAILED", "INCOMPLETE", "INCOMPLETE"]
+    declared = spark.createDataFrame([(10,)], "length long")
+
+    def status(rows, bad, nulls=0, lengths=0, unknown=0):
+        totals = spark.createDataFrame(
+            [(rows, 1, bad, nulls, lengths)],
+            "rows long, episodes long, violating_rows long, null_rows long, length_errors long",
+        )
+        found = spark.range(unknown)
+        return R.coverage_gate(totals, found, declared).first()["status"]
+
+    assert [status(10, 0), status(10, 3), status(9, 3)] == ["PASS", "CHECK_FAILED", "INCOMPLETE"]
+    assert [status(10, 0, nulls=1), status(10, 0, lengths=1), status(10, 0, unknown=1)] == ["INCOMPLETE"] * 3
