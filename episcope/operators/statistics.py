@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from episcope.functions.columns import count_true, finite
 from episcope.operators.ordered import exact_quantiles, ordered_scan
+from episcope.session import written
 
 # Fixed values of the study design.
 MOMENT_TOLERANCE = 1e-5
@@ -116,6 +118,8 @@ def histogram_quantile(long: DataFrame, wanted: Mapping[str, float], keys: Seque
     spans = long.groupBy(*keys).agg(
         (F.min("x") - EDGE_MARGIN).alias("_lo"), (F.max("x") + EDGE_MARGIN).alias("_hi"), F.count("x").alias("_total")
     )
+    # Written, so that the planner knows its size: one row per component and group, broadcast while that is small.
+    spans = written(spans, f"spans-{uuid.uuid4().hex}")
     place = F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
     binned = long.join(spans, list(keys)).groupBy(*keys, "_lo", "_hi", "_total", F.least(place, F.lit(bins - 1)).alias("_bin")).agg(
         F.count(F.lit(1)).alias("_n")

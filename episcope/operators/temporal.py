@@ -108,7 +108,10 @@ def local_interval(frames: DataFrame, key: str = "video") -> DataFrame:
 
 def in_accepted_set(answers: DataFrame, frames: DataFrame, expected_t: str, key: str = "video") -> DataFrame:
     """Add ``digest_ok``: some frame at the expected time has the returned digest."""
-    accepted = frames.select(key, F.col("t").alias(expected_t), F.col("digest").alias("returned_digest")).distinct()
+    # Only frames at an expected time move with their digest.
+    expected = answers.select(key, F.col(expected_t).alias("t")).distinct()
+    there = frames.join(expected, [key, "t"], "left_semi")
+    accepted = there.select(key, F.col("t").alias(expected_t), F.col("digest").alias("returned_digest")).distinct()
     hit = accepted.withColumn("_hit", F.lit(True))
     joined = answers.join(hit, [key, expected_t, "returned_digest"], "left")
     return joined.withColumn("digest_ok", F.coalesce("_hit", F.lit(False))).drop("_hit")
