@@ -219,8 +219,8 @@ def fit_lexicon(
             x = [lexicon.density(folded_words(t), automaton) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.float64()), "label": batch.column("label").cast(pa.int32())})
 
-    measured = rows.mapInArrow(measure, "x double, label int").toPandas()  # at most max_labels rows
-    lexicon.slope, lexicon.intercept = _curve(measured["x"].to_numpy(), measured["label"].to_numpy(dtype=float))
+    measured = rows.mapInArrow(measure, "x double, label int").toArrow()  # at most max_labels rows
+    lexicon.slope, lexicon.intercept = _curve(measured["x"].to_numpy(), measured["label"].to_numpy().astype(float))
     return lexicon
 
 
