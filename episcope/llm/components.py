@@ -33,15 +33,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], names=["x", "y"])
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", native: bool = False) -> DataFrame:
     """node, label (the smallest node of its component) for every node of ``links``.
 
     Each round takes the smallest label among a node's neighbours, then follows labels twice, so long
-    chains shorten by a factor each round. Rounds are written to the shared folder.
+    chains shorten by a factor each round. Rounds are written to the shared folder. ``native`` leaves out
+    the step in Python that thins the links.
     """
-    ship_package(links.sparkSession)
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = both.mapInArrow(_forest, both.schema)  # fewer links than nodes, per batch
+    if not native:
+        ship_package(links.sparkSession)
+        both = both.mapInArrow(_forest, both.schema)  # fewer links than nodes, per batch
     both = saved(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
     labels = both.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("label"))
     labels = saved(labels, "labels")

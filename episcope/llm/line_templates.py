@@ -6,9 +6,10 @@ leading ones, with the leaf's leader (the line seen in most places); those alike
 template, and where they differ is a variable field. Lines left over get a second leader, and what is
 left after the last round stands for itself. Templates that recur across documents are dropped.
 
-A template's documents are told apart by what surrounds the line (the leaves of its neighbours), so
-copies of one document count once and do not empty each other, while a boilerplate line counts in
-every text it was put into.
+A template counts the classes of documents it stands in. Equal texts are one class, and so are texts
+linked by near copies: sketches of their word pairs that agree in at least SAME (Jaccard). So copies of
+one document count once and do not empty each other, while a boilerplate line counts in every text it
+was put into, whatever surrounds it.
 
 Lines are parsed once and written with their hashes. What is shuffled first is a few hashes per line;
 tokens are made again, and moved, only for lines of leaves that recur.
@@ -25,9 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episcope.llm.common import fresh, saved
+from episcope.llm.components import components
 
 LEAD = 3
 VARIABLE = "<*>"
+#: Texts are near copies from this similarity of SKETCH smallest hashes; the first BANDS + 1 of them make the bands.
+SAME, SKETCH, BANDS = 0.8, 64, 16
 
 
 def _tokens(line: Column) -> Column:
@@ -42,7 +46,7 @@ def _key(text_col: str) -> Column:
 
 
 def _lines(docs: DataFrame, text_col: str, min_tokens: int, min_chars: int) -> DataFrame:
-    """One row per line that may be dropped: key of its text, place, leaf, body, around, and the line.
+    """One row per line that may be dropped: key of its text, place, leaf, body, and the line.
 
     Lines are parsed here only; the rows are written, and later steps read the columns they need.
     """
@@ -59,15 +63,48 @@ def _lines(docs: DataFrame, text_col: str, min_tokens: int, min_chars: int) -> D
 
     df = df.select("key", "lines", F.transform("lines", cut).alias("cut"))  # tokens are made once a line
     df = df.select("key", "lines", F.transform("cut", parsed).alias("parsed"))
-    df = df.select("key", "lines", F.col("parsed.leaf").alias("leaves"), F.posexplode("parsed").alias("place", "it"))
-    near = lambda step: F.coalesce(F.get("leaves", F.col("place") + step), F.lit(0).cast("long"))
+    df = df.select("key", "lines", F.posexplode("parsed").alias("place", "it"))
     rows = df.filter((F.col("it.chars") >= min_chars) & (F.col("it.n") >= min_tokens)).select(
-        "key", "place", "it.leaf", "it.body", F.xxhash64(near(-1), near(1)).alias("around"),
-        F.get("lines", F.col("place")).alias("line"),
-    )
+        "key", "place", "it.leaf", "it.body", F.get("lines", F.col("place")).alias("line")
+    )
     return saved(rows, "lines")
 
 
+def _sketches(docs: DataFrame, text_col: str) -> DataFrame:
+    """id (hash of the text) and sketch: the smallest hashes of pairs of words, for every text."""
+    words = F.split(F.trim(text_col), r"\s+")
+    df = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("id"), words.alias("words"))
+    pairs = F.transform("words", lambda word, i: F.xxhash64(word, F.get("words", i + 1)))
+    return df.select("id", F.slice(F.sort_array(F.array_distinct(pairs)), 1, SKETCH).alias("sketch"))
+
+
+def near_copies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """id, label: the class of every text that is a near copy of another.
+
+    Texts that share two neighbours among their smallest hashes meet in a band and are compared with the
+    band's smallest text; links give components.
+    """
+    sketches = saved(_sketches(docs, text_col), "lines-sketches")
+    two = lambda h, i: F.xxhash64(h, F.get("sketch", i + 1))
+    bands = sketches.select("id", F.explode(F.transform(F.slice("sketch", 1, BANDS), two)).alias("band"))
+    firsts = bands.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    met = bands.join(firsts.select("band", "first"), "band").filter("first < id").select("id", "first").distinct()
+    sides = met.join(sketches.distinct(), "id").join(
+        sketches.distinct().select(F.col("id").alias("first"), F.col("sketch").alias("other")), "first"
+    )
+    union = F.slice(F.sort_array(F.array_union("sketch", "other")), 1, SKETCH)
+    sides = sides.select("id", "first", "sketch", "other", union.alias("union"))
+    both = F.size(F.array_intersect(F.array_intersect("union", "sketch"), "other"))
+    links = saved(sides.filter(both >= SAME * F.size("union")).select("id", "first"), "lines-links")
+    return components(links, "id", "first", native=True).select(F.col("node").alias("id"), "label")
+
+
+def with_classes(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """``lines`` with ``class``: that of the text, or the text itself."""
+    met = lines.join(classes.select(F.col("id").alias("_id"), "label"), F.col("key.col1") == F.col("_id"), "left")
+    return met.select(*lines.columns, F.coalesce("label", F.col("key.col1")).alias("class"))
+
+
 def _alike(a: Column, b: Column) -> Column:
     """Share of equal tokens behind the leading ones (1 if there are none)."""
     rest_a, rest_b = (F.slice(x, LEAD + 1, F.greatest(F.size(x) - LEAD, F.lit(0))) for x in (a, b))
@@ -75,12 +112,14 @@ def _alike(a: Column, b: Column) -> Column:
     return F.when(F.size(a) <= LEAD, 1.0).otherwise(equal / (F.size(a) - LEAD))
 
 
-def recurring_lines(lines: DataFrame, min_documents: int = 20, similarity: float = 0.7, rounds: int = 2) -> DataFrame:
-    """leaf, body, tokens, template (leader's body), documents: lines whose template recurs."""
-    places = lines.select("leaf", "around").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    leaves = saved(places.filter(F.col("n") >= min_documents).select("leaf"), "lines-leaves")
-    inside = lines.select("leaf", "body", "around", "line").join(leaves, "leaf")
-    inside = inside.groupBy("leaf", "body", "around").agg(_tokens(F.min("line")).alias("tokens"))
+def recurring_lines(
+    lines: DataFrame, classes: DataFrame, min_documents: int = 20, similarity: float = 0.7, rounds: int = 2
+) -> DataFrame:
+    """leaf, body, tokens, template (leader's body), documents (classes): lines whose template recurs."""
+    texts = lines.select("leaf", "key").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    leaves = saved(texts.filter(F.col("n") >= min_documents).select("leaf"), "lines-leaves")
+    inside = with_classes(lines.select("leaf", "body", "key", "line").join(leaves, "leaf"), classes)
+    inside = inside.groupBy("leaf", "body", "class").agg(_tokens(F.min("line")).alias("tokens"))
     inside = saved(inside, "lines-inside")
     bodies = inside.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n"), F.min("tokens").alias("tokens"))
     left = bodies
@@ -97,9 +136,9 @@ def recurring_lines(lines: DataFrame, min_documents: int = 20, similarity: float
         left = met.filter(~F.col("alike")).select("leaf", "body", "n", "tokens")
     alone = left.select("leaf", "body", "tokens", F.col("body").alias("template"))
     templates = saved(settled.unionByName(alone), "lines-templates")
-    spread = inside.select("leaf", "body", "around").join(templates.select("leaf", "body", "template"), ["leaf", "body"])
+    spread = inside.select("leaf", "body", "class").join(templates.select("leaf", "body", "template"), ["leaf", "body"])
     counts = (
-        spread.select("leaf", "template", "around").distinct().groupBy("leaf", "template")
+        spread.select("leaf", "template", "class").distinct().groupBy("leaf", "template")
         .agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= min_documents)
     )
     return templates.join(counts, ["leaf", "template"]).select("leaf", "body", "tokens", "template", "documents")
@@ -114,7 +153,7 @@ def drop_recurring_lines(
     Columns of these two names are replaced.
     """
     lines = _lines(docs, text_col, min_tokens, min_chars)
-    found = recurring_lines(lines, min_documents, similarity, rounds)
+    found = recurring_lines(lines, near_copies(docs, text_col), min_documents, similarity, rounds)
     drops = saved(found.select("leaf", "body"), "lines-drops")
     # equal texts share a key: their places are the same, so one row per key is enough
     key, gone, left = fresh(docs.columns, "_key", "_gone", "_left")

@@ -88,3 +88,50 @@ def test_empty_and_native(spark):
     frame = lt.drop_recurring_lines(empty)
     assert frame.count() == 0
     assert "Python" not in frame._jdf.queryExecution().toString()
+
+
+def prose(i, k):
+    """Forty words that only line k of text i has."""
+    return " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(40))
+
+
+def test_every_line_of_a_shared_block_counts_documents(spark):
+    block = ["Contact our friendly office today", "Every word here is reserved", "Imprint and privacy of partners"]
+    texts = ["\n".join([prose(i, 0), prose(i, 1), *block]) for i in range(25)]
+    # near copies of one text, each with another line before the closing one, are one document
+    texts += ["\n".join([*(prose(90, k) for k in range(12)), f"Edit {prose(100 + i, 0)[:20]}", "Closing line of one text"]) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["text"] for r in lt.drop_recurring_lines(docs, min_documents=20).collect()}
+    for i, text in enumerate(texts):
+        assert rows[i] == ("\n".join(text.split("\n")[:2]) if i < 25 else text), i
+
+
+def plain_classes(texts):
+    """The smallest text of each text's class: texts whose sets of word pairs are alike are linked."""
+    kinds = sorted({t for t in texts if t is not None})
+    words = [t.split() or [""] for t in kinds]
+    sets = [set(zip(w, [*w[1:], None], strict=True)) for w in words]
+    label = list(range(len(kinds)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return {t: label[i] for i, t in enumerate(kinds)}
+
+
+def test_dropped_lines_stand_in_enough_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    left = {r["doc_id"]: r["text"] for r in lt.drop_recurring_lines(docs, min_documents=5).collect()}
+    of, where = plain_classes(rows.values()), {}
+    for text in of:
+        for line in text.split("\n"):
+            if len(line.strip(" ")) >= 16 and len(tokens(line)) >= 3:
+                where.setdefault(line, set()).add(of[text])
+    frequent = {line for line, found in where.items() if len(found) >= 5}
+    assert len(frequent) > 5
+    assert not any(frequent & set(t.split("\n")) for t in left.values() if t is not None)
+    # stands in four documents, but in five surroundings
+    assert any("Beverbe in dieentzäsch ä enßst enge er die." in (t or "").split("\n") for t in left.values())
