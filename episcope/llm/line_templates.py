@@ -22,6 +22,8 @@ they are; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ LEAD = 3
 VARIABLE = "<*>"
 #: Texts are near copies from this similarity of SKETCH smallest hashes; the first BANDS + 1 of them make the bands.
 SAME, SKETCH, BANDS = 0.8, 64, 16
+#: (tokens, documents): from so many tokens so many documents suffice, since longer lines do not repeat by chance.
+LONG_LINES = ((8, 5), (20, 3))
 
 
 def _tokens(line: Column) -> Column:
@@ -46,7 +50,7 @@ def _key(text_col: str) -> Column:
 
 
 def _lines(docs: DataFrame, text_col: str, min_tokens: int, min_chars: int) -> DataFrame:
-    """One row per line that may be dropped: key of its text, place, leaf, body, and the line.
+    """One row per line that may be dropped: key of its text, place, leaf, body, tokens (n), and the line.
 
     Lines are parsed here only; the rows are written, and later steps read the columns they need.
     """
@@ -65,7 +69,7 @@ def _lines(docs: DataFrame, text_col: str, min_tokens: int, min_chars: int) -> D
     df = df.select("key", "lines", F.transform("cut", parsed).alias("parsed"))
     df = df.select("key", "lines", F.posexplode("parsed").alias("place", "it"))
     rows = df.filter((F.col("it.chars") >= min_chars) & (F.col("it.n") >= min_tokens)).select(
-        "key", "place", "it.leaf", "it.body", F.get("lines", F.col("place")).alias("line")
+        "key", "place", "it.leaf", "it.body", "it.n", F.get("lines", F.col("place")).alias("line")
     )
     return saved(rows, "lines")
 
@@ -112,13 +116,23 @@ def _alike(a: Column, b: Column) -> Column:
     return F.when(F.size(a) <= LEAD, 1.0).otherwise(equal / (F.size(a) - LEAD))
 
 
+def _bar(n: Column, min_documents: int, long_lines: Sequence[tuple[int, int]]) -> Column:
+    """Documents that a line of ``n`` tokens must stand in."""
+    bar = F.lit(min_documents)
+    for tokens, documents in sorted(long_lines):
+        bar = F.when(n >= tokens, min(documents, min_documents)).otherwise(bar)
+    return bar
+
+
 def recurring_lines(
-    lines: DataFrame, classes: DataFrame, min_documents: int = 20, similarity: float = 0.7, rounds: int = 2
+    lines: DataFrame, classes: DataFrame, min_documents: int = 20, similarity: float = 0.7, rounds: int = 2,
+    long_lines: Sequence[tuple[int, int]] = LONG_LINES,
 ) -> DataFrame:
     """leaf, body, tokens, template (leader's body), documents (classes): lines whose template recurs."""
-    texts = lines.select("leaf", "key").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    leaves = saved(texts.filter(F.col("n") >= min_documents).select("leaf"), "lines-leaves")
-    inside = with_classes(lines.select("leaf", "body", "key", "line").join(leaves, "leaf"), classes)
+    bar = _bar(F.col("n"), min_documents, long_lines)
+    texts = lines.select("leaf", "n", "key").distinct().groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("texts"))
+    leaves = saved(texts.filter(F.col("texts") >= bar).select("leaf", bar.alias("bar")), "lines-leaves")
+    inside = with_classes(lines.select("leaf", "body", "key", "line").join(leaves.select("leaf"), "leaf"), classes)
     inside = inside.groupBy("leaf", "body", "class").agg(_tokens(F.min("line")).alias("tokens"))
     inside = saved(inside, "lines-inside")
     bodies = inside.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n"), F.min("tokens").alias("tokens"))
@@ -139,21 +153,22 @@ def recurring_lines(
     spread = inside.select("leaf", "body", "class").join(templates.select("leaf", "body", "template"), ["leaf", "body"])
     counts = (
         spread.select("leaf", "template", "class").distinct().groupBy("leaf", "template")
-        .agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= min_documents)
+        .agg(F.count(F.lit(1)).alias("documents"))
     )
+    counts = counts.join(leaves, "leaf").filter(F.col("documents") >= F.col("bar")).drop("bar")
     return templates.join(counts, ["leaf", "template"]).select("leaf", "body", "tokens", "template", "documents")
 
 
 def drop_recurring_lines(
     docs: DataFrame, text_col: str = "text", min_documents: int = 20, similarity: float = 0.7, rounds: int = 2,
-    min_tokens: int = 3, min_chars: int = 16,
+    min_tokens: int = 3, min_chars: int = 16, long_lines: Sequence[tuple[int, int]] = LONG_LINES,
 ) -> DataFrame:
     """``docs`` with the text that is left, and ``n_lines``, ``n_dropped`` per row.
 
     Columns of these two names are replaced.
     """
     lines = _lines(docs, text_col, min_tokens, min_chars)
-    found = recurring_lines(lines, near_copies(docs, text_col), min_documents, similarity, rounds)
+    found = recurring_lines(lines, near_copies(docs, text_col), min_documents, similarity, rounds, long_lines)
     drops = saved(found.select("leaf", "body"), "lines-drops")
     # equal texts share a key: their places are the same, so one row per key is enough
     key, gone, left = fresh(docs.columns, "_key", "_gone", "_left")

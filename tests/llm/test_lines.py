@@ -135,3 +135,18 @@ def test_dropped_lines_stand_in_enough_documents(spark, sf_dir):
     assert not any(frequent & set(t.split("\n")) for t in left.values() if t is not None)
     # stands in four documents, but in five surroundings
     assert any("Beverbe in dieentzäsch ä enßst enge er die." in (t or "").split("\n") for t in left.values())
+
+
+def test_long_lines_with_production_parameters(spark):
+    import corpus_pipeline
+
+    long, middle, short = prose(200, 0) + prose(201, 0), prose(202, 0)[:80], "Chance repeats this"
+    texts = ["\n".join([prose(i, 0), prose(i, 1), prose(i, 2), long, middle, short]) for i in range(3)]
+    texts += ["\n".join([prose(i, 0), prose(i, 1), middle, short]) for i in range(3, 6)]
+    # near copies of one text keep their lines
+    texts += ["\n".join([f"Edit{chr(97 + i)} {prose(50, 0)}", *(prose(50, k) for k in range(1, 9))]) for i in range(6)]
+    expected = ["\n".join(x for x in t.split("\n") if x not in (long, middle)) for t in texts]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    rows = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    for i, text in enumerate(expected):
+        assert rows[i] == text, i
