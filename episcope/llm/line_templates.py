@@ -2,9 +2,11 @@
 
 Every line is parsed to a fixed depth: token count, then its first three tokens, where a token that
 holds a digit is a variable field. Lines in the same leaf are then compared, token by token behind the
-leading ones, with the leaf's leader (the line seen in most places); those alike enough share its
-template, and where they differ is a variable field. Lines left over get a second leader, and what is
-left after the last round stands for itself. Templates that recur across documents are dropped.
+leading ones, with the leaf's leaders (the line seen in most documents, then that of those unlike it,
+and so on); a line shares the template of the first leader it is alike enough to, and where they differ
+is a variable field. Lines left over get new leaders, until no line can lead a template that recurs: of
+its tokens too few are shared, at their place in the leaf, by enough documents. Templates that recur
+across documents are dropped.
 
 A template counts the classes of documents it stands in. Equal texts are one class, and so are texts
 linked by near copies: sketches of their word pairs that agree in at least SAME (Jaccard). So copies of
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episcope.llm.common import fresh, saved
@@ -34,6 +36,8 @@ LEAD = 3
 VARIABLE = "<*>"
 #: Texts are near copies from this similarity of SKETCH smallest hashes; the first BANDS + 1 of them make the bands.
 SAME, SKETCH, BANDS = 0.8, 64, 16
+#: Leaders that are found in one pass over what is left of a leaf; passes go on until none is left.
+LEADERS = 16
 #: (tokens, documents): from so many tokens so many documents suffice, since longer lines do not repeat by chance.
 LONG_LINES = ((8, 5), (20, 3))
 
@@ -124,8 +128,39 @@ def _bar(n: Column, min_documents: int, long_lines: Sequence[tuple[int, int]]) -
     return bar
 
 
+def _leaders(bodies: DataFrame, similarity: float) -> DataFrame:
+    """leaf, leaders: its first lines by documents, without those alike an earlier one."""
+    order = Window.partitionBy("leaf").orderBy(F.desc("n"), "body")
+    first = bodies.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LEADERS)
+    lists = first.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rank", "body", "tokens"))).alias("all"))
+
+    def add(found: Column, x: Column) -> Column:
+        known = F.exists(found, lambda y: _alike(x["tokens"], y["tokens"]) >= similarity)
+        return F.when(known, found).otherwise(F.concat(found, F.array(x)))
+
+    return lists.select("leaf", F.aggregate("all", F.slice("all", 1, 0), add).alias("leaders"))
+
+
+def _possible(left: DataFrame, inside: DataFrame, leaves: DataFrame, similarity: float) -> DataFrame:
+    """The lines of ``left`` that may lead a template in as many documents as its leaf asks for.
+
+    Of ``bar`` documents each would share ``similarity`` of the leader's tokens, so over all places the
+    documents that share its token there, up to ``bar`` a place, are that share of ``bar`` times the places.
+    """
+    behind = F.slice("tokens", LEAD + 1, F.greatest(F.size("tokens") - LEAD, F.lit(0)))
+    words = left.select("leaf", "body", "n", "tokens", F.posexplode(F.transform(behind, lambda x: F.xxhash64(x))).alias("at", "word"))
+    spread = words.select("leaf", "body", "at", "word").join(inside.select("leaf", "body", "class"), ["leaf", "body"])
+    shared = spread.select("leaf", "at", "word", "class").distinct().groupBy("leaf", "at", "word").agg(F.count(F.lit(1)).alias("documents"))
+    shared = shared.join(leaves, "leaf").select("leaf", "at", "word", "bar", F.least("documents", "bar").alias("documents"))
+    sums = words.join(shared, ["leaf", "at", "word"]).groupBy("leaf", "body", "n", "tokens").agg(
+        F.sum("documents").alias("documents"), F.max("bar").alias("bar")
+    )
+    enough = F.col("documents") >= F.ceil((F.size("tokens") - LEAD) * similarity - 1e-9) * F.col("bar")
+    return sums.filter(enough).select("leaf", "body", "n", "tokens")
+
+
 def recurring_lines(
-    lines: DataFrame, classes: DataFrame, min_documents: int = 20, similarity: float = 0.7, rounds: int = 2,
+    lines: DataFrame, classes: DataFrame, min_documents: int = 20, similarity: float = 0.7,
     long_lines: Sequence[tuple[int, int]] = LONG_LINES,
 ) -> DataFrame:
     """leaf, body, tokens, template (leader's body), documents (classes): lines whose template recurs."""
@@ -135,21 +170,22 @@ def recurring_lines(
     inside = with_classes(lines.select("leaf", "body", "key", "line").join(leaves.select("leaf"), "leaf"), classes)
     inside = inside.groupBy("leaf", "body", "class").agg(_tokens(F.min("line")).alias("tokens"))
     inside = saved(inside, "lines-inside")
-    bodies = inside.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n"), F.min("tokens").alias("tokens"))
-    left = bodies
-    settled = None
-    for number in range(rounds):
-        order = F.struct(F.col("n").alias("n"), (-F.col("body")).alias("second"))
-        leaders = left.groupBy("leaf").agg(
-            F.max_by("body", order).alias("leader"), F.max_by("tokens", order).alias("leader_tokens")
-        )
-        met = left.join(leaders, "leaf").withColumn("alike", _alike(F.col("tokens"), F.col("leader_tokens")) >= similarity)
-        met = saved(met.select("leaf", "body", "n", "tokens", "leader", "alike"), f"lines-round{number}")
-        joined = met.filter("alike").select("leaf", "body", "tokens", F.col("leader").alias("template"))
+    left = inside.groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("n"), F.min("tokens").alias("tokens"))
+    chosen, settled, number = left, None, 0
+    while True:
+        leaders = _leaders(chosen, similarity)
+        near = F.filter("leaders", lambda x: _alike(F.col("tokens"), x["tokens"]) >= similarity)
+        met = left.join(leaders, "leaf").select("leaf", "body", "n", "tokens", F.get(near, F.lit(0))["body"].alias("template"))
+        met = saved(met, f"lines-round{number}")
+        joined = met.filter("template is not null").select("leaf", "body", "tokens", "template")
         settled = joined if settled is None else settled.unionByName(joined)
-        left = met.filter(~F.col("alike")).select("leaf", "body", "n", "tokens")
-    alone = left.select("leaf", "body", "tokens", F.col("body").alias("template"))
-    templates = saved(settled.unionByName(alone), "lines-templates")
+        left = met.filter("template is null").select("leaf", "body", "n", "tokens")
+        # a leaf without a possible leader is done: no template in it can recur
+        chosen = saved(_possible(left, inside, leaves, similarity), f"lines-possible{number}")
+        number += 1
+        if not chosen.limit(1).count():
+            break
+    templates = saved(settled, "lines-templates")
     spread = inside.select("leaf", "body", "class").join(templates.select("leaf", "body", "template"), ["leaf", "body"])
     counts = (
         spread.select("leaf", "template", "class").distinct().groupBy("leaf", "template")
@@ -160,7 +196,7 @@ def recurring_lines(
 
 
 def drop_recurring_lines(
-    docs: DataFrame, text_col: str = "text", min_documents: int = 20, similarity: float = 0.7, rounds: int = 2,
+    docs: DataFrame, text_col: str = "text", min_documents: int = 20, similarity: float = 0.7,
     min_tokens: int = 3, min_chars: int = 16, long_lines: Sequence[tuple[int, int]] = LONG_LINES,
 ) -> DataFrame:
     """``docs`` with the text that is left, and ``n_lines``, ``n_dropped`` per row.
@@ -168,7 +204,7 @@ def drop_recurring_lines(
     Columns of these two names are replaced.
     """
     lines = _lines(docs, text_col, min_tokens, min_chars)
-    found = recurring_lines(lines, near_copies(docs, text_col), min_documents, similarity, rounds, long_lines)
+    found = recurring_lines(lines, near_copies(docs, text_col), min_documents, similarity, long_lines)
     drops = saved(found.select("leaf", "body"), "lines-drops")
     # equal texts share a key: their places are the same, so one row per key is enough
     key, gone, left = fresh(docs.columns, "_key", "_gone", "_left")

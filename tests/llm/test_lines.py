@@ -150,3 +150,11 @@ def test_long_lines_with_production_parameters(spark):
     rows = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
     for i, text in enumerate(expected):
         assert rows[i] == text, i
+
+
+def test_every_family_of_a_leaf(spark):
+    words = [[f"{chr(97 + f)}{chr(97 + k)}" for k in range(5)] for f in range(18)]
+    line = lambda i: " ".join([f"2024-01-{i:03}", f"10:{i}", f"{i}", *words[i % 18], f"var{chr(97 + i // 18)}"])
+    texts = ["\n".join([prose(i, 0), line(i), prose(i, 1)]) for i in range(18 * 6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["n_dropped"] for r in lt.drop_recurring_lines(docs, min_documents=6).collect()} == {1}
