@@ -42,3 +42,14 @@ def test_empty_and_native(spark):
     assert frame.count() == 0
     plan = frame._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_account_number_before_a_capital_or_a_digit(spark):
+    numbers = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947"]
+    behind = [" Please pay", " BIC COBADEFF", " 2024 and", " A", "", "; so"]
+    texts = [f"IBAN {n}{b}" for n in numbers for b in behind]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.personal_data_digest(docs).collect()}
+    for i, text in enumerate(texts):
+        n = numbers[i // len(behind)]
+        assert f"iban:5:{5 + len(n)}" in spans[i], text
