@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episcope.functions.columns import count_true
+from episcope.operators.expectations import Expectation, with_verdict
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -46,22 +48,41 @@ def compare_to_golden(fresh: DataFrame, golden: DataFrame, keys: Sequence[str],
     return joined.select(*keys, F.explode(differing).alias("d")).select(*keys, "d.*")
 
 
-def information_matrix(cases: Mapping[str, tuple]) -> DataFrame:
-    """Per case and branch: rows, reference-rule violations, structural faults, raw equality.
+@dataclass(frozen=True)
+class Evidence:
+    """What can be asked of the rows of a case: columns that are true for a row.
 
-    ``cases`` maps a name to ``(case, structure_bad, equal_raw or None)``.
+    ``round_trip`` is whether an inverse operation, run on the row, restores what it was made from; it is null
+    on rows without an inverse. None stands for "not applicable".
     """
-    from episcope.operators.expectations import run_suite
 
+    rows: DataFrame
+    rule: Expectation
+    structure_bad: Column
+    equal_raw: Column | None = None
+    round_trip: Column | None = None
+
+
+def information_matrix(cases: Mapping[str, Evidence]) -> DataFrame:
+    """Per case and branch, in one aggregate each: what structure, raw equality, the inverse operation and
+    the reference rule say.
+
+    ``equal_raw`` and ``round_trip_bad`` are null where the question does not apply; ``round_trip_rows``
+    counts the rows on which an inverse ran.
+    """
     out = None
-    for name, (case, structure_bad, equal_raw) in cases.items():
-        equal: Column = F.lit(None).cast("long") if equal_raw is None else count_true(equal_raw)
-        plain = case.rows.groupBy("branch").agg(
-            F.count(F.lit(1)).alias("rows"), count_true(structure_bad).alias("structure_bad"), equal.alias("equal_raw")
-        )
-        rule = run_suite(case.rows, case.informed, by=["branch"]).groupBy("branch").agg(
-            F.sum("unexpected_count").alias("reference_violations")
+    for name, case in cases.items():
+        none = F.lit(None).cast("long")
+        back = case.round_trip
+        rows = with_verdict(case.rows, case.rule, ["branch"], "_broken")
+        part = rows.groupBy("branch").agg(
+            F.count(F.lit(1)).alias("rows"),
+            count_true(F.col("_broken")).alias("reference_violations"),
+            count_true(case.structure_bad).alias("structure_bad"),
+            (none if case.equal_raw is None else count_true(case.equal_raw)).alias("equal_raw"),
+            (F.lit(0).cast("long") if back is None else count_true(back.isNotNull())).alias("round_trip_rows"),
+            (none if back is None else F.when(count_true(back.isNotNull()) > 0, count_true(~back))).alias("round_trip_bad"),
         )
-        part = plain.join(rule, "branch").select(F.lit(name).alias("case"), "*")
+        part = part.select(F.lit(name).alias("case"), "*")
         out = part if out is None else out.unionByName(part)
     return out

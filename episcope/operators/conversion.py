@@ -68,6 +68,13 @@ def with_conversion_state(instances: DataFrame) -> DataFrame:
     return staged.withColumn("error_deg", error).drop(*[f"{n}{i}" for n in ("_s", "_t") for i in range(4)])
 
 
+def migration_undone(source: Column, target: Column) -> Column:
+    """Whether the inverse migration (scalar part back to the front) of ``target`` gives ``source``."""
+    back = F.concat(F.slice(target, 4, 1), F.slice(target, 1, 3))
+    close = F.zip_with(back, source, lambda b, s: F.abs(b - s) <= MATCH_TOLERANCE + RELATIVE_TOLERANCE * F.abs(s))
+    return (F.size(target) == 4) & F.forall(close, lambda ok: F.coalesce(ok, F.lit(False)))
+
+
 def conversion_coverage(states: DataFrame) -> DataFrame:
     """Converted and total instances per family and path, with the mean error of the missed ones."""
     return states.groupBy("family", "path").agg(

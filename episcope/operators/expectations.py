@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from episcope.functions import geometry as G
 from episcope.functions.columns import count_true
+from episcope.operators.conversion import migration_undone
 from episcope.operators.frames import clamp, outside
 from episcope.operators.ordered import ordered_scan
 
@@ -219,6 +220,13 @@ def quaternion_convention(max_error_deg: float = G.ANGLE_TOLERANCE_DEG) -> Expec
     return _semantic("quaternion_convention", (*target, *source), ok, prepare, max_error_deg=max_error_deg)
 
 
+@rule("instance_converted")
+def instance_converted() -> Expectation:
+    """A stored quaternion has its scalar part moved from the front to the end."""
+    cols = ("source_wxyz", "target_xyzw")
+    return _semantic("instance_converted", cols, lambda: migration_undone(F.col("source_wxyz"), F.col("target_xyzw")))
+
+
 @rule("displacement")
 def displacement(rotation: Sequence[Sequence[float]], atol: float = G.DISPLACEMENT_TOLERANCE) -> Expectation:
     delta, seen = ("delta_x", "delta_y", "delta_z"), ("world_delta_x", "world_delta_y", "world_delta_z")
@@ -245,8 +253,8 @@ def anchor(atol: float = 1e-3) -> Expectation:
 def frame_correspondence() -> Expectation:
     """Time within half a local interval, and a digest that the expected time allows.
 
-    ``digest_ok`` is the membership flag of ``temporal.in_accepted_set``; with a ``|``-joined text of
-    allowed digests, use ``digest_in_text``.
+    ``digest_ok`` is the membership flag of ``temporal.in_accepted_set``. A table with a ``|``-joined text
+    of allowed digests takes ``frame_correspondence_text``.
     """
     cols = ("returned_seconds", "expected_seconds", "local_interval_seconds", "digest_ok")
 
@@ -261,6 +269,19 @@ def digest_in_text(digest: Column, allowed: Column) -> Column:
     return F.array_contains(F.split(allowed, r"\|"), digest)
 
 
+@rule("frame_correspondence_text")
+def frame_correspondence_text() -> Expectation:
+    """The same rule on a table that stores the allowed digests as one ``|``-joined text per row."""
+    cols = ("returned_seconds", "expected_seconds", "local_interval_seconds", "returned_digest", "expected_digests")
+
+    def ok() -> Column:
+        gap = F.abs(F.col("returned_seconds") - F.col("expected_seconds"))
+        near = gap <= 0.5 * F.col("local_interval_seconds")
+        return near & digest_in_text(F.col("returned_digest"), F.col("expected_digests"))
+
+    return _semantic("frame_correspondence_text", cols, ok)
+
+
 @rule("reference_statistic")
 def reference_statistic() -> Expectation:
     cols = ("mean", "std", "reference_mean", "reference_std", "absolute_tolerance")
@@ -277,11 +298,30 @@ def reference_statistic() -> Expectation:
 # ---- running -------------------------------------------------------------------------------------
 
 
-def run_suite(df: DataFrame, suite: Sequence[Expectation], by: Sequence[str] = ()) -> DataFrame:
+def _seen_value(df: DataFrame, e: Expectation) -> Column:
+    """What a rule saw, as an aggregate: the table's own value, or the smallest row that broke the rule."""
+    if e.type == "columns_match_set":
+        return F.lit(",".join(sorted(df.columns)))
+    if e.type == "of_type":
+        return F.lit(df.schema[e.columns[0]].dataType.simpleString())
+    if e.type == "row_count_equal":
+        return F.count(F.lit(1)).cast("string")
+    bad = e.unexpected(df) if e.scope is None else e.scope & e.unexpected(df)
+    if len(e.columns) == 1:
+        return F.min(F.when(bad, F.col(e.columns[0]))).cast("string")
+    return F.to_json(F.min(F.when(bad, F.struct(*e.columns))))
+
+
+def run_suite(
+    df: DataFrame, suite: Sequence[Expectation], by: Sequence[str] = (), observed: bool = False
+) -> DataFrame:
     """One row per group and expectation:
     ``ordinal, tag, type, kwargs, status, success, unexpected_count, element_count``.
 
-    Several suites on the same rows can share the pass: give each its ``tag`` (and ``scope``).
+    Several suites on the same rows can share the pass: give each its ``tag`` (and ``scope``). With ``observed``
+    a row also tells what the rule saw: the columns, type or row count of the table, or the smallest value
+    (of several columns: the smallest row, as JSON) that broke the rule, null if none did. Texts and rows
+    among these make Spark sort for the aggregate, so it is not the default.
     """
     by = list(by)
     ready = [e.runnable(df) for e in suite]
@@ -293,6 +333,8 @@ def run_suite(df: DataFrame, suite: Sequence[Expectation], by: Sequence[str] = (
     for i, (e, ok) in enumerate(zip(suite, ready)):
         if not ok or e.unique:
             continue
+        if observed:
+            aggs.append(_seen_value(df, e).alias(f"_o{i}"))
         if e.table is not None:
             aggs.append(F.max(e.table(df)).alias(f"_t{i}") if e.type != "row_count_equal" else e.table(df).alias(f"_t{i}"))
         else:
@@ -312,7 +354,9 @@ def run_suite(df: DataFrame, suite: Sequence[Expectation], by: Sequence[str] = (
         status = "EXECUTED" if ok else "NOT_EXECUTED"
         texts = ", ".join(_quoted(v) for v in (e.tag, e.type, e.kwargs_text, status))
         rows.append(f"{i}, {texts}, {success}, {', '.join(counts)}")
-    names = "ordinal, tag, type, kwargs, status, success, unexpected_count, element_count"
+        if observed:
+            rows[-1] += f", _o{i}" if ok else ", cast(null as string)"
+    names = "ordinal, tag, type, kwargs, status, success, unexpected_count, element_count" + (", observed" if observed else "")
     return one.select(*by, F.expr(f"stack({len(rows)}, {', '.join(rows)})").alias(*names.split(", ")))
 
 
@@ -326,12 +370,19 @@ def _join_unique(one: DataFrame, df: DataFrame, c: str, i: int, by: list[str]) -
     totals = counted.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias(f"_u{i}"),
         F.sum("_n").alias(f"_e{i}"),
+        F.min(F.when(F.col("_n") > 1, F.col(c))).cast("string").alias(f"_o{i}"),
     )
     if not by:
         return one.crossJoin(totals)  # one row by one row
     return one.join(totals, by, "left").fillna(0, [f"_u{i}", f"_e{i}"])
 
 
+def with_verdict(df: DataFrame, expectation: Expectation, by: Sequence[str], name: str) -> DataFrame:
+    """Add ``name``: whether the row breaks the rule. For aggregates that ask a rule among other things."""
+    work = expectation.prepare(df, list(by)) if expectation.prepare else df
+    return work.withColumn(name, expectation.unexpected(df))
+
+
 def suite_outcome(results: DataFrame, by: Sequence[str]) -> DataFrame:
     """Overall success per group: every rule holds; null if a rule could not be evaluated."""
     broken = F.bool_or(F.col("status") != "EXECUTED")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episcope.functions.columns import count_true, finite
 from episcope.operators.ordered import exact_quantiles, ordered_scan
-from episcope.session import written
+from episcope.session import ship_package, written
 
 # Fixed values of the study design.
 MOMENT_TOLERANCE = 1e-5
@@ -160,23 +162,29 @@ def episode_orders(vectors: DataFrame, shifts: Sequence[int] = (1, 2, 3)) -> Dat
     ).select("_o.order_name", "episode_index", "_o.position")
 
 
-def order_replay(vectors: DataFrame, orders: DataFrame) -> DataFrame:
+def order_replay(vectors: DataFrame, orders: DataFrame, keep: Sequence[str] = ("vec_id",)) -> DataFrame:
     """Re-sequence episodes; frames keep their order inside an episode. ``ordinal`` counts from 0.
 
-    Only frame numbers and episode lengths are ordered; vectors meet their ordinal by a join.
+    Only numbers take part: ``order_name, episode_index, frame_index, ordinal`` and the ``keep`` columns.
+    ``with_vectors`` joins the wide columns to the rows that are left in the end.
     """
     ranks = ordered_scan(
-        vectors.select("episode_index", "frame_index"), ["episode_index"], ["frame_index"], number="_rank"
+        vectors.select("episode_index", "frame_index", *keep), ["episode_index"], ["frame_index"], number="_rank"
     )
     lengths = ranks.groupBy("episode_index").agg(F.count(F.lit(1)).alias("_frames"))
     placed = ordered_scan(orders.join(lengths, "episode_index"), ["order_name"], ["position"], sums={"_stop": "_frames"})
-    before = placed.select("order_name", "episode_index", "position", (F.col("_stop") - F.col("_frames")).alias("_before"))
-    ordered = vectors.join(ranks, ["episode_index", "frame_index"]).join(before, "episode_index")
+    before = placed.select("order_name", "episode_index", (F.col("_stop") - F.col("_frames")).alias("_before"))
+    ordered = ranks.join(before, "episode_index")
     return ordered.withColumn("ordinal", F.col("_before") + F.col("_rank") - 1).drop("_before", "_rank")
 
 
+def with_vectors(replayed: DataFrame, vectors: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The wide ``columns`` of the replayed rows, by episode and frame number."""
+    return replayed.join(vectors.select("episode_index", "frame_index", *columns), ["episode_index", "frame_index"])
+
+
 def with_batches(replayed: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """One copy of each row per batch size, with its batch number and whether it leads the batch."""
+    """One copy of each (narrow) row per batch size, with its batch number and whether it leads the batch."""
     spread = replayed.withColumn("batch_size", F.explode(F.array(*[F.lit(int(s)) for s in sizes])))
     return spread.withColumns(
         {
@@ -187,8 +195,10 @@ def with_batches(replayed: DataFrame, sizes: Sequence[int]) -> DataFrame:
 
 
 def first_of_batch(replayed: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """The known fault: only the first row of each batch is consumed."""
-    return with_batches(replayed, sizes).where("leads_batch")
+    """The known fault: only the first row of each batch is consumed. Rows that lead no batch are not copied."""
+    led = F.filter(F.array(*[F.lit(int(s)) for s in sizes]), lambda s: F.col("ordinal") % s == 0)
+    spread = replayed.withColumn("batch_size", F.explode(led))
+    return spread.withColumn("batch_ordinal", F.floor(F.col("ordinal") / F.col("batch_size")))
 
 
 def coverage_count(replayed: DataFrame, sizes: Sequence[int]) -> DataFrame:
@@ -206,26 +216,99 @@ def coverage_count(replayed: DataFrame, sizes: Sequence[int]) -> DataFrame:
 
 
 CONDITION = ("arm", "order_name", "batch_size")
+ARMS = ("first_row", "all_rows", "all_rows_single_squares", "all_rows_stable")
+#: Rows that one task takes in at a time when batches are reduced (a multiple of every batch size).
+STRETCH = 1024
 
+_PARTIAL = (
+    "order_name string, batch_size int, leading boolean, feature_group string, component_index long, "
+    "n long, mean double, m2 double, squares double, single_squares double"
+)
 
-def condition_stats(replayed: DataFrame, sizes: Sequence[int], features: Mapping[str, str]) -> DataFrame:
-    """Moments per arm, order, batch size and component.
 
-    ``first_row`` depends on order and batch; the two arms over all rows do not, so they are
-    computed once and listed for every condition.
+def _batch_moments(rows: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """n, mean, sum of squared deviations, mean square, and mean square of singles, per batch and component."""
+    starts = np.arange(0, len(rows), size)
+    n = np.diff(np.append(starts, len(rows)))[:, None].astype(float)
+    wide = rows.astype(np.float64)
+    mean = np.add.reduceat(wide, starts, axis=0) / n
+    m2 = np.add.reduceat((wide - np.repeat(mean, n[:, 0].astype(int), axis=0)) ** 2, starts, axis=0)
+    single = (rows.astype(np.float32) ** 2).astype(np.float64)
+    return n, mean, m2, np.add.reduceat(wide * wide, starts, axis=0) / n, np.add.reduceat(single, starts, axis=0) / n
+
+
+def _merged(n: np.ndarray, mean: np.ndarray, m2: np.ndarray, squares: np.ndarray, single: np.ndarray) -> tuple:
+    """Batches of a stretch put together: spread inside the batches plus spread of their means."""
+    total = n.sum()
+    middle = (n * mean).sum(0) / total
+    spread = m2.sum(0) + (n * (mean - middle) ** 2).sum(0)
+    return int(total), middle, spread, (n * squares).sum(0) / total, (n * single).sum(0) / total
+
+
+def _stretch_reducer(sizes: Sequence[int], features: Mapping[str, str]):
+    def reduce(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ordinal")
+        order = table.column("order_name")[0].as_py()
+        first = table.column("ordinal")[0].as_py()
+        parts = []
+        for name, column in features.items():
+            values = table.column(column).combine_chunks()
+            rows = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+            for size in sizes:
+                leads = rows[(-first) % size :: size]
+                for leading, part, step in ((False, rows, size), (True, leads, 1)):
+                    if len(part):
+                        n, *found = _merged(*_batch_moments(part, step))
+                        width = part.shape[1]
+                        parts.append(pa.table({
+                            "order_name": [order] * width, "batch_size": pa.array([size] * width, pa.int32()),
+                            "leading": [leading] * width, "feature_group": [name] * width, "component_index": np.arange(width),
+                            "n": pa.array([n] * width, pa.int64()),
+                            **dict(zip(("mean", "m2", "squares", "single_squares"), found, strict=True)),
+                        }))
+        return pa.concat_tables(parts)
+
+    return reduce
+
+
+def condition_stats(replayed: DataFrame, vectors: DataFrame, sizes: Sequence[int], features: Mapping[str, str]) -> DataFrame:
+    """Moments per arm, order, batch size and component, each from its own batches.
+
+    The rows of an order are dealt to stretches of ``STRETCH`` ordinals, which hold whole batches of every size.
+    A stretch gives moments that can be merged (n, mean, M2, mean squares), and stretches are merged by the
+    same rule: arms differ in what the std is made of. ``first_row`` sees the leading row of each batch;
+    ``all_rows`` differences mean squares, ``all_rows_single_squares`` squares in single precision first,
+    ``all_rows_stable`` merges squared deviations.
     """
-    by = ["order_name", "batch_size", *COMPONENT]
-    leading = long_components(first_of_batch(replayed, sizes), features, ["order_name", "batch_size"])
-    faulty = moments_by_squares(leading, by).withColumn("arm", F.lit("first_row"))
-    conditions = replayed.select("order_name").distinct().withColumn(
-        "batch_size", F.explode(F.array(*[F.lit(int(s)) for s in sizes]))
-    )
-    everything = long_components(replayed.where(F.col("order_name") == "natural"), features)
-    whole = moments_by_squares(everything).withColumn("arm", F.lit("all_rows")).unionByName(
-        moments_by_squares(everything, single_squares=True).withColumn("arm", F.lit("all_rows_single_squares"))
-    )
-    spread = whole.crossJoin(F.broadcast(conditions))  # orders x batch sizes, a design constant
-    return faulty.unionByName(spread.select(*faulty.columns))
+    if any(STRETCH % s for s in sizes):
+        raise ValueError(f"batch sizes divide {STRETCH}")
+    ship_package(vectors.sparkSession)
+    wide = with_vectors(replayed, vectors, list(features.values()))
+    stretch = F.floor(F.col("ordinal") / STRETCH).alias("_stretch")
+    wide = wide.select("order_name", stretch, "ordinal", *features.values())
+    keys = ["order_name", "batch_size", "leading", *COMPONENT]
+    parts = wide.groupBy("order_name", "_stretch").applyInArrow(_stretch_reducer(sizes, features), _PARTIAL)
+    parts = written(parts, f"stretches-{uuid.uuid4().hex}")  # read twice: for the means, and for the spread around them
+    n = F.col("n")
+
+    def weighted(name: str) -> Column:
+        return (F.sum(n * F.col(name)) / F.sum(n)).alias(name)
+
+    whole = parts.groupBy(*keys).agg(F.sum(n).alias("count"), *[weighted(c) for c in ("mean", "squares", "single_squares")])
+    gap = F.col("mean") - F.col("_mean")
+    spread = parts.join(whole.select(*keys, F.col("mean").alias("_mean")), keys).groupBy(*keys).agg(
+        F.sum(F.col("m2") + n * gap * gap).alias("m2")
+    )
+    by_squares = _std_of_squares(F.col("mean"), F.col("squares"))
+    arms = F.when(F.col("leading"), F.array(F.struct(F.lit("first_row").alias("arm"), by_squares.alias("std")))).otherwise(
+        F.array(
+            F.struct(F.lit("all_rows").alias("arm"), by_squares.alias("std")),
+            F.struct(F.lit("all_rows_single_squares").alias("arm"), _std_of_squares(F.col("mean"), F.col("single_squares")).alias("std")),
+            F.struct(F.lit("all_rows_stable").alias("arm"), F.sqrt(F.col("m2") / F.col("count")).alias("std")),
+        )
+    )
+    out = whole.join(spread, keys).withColumn("_a", F.explode(arms))
+    return out.select("_a.arm", "order_name", "batch_size", *COMPONENT, "count", "mean", "_a.std")
 
 
 def condition_errors(stats: DataFrame, reference: DataFrame) -> DataFrame:

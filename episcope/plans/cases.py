@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from episcope.functions import calibration as K
 from episcope.functions import geometry as G
+from episcope.operators import conversion as V
 from episcope.operators import expectations as E
 from episcope.operators import frames as R
 from episcope.plans.temporal_queries import _SCORED, scored
@@ -289,6 +290,40 @@ def statistics_case(t: Tables) -> Case:
     )
 
 
+def conversion_rows(t: Tables) -> DataFrame:
+    """Every stored quaternion, as migrated by the faulty and by the whole conversion."""
+    from episcope.plans.pose_queries import stored_fields
+
+    instances = V.conversion_inventory(stored_fields(t))
+    moved = F.concat(F.slice("source_wxyz", 2, 3), F.slice("source_wxyz", 1, 1))
+    return both_branches(instances, {"target_xyzw": (F.col("target_xyzw"), moved)}, ["family", "path", "row", "start", "source_wxyz"])
+
+
+def frame_text_rows(t: Tables) -> DataFrame:
+    """Answers with the digests that their expected time allows as one text, in three versions.
+
+    The versions part the two halves of the rule: a late time with the right digest, and the digest of a
+    request, which no frame has, at the right time.
+    """
+    s = scored(t)
+    expected = s.select("video", F.col("expected_t").alias("t")).distinct()
+    # Frames that share a time are few; the stored form of the rule joins their digests in one text.
+    allowed = t.media_frames.join(expected, ["video", "t"], "left_semi").groupBy("video", F.col("t").alias("expected_t")).agg(
+        F.array_join(F.array_sort(F.collect_set("digest")), "|").alias("expected_digests")
+    )
+    second, late = F.col("returned_t") / 1e6, (F.col("returned_t") + F.col("interval")) / 1e6
+    absent = F.sha2(F.col("request_id").cast("string"), 256)
+    kinds = F.array(*[
+        F.struct(F.lit(k).alias("kind"), at.alias("returned_seconds"), digest.alias("returned_digest"))
+        for k, at, digest in (("as returned", second, F.col("returned_digest")), ("late", late, F.col("returned_digest")), ("other frame", second, absent))
+    ])
+    rows = s.where("interval is not null").join(allowed, ["video", "expected_t"]).withColumn("k", F.explode(kinds))
+    return rows.select(
+        F.when(F.col("branch") == "repaired", "repaired").otherwise("faulty").alias("branch"), "request_id", "k.*", "expected_digests",
+        (F.col("expected_t") / 1e6).alias("expected_seconds"), (F.col("interval") / 1e6).alias("local_interval_seconds"),
+    )
+
+
 CASES: dict[str, Callable[[Tables], Case]] = {
     "window": window_case,
     "chain": chain_case,

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episcope.functions.columns import rounded
+from episcope.functions import calibration as K
+from episcope.functions import geometry as G
+from episcope.functions.columns import finite, rounded
 from episcope.operators import compare as C
+from episcope.operators import conversion as V
 from episcope.operators import expectations as E
 from episcope.plans import cases as P
 from episcope.plans.registry import query
@@ -130,14 +133,27 @@ def interval_length_rule(t: Tables) -> DataFrame:
     return _run(P.chain_case(t).rows, [E.interval_length()])
 
 
-@query("E20", _V, _sql([("c_chain", "between", "length < 1", "true"), ("c_chain", "pair_greater", "dataset_to_index <= dataset_from_index", "true"),
-    ("c_chain", "interval_length", "dataset_to_index - dataset_from_index <> length", "true"), (_FROM["chain"], "interval_chain", _BAD["chain"][1], "true")])
-    + " union all select branch, 4, 'not_null', 'NOT_EXECUTED', null::boolean, null::bigint, null::bigint from (select distinct branch from c_chain)", extra=_X)
+_CHAIN_ROW = "concat('{\"episode_index\":', episode_index, ',\"length\":', length, ',\"dataset_from_index\":', dataset_from_index, ',\"dataset_to_index\":', dataset_to_index, '}')"
+
+
+@query("E20", _V, f"""select branch, 0 as ordinal, 'between' as type, 'EXECUTED' as status, count_if(length < 40) = 0 as success, count_if(length < 40) as unexpected_count,
+  count(*) as element_count, cast(min(length) filter (where length < 40) as varchar) as observed from base group by branch
+union all select branch, 1, 'interval_length', 'EXECUTED', count_if(dataset_to_index - dataset_from_index <> length) = 0, count_if(dataset_to_index - dataset_from_index <> length), count(*), null from base group by branch
+union all select branch, 2, 'interval_chain', 'EXECUTED', bool_and(ok), count_if(not ok), count(*), min_by({_CHAIN_ROW}, episode_index) filter (where not ok) from base group by branch
+union all select branch, 3, 'unique', 'EXECUTED', count(*) filter (where n > 1) = 0, cast(coalesce(sum(n) filter (where n > 1), 0) as bigint), cast(sum(n) as bigint), cast(min(dataset_from_index) filter (where n > 1) as varchar)
+  from (select branch, dataset_from_index, count(*) as n from c_chain group by all) group by branch
+union all select branch, 4, 'row_count_equal', 'EXECUTED', count(*) = 7, null, null, cast(count(*) as varchar) from c_chain group by branch
+union all select branch, 5, 'of_type', 'EXECUTED', false, null, null, 'bigint' from c_chain group by branch
+union all select branch, 6, 'columns_match_set', 'EXECUTED', false, null, null, 'branch,dataset_from_index,dataset_to_index,episode_index,length' from c_chain group by branch
+union all select branch, 7, 'not_null', 'NOT_EXECUTED', null, null, null, null from c_chain group by branch""", extra=f"""{_X}, base as (select *, not ({_BAD["chain"][1]}) as ok from {_FROM["chain"]})""")
 def run_suite(t: Tables) -> DataFrame:
-    """Four rules in one pass and one that cannot be evaluated."""
-    return _run(P.chain_case(t).rows, [
-        E.between("length", 1), E.pair_greater("dataset_to_index", "dataset_from_index"), E.interval_length(),
-        E.interval_chain(), E.not_null("robot_type")])
+    """Rules of every form in one pass, one that cannot be evaluated, and what each of them saw."""
+    suite = [
+        E.between("length", 40), E.interval_length(), E.interval_chain(), E.unique("dataset_from_index"), E.row_count_equal(7),
+        E.of_type("length", "double"), E.columns_match_set(["episode_index"]), E.not_null("robot_type"),
+    ]
+    out = E.run_suite(P.chain_case(t).rows, suite, by=["branch"], observed=True)
+    return out.select("branch", "ordinal", "type", "status", "success", "unexpected_count", "element_count", "observed")
 
 
 _FIT_COLS = ("episode_index", "length", "dataset_from_index", "dataset_to_index")
@@ -250,22 +266,98 @@ def coverage_matrix(t: Tables) -> DataFrame:
     return E.coverage_matrix(P.all_outcomes(t), list(P.CASES), list(P.ARMS))
 
 
-@query("E25", _V, " union all ".join(
-    f"""select '{c}' as "case", branch, count(*) as rows, count_if({_BAD[c][1]}) as reference_violations, count_if({s}) as structure_bad, {e} as equal_raw from {_FROM.get(c, 'c_' + c)} group by branch"""
-    for c, s, e in (("window", "selected_index < episode_start or selected_index >= episode_end", "count_if(selected_index = absolute_index)"),
-                    ("chain", _DECLARED_BAD["chain"], "null::bigint"), ("pose", _DECLARED_BAD["pose"], "count_if(qx = s0 and qy = s1 and qz = s2 and qw = s3)"),
-                    ("statistics", "std < 0", "null::bigint"))), extra=_X)
+# ---- what each kind of evidence says ---------------------------------------------------------------
+
+_CONVERSION_SQL = _X + """,
+c_conversion as (select branch, s0, s1, s2, s3, case when branch = 'faulty' and not moved then s0 else s1 end as t0,
+  case when branch = 'faulty' and not moved then s1 else s2 end as t1, case when branch = 'faulty' and not moved then s2 else s3 end as t2,
+  case when branch = 'faulty' and not moved then s3 else s0 end as t3
+  from v_poses, (select unnest([true, false, true, false, true, true, false]) as moved), (select unnest(['faulty', 'reference']) as branch)),
+q_conversion as (select *, abs(t0 - s1) <= 1e-7 + 1e-5 * abs(s1) and abs(t1 - s2) <= 1e-7 + 1e-5 * abs(s2)
+  and abs(t2 - s3) <= 1e-7 + 1e-5 * abs(s3) and abs(t3 - s0) <= 1e-7 + 1e-5 * abs(s0) as right_order from c_conversion)"""
+
+
+def _evidence_sql(case: str, structure: str, equal: str = "null", inverse: str = "null", table: str = "", bad: str = "") -> str:
+    """``inverse`` is a condition that is null on rows without an inverse."""
+    return (
+        f"""select '{case}' as "case", branch, count(*) as rows, count_if({bad or _BAD[case][1]}) as reference_violations,
+count_if({structure}) as structure_bad, cast({equal} as bigint) as equal_raw, count_if(({inverse}) is not null) as round_trip_rows,
+case when count_if(({inverse}) is not null) > 0 then count_if(not ({inverse})) end as round_trip_bad from {table or _FROM.get(case, "c_" + case)} group by branch"""
+    )
+
+
+_EVIDENCE = " union all ".join((
+    _evidence_sql("window", "selected_index < episode_start or selected_index >= episode_end", "count_if(selected_index = absolute_index)"),
+    _evidence_sql("chain", "length < 0 or dataset_from_index < 0 or dataset_to_index - dataset_from_index <> length"),
+    _evidence_sql("pose", "abs(norm - 1) > 1e-6", "count_if(qx = s0 and qy = s1 and qz = s2 and qw = s3)", "qw = s0 and qx = s1 and qy = s2 and qz = s3"),
+    _evidence_sql("conversion", "not isfinite(t0 + t1 + t2 + t3)", "count_if(t0 = s0 and t1 = s1 and t2 = s2 and t3 = s3)",
+                  "abs(t3 - s0) <= 1e-7 + 1e-5 * abs(s0) and abs(t0 - s1) <= 1e-7 + 1e-5 * abs(s1) and abs(t1 - s2) <= 1e-7 + 1e-5 * abs(s2) and abs(t2 - s3) <= 1e-7 + 1e-5 * abs(s3)",
+                  table="q_conversion", bad="not right_order"),
+    _evidence_sql("displacement", "abs(action_x) > 1 or abs(action_y) > 1 or abs(action_z) > 1",
+                  inverse="abs(world_delta_z - 0.05 * action_x) <= 1e-9 and abs(-world_delta_x - 0.05 * action_y) <= 1e-9 and abs(-world_delta_y - 0.05 * action_z) <= 1e-9"),
+    _evidence_sql("gripper", "not isfinite(gripper_norm)",
+                  inverse="case when branch = 'faulty' and row_kind = 'anchor' then abs(gripper_norm * 1.1 + 0.4 - gripper_raw) <= 1e-9 end"),
+    _evidence_sql("frame_time", "returned_seconds is null or returned_channels <> 3 or length(returned_digest) <> 64"),
+    _evidence_sql("statistics", "std < 0 or not isfinite(mean) or not isfinite(std)"),
+))
+
+
+@query("E25", _V, _EVIDENCE, extra=_CONVERSION_SQL)
 def information_matrix(t: Tables) -> DataFrame:
-    """What structure, raw equality and the reference rule each say about a case."""
-    return C.information_matrix({
-        "window": (P.window_case(t), (F.col("selected_index") < F.col("episode_start")) | (F.col("selected_index") >= F.col("episode_end")),
-                   F.col("selected_index") == F.col("absolute_index")),
-        "chain": (P.chain_case(t), (F.col("length") < 1) | (F.col("dataset_from_index") < 0)
-                  | (F.col("dataset_to_index") - F.col("dataset_from_index") != F.col("length")), None),
-        "pose": (P.pose_case(t), F.abs(F.col("norm") - 1) > 1e-6,
-                 (F.col("qx") == F.col("source_qw")) & (F.col("qy") == F.col("source_qx")) & (F.col("qz") == F.col("source_qy")) & (F.col("qw") == F.col("source_qz"))),
-        "statistics": (P.statistics_case(t), F.col("std") < 0, None),
-    })
+    """Eight cases, both branches: structure, raw equality, the inverse operation run on the data, reference rule.
+
+    Inverses: reordering back (pose), inverse migration (conversion), inverse rotation of the base frame
+    (displacement), inverse bounds (gripper anchors of the faulty branch; the repaired transforms are
+    one-way). Selections, running totals, as-of answers and statistics have none.
+    """
+    col = F.col
+    made = {name: make(t) for name, make in P.CASES.items()}
+    back = G.rotate([[F.lit(v) for v in column] for column in zip(*P.BASE_ROTATION, strict=True)], [col(f"world_delta_{n}") for n in "xyz"])
+    restored = F.lit(True)
+    for got, n in zip(back, "xyz", strict=True):
+        restored = restored & (F.abs(got - col(f"delta_{n}")) <= 1e-9)
+    anchors = (col("branch") == "faulty") & (col("row_kind") == "anchor")
+    undone = F.abs(K.unscale(col("gripper_norm"), K.FAULTY_BOUNDS) - col("gripper_raw")) <= 1e-9
+    names = ("qw", "qx", "qy", "qz")
+    in_order = (col("qx") == col("source_qw")) & (col("qy") == col("source_qx")) & (col("qz") == col("source_qy")) & (col("qw") == col("source_qz"))
+    reordered = F.lit(True)
+    for n in names:
+        reordered = reordered & (col(n) == col(f"source_{n}"))
+    parts = {
+        "window": C.Evidence(made["window"].rows, made["window"].informed[0],
+                             (col("selected_index") < col("episode_start")) | (col("selected_index") >= col("episode_end")),
+                             col("selected_index") == col("absolute_index")),
+        "chain": C.Evidence(made["chain"].rows, made["chain"].informed[0],
+                            (col("length") < 0) | (col("dataset_from_index") < 0) | (col("dataset_to_index") - col("dataset_from_index") != col("length"))),
+        "pose": C.Evidence(made["pose"].rows, made["pose"].informed[0], F.abs(col("norm") - 1) > 1e-6, in_order, reordered),
+        "conversion": C.Evidence(P.conversion_rows(t), E.instance_converted(), ~F.forall("target_xyzw", finite) | (F.size("target_xyzw") != 4),
+                                 col("target_xyzw") == col("source_wxyz"), V.migration_undone(col("source_wxyz"), col("target_xyzw"))),
+        "displacement": C.Evidence(made["displacement"].rows, made["displacement"].informed[0],
+                                   F.greatest(*[F.abs(f"action_{n}") for n in "xyz"]) > 1, round_trip=restored),
+        "gripper": C.Evidence(made["gripper"].rows, made["gripper"].informed[0], ~finite(col("gripper_norm")), round_trip=F.when(anchors, undone)),
+        "frame_time": C.Evidence(made["frame_time"].rows, made["frame_time"].informed[0],
+                                 col("returned_seconds").isNull() | (col("returned_channels") != 3) | (F.length("returned_digest") != 64)),
+        "statistics": C.Evidence(made["statistics"].rows, made["statistics"].informed[0], (col("std") < 0) | ~finite(col("mean")) | ~finite(col("std"))),
+    }
+    return C.information_matrix(parts)
+
+
+_TEXT_OK = "coalesce(abs(got - expected) <= 0.5 * interval and list_contains(wanted, digest), false)"
+
+
+@query("E18 text", _V, f"""select branch, kind, 0 as ordinal, 'frame_correspondence_text' as type, 'EXECUTED' as status,
+bool_and({_TEXT_OK}) as success, count_if(not {_TEXT_OK}) as unexpected_count, count(*) as element_count
+from (select branch, kind, a.returned_t as expected, g.interval, case when kind = 'other frame' then sha256(sc.request_id::varchar) else sc.returned_digest end as digest,
+  case when kind = 'late' then sc.returned_t + g.interval else sc.returned_t end as got, f.wanted
+  from sc join ans a on a.request_id = sc.request_id join gp g on g.video = a.video and g.t = a.returned_t and g.interval is not null
+  join (select video, t, list(digest) as wanted from v_media group by video, t) f on f.video = a.video and f.t = a.returned_t,
+  (select unnest(['as returned', 'late', 'other frame']) as kind))
+group by branch, kind""", extra=_X)
+def frame_correspondence_text_rule(t: Tables) -> DataFrame:
+    """The rule on ``|``-joined digests: answers as they are, with a late time, and with the digest of no frame."""
+    rows = P.frame_text_rows(t)
+    out = E.run_suite(rows, [E.frame_correspondence_text()], by=["branch", "kind"])
+    return out.select("branch", "kind", "ordinal", "type", "status", "success", "unexpected_count", "element_count")
 
 
 _SUMS = {

@@ -293,7 +293,7 @@ def round_trip_error(t: Tables) -> DataFrame:
 # ---- conversion coverage -------------------------------------------------------------------------
 
 
-def _fields(t: Tables) -> DataFrame:
+def stored_fields(t: Tables) -> DataFrame:
     """Stored fields of four shapes; eef fields stay unconverted, poses are converted."""
     p = t.poses
     s, q = F.array("s0", "s1", "s2", "s3"), F.array("s1", "s2", "s3", "s0")
@@ -333,20 +333,20 @@ def convert_pose_columns(t: Tables) -> DataFrame:
 
 @query("G23", "v_poses", "select family, path, row, start from inst", extra=_STATES)
 def conversion_inventory(t: Tables) -> DataFrame:
-    return V.conversion_inventory(_fields(t)).select("family", "path", "row", "start")
+    return V.conversion_inventory(stored_fields(t)).select("family", "path", "row", "start")
 
 
 @query("G24", "v_poses", """select family, path, count(*) as instances, count_if(conv) as converted_instances,
 round(avg(case when not conv then err end), 4) + 0.0 as missed_mean_error_deg from st group by family, path""", extra=_STATES)
 def conversion_coverage(t: Tables) -> DataFrame:
-    out = V.conversion_coverage(V.with_conversion_state(V.conversion_inventory(_fields(t))))
+    out = V.conversion_coverage(V.with_conversion_state(V.conversion_inventory(stored_fields(t))))
     return out.withColumn("missed_mean_error_deg", rounded("missed_mean_error_deg", 4))
 
 
 @query("D22", "v_poses", """select count(*) as evaluated, count_if(err > 1e-6) as nonzero, count_if(err > 90) as over_90, round(avg(err), 4) + 0.0 as mean_error,
 round(max(err), 4) + 0.0 as max_error, round(quantile_cont(err, 0.5), 4) + 0.0 as median_error, round(quantile_cont(err, 0.95), 4) + 0.0 as p95_error from st where not conv""", extra=_STATES)
 def error_summary(t: Tables) -> DataFrame:
-    states = V.with_conversion_state(V.conversion_inventory(_fields(t))).where(~F.col("converted"))
+    states = V.with_conversion_state(V.conversion_inventory(stored_fields(t))).where(~F.col("converted"))
     out = V.error_summary(states, "error_deg")
     return out.select("evaluated", "nonzero", "over_90", *[rounded(c, 4).alias(c) for c in ("mean_error", "max_error", "median_error", "p95_error")])
 

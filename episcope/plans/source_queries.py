@@ -18,6 +18,7 @@ from episcope.plans.views import UNITS_PER_SECOND, Tables
 from episcope.session import scratch_folder
 from episcope.sources import readers as S
 from episcope.sources import sinks as W
+from episcope.sources import store
 
 DATA_CAP = 4_000
 SEGMENT_CAP = 3_000
@@ -58,6 +59,29 @@ def read_json_files(t: Tables) -> DataFrame:
     return S.read_json_lines(t.spark, path, "episode_index long, episode_id string, length long, task string")
 
 
+_DOC_METRICS = ("min", "max", "mean", "std", "q01", "q10", "q50", "q90", "q99", "count")
+
+
+@query("A3 documents", "v_stat_arrays", "select label, feature, metric, position, round(number, 6) + 0.0 as number from ("
+       + " union all ".join(f"select label, feature_group as feature, '{m}' as metric, cast(unnest(range(len({m}))) as varchar) as position, unnest({m}) as number from v_stat_arrays" for m in _DOC_METRICS)
+       + " union all select label, feature_group, 'image', concat(i, '/0/', i % 2), length + i from v_stat_arrays, (select unnest(range(3)) as i)"
+       + " union all select label, feature_group, 'length', '', length from v_stat_arrays)")
+def read_statistics_documents(t: Tables) -> DataFrame:
+    """Statistics documents, one file per label, whose features, metrics and nesting the reader does not know."""
+    path = _scratch(t, "documents")
+    # Nested as stored image statistics are: some arrays are one level deeper than others.
+    image = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.array(F.when(i % 2 == 0, F.array(F.col("length") + i)).otherwise(F.array(F.lit(None), F.col("length") + i))))
+    metrics = F.struct(*_DOC_METRICS, image.alias("image"), "length")
+    by_label = t.stat_arrays.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("feature_group", metrics))).alias("doc"))
+    by_label.select("label", F.to_json("doc").alias("text")).repartition("label").write.partitionBy("label").text(path)
+    documents = S.read_documents(t.spark, path)
+    label = F.regexp_extract("file", r"label=(-?[0-9]+)", 1).cast("long")
+    features = S.document_entries(documents.select(label.alias("label"), "document"), "document").withColumnRenamed("name", "feature")
+    metrics = S.document_entries(features, "entry")  # keys of a feature
+    found = S.document_values(metrics.withColumnRenamed("name", "metric"), "entry")
+    return found.where("number is not null").withColumn("number", rounded("number"))
+
+
 @query("A8 files", "", """select block, case when block % 5 = 2 then 'missing' when block % 5 = 3 then 'size changed' end as problem from (
 select c_custkey // 50 as block, string_agg(c_name || chr(10), '' order by c_custkey) as fresh,
   string_agg(c_name || chr(10), '' order by c_custkey) || case when c_custkey // 50 % 5 = 3 then 'x' else '' end as claimed from customer group by c_custkey // 50)
@@ -198,11 +222,19 @@ def pack_segments(t: Tables) -> DataFrame:
     return out.drop("size").withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("from_timestamp", "to_timestamp")})
 
 
-@query("A13", "v_episodes", """select episode_index, task, length, dataset_from_index, dataset_to_index, episode_index // 10 as file_index from v_episodes
-union all select max(episode_index) + 1, 'new task', 33, max(dataset_to_index), max(dataset_to_index) + 33, max(episode_index // 10) + 1 from v_episodes""")
-def append_episode(t: Tables) -> DataFrame:
-    rows = t.episodes.withColumn("file_index", F.floor(F.col("episode_index") / 10))
-    return S.append_episode(rows, 33, "new task")
+@query("A13", "v_episodes", """select episode_index, 'base' as added, task, length, dataset_from_index, dataset_to_index, episode_index // 10 as file_index from v_episodes
+union all select n + 1 + k, added, 'new task', len, z + before, z + before + len, n // 10 + case when added = 'later' then 1 else 2 end from e, late""",
+       extra="""e as (select max(episode_index) as n, max(dataset_to_index) as z from v_episodes),
+late as (select * from (values ('later', 0, 33, 0), ('later', 1, 7, 33), ('last', 2, 12, 40)) v(added, k, len, before))""")
+def append_episodes(t: Tables) -> DataFrame:
+    """A stored set, an append that is run twice, and another one, read back."""
+    path = _scratch(t, "episode-store")
+    store.append_episodes(path, t.episodes.select("task", "length", F.lit("base").alias("added"), F.col("episode_index").alias("k")), ["k"], "base")
+    late = t.spark.createDataFrame([("later", 0, 33), ("later", 1, 7), ("last", 2, 12)], "added string, k long, length long").withColumn("task", F.lit("new task"))
+    for name in ("later", "later", "last"):
+        store.append_episodes(path, late.where(F.col("added") == name), ["k"], name)
+    columns = ("episode_index", "added", "task", "length", "dataset_from_index", "dataset_to_index", "file_index")
+    return store.read_store(t.spark, path).select(*columns)
 
 
 @query("C10", "v_episodes", """select episode_index, '' as absent_from, length, dataset_from_index, camera, cast(sum_episode as double) as episode_min from (

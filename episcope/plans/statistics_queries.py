@@ -22,7 +22,8 @@ def _long(t: Tables) -> DataFrame:
 
 
 def _replayed(t: Tables) -> DataFrame:
-    return M.order_replay(t.vectors, M.episode_orders(t.vectors, range(1, 11)))
+    """Eleven orders of the vectors' numbers, written once for the queries of the study."""
+    return t._once("replayed", lambda: M.order_replay(t.vectors, M.episode_orders(t.vectors, range(1, 11))))
 
 
 def _reference(t: Tables) -> DataFrame:
@@ -30,7 +31,7 @@ def _reference(t: Tables) -> DataFrame:
 
 
 def _conditions(t: Tables) -> DataFrame:
-    return t._once("conditions", lambda: M.condition_stats(_replayed(t), SIZES, FEATURES))
+    return t._once("conditions", lambda: M.condition_stats(_replayed(t), t.vectors, SIZES, FEATURES))
 
 
 def _errors(t: Tables) -> DataFrame:
@@ -53,12 +54,18 @@ rep as (select o.order_name, v.*, row_number() over (partition by o.order_name o
   from v_vec v join ords o on o.episode_index = v.episode_index)"""
 _COND = _ORD + """,
 bat as (select * from rep cross join (select unnest([1, 8, 32, 128]) as batch_size)),
-fr as (select order_name, batch_size, 'state' as feature_group, unnest(range(64)) as component_index, cast(unnest(state) as double) as x from bat where ordinal % batch_size = 0
- union all select order_name, batch_size, 'actions', unnest(range(64)), cast(unnest(actions) as double) from bat where ordinal % batch_size = 0),
-cs as (select 'first_row' as arm, order_name, batch_size, feature_group, component_index, count(*) as count, avg(x) as mean, stddev_pop(x) as std from fr group by all
- union all select arm, order_name, batch_size, feature_group, component_index, count, mean, std from (
-   select feature_group, component_index, count(*) as count, avg(x) as mean, stddev_pop(x) as std from v_comp group by all),
-   (select distinct order_name, batch_size from bat), (select unnest(['all_rows', 'all_rows_single_squares']) as arm)),
+bl as (select order_name, batch_size, ordinal, 'state' as feature_group, unnest(range(64)) as component_index, unnest(state) as x from bat
+ union all select order_name, batch_size, ordinal, 'actions', unnest(range(64)), unnest(actions) from bat),
+bc as (select order_name, batch_size, ordinal // batch_size as b, feature_group, component_index, count(*) as n, avg(x::double) as m, avg(x::double * x::double) as q,
+  avg((x::float * x::float)::double) as q1, var_pop(x::double) * count(*) as m2, min_by(x::double, ordinal) as first_x from bl group by all),
+bm as (select order_name, batch_size, feature_group, component_index, cast(sum(n) as bigint) as count, sum(n * m) / sum(n) as mean, sum(n * q) / sum(n) as sq, sum(n * q1) / sum(n) as sq1,
+  count(*) as batches, avg(first_x) as fm, avg(first_x * first_x) as fq from bc group by all),
+bs as (select bm.*, (select sum(bc.m2 + bc.n * (bc.m - bm.mean) * (bc.m - bm.mean)) from bc where bc.order_name = bm.order_name and bc.batch_size = bm.batch_size
+  and bc.feature_group = bm.feature_group and bc.component_index = bm.component_index) as m2 from bm),
+cs as (select 'first_row' as arm, order_name, batch_size, feature_group, component_index, batches as count, fm as mean, sqrt(greatest(0, fq - fm * fm)) as std from bs
+ union all select 'all_rows', order_name, batch_size, feature_group, component_index, count, mean, sqrt(greatest(0, sq - mean * mean)) from bs
+ union all select 'all_rows_single_squares', order_name, batch_size, feature_group, component_index, count, mean, sqrt(greatest(0, sq1 - mean * mean)) from bs
+ union all select 'all_rows_stable', order_name, batch_size, feature_group, component_index, count, mean, sqrt(m2 / count) from bs),
 ref as (select feature_group, component_index, avg(x) as mean, stddev_pop(x) as std from v_comp group by all),
 er as (select cs.arm, cs.order_name, cs.batch_size, cs.feature_group, cs.component_index, abs(cs.mean - ref.mean) as mean_error, abs(cs.std - ref.std) as std_error
   from cs join ref on ref.feature_group = cs.feature_group and ref.component_index = cs.component_index),
@@ -105,7 +112,8 @@ def moments_merge(t: Tables) -> DataFrame:
 @query("D11", "v_vec v_comp", """select order_name, batch_size, feature_group, component_index, count, round(mean, 6) + 0.0 as mean, round(std, 6) + 0.0 as std
 from cs where arm = 'first_row'""", extra=_COND)
 def first_of_batch_moments(t: Tables) -> DataFrame:
-    long = M.long_components(M.first_of_batch(_replayed(t), SIZES), FEATURES, ["order_name", "batch_size"])
+    led = M.with_vectors(M.first_of_batch(_replayed(t), SIZES), t.vectors, list(FEATURES.values()))
+    long = M.long_components(led, FEATURES, ["order_name", "batch_size"])
     return _round(M.moments_by_squares(long, ["order_name", "batch_size", *M.COMPONENT]), "mean std")
 
 
@@ -221,9 +229,9 @@ def merge_feature_stats(t: Tables) -> DataFrame:
     return _round(M.merge_feature_stats(t.stats), "mean std min max")
 
 
-@query("W14", "v_vec", "select order_name, vec_id, batch_size, ordinal // batch_size as batch_ordinal, ordinal % batch_size = 0 as leads_batch from rep cross join (select unnest([8, 32]) as batch_size)", extra=_ORD)
+@query("W14", "v_vec", "select order_name, vec_id, batch_size, ordinal // batch_size as batch_ordinal, ordinal % batch_size = 0 as leads_batch from rep cross join (select unnest([1, 8, 32, 128]) as batch_size)", extra=_ORD)
 def batch_ordinal(t: Tables) -> DataFrame:
-    return M.with_batches(_replayed(t), (8, 32)).select("order_name", "vec_id", "batch_size", "batch_ordinal", "leads_batch")
+    return M.with_batches(_replayed(t), SIZES).select("order_name", "vec_id", "batch_size", "batch_ordinal", "leads_batch")
 
 
 @query("C11", "v_vec", "select order_name, vec_id, ordinal from rep", extra=_ORD)

@@ -37,11 +37,14 @@ def asof_latest_at_or_before(t: Tables) -> DataFrame:
     )
 
 
-@query("C5", "v_media v_requests", """select request_id, case when b is null or (a is not null and a - t < t - b) then a else b end as returned_t from (
-select r.request_id, r.t, max(case when m.t <= r.t then m.t end) as b, min(case when m.t >= r.t then m.t end) as a
-from v_requests r join v_media m on m.video = r.video group by r.request_id, r.t)""")
+@query("C5", "v_media v_requests", """select n.request_id, n.returned_t, f.returned_frame, m.digest as returned_digest from (
+  select request_id, video, case when b is null or (a is not null and a - t < t - b) then a else b end as returned_t from (
+  select r.request_id, r.video, r.t, max(case when m.t <= r.t then m.t end) as b, min(case when m.t >= r.t then m.t end) as a
+  from v_requests r join v_media m on m.video = r.video group by r.request_id, r.video, r.t)) n
+left join (select video, t, min(frame_id) as returned_frame from v_media group by video, t) f on f.video = n.video and f.t = n.returned_t
+left join v_media m on m.frame_id = f.returned_frame""")
 def nearest_in_time(t: Tables) -> DataFrame:
-    return O.nearest_in_time(t.requests, t.media_frames).select("request_id", "returned_t")
+    return O.nearest_in_time(t.requests, t.media_frames).select("request_id", "returned_t", "returned_frame", "returned_digest")
 
 
 @query("C6", "v_media v_requests", "select request_id, returned_t, returned_frame from fn", extra=_FIRSTN)

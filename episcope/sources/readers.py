@@ -50,6 +50,37 @@ def read_json_document(spark: SparkSession, path: str, schema: str | T.StructTyp
     return reader.json(path, multiLine=True)
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Whole JSON documents of unknown shape as ``(file, document)``, the document as VARIANT."""
+    return spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("document")
+    )
+
+
+def document_entries(df: DataFrame, document: str, at: str = "$") -> DataFrame:
+    """The members of the JSON object at a path: rows ``(..., name, entry)``; none where it is no object."""
+    here = F.try_variant_get(document, at, "variant")
+    members = F.when(F.schema_of_variant(here).startswith("OBJECT"), here.cast("map<string, variant>"))
+    return df.select(*[c for c in df.columns if c != document], F.explode(members).alias("name", "entry"))
+
+
+def document_values(df: DataFrame, value: str, depth: int = 4) -> DataFrame:
+    """Numbers of arrays nested up to ``depth`` levels: rows ``(..., position, number)``.
+
+    ``position`` joins the places of all levels by ``/`` (empty for a plain number). What is no number
+    gives a null.
+    """
+    keep = [c for c in df.columns if c != value]
+    rows = df.select(*keep, F.lit("").alias("position"), F.col(value).alias("_v"))
+    for _ in range(depth):
+        nested = F.schema_of_variant("_v").startswith("ARRAY")
+        inner = F.when(nested, F.col("_v").cast("array<variant>")).otherwise(F.array("_v"))
+        rows = rows.select(*keep, "position", nested.alias("_nested"), F.posexplode(inner).alias("_at", "_v"))
+        step = F.concat(F.when(F.col("position") != "", F.concat("position", F.lit("/"))).otherwise(""), F.col("_at").cast("string"))
+        rows = rows.select(*keep, F.when(F.col("_nested"), step).otherwise(F.col("position")).alias("position"), "_v")
+    return rows.select(*keep, "position", F.try_variant_get("_v", "$", "double").alias("number"))
+
+
 def json_entries(df: DataFrame, text: str, value_type: str = "bigint") -> DataFrame:
     """Explode a column of JSON objects to rows ``(..., name, value)``."""
     parsed = F.from_json(F.col(text), f"map<string,{value_type}>")
@@ -150,18 +181,3 @@ def merge_episode_metadata(legacy: DataFrame, offsets: DataFrame, segments: Data
         .select(key, F.array_join(F.array_compact(F.array(*[F.when(F.col(n) == 0, n) for n in sources])), ",").alias("absent_from"))
     )
     return merged, mismatches
-
-
-def append_episode(episodes: DataFrame, length: int, task: str, file_size_reached: bool = True) -> DataFrame:
-    """Add one episode behind the last: next index, next offset, and a fresh data file."""
-    last = episodes.agg(
-        F.coalesce(F.max("episode_index") + 1, F.lit(0)).alias("episode_index"),
-        F.coalesce(F.max("dataset_to_index"), F.lit(0)).alias("dataset_from_index"),
-        F.coalesce(F.max("file_index"), F.lit(-1 if file_size_reached else 0)).alias("_file"),
-    )
-    fresh = last.select(
-        "episode_index", F.lit(task).alias("task"), F.lit(length).cast("long").alias("length"), "dataset_from_index",
-        (F.col("dataset_from_index") + length).alias("dataset_to_index"),
-        (F.col("_file") + int(file_size_reached)).alias("file_index"),
-    )
-    return episodes.select(*fresh.columns).unionByName(fresh)

@@ -7,17 +7,23 @@ checkpoint folder. ``run_to_end`` drives a stream over everything that is availa
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import (
+    ExpiredTimerInfo,
+    StatefulProcessor,
+    StatefulProcessorHandle,
+    TimerValues,
+)
 
 from episcope.operators.expectations import Expectation, run_suite
 from episcope.operators.statistics import COMPONENT, long_components
-from episcope.session import scratch_folder
+from episcope.session import scratch_folder, ship_package
 
 FRAMES_PER_BLOCK = 4_096
 
@@ -51,58 +57,100 @@ def stream_expectations(stream: DataFrame, suite: Sequence[Expectation], time: s
     return results.select(F.col("window.start").alias("window_start"), *[c for c in results.columns if c != "window"])
 
 
-_STATE = "seen binary, rows long, late long, generation long, sequence long"
+def suite_per_batch(suite: Sequence[Expectation], path: str, by: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: the suite's results on every micro-batch, in a folder per batch.
+
+    The folder carries the number of the batch and is written over, so a batch that Spark runs again leaves
+    one result. All rules can be used, also those that look at other rows of the batch.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        run_suite(batch, suite, by, observed=True).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+
+    return write
+
+
 _STATUS = "generation long, sequence long, rows long, late long, highest long, words array<long>"
+_SEEN = "rows long, late long, generation long, sequence long, touched long, words array<long>"
+
+
+def _block_processor(names: list[str], time: str, expiry_ms: int, block: int) -> StatefulProcessor:
+    """The keyed state of ``stream_chain``.
+
+    The class is made here, so that it is shipped by value: Spark also starts it in a worker beside the driver,
+    which has no copy of this package.
+    """
+
+    class Blocks(StatefulProcessor):
+        """Frame numbers seen in one block of an episode: counts, and a bitmap as 64-bit words.
+
+        One value, so that a block costs two calls to the state server a batch, whatever arrives.
+        """
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.seen = handle.getValueState("seen", _SEEN)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+            now, behind = timerValues.getCurrentProcessingTimeInMs(), timerValues.getCurrentWatermarkInMs()
+            held = self.seen.get()
+            number, late, generation, sequence, _, words = held if held is not None else (0, 0, now, 0, now, [0] * (block // 64))
+            seen = np.zeros(block, dtype=bool)
+            for chunk in rows:
+                ms = chunk[time].astype("datetime64[ms]").astype("int64").to_numpy()
+                seen[chunk["place_in_block"].to_numpy()] = True
+                number += len(chunk)
+                late += int((ms < behind).sum())
+            words = np.array(words, np.int64) | np.packbits(seen, bitorder="little").view("<i8")
+            self.seen.update((int(number), int(late), int(generation), int(sequence + 1), int(now), words.tolist()))
+            if held is None:  # one timer a block; it is moved on when it fires too early
+                self.handle.registerTimer(now + expiry_ms)
+            highest = int(np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little"))[-1])
+            yield pd.DataFrame(
+                {
+                    **{n: [k] for n, k in zip(names, key, strict=True)},
+                    "generation": [generation], "sequence": [sequence + 1], "rows": [number], "late": [late],
+                    "highest": [int(key[-1]) * block + highest], "words": [words],
+                }
+            )
+
+        def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+            held = self.seen.get()
+            due = held[4] + expiry_ms if held is not None else 0
+            if due > expiredTimerInfo.getExpiryTimeInMs():
+                self.handle.registerTimer(due)
+            else:
+                self.seen.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    return Blocks()
 
 
 def stream_chain(stream: DataFrame, keys: Sequence[str], frame: str, time: str, lateness: str,
                  expiry_ms: int, block: int = FRAMES_PER_BLOCK) -> DataFrame:
     """Gaps and duplicates of frame numbers as they arrive; no row is left out, late ones are counted.
 
-    State is kept per episode and block of frame numbers: a bitmap of what was seen, so an episode
-    of any length is spread over many small states. Each touched block emits its status so far, with its
-    bitmap; ``chain_status`` turns the statuses into gaps and duplicates. A row is late if its time lies
-    behind the watermark. A block that gets no row for ``expiry_ms`` of processing time is forgotten; if
-    rows come later they begin a new generation, which ``chain_status`` joins with the old one.
+    State is kept per episode and block of frame numbers, in RocksDB: counts and a bitmap of what was seen, so
+    an episode of any length is spread over many small states. Each touched block emits its status so far, with
+    its bitmap; ``chain_status`` turns the statuses into gaps and duplicates. A row is late if its time lies
+    behind the watermark. A block that gets no row for ``expiry_ms`` of processing time is forgotten by its
+    timer; if rows come later they begin a new generation, which ``chain_status`` joins with the old one.
     """
     if block % 64:
         raise ValueError("a block is a whole number of 64-bit words")
+    ship_package(stream.sparkSession)
     prepared = stream.withWatermark(time, lateness).select(
-        *keys, F.floor(F.col(frame) / block).alias("block"), (F.col(frame) % block).cast("long").alias("_at"), time
+        *keys, F.floor(F.col(frame) / block).alias("block"), (F.col(frame) % block).cast("long").alias("place_in_block"), time
     )
     types = dict(prepared.dtypes)
     names = [*keys, "block"]
-
-    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now, behind = state.getCurrentProcessingTimeMs(), state.getCurrentWatermarkMs()
-        packed, rows, late, generation, sequence = state.get if state.exists else (b"", 0, 0, now, 0)
-        bits = np.zeros(block, dtype=bool)
-        if packed:
-            bits[:] = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), bitorder="little").astype(bool)
-        for chunk in chunks:
-            ms = chunk[time].astype("datetime64[ms]").astype("int64").to_numpy()
-            bits[chunk["_at"].to_numpy()] = True
-            rows += len(chunk)
-            late += int((ms < behind).sum())
-        packed = np.packbits(bits, bitorder="little").tobytes()
-        state.update((packed, rows, late, generation, sequence + 1))
-        state.setTimeoutDuration(expiry_ms)
-        yield pd.DataFrame(
-            {
-                **{n: [k] for n, k in zip(names, key)},
-                "generation": [generation], "sequence": [sequence + 1], "rows": [rows], "late": [late],
-                "highest": [int(key[-1]) * block + int(np.flatnonzero(bits)[-1])],
-                "words": [np.frombuffer(packed, dtype="<i8")],
-            }
-        )
-
     schema = ", ".join(f"{n} {types[n]}" for n in names) + ", " + _STATUS
-    # Processing-time expiry: with event-time expiry, rows behind the watermark would never get here.
-    return prepared.groupBy(*names).applyInPandasWithState(
-        update, schema, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+    # Timers of processing time: with event-time expiry, rows behind the watermark would never get here.
+    return prepared.groupBy(*names).transformWithStateInPandas(
+        _block_processor(names, time, expiry_ms, block), schema, "append", "processingTime"
     )
 
 
@@ -127,6 +175,35 @@ def chain_status(statuses: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+#: Settings of a run: state in RocksDB, and whether a batch may follow that has no new input.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: Mapping[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _started(stream: DataFrame, mode: str, folder: str):
+    return stream.writeStream.outputMode(mode).trigger(availableNow=True).option(
+        "checkpointLocation", f"{folder}/checkpoint"
+    )
+
+
+def _fresh_folder(spark: SparkSession) -> tuple[str, str]:
+    name = f"stream_{uuid.uuid4().hex}"
+    return name, f"{scratch_folder(spark)}/{spark.sparkContext.applicationId}/{name}"
+
+
 def run_to_end(stream: DataFrame, mode: str, *, into_memory: bool, idle_batches: bool = True) -> DataFrame:
     """Run over all available input and return the result table.
 
@@ -135,25 +212,41 @@ def run_to_end(stream: DataFrame, mode: str, *, into_memory: bool, idle_batches:
     otherwise ask for another batch for ever.
     """
     spark = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    folder = f"{scratch_folder(spark)}/{spark.sparkContext.applicationId}/{name}"
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option(
-        "checkpointLocation", f"{folder}/checkpoint"
-    )
-    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(idle_batches).lower())
-    try:
+    name, folder = _fresh_folder(spark)
+    writer = _started(stream, mode, folder)
+    with _settings(spark, {_STORE: _ROCKS, _IDLE: str(idle_batches).lower()}):
         if into_memory:
             started = writer.format("memory").queryName(name).start()
         else:
             started = writer.format("parquet").option("path", f"{folder}/out").start()
         started.awaitTermination()
-    finally:
-        spark.conf.set(setting, before)
     return spark.table(name) if into_memory else spark.read.parquet(f"{folder}/out")
 
 
+def run_in_slices(slices: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], mode: str,
+                  each: Callable[[str], Callable[[DataFrame, int], None]] | None = None,
+                  idle_batches: bool = True) -> DataFrame:
+    """Feed slices one after another to a stream, each by as many files as its plan has tasks, as one batch.
+
+    ``build`` makes the result from the stream of all slices' files; every slice is one run over what is new,
+    on one checkpoint, so state and watermark go on. ``each`` makes a ``foreachBatch`` function from the folder
+    that results go to; without it they are appended as Parquet files. Returns the results.
+    """
+    spark = slices[0].sparkSession
+    _, folder = _fresh_folder(spark)
+    with _settings(spark, {_STORE: _ROCKS, _IDLE: str(idle_batches).lower()}):
+        for number, part in enumerate(slices):
+            part.write.parquet(f"{folder}/in/slice={number}")
+            stream = read_table_stream(spark, f"{folder}/in", files_per_trigger=2**31 - 1).drop("slice")
+            writer = _started(build(stream), mode, folder)
+            if each is None:
+                started = writer.format("parquet").option("path", f"{folder}/out").start()
+            else:
+                started = writer.foreachBatch(each(f"{folder}/out")).start()
+            started.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 def rounded_moments(df: DataFrame) -> DataFrame:
     def six(c: str) -> Column:
         return (F.round(c, 6) + F.lit(0.0)).alias(c)

@@ -15,6 +15,7 @@ from episcope.operators import lineage as L
 from episcope.operators import transforms as X
 from episcope.sources import readers as S
 from episcope.sources import sinks as W
+from episcope.sources import store
 
 
 def test_closeness(spark):
@@ -184,3 +185,44 @@ def test_coverage_gate_order(spark):
 
     assert [status(10, 0), status(10, 3), status(9, 3)] == ["PASS", "CHECK_FAILED", "INCOMPLETE"]
     assert [status(10, 0, nulls=1), status(10, 0, lengths=1), status(10, 0, unknown=1)] == ["INCOMPLETE"] * 3
+
+
+def test_an_append_that_is_run_again_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([(2, 7), (1, 5), (3, 4)], "k long, length long")
+    assert store.append_episodes(path, rows, ["k"], "a", per_file=2)
+    assert not store.append_episodes(path, rows, ["k"], "a", per_file=2)
+    # An append that died before its commit left rows behind; the next try writes over them.
+    spark.range(50).write.parquet(f"{path}/episodes/commit=b")
+    assert store.read_store(spark, path).count() == 3
+    assert store.append_episodes(path, rows.where("k = 2"), ["k"], "b")
+    got = store.read_store(spark, path).orderBy("episode_index").drop("k").collect()
+    assert [tuple(r) for r in got] == [(5, 0, 0, 5, 0), (7, 1, 5, 12, 0), (4, 2, 12, 16, 1), (7, 3, 16, 23, 2)]
+    assert store.append_episodes(path, rows.limit(0), ["k"], "empty")
+    assert store.append_episodes(path, rows.where("k = 2"), ["k"], "c")
+    assert store.read_store(spark, path).agg({"dataset_to_index": "max"}).first()[0] == 30
+    with pytest.raises(ValueError):
+        store.append_episodes(path, rows, ["k"], "../x")
+
+
+def test_documents_of_unknown_shape(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "one.json").write_text('{"a": {"min": [1, 2.5], "deep": [[[3]], [[4], [5]]], "n": 6, "text": ["x"]}, "b": 7, "c": {}}')
+    (tmp_path / "d" / "two.json").write_text('[1, 2]')
+    documents = S.read_documents(spark, str(tmp_path / "d"))
+    features = S.document_entries(documents, "document")
+    metrics = S.document_entries(features.drop("file").withColumnRenamed("name", "feature"), "entry")
+    got = S.document_values(metrics, "entry").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([
+        ("a", "min", "0", 1.0), ("a", "min", "1", 2.5), ("a", "deep", "0/0/0", 3.0), ("a", "deep", "1/0/0", 4.0), ("a", "deep", "1/1/0", 5.0),
+        ("a", "n", "", 6.0), ("a", "text", "0", None)], key=repr)
+    inner = S.document_entries(documents, "document", "$.a").collect()
+    assert {r["name"] for r in inner} == {"min", "deep", "n", "text"}
+
+
+def test_what_a_rule_saw(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (7, "b", 1.0), (9, None, 0.5)], "x long, s string, y double")
+    suite = [E.between("x", 0, 5), E.distinct_in_set("s", ["a"]), E.pair_greater("y", "x"), E.not_null("s"), E.row_count_equal(3), E.not_null("gone")]
+    got = [r["observed"] for r in E.run_suite(df, suite, observed=True).orderBy("ordinal").collect()]
+    assert got == ["7", "b", '{"y":0.5,"x":9}', None, "3", None]
+    assert "observed" not in E.run_suite(df, suite).columns

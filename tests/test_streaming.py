@@ -51,3 +51,22 @@ def test_ordered_rules_are_refused(spark, tmp_path):
     stream = K.read_table_stream(spark, path)
     with pytest.raises(ValueError):
         K.stream_expectations(stream, [E.unique("x")], "ts", "1 day", "1 day")
+
+
+def test_a_batch_that_runs_again_leaves_one_result(spark, tmp_path):
+    path = str(tmp_path / "results")
+    write = K.suite_per_batch([E.between("x", 0, 5), E.unique("x")], path)
+    first = spark.createDataFrame([(1,), (1,), (9,)], "x long")
+    write(first, 0)
+    write(spark.createDataFrame([(2,)], "x long"), 1)
+    write(first, 0)  # as Spark does after a failure between the write and the commit of the batch
+    rows = {(r["batch_id"], r["type"]): (r["success"], r["unexpected_count"], r["observed"]) for r in spark.read.parquet(path).collect()}
+    assert spark.read.parquet(path).count() == len(rows) == 4
+    assert rows[0, "between"] == (False, 1, "9") and rows[0, "unique"] == (False, 2, "1")
+    assert rows[1, "between"] == (True, 0, None) and rows[1, "unique"] == (True, 0, None)
+
+
+def test_each_slice_is_one_batch_of_many_files(spark):
+    slices = [spark.range(100 * i, 100 * i + 100, numPartitions=4).toDF("x") for i in range(3)]
+    done = K.run_in_slices(slices, lambda s: s, "append", lambda path: K.suite_per_batch([E.row_count_equal(100)], path))
+    assert sorted((r["batch_id"], r["success"]) for r in done.collect()) == [(0, True), (1, True), (2, True)]
