@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +47,8 @@ class Expectation:
 
     @property
     def kwargs_text(self) -> str:
-        return json.dumps(self.kwargs, sort_keys=True)
+        """Arguments as JSON; one that is a column is known only when the suite runs."""
+        return json.dumps(self.kwargs, sort_keys=True, default=lambda _: "fitted")
 
 
 RULES: dict[str, Callable[..., Expectation]] = {}
@@ -104,7 +105,9 @@ def of_type(c: str, type_: str) -> Expectation:
 
 
 @rule("between")
-def between(c: str, low: float | None = None, high: float | None = None) -> Expectation:
+def between(c: str, low: float | Column | None = None, high: float | Column | None = None) -> Expectation:
+    """Bounds are numbers, or columns of the checked rows (such as fitted ones)."""
+
     def bad() -> Column:
         out = F.lit(False)
         if low is not None:
@@ -117,7 +120,7 @@ def between(c: str, low: float | None = None, high: float | None = None) -> Expe
 
 
 @rule("row_count_equal")
-def row_count_equal(n: int) -> Expectation:
+def row_count_equal(n: int | Column) -> Expectation:
     return Expectation("row_count_equal", {"value": n}, table=lambda _: F.count(F.lit(1)) == n)
 
 
@@ -471,6 +474,43 @@ def fit_suite(fixture: DataFrame) -> list[Expectation]:
     return suite
 
 
+def fit_parameters(fixture: DataFrame) -> tuple[DataFrame, list[Expectation]]:
+    """The same suite without reading the fixture first: a one-row table of parameters, and rules that refer to it.
+
+    Join the row to the checked rows (``F.broadcast``); its columns begin with ``_fit``. A rule that the fixture does
+    not support, such as presence of a column with gaps, has an empty scope. Value sets hold 21 texts at most.
+    """
+    numeric = (T.LongType, T.IntegerType, T.DoubleType, T.FloatType)
+    fields = fixture.schema.fields
+    aggs, suite, sets = [], [columns_match_set([f.name for f in fields])], []
+    for f in fields:
+        missing = f"_fit_missing_{f.name}"
+        aggs.append(count_true(_missing(fixture, f.name)).alias(missing))
+        suite.append(replace(not_null(f.name), scope=F.col(missing) == 0))
+        if isinstance(f.dataType, (*numeric, T.BooleanType)):
+            suite.append(of_type(f.name, f.dataType.simpleString()))
+        if isinstance(f.dataType, numeric):
+            kept = F.when(~_missing(fixture, f.name), F.col(f.name))
+            low, high = f"_fit_low_{f.name}", f"_fit_high_{f.name}"
+            aggs += [F.min(kept).alias(low), F.max(kept).alias(high)]
+            suite.append(between(f.name, F.col(low), F.col(high)))
+        else:
+            values = f"_fit_values_{f.name}"
+            some = fixture.where(F.col(f.name).isNotNull()).select(F.col(f.name).cast("string").alias("v")).distinct()
+            sets.append(some.limit(MAX_DISTINCT_FOR_SET + 1).agg(F.collect_list("v").alias(values)))
+            suite.append(_in_fitted_set(f.name, values))
+    row = fixture.agg(*aggs)
+    for one in sets:
+        row = row.crossJoin(F.broadcast(one))  # one row each
+    return row, suite
+
+
+def _in_fitted_set(c: str, values: str) -> Expectation:
+    few = F.size(values).between(1, MAX_DISTINCT_FOR_SET)
+    bad = lambda: ~F.array_contains(F.col(values), F.col(c).cast("string"))
+    return replace(_row("distinct_in_set", c, bad, values="fitted"), scope=few)
+
+
 def _value_sets(fixture: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
     """At most 21 distinct values (as text) of each column, in one job."""
     parts = None

@@ -322,43 +322,59 @@ def contract_schema(df: DataFrame, required: Sequence[str], known_columns: int |
 
 
 def contract_identity(meta: DataFrame) -> DataFrame:
-    """Every counter of the episode identity contract, from one ordered pass and one aggregate."""
-    base = ordered_scan(
-        with_source(meta), [], ["episode_index"],
-        lags={"previous_index": "episode_index", "previous_stop": "dataset_to_index"},
-    )
-    rows = local_numbering(base)
+    """Every counter of the episode identity contract.
+
+    What a row shows alone is decided first, so only numbers and flags are put in order: once by episode, and
+    once inside the source prefix. Repeated indices are rows equal to the one before; repeated ids are
+    counted per id. A missing identity value is a finding of its own.
+    """
+    bounds = ("episode_index", "length", "dataset_from_index", "dataset_to_index")
     fields = global_identity()
-    episode_ok = every(fields[f] for f in fields if f.startswith("episode_index"))
-    index_ok = every(fields[f] for f in fields if f.startswith("index"))
-    std_ok = close(cell("index", "std"), uniform_std("length"))
-    local_start = close(cell("episode_index", "min"), F.col("local_episode")) & close(
-        cell("index", "min"), F.col("local_start")
-    )
-    counters = {
+    about_episode = every(fields[f] for f in fields if f.startswith("episode_index"))
+    about_index = every(fields[f] for f in fields if f.startswith("index"))
+    alone = {
+        # ids and texts
         "empty_episode_ids": F.coalesce(F.col("episode_id"), F.lit("")) == "",
         "empty_tasks": F.coalesce(F.size("tasks"), F.lit(0)) <= 0,
+        "missing_identity_values": ~every(F.col(f"`{c}`").isNotNull() for c in (*bounds, *FILE_COLUMNS)),
+        # numbers
         "nonpositive_lengths": F.col("length") <= 0,
         "negative_episode_indices": F.col("episode_index") < 0,
+        "negative_file_indices": ~every(F.col(f"`{c}`") >= 0 for c in FILE_COLUMNS),
+        "interval_length_mismatches": F.col("dataset_to_index") - F.col("dataset_from_index") != F.col("length"),
+        # stored summaries
+        "episode_summary_mismatches": ~about_episode,
+        "index_location_mismatches": ~about_index,
+        "index_std_mismatches": ~close(cell("index", "std"), uniform_std("length")),
+    }
+    rows = meta.select(
+        *bounds, source_prefix("episode_id").alias("source_prefix"), cell("episode_index", "min").alias("_seen_episode"),
+        cell("index", "min").alias("_seen_start"), *[F.coalesce(c, F.lit(False)).alias(n) for n, c in alone.items()],
+    )
+    chained = ordered_scan(
+        rows.select("episode_index", "dataset_from_index", "dataset_to_index"), [], ["episode_index", "dataset_from_index"],
+        lags={"previous_index": "episode_index", "previous_stop": "dataset_to_index"},
+    )
+    chain = {
+        "duplicate_episode_indices": F.col("episode_index") == F.col("previous_index"),
         "episode_index_gaps": F.col("episode_index") != F.col("previous_index") + 1,
-        "interval_length_mismatches": F.col("dataset_to_index") - F.col("dataset_from_index")
-        != F.col("length"),
         "interval_chain_breaks": F.col("dataset_from_index") != F.col("previous_stop"),
         "first_start_not_zero": F.col("previous_stop").isNull() & (F.col("dataset_from_index") != 0),
-        "negative_file_indices": ~every(F.col(f"`{c}`") >= 0 for c in FILE_COLUMNS),
-        "episode_summary_mismatches": ~episode_ok,
-        "index_location_mismatches": ~index_ok,
-        "index_std_mismatches": ~std_ok,
-        "index_any_mismatches": ~(index_ok & std_ok),
-        "identity_mismatches": ~(episode_ok & index_ok),
-        "identity_mismatches_local_pattern": ~(episode_ok & index_ok) & local_start,
     }
-    one = rows.agg(
-        (F.count(F.lit(1)) - F.count_distinct("episode_index")).alias("duplicate_episode_indices"),
-        (F.count(F.lit(1)) - F.count_distinct("episode_id")).alias("duplicate_episode_ids"),
-        *[count_true(F.coalesce(c, F.lit(False))).alias(n) for n, c in counters.items()],
+    mismatch = F.col("episode_summary_mismatches") | F.col("index_location_mismatches")
+    local = local_numbering(rows.drop("dataset_from_index", "dataset_to_index"))
+    as_local = close(F.col("_seen_episode"), F.col("local_episode")) & close(F.col("_seen_start"), F.col("local_start"))
+    summaries = {
+        "index_any_mismatches": F.col("index_location_mismatches") | F.col("index_std_mismatches"),
+        "identity_mismatches": mismatch,
+        "identity_mismatches_local_pattern": mismatch & F.coalesce(as_local, F.lit(False)),
+    }
+    ids = meta.groupBy("episode_id").agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_episode_ids")
     )
-    return counter_rows(one)
+    in_order = chained.agg(*[count_true(F.coalesce(c, F.lit(False))).alias(n) for n, c in chain.items()])
+    inside = local.agg(*[count_true(F.col(n)).alias(n) for n in alone], *[count_true(c).alias(n) for n, c in summaries.items()])
+    return counter_rows(inside.crossJoin(in_order).crossJoin(ids))  # one row each
 
 
 def uniform_std_check(meta: DataFrame, fps: float) -> DataFrame:

@@ -2,16 +2,20 @@
 
 ``ordered_scan`` gives row numbers, running totals, previous/next values and fills inside
 ``keys`` in the order of ``order``. The rows are dealt by range of (keys, order) and written once to
-the shared folder, with the number of their range as ``_block``; the input is evaluated for that alone.
-Windows then run per key and block, and one small table carries totals and edge values from block to
-block for the keys that lie in more than one. There is one path for every size, and what it returns
-does not depend on where the ranges end.
+the shared folder, with the number of their range as ``_block``. (The range shuffle draws a sample first, so
+what stands before it in the plan runs twice; a costly input is best written before.) Windows then run per key
+and block, and one small table carries totals and edge values from block to block for the keys that lie in
+more than one. There is one path for every size, and what it returns does not depend on where the ranges end.
+
+Several scans over the same order share one deal: ``deal`` gives the dealt rows, ``running`` adds
+columns to them and keeps them dealt, ``Dealt.done`` takes the rows out.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +32,24 @@ _EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
 Values = Mapping[str, "Column | str"]
 
 
+@dataclass(frozen=True)
+class Dealt:
+    """Rows with ``_block``, ranges of (keys, order), and the keys that lie in more than one block."""
+
+    rows: DataFrame
+    keys: tuple[str, ...]
+    order: tuple[str, ...]
+    spanning: DataFrame | None
+    unkeyed: bool = False
+
+    def done(self) -> DataFrame:
+        return self.rows.drop(_BLOCK, _ALL) if self.unkeyed else self.rows.drop(_BLOCK)
+
+    def over(self, rows: DataFrame) -> Dealt:
+        """The same deal for rows made from these, row by row, with their keys, order and block."""
+        return replace(self, rows=rows)
+
+
 def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys])
 
@@ -42,10 +64,22 @@ def dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame
     return written(ranged.withColumn(_BLOCK, F.spark_partition_id()), f"ordered-{uuid.uuid4().hex}")
 
 
-def ordered_scan(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
+def deal(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dealt:
+    """Deal ``df`` for scans in ``order`` inside ``keys``; all its columns are written, so hand in narrow rows."""
+    unkeyed = not keys
+    if unkeyed:
+        df, keys = df.withColumn(_ALL, F.lit(0)), [_ALL]
+    rows = dealt(df, keys, order)
+    return Dealt(rows, tuple(keys), tuple(order), _spanning(rows, keys), unkeyed)
+
+
+def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], **wanted) -> DataFrame:
+    """Deal ``df`` and add the running columns that ``running`` names; ``order`` must be unique inside ``keys``."""
+    return running(deal(df, keys, order), **wanted).done()
+
+
+def running(
+    source: Dealt,
     *,
     number: str | None = None,
     sums: Values | None = None,
@@ -54,17 +88,18 @@ def ordered_scan(
     leads: Values | None = None,
     fills: Values | None = None,
     backfills: Values | None = None,
-) -> DataFrame:
-    """Add running columns; ``order`` must be unique inside ``keys`` for a fixed result.
+) -> Dealt:
+    """Add running columns to dealt rows.
 
     ``number``: ordinal from 1. ``sums``: running total up to and with the row (null counts as 0).
     ``totals``: total over the key. ``lags`` / ``leads``: value of the previous / next row. ``fills`` /
     ``backfills``: nearest non-null value at or before / at or after the row. Sums and totals take whole
     numbers and decimals only, since floating sums depend on where blocks end.
     """
+    keys, order = source.keys, source.order
     groups = [dict(g or {}) for g in (sums, totals, lags, leads, fills, backfills)]
     named = {out: f"_v_{out}" for g in groups for out in g}
-    work = df.withColumns({named[out]: col(c) for g in groups for out, c in g.items()})
+    work = source.rows.withColumns({named[out]: col(c) for g in groups for out, c in g.items()})
     sums_, totals_, lags_, leads_, fills_, backfills_ = groups
     summed = {o: named[o] for o in (*sums_, *totals_)}
     inexact = [o for o, c in summed.items() if not isinstance(work.schema[c].dataType, _EXACT)]
@@ -72,11 +107,6 @@ def ordered_scan(
         raise ValueError(f"running sums take whole numbers or decimals: {inexact}")
     if summed:
         work = work.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in summed.values()})
-    unkeyed = not keys
-    if unkeyed:
-        work, keys = work.withColumn(_ALL, F.lit(0)), [_ALL]
-
-    work = dealt(work, keys, order)
     window = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
     to_here = window.rowsBetween(Window.unboundedPreceding, 0)
     from_here = window.rowsBetween(0, Window.unboundedFollowing)
@@ -103,23 +133,25 @@ def ordered_scan(
     replaced = [n for n in local if n in work.columns and n not in (*keys, *order)]
     out = work.select("*", *[c.alias(f"_o_{n}") for n, c in local.items()]).drop(*replaced)
     out = out.withColumnsRenamed({f"_o_{n}": n for n in local})
-    out = _carry_over_blocks(work, out, keys, order, named, number, groups)
-    extra = [*named.values(), _BLOCK, "_first", "_last"] + ([_ALL] if unkeyed else [])
-    return out.drop(*extra)
+    if source.spanning is not None:
+        out = _carry_over_blocks(work, out, source, named, number, groups)
+    return source.over(out.drop(*named.values(), "_first", "_last"))
 
 
-def _spanning(work: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that lie in more than one block; each block can add one at most, where it ends.
+def _spanning(rows: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys that lie in more than one block, or None; each block can add one at most, where it ends.
 
-    Such a key is the smallest or the largest of every block it is in.
+    Such a key is the smallest or the largest of every block it is in. One row per block reaches the driver.
     """
-    ends = work.groupBy(_BLOCK).agg(F.min(F.struct(*keys)).alias("lo"), F.max(F.struct(*keys)).alias("hi"))
+    ends = rows.groupBy(_BLOCK).agg(F.min(F.struct(*keys)).alias("lo"), F.max(F.struct(*keys)).alias("hi"))
     at_end = ends.select(_BLOCK, F.explode(F.array("lo", "hi")).alias("k"))
-    wide = at_end.groupBy("k").agg(F.min(_BLOCK).alias("a"), F.max(_BLOCK).alias("b")).where("a < b")
-    return wide.select(*[F.col(f"k.{k}").alias(f"_r_{k}") for k in keys])
+    wide = at_end.groupBy("k").agg(F.min(_BLOCK).alias("a"), F.max(_BLOCK).alias("b")).where("a < b").select("k.*")
+    found = wide.collect()
+    return _renamed(rows.sparkSession.createDataFrame(found, wide.schema), keys) if found else None
 
 
-def _carry_over_blocks(work, out, keys, order, named, number, groups) -> DataFrame:
+def _carry_over_blocks(work, out, source: Dealt, named, number, groups) -> DataFrame:
+    keys, order, spanning = source.keys, source.order, source.spanning
     sums, totals, lags, leads, fills, backfills = groups
     at = F.struct(*order)
     edges: dict[str, Column] = {"_n": F.count(F.lit(1))}
@@ -133,9 +165,9 @@ def _carry_over_blocks(work, out, keys, order, named, number, groups) -> DataFra
         edges[f"_e_{o}"] = F.max_by(named[o], F.when(F.col(named[o]).isNotNull(), at))
     for o in backfills:
         edges[f"_e_{o}"] = F.min_by(named[o], F.when(F.col(named[o]).isNotNull(), at))
-    spanning = _spanning(work, keys)
-    # Bounded: fewer keys than blocks span two.
-    inside = work.join(F.broadcast(spanning), _same_keys(work, spanning, keys), "left_semi")
+    inside = work
+    if not source.unkeyed:  # Bounded: fewer keys than blocks span two.
+        inside = work.join(F.broadcast(spanning), _same_keys(work, spanning, keys), "left_semi")
     blocks = inside.groupBy(*keys, _BLOCK).agg(*[c.alias(n) for n, c in edges.items()])
     # One row per block of a spanning key, so this window is small.
     window = Window.partitionBy(*keys).orderBy(_BLOCK)
@@ -174,33 +206,71 @@ def _carry_over_blocks(work, out, keys, order, named, number, groups) -> DataFra
     return merged.withColumns(final).drop(*carried, *[f"_r_{k}" for k in joint])
 
 
+#: Ranks that the first pass of ``exact_quantiles`` may be off by, as a share of the values.
+_RANK_SHARE = 1 / 5_000
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: Column | str, wanted: Mapping[str, float]
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key; null and NaN values are left out.
 
-    Equal values are counted first; the distinct ones get running counts, and two ranks are picked around
-    each quantile, so that no task holds all values of a key.
+    A first pass takes mergeable quantile summaries, whose ranks are off by a known share at most. That gives
+    bounds around each quantile. A second pass counts what lies below and above them and keeps the values
+    between them, counted per distinct value; their running counts show the two ranks around the quantile.
     """
-    keys = list(keys)
-    # Missing values become null, which ``count`` does not see. A filter here would be pushed below the
+    keys, named = list(keys), list(wanted)
+    # Missing values become null, which aggregates do not see. A filter here would be pushed below the
     # projection and repeat a long value expression at every level.
     rows = df.select(*keys, col(value).cast("double").alias("_v")).select(
         *keys, F.when(~F.isnan("_v"), F.col("_v")).alias("_x")
     )
-    counted = rows.groupBy(*keys, "_x").agg(F.count("_x").alias("_n"))
-    ranked = ordered_scan(counted, keys, ["_x"], sums={"_upto": "_n"}, totals={"_total": "_n"})
-    picks: list[Column] = []
-    for name, q in wanted.items():
-        place = (F.col("_total") - 1) * F.lit(float(q))
-        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            held = (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
-            picks.append(F.max(F.when(held, F.col("_x"))).alias(f"_{name}_{side}"))
-        picks.append(F.max(place - F.floor(place)).alias(f"_{name}_part"))
-    found = ranked.groupBy(*keys).agg(*picks)
-
-    def between(name: str) -> Column:
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * F.col(f"_{name}_part"))
-
-    return found.select(*keys, *[between(n).alias(n) for n in wanted])
+    near = [min(1.0, max(0.0, q + side * 2 * _RANK_SHARE)) for q in wanted.values() for side in (-1, 1)]
+    bounds = rows.groupBy(*keys).agg(
+        F.count("_x").alias("_total"), F.percentile_approx("_x", [float(q) for q in near], int(1 / _RANK_SHARE)).alias("_near")
+    )
+    spans = [
+        F.struct(
+            F.lit(n).alias("name"), F.get("_near", F.lit(2 * i)).alias("low"), F.get("_near", F.lit(2 * i + 1)).alias("high"),
+            ((F.col("_total") - 1) * F.lit(float(q))).alias("place"),
+        )
+        for i, (n, q) in enumerate(wanted.items())
+    ]
+    bounds = written(bounds.select(*keys, F.array(*spans).alias("_spans")), f"bounds-{uuid.uuid4().hex}")
+    if keys:
+        right = _renamed(bounds, keys)
+        met = rows.join(right, _same_keys(rows, right, keys)).drop(*[f"_r_{k}" for k in keys])
+    else:
+        met = rows.crossJoin(F.broadcast(bounds))  # one row
+    met = met.select(*keys, "_x", F.explode("_spans").alias("_s"))
+    # Of the values below the bounds only the number and the largest matter, of those above only the smallest.
+    # Missing values make a group that counts nothing.
+    side = F.when(F.col("_x") < F.col("_s.low"), -1).when(F.col("_x") > F.col("_s.high"), 1).otherwise(0)
+    inside = F.when(side == 0, F.col("_x"))
+    counted = met.groupBy(*keys, F.col("_s.name").alias("_name"), F.col("_s.place").alias("_place"), side.alias("_side"), inside.alias("_at")).agg(
+        F.count("_x").alias("_n"), F.min("_x").alias("_least"), F.max("_x").alias("_most")
+    )
+    by = [*keys, "_name"]
+    ranked = ordered_scan(counted, by, ["_side", "_at"], sums={"_upto": "_n"})
+    start, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
+    off = F.raise_error(F.lit("a quantile lies outside its bounds")).cast("double")
+    picks = []
+    for name, rank in (("lo", F.floor("_place")), ("hi", F.ceil("_place"))):
+        seen = (
+            F.when(F.col("_side") == 0, F.col("_at"))
+            .when((F.col("_side") < 0) & (rank == last), F.col("_most"))
+            .when((F.col("_side") > 0) & (rank == start), F.col("_least"))
+            .otherwise(off)
+        )
+        picks.append(F.max(F.when((rank >= start) & (rank <= last), seen)).alias(f"_{name}"))
+    found = ranked.groupBy(*by).agg(*picks, F.max("_place").alias("_place"))
+    lo, hi, part = F.col("_lo"), F.col("_hi"), F.col("_place") - F.floor("_place")
+    between = F.when(lo == hi, lo).otherwise(lo + (hi - lo) * part)
+    found = found.select(*keys, "_name", between.alias("_q"))
+    taken = [F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in named]
+    found = found.groupBy(*keys).agg(*taken)
+    if not keys:
+        return found
+    # Keys without any value have null quantiles.
+    every, right = bounds.select(*keys), _renamed(found, keys)
+    return every.join(right, _same_keys(every, right, keys), "left").select(*keys, *named)

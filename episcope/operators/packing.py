@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episcope.operators.ordered import ordered_scan
+from episcope.operators.ordered import Dealt, deal, ordered_scan, running
 from episcope.session import written
 
 BLOCK_ITEMS = 500_000
@@ -102,12 +102,14 @@ def _mark_chain(items: DataFrame, keys: Sequence[str], cap: int, first: DataFram
     marks = flagged.groupBy(*keys, "_b").applyInPandas(
         _walk_block, f"{key_types}, _k long, _b long, _start boolean"
     )
-    return _table(items.join(marks.drop("_b"), [*keys, "_k"]), "marked")
+    return _table(items.join(marks.drop("_b", "_block"), [*keys, "_k"]), "marked")
 
 
-def _numbered(items: DataFrame, keys: Sequence[str], order: Sequence[str], size: str) -> DataFrame:
+def _numbered(items: DataFrame, keys: Sequence[str], order: Sequence[str], size: str) -> Dealt:
+    """Items with ``_k`` and the running size ``_p``; all later scans go on with this deal."""
     base = items.withColumn("_size", F.col(size).cast("long"))
-    return _table(ordered_scan(base, keys, order, number="_k", sums={"_p": "_size"}), "items")
+    run = running(deal(base, keys, order), number="_k", sums={"_p": "_size"})
+    return run.over(_table(run.rows, "items"))
 
 
 def _file_columns(file: str, chunk_files: int) -> dict:
@@ -128,25 +130,23 @@ def pack_data_files(
     ``faulty_from_index``, the start that a counter reset at each file change would give.
     """
     numbered = _numbered(items, keys, order, size)
-    first = numbered.where(F.col("_p") >= cap).groupBy(*keys).agg(F.min("_k").alias("_k"))
-    marked = _mark_chain(numbered, keys, cap, first, block_items)
-    run = ordered_scan(
-        marked, keys, ["_k"],
+    first = numbered.rows.where(F.col("_p") >= cap).groupBy(*keys).agg(F.min("_k").alias("_k"))
+    marked = numbered.over(_mark_chain(numbered.rows, keys, cap, first, block_items))
+    run = running(
+        marked,
         sums={"_closings": F.col("_start").cast("long"), "dataset_to_index": length},
-        lags={"_closed_before": "_start"},
+        lags={"_closed_before": "_start", "_previous_length": length},
     )
-    run = run.withColumns(
+    rows = run.rows.withColumns(
         {
             "_file": F.col("_closings") - F.col("_start").cast("long"),
             "dataset_from_index": F.col("dataset_to_index") - F.col(length),
         }
     )
     # After a file change the faulty counter holds the length of the closing item only.
-    with_previous = ordered_scan(run, keys, ["_k"], lags={"_previous_from": "dataset_from_index"})
-    based = ordered_scan(
-        with_previous, keys, ["_k"], fills={"_base": F.when(F.col("_closed_before"), F.col("_previous_from"))}
-    )
-    out = based.withColumn(
+    previous_from = F.col("dataset_from_index") - F.col("_previous_length")
+    based = running(run.over(rows), fills={"_base": F.when(F.col("_closed_before"), previous_from)})
+    out = based.rows.withColumn(
         "faulty_from_index", F.col("dataset_from_index") - F.coalesce("_base", F.lit(0))
     ).withColumns(_file_columns("_file", chunk_files))
     return out.drop(*[c for c in out.columns if c.startswith("_")])
@@ -161,12 +161,12 @@ def pack_segments(
     Adds ``chunk_index, file_index`` and ``from_timestamp, to_timestamp``, which restart per file.
     """
     numbered = _numbered(items, keys, order, size)
-    first = numbered.groupBy(*keys).agg(F.min("_k").alias("_k"))
-    marked = _mark_chain(numbered, keys, cap, first, block_items)
-    run = ordered_scan(
-        marked, keys, ["_k"], sums={"_starts": F.col("_start").cast("long")},
+    first = numbered.rows.groupBy(*keys).agg(F.min("_k").alias("_k"))
+    marked = numbered.over(_mark_chain(numbered.rows, keys, cap, first, block_items))
+    run = running(
+        marked, sums={"_starts": F.col("_start").cast("long")},
         fills={"_origin": F.when(F.col("_start"), F.col("_p") - F.col("_size"))},
-    ).withColumn("_file", F.col("_starts") - 1)
+    ).rows.withColumn("_file", F.col("_starts") - 1)
     rate = F.lit(float(units_per_second))
     out = run.withColumns(
         {

@@ -159,6 +159,13 @@ def retrieval_metrics(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     return counts.join(marks, list(by), "left")
 
 
+def retrieval_metrics_with_total(scored: DataFrame, by: Sequence[str], group: str, total: str = "all") -> DataFrame:
+    """The metrics per group and over all groups (``group`` is ``total``), from one pass: narrow rows count twice."""
+    narrow = ("correct", "missing", "time_error", "beyond_interval")
+    both = scored.select(*by, F.explode(F.array(F.col(group), F.lit(total))).alias(group), *narrow)
+    return retrieval_metrics(both, [*by, group])
+
+
 def segment_validity(bounds_ok: Column | None = None) -> dict[str, Column]:
     """Row predicates on segments ``(from_timestamp, to_timestamp, length, file ids)``."""
     from episcope.functions.columns import TIME_TOLERANCE, close, finite

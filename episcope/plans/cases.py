@@ -7,8 +7,9 @@ information. The SQL twins are written separately at the end.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,8 @@ class Case:
     informed: list[E.Expectation]
     fit: Column | None = None
     fixture: DataFrame | None = None
+    #: One row of limits that declared rules refer to as columns.
+    limits: DataFrame | None = None
 
     @property
     def public_rows(self) -> DataFrame:
@@ -62,37 +65,46 @@ class Case:
         """What the table holds besides the public columns."""
         return [c for c in self.rows.columns if c not in self.public]
 
-    def scaffold(self) -> list[E.Expectation]:
-        out = [E.columns_match_set(list(self.public), ignore=self.enriched)]
+    def scaffold(self, added: list[str]) -> list[E.Expectation]:
+        out = [E.columns_match_set(list(self.public), ignore=[*self.enriched, *added])]
         for name, type_ in self.public.items():
             out += [E.not_null(name), E.of_type(name, type_)]
         return out
 
+    @property
+    def fit_source(self) -> DataFrame:
+        """The rows that parameters are fitted on."""
+        if self.fixture is not None:
+            return self.fixture.select(*self.public)
+        source, _ = E.disjoint_split(self.rows.where(F.col("branch") == "reference"), self.fit)
+        return source.select(*self.public)
+
     @cached_property
     def fitted(self) -> list[E.Expectation]:
-        if self.fixture is not None:
-            source = self.fixture
-        else:
-            source, _ = E.disjoint_split(self.rows.where(F.col("branch") == "reference"), self.fit)
-        suite = E.fit_suite(source.select(*self.public))
+        """The fitted suite with its numbers, which reads the fixture."""
+        suite = E.fit_suite(self.fit_source)
         return [E.columns_match_set(list(self.public), ignore=self.enriched), *suite[1:]]
 
     def results(self) -> DataFrame:
-        """All arms and both branches in one pass over the case table.
+        """All arms and both branches in one pass over the case table; nothing runs before the result.
 
-        The fitted arm looks only at rows that were not used for fitting.
+        The fitted arm takes its parameters from a one-row table, and looks only at rows that were not used
+        for fitting.
         """
-        rest = None if self.fit is None else ~F.coalesce(self.fit, F.lit(False))
-        suite = [replace(e, tag="declared") for e in self.scaffold() + self.declared]
-        suite += [replace(e, tag="fitted", scope=rest) for e in self.fitted]
+        row, fitted = E.fit_parameters(self.fit_source)
+        row = row.crossJoin(F.broadcast(self.limits)) if self.limits is not None else row  # one row each
+        names = E.columns_match_set(list(self.public), ignore=[*self.enriched, *row.columns])
+        rest = F.lit(True) if self.fit is None else ~F.coalesce(self.fit, F.lit(False))
+        suite = [replace(e, tag="declared") for e in self.scaffold(row.columns) + self.declared]
+        suite += [replace(e, tag="fitted", scope=rest if e.scope is None else rest & e.scope) for e in [names, *fitted[1:]]]
         suite += [replace(e, tag="informed") for e in self.informed]
-        out = E.run_suite(self.rows, suite, by=["branch"])
+        out = E.run_suite(self.rows.crossJoin(F.broadcast(row)), suite, by=["branch"])
         return out.withColumnRenamed("tag", "arm").select(F.lit(self.name).alias("case"), "*")
 
 
-def _half(df: DataFrame, key: str) -> int:
-    """Half of the largest key: the split threshold, one number."""
-    return int(df.agg(F.max(key)).first()[0]) // 2
+def _half(df: DataFrame, key: str) -> Column:
+    """Half of the largest key: the split threshold, a scalar subquery."""
+    return F.floor(df.agg(F.max(key)).scalar() / 2)
 
 
 def window_case(t: Tables) -> Case:
@@ -114,13 +126,16 @@ def window_case(t: Tables) -> Case:
             ],
         ),
     )
-    total = t.episodes.agg(F.max("dataset_to_index")).first()[0]
-    n = table.where("branch = 'reference'").count()
+    # The limits of the declared rules: the last row, and how many rows a branch has.
+    limits = t.episodes.agg((F.max("dataset_to_index") - 1).alias("_last")).crossJoin(
+        F.broadcast(table.where("branch = 'reference'").agg(F.count(F.lit(1)).alias("_count")))
+    )
+    last = F.col("_last")
     public = {"absolute_index": "bigint", "delta_index": "bigint", "selected_index": "bigint", "is_pad": "boolean"}
     return Case(
         "window", public, table,
-        [E.between("absolute_index", 0, total - 1), E.between("selected_index", 0, total - 1), E.row_count_equal(n)],
-        [E.window_selection()], fit=F.col("absolute_index") <= total // 2,
+        [E.between("absolute_index", 0, last), E.between("selected_index", 0, last), E.row_count_equal(F.max("_count"))],
+        [E.window_selection()], fit=F.col("absolute_index") <= _half(t.episodes, "dataset_to_index"), limits=limits,
     )
 
 
@@ -279,14 +294,13 @@ def statistics_case(t: Tables) -> Case:
         "label": "bigint", "feature_group": "string", "component_index": "bigint",
         **{n: "double" for n in ("mean", "std", "q01", "q99")},
     }
-    width = t.stats.count()
     return Case(
         "statistics", public, table,
         [
-            E.between("std", 0.0), E.pair_greater("q99", "q01", or_equal=True), E.row_count_equal(width),
+            E.between("std", 0.0), E.pair_greater("q99", "q01", or_equal=True), E.row_count_equal(F.max("_count")),
             E.distinct_in_set("feature_group", ["actions", "state"]),
         ],
-        [E.reference_statistic()], fixture=t.stats,
+        [E.reference_statistic()], fixture=t.stats, limits=t.stats.agg(F.count(F.lit(1)).alias("_count")),
     )
 
 
@@ -336,15 +350,15 @@ CASES: dict[str, Callable[[Tables], Case]] = {
 
 
 def all_results(t: Tables) -> DataFrame:
-    """Every case, arm and branch: one row per expectation, written once."""
-    def build() -> DataFrame:
-        out = None
-        for make in CASES.values():
-            part = make(t).results()
-            out = part if out is None else out.unionByName(part)
-        return out
+    """Every case, arm and branch: one row per expectation.
+
+    Cases are independent jobs, so they are handed to Spark side by side; each writes its few result rows.
+    """
+    def one(name: str) -> DataFrame:
+        return t._once(f"suite_results_{name}", lambda: CASES[name](t).results())
 
-    return t._once("suite_results", build)
+    with ThreadPoolExecutor(len(CASES)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, CASES))
 
 
 def all_outcomes(t: Tables) -> DataFrame:

@@ -263,12 +263,13 @@ _K1 = {
     "index_std_mismatches": "false", "index_any_mismatches": f"not ({_GL} and {_GH} and {_GM})",
     "identity_mismatches": f"not ({_GE} and {_GL} and {_GH} and {_GM})",
     "identity_mismatches_local_pattern": f"not ({_GE} and {_GL} and {_GH} and {_GM}) and {_LE} and {_LL}",
-    "duplicate_episode_indices": "false", "duplicate_episode_ids": "false",
+    "duplicate_episode_indices": "episode_index = pi", "duplicate_episode_ids": "id_nr > 1",
+    "missing_identity_values": "episode_index is null or length is null or dataset_from_index is null or dataset_to_index is null",
 }
 
 
 @query("K1", "v_episodes", counters_sql(_K1, "q"), extra=_F0 + """,
-q as (select *, lag(episode_index) over (order by episode_index) as pi, lag(dataset_to_index) over (order by episode_index) as ps from p)""")
+q as (select *, row_number() over (partition by episode_id order by episode_index) as id_nr, lag(episode_index) over (order by episode_index) as pi, lag(dataset_to_index) over (order by episode_index) as ps from p)""")
 def contract_identity(t: Tables) -> DataFrame:
     return L.contract_identity(t.episode_meta)
 

@@ -263,18 +263,18 @@ def group_digest(t: Tables) -> DataFrame:
 
 def _ledger(t: Tables) -> DataFrame:
     """One ledger per order priority; some payloads and links were altered after signing."""
-    from episcope.operators.ordered import ordered_scan
+    from episcope.operators.ordered import deal, running
 
     key = F.col("o_orderkey")
     base = t.table("orders").select(
         F.col("o_orderpriority").alias("ledger"), "o_orderkey",
         F.concat_ws(":", key.cast("string"), "o_orderstatus").alias("payload"))
-    run = ordered_scan(base, ["ledger"], ["o_orderkey"], number="sequence", leads={"_next": "o_orderkey"})
+    run = running(deal(base, ["ledger"], ["o_orderkey"]), number="sequence", leads={"_next": "o_orderkey"})
     ends = F.col("_next").isNull() | ((F.col("ledger") == "5-LOW") & (F.col("sequence") == 10))
-    signed = run.withColumns({
+    signed = run.rows.withColumns({
         "binding": F.lit("b" * 8), "event": F.when(ends, "RUN_COMPLETE").otherwise("STEP"),
     }).withColumn("claimed", F.sha2(F.concat_ws("|", F.col("sequence").cast("string"), "binding", "event", "payload"), 256))
-    linked = ordered_scan(signed, ["ledger"], ["sequence"], lags={"_before": "claimed"})
+    linked = running(run.over(signed), lags={"_before": "claimed"}).done()
     return linked.withColumns({
         "previous": F.when(key % 50 == 7, "f" * 64).otherwise(F.coalesce("_before", F.lit("0" * 64))),
         "payload": F.when(key % 50 == 3, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")),

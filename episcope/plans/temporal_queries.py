@@ -77,9 +77,7 @@ round(quantile_cont(time_error, 0.5), 3) + 0.0 as median_error, round(quantile_c
 @query("D23", "v_media v_requests", f"""select branch, "group", {_METRICS} from sc group by branch, "group"
 union all select branch, 'all' as "group", {_METRICS} from sc group by branch""", extra=_SCORED)
 def retrieval_metrics(t: Tables) -> DataFrame:
-    rows = scored(t)
-    overall = O.retrieval_metrics(rows, ["branch"]).withColumn("group", F.lit("all"))
-    both = O.retrieval_metrics(rows, ["branch", "group"]).unionByName(overall)
+    both = O.retrieval_metrics_with_total(scored(t), ["branch"], "group")
     errors = {c: rounded(c, 3) for c in ("max_error", "median_error", "p95_error")}
     return both.withColumns({"accuracy": rounded("accuracy"), **errors})
 

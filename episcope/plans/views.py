@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import uuid
 from functools import cached_property
+from hashlib import sha256
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,13 @@ EPISODES_PER_FILE = 10
 VECTORS_PER_EPISODE = 50
 STAT_QUANTILES = {"q01": 0.01, "q10": 0.10, "q50": 0.50, "q90": 0.90, "q99": 0.99}
 
+#: The input tables that views are made from.
+_TABLES = ("events", "documents", "embeddings", "orders", "customer", "lineitem")
+
+#: Views written by this process, by application, input files and name; one thread writes a view.
 _WRITTEN: dict[tuple, tuple[DataFrame, str]] = {}
+_LOCKS: dict[tuple, RLock] = {}
+_GUARD = RLock()
 
 
 class Tables:
@@ -31,20 +39,38 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._input: str | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _once(self, name: str, build) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _WRITTEN:
-            place = f"{name}-{uuid.uuid4().hex}"
-            _WRITTEN[key] = (written(build(), place), place)
-        return _WRITTEN[key][0]
+        key = self._key(name)
+        with _GUARD:
+            lock = _LOCKS.setdefault(key, RLock())
+        with lock:
+            if key not in _WRITTEN:
+                place = f"{name}-{uuid.uuid4().hex}"
+                _WRITTEN[key] = (written(build(), place), place)
+            return _WRITTEN[key][0]
+
+    def _key(self, name: str) -> tuple:
+        """Names a written view: the application, and the files of the input as they are now."""
+        if self._input is None:
+            files = [f for table in _TABLES for f in self._files(table)]
+            self._input = sha256("\n".join(sorted(files)).encode()).hexdigest()
+        return (self.spark.sparkContext.applicationId, self.sf_dir, self._input, name)
+
+    def _files(self, table: str) -> list[str]:
+        """The files of an input table with size and time of change, from the file system that Spark reads."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{table}.parquet")
+        found = path.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}{{,/*}}"))
+        return [f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in found or []]
 
     def path(self, name: str) -> str:
         """Where a written view lies."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = self._key(name)
         folder = f"{scratch_folder(self.spark)}/{self.spark.sparkContext.applicationId}"
         return f"{folder}/{_WRITTEN[key][1]}"
 
