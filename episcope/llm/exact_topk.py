@@ -14,12 +14,17 @@ The query set is stated (ids divisible by a number) and goes against all rows in
 Defined results: vectors that are null, hold null or non-finite components, or have another width than
 most are left out; equal scores go to the smaller id; an id that repeats asks once (with its largest
 vector) and is never its own answer, and its rows are candidates of their own for others; a zero vector
-scores 0; fewer than k candidates give fewer rows; an empty table gives no rows.
+scores 0; fewer than k candidates give fewer rows; an empty table gives no rows. Finite components of any
+size count: rows whose products may pass 2**53 are verified against everything in whole numbers. A score
+that is no long is given as the nearest long, and ranked by its true value.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -38,12 +43,66 @@ BLOCK_SCHEMA = "block long, ids binary, matrix binary, width int, longest double
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """vec_id, v (integers as doubles: floor(scale * x)), norm; unusable vectors are left out."""
-    v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(F.lit(float(scale)) * x).cast("double"))
-    good = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e12)))
+    """vec_id, x (components as doubles), v (integers as doubles: floor(scale * x)), norm, largest.
+
+    Null and non-finite components leave a vector out. ``largest`` is the largest magnitude in v; where it
+    reaches 2**52, v is not to be used.
+    """
+    x = F.col(vector_col).cast("array<double>")
+    good = F.forall(vector_col, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = vectors.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & good)
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
+    most = F.lit(float(2**52))
+    whole = F.transform("x", lambda c: F.floor(F.greatest(F.least(F.lit(float(scale)) * c, most), -most)).cast("double"))
+    rows = rows.withColumn("v", whole)
+    rows = rows.withColumn("largest", F.coalesce(F.array_max(F.transform("v", lambda c: F.abs(c))), F.lit(0.0)))
+    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))
+
+
+_EXACT = "query_id long, vec_id long, score long, beyond string"
+#: Where scores do not fit a long, ``beyond`` orders them; all others have this value.
+_WITHIN = "5"
+
+
+def _as_long(score: int) -> tuple[int, str]:
+    """The nearest long, and a text that orders scores which are no longs."""
+    if -(2**63) <= score < 2**63:
+        return score, _WITHIN
+    digits = str(abs(score))
+    text = f"{len(digits):06d}{digits}"
+    if score > 0:
+        return 2**63 - 1, f"9{text}"
+    return -(2**63), "1" + text.translate(str.maketrans("0123456789", "9876543210"))
+
+
+def _integers(x: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as whole numbers of any size."""
+    factor = Fraction(scale)
+    return np.array([math.floor(Fraction(float(c)) * factor) for c in x], dtype=object)
+
+
+def _exact_pairs(asked: DataFrame, against: DataFrame, k: int, scale: float, blocks: tuple[int, int]) -> DataFrame:
+    """The best ``k`` of ``against`` per row of ``asked`` and block, in whole numbers of any size."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = right.column("vec_id").to_pylist()
+        theirs = [_integers(np.array(x), scale) for x in right.column("x").to_pylist()]
+        out = []
+        for query, x in zip(left.column("vec_id").to_pylist(), left.column("x").to_pylist(), strict=True):
+            own = _integers(np.array(x), scale)
+            scores = ((-int((own * v).sum()), n) for n, v in zip(names, theirs, strict=True) if n != query)
+            out += [(query, n, *_as_long(-s)) for s, n in heapq.nsmallest(k, scores)]
+        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score", "beyond"])
+
+    def parted(rows: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+        return rows.select("vec_id", "x", mine.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    many, few = blocks
+    left, right = parted(asked, "q", many, "c", few), parted(against, "c", few, "q", many)
+    return left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(meet, _EXACT)
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -178,15 +237,29 @@ def exact_topk(
     if widths is None or widths["w"] == 0:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = rows.filter(F.size("v") == widths["w"])
+    # Rows whose products may pass 2**53 go by whole numbers of any size, against everything.
+    limit = math.isqrt((2**53 - 1) // widths["w"])
+    everyone = rows
+    # Rows that share an id ask once, with the greatest integers.
+    asking = everyone.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max_by("x", "v").alias("x"), F.max("v").alias("v"), F.max_by("largest", "v").alias("largest"))
+    large = saved(everyone.filter(F.col("largest") > limit).select("vec_id", "x"), "topk-large")
+    rows = everyone.filter(F.col("largest") <= limit)
+    n_large = large.count()
+    extra = None
+    if n_large:
+        n_asked, n_rows = asking.count(), rows.count()
+        size = lambda n: max(1, -(-n // 256))
+        hard = asking.filter(F.col("largest") > limit)
+        extra = _exact_pairs(asking, large, k, scale, (size(n_asked), size(n_large)))
+        extra = extra.unionByName(_exact_pairs(hard, rows.select("vec_id", "x"), k, scale, (size(n_large), size(n_rows))))
+        if not n_rows:
+            return _ranked(extra, k)
     ranges = rows.repartitionByRange(F.desc("norm"), F.col("vec_id")).sortWithinPartitions(F.desc("norm"), "vec_id")
     buckets = saved(_blocks(ranges, bucket), "topk-buckets")
-    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
+    asked = asking.filter(F.col("largest") <= limit).select("vec_id", "v")
     queries = saved(_blocks(asked, query_block), "topk-queries")
     largest = buckets.agg(F.max("largest"), F.max("width")).first()
-    exact32 = largest[0] ** 2 * (largest[1] or 1) < 2**24
-    wide = largest[0] ** 2 * (largest[1] or 1) < 2**53
-    if not wide:
-        raise ValueError("integer products do not fit a double; lower the scale")
+    exact32 = (largest[0] or 0.0) ** 2 * (largest[1] or 1) < 2**24
 
     # one bucket of at most ``bucket`` vectors, whatever the size of the input
     longest = buckets.orderBy(F.desc("longest"), "block").select("ids", "matrix", "width").first()
@@ -238,7 +311,12 @@ def exact_topk(
     left = copies.withColumn("slice", slice_of)
     right = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     found = left.groupBy("part", "slice").cogroup(right.groupBy("part", "slice")).applyInPandas(meet, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("beyond", F.lit(_WITHIN))
+    return _ranked(found if extra is None else found.unionByName(extra), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -51,3 +51,22 @@ def test_fewer_than_k_and_empty(spark):
     assert run(spark, rows, k=20, every=20) == by_hand(rows, 20, 20)
     assert run(spark, [], k=20, every=20) == []
     assert run(spark, [(0, [])], k=20, every=20) == []
+
+
+def test_finite_components_of_any_size(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(60)]
+    rows += [(100 + i, (rng.normal(size=5) * 10.0**p).tolist()) for i, p in enumerate((6, 7, 8, 12, 12, 17, 30, 150, 300))]
+    rows += [(120, [2e6] + [0.0] * 4), (140, [2e12] + [0.0] * 4), (160, [1e300] * 5), (180, [-1e300] * 5), (200, [1e300] * 5)]
+    made = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in exact_topk.exact_topk(made, k=9, every=20, bucket=16, query_block=8).collect())
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    assert got == [(q, r, i, clip(s)) for q, r, i, s in by_hand(rows, 9, 20)]
+    assert any(abs(s) == 2**63 - 1 for *_, s in got) and any(2**53 < abs(s) < 2**63 - 1 for *_, s in got)
+
+
+def test_only_huge_vectors(spark):
+    rows = [(0, [1e12, 1.0]), (1, [1e12, 2.0]), (20, [3e12, -1.0])]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in exact_topk.exact_topk(made, k=5, every=20).collect())
+    assert got == [(q, r, i, max(-(2**63), min(2**63 - 1, s))) for q, r, i, s in by_hand(rows, 5, 20)]
