@@ -84,6 +84,40 @@ def conversion_coverage(states: DataFrame) -> DataFrame:
     )
 
 
+def schema_baseline(source: DataFrame, target: DataFrame, version: str, wanted: int) -> DataFrame:
+    """What a check of structure alone says of a conversion, in one row.
+
+    ``source`` and ``target`` are stored fields ``(path, row, value)``, the target with its format ``version``.
+    Compares paths, row counts and widths (``shape``), element types and values per path; ``accepted`` if
+    paths, shapes and types are the same and the version is the ``wanted`` one, whatever the values mean.
+    """
+
+    def shapes(df: DataFrame, side: str) -> DataFrame:
+        content = F.hash("row", "value").cast("long")  # order does not matter
+        return df.groupBy("path").agg(
+            F.struct(
+                F.count(F.lit(1)).alias("rows"), F.min(F.size("value")).alias("narrow"), F.max(F.size("value")).alias("wide")
+            ).alias(f"_shape_{side}"),
+            F.sum(content).alias(f"_sum_{side}"),
+        )
+
+    same_type = dict(source.dtypes)["value"] == dict(target.dtypes)["value"]
+    both = shapes(source, "s").join(shapes(target, "t"), "path", "full_outer")
+    has_s, has_t = F.col("_shape_s").isNotNull(), F.col("_shape_t").isNotNull()
+    same_shape = F.coalesce(F.col("_shape_s") == F.col("_shape_t"), F.lit(False))
+    counts = both.agg(
+        count_true(has_s).alias("source_fields"), count_true(has_t).alias("target_fields"),
+        F.bool_and(has_s & has_t).alias("same_paths"), count_true(same_shape).alias("same_shape"),
+        count_true(has_s & has_t & F.lit(same_type)).alias("same_type"),
+        count_true(same_shape & (F.col("_sum_s") == F.col("_sum_t"))).alias("unchanged"),
+    )
+    versions = target.agg(F.min(version).alias("lowest_version"), F.max(version).alias("highest_version"))
+    out = counts.crossJoin(versions)  # one row by one row
+    every = F.col("source_fields")
+    good = F.col("same_paths") & (F.col("same_shape") == every) & (F.col("same_type") == every)
+    return out.withColumn("accepted", good & (F.col("lowest_version") == wanted) & (F.col("highest_version") == wanted))
+
+
 def error_summary(df: DataFrame, error: str) -> DataFrame:
     """Count, nonzero, over 90 degrees, mean, median, p95 and maximum of an error column."""
     totals = df.agg(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from episcope.functions.columns import count_true, finite
+from episcope.functions.columns import close, count_true, finite, scalar_cell, uniform_std
 from episcope.operators.ordered import exact_quantiles, ordered_scan
 from episcope.session import ship_package, written
 
@@ -516,6 +516,60 @@ STAT_FINDINGS = (
 )
 
 
+def stat_features(columns: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Features of stored episode statistics (``stats/<feature>/<metric>``): those with every metric, and the others."""
+    found: dict[str, set[str]] = {}
+    for name in columns:
+        if name.startswith("stats/") and name.count("/") >= 2:
+            feature, metric = name.removeprefix("stats/").rsplit("/", 1)
+            found.setdefault(feature, set()).add(metric)
+    whole = sorted(f for f, metrics in found.items() if metrics >= {*ARRAY_METRICS, "count"})
+    return whole, sorted(set(found) - set(whole))
+
+
+def contract_statistics(meta: DataFrame, fps: float | None = None) -> DataFrame:
+    """Every counter of the statistics contract over all features that the columns show, in one pass.
+
+    Features that lack a metric are counted and not looked into. Each row is spread to its complete features
+    for the findings on arrays; the closed forms of frame index and time (with ``fps``) and the constant task are
+    looked at once a row.
+    """
+    from episcope.operators.lineage import counter_rows, every
+
+    whole, partial = stat_features(meta.columns)
+    metrics = (*ARRAY_METRICS, "count")
+
+    def cell(feature: str, metric: str) -> Column:
+        return scalar_cell(F.col(f"`stats/{feature}/{metric}`"))
+
+    n = F.col("length")
+    std = uniform_std("length")
+    last = (n - 1).cast("double")
+    closed = {"frame_index": 1.0} | ({} if fps is None else {"timestamp": float(fps)})
+    flags = {}
+    for feature, rate in closed.items():
+        wanted = {"min": F.lit(0.0), "max": last / rate, "mean": last / (2 * rate), "std": std / rate}
+        if feature in whole:
+            flags[f"{feature}_closed_form"] = ~every(close(cell(feature, m), w) for m, w in wanted.items())
+    if "task_index" in whole:
+        flags["task_not_constant"] = ~(close(cell("task_index", "min"), cell("task_index", "max")) & close(cell("task_index", "std"), F.lit(0.0)))
+    names = ("frame_index_closed_form", "timestamp_closed_form", "task_not_constant")
+    per_row = [F.coalesce(flags[f], F.lit(True)).alias(f) if f in flags else F.lit(False).alias(f) for f in names]
+    items = [F.struct(F.lit(f).alias("feature"), *[F.col(f"`stats/{f}/{m}`").alias(m) for m in metrics]) for f in whole]
+    # A row without complete features is still a row.
+    items = items or [F.struct(F.lit(None).cast("string").alias("feature"), *[F.lit(None).cast("array<double>").alias(m) for m in metrics])]
+    spread = meta.select("length", *per_row, F.posexplode(F.array(*items)).alias("_at", "_f")).select("length", *names, "_at", "_f.*")
+    image = F.col("feature").contains(".image.") | F.col("feature").startswith("observation.image")
+    there, first = F.col("feature").isNotNull(), F.col("_at") == 0
+    found = stat_findings(spread, image)
+    counts = found.agg(
+        F.lit(len(partial)).alias("features_without_metrics"),
+        *[count_true(there & F.col(f)).alias(f) for f in STAT_FINDINGS],
+        *[count_true(first & F.col(f)).alias(f) for f in names],
+    )
+    return counter_rows(counts)
+
+
 def feature_coverage(used: DataFrame, declared: DataFrame, published: DataFrame, name: str = "feature") -> DataFrame:
     """Features with episode statistics that the declared list or the global statistics lack."""
     seen = used.select(name).distinct()

@@ -106,7 +106,7 @@ _BAD = {
     "window": ("window_selection", "selected_index <> greatest(episode_start, least(episode_end - 1, absolute_index)) or is_pad <> (absolute_index < episode_start or absolute_index >= episode_end)"),
     "chain": ("interval_chain", "dataset_from_index <> cs - length or dataset_to_index <> cs"),
     "pose": ("quaternion_convention", _POSE_BAD),
-    "displacement": ("displacement", "branch = 'faulty'"),
+    "displacement": ("displacement", "not (sqrt(pow(world_delta_x + 0.05 * action_y, 2) + pow(world_delta_y + 0.05 * action_z, 2) + pow(world_delta_z - 0.05 * action_x, 2)) <= 1e-9)"),
     "gripper": ("anchor", "row_kind = 'anchor' and abs(gripper_norm - expected_norm) > 1e-3"),
     "frame_time": ("frame_correspondence", "not (within_half and digest_ok)"),
     "statistics": ("reference_statistic", "not (abs(mean - reference_mean) <= 1e-5 and abs(std - reference_std) <= 1e-5)"),

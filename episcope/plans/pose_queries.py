@@ -200,16 +200,18 @@ def decode_action(t: Tables) -> DataFrame:
     )
 
 
-@query("G15", "v_poses", f"select vec_id, {_r('round(dx, 3)')} as px, -0.5::double as py, 1.0::double as qw, 0.0::double as qz from v_poses")
+@query("G15", "v_poses", f"""select vec_id, {_r('round(dx, 3)')} as px, {_r('round(dy, 3)')} as py, {_r('round(dz, 3)')} as pz,
+{_r("case when vec_id % 2 = 0 then 1.0 else round(s0, 3) end")} as qw, {_r("case when vec_id % 2 = 0 then 0.0 else round(s1, 3) end")} as qx,
+{_r("case when vec_id % 2 = 0 then 0.0 else round(s2, 3) end")} as qy, {_r("case when vec_id % 2 = 0 then 0.0 else round(s3, 3) end")} as qz from v_poses""")
 def base_pose_from_xml(t: Tables) -> DataFrame:
-    """A model text is built per row; its body has a position and no quaternion."""
-    xml = F.format_string(
-        "<model><worldbody><body name='base0' pos='%.3f -0.5 0.75'/></worldbody></model>", F.round("dx", 3)
-    )
+    """A model text is built per row; every other body has no quaternion, which then is the identity."""
+    position, quat = (F.format_string(" ".join(["%.3f"] * len(c)), *[F.round(x, 3) for x in c]) for c in (("dx", "dy", "dz"), ("s0", "s1", "s2", "s3")))
+    rotated = F.when(F.col("vec_id") % 2 == 0, "").otherwise(F.concat(F.lit(" quat='"), quat, F.lit("'")))
+    xml = F.concat(F.lit("<model><worldbody><body name='base0' pos='"), position, F.lit("'"), rotated, F.lit("/></worldbody></model>"))
     p, q = G.base_pose_from_xml(xml, "base0")
     return t.poses.select(
-        "vec_id", rounded(F.get(p, F.lit(0))).alias("px"), F.get(p, F.lit(1)).alias("py"),
-        F.get(q, F.lit(0)).alias("qw"), F.get(q, F.lit(3)).alias("qz"),
+        "vec_id", *[rounded(F.get(p, F.lit(i))).alias(n) for i, n in enumerate(("px", "py", "pz"))],
+        *[rounded(F.get(q, F.lit(i))).alias(n) for i, n in enumerate(("qw", "qx", "qy", "qz"))],
     )
 
 
@@ -336,6 +338,18 @@ def conversion_inventory(t: Tables) -> DataFrame:
     return V.conversion_inventory(stored_fields(t)).select("family", "path", "row", "start")
 
 
+@query("G24 schema", "v_poses", """select count(distinct path) as source_fields, count(distinct path) as target_fields, true as same_paths, count(distinct path) as same_shape,
+count(distinct path) as same_type, count(distinct path) filter (where n_changed = 0) as unchanged, 2 as lowest_version, 2 as highest_version, true as accepted from (
+select path, count_if(conv and not (s0 = s1 and s1 = s2 and s2 = s3)) as n_changed from (select path, conv, s0, s1, s2, s3 from inst
+union all select concat('data/demo_', label, '/obs/joint_pos'), false, s0, s1, s2, s3 from v_poses) group by path)""", extra=_STATES)
+def conversion_schema_baseline(t: Tables) -> DataFrame:
+    """Structure alone accepts the conversion that left fields out."""
+    fields = stored_fields(t)
+    source = fields.select("path", "row", F.col("source").alias("value"))
+    target = fields.select("path", "row", F.col("target").alias("value"), F.lit(2).alias("format_version"))
+    return V.schema_baseline(source, target, "format_version", 2)
+
+
 @query("G24", "v_poses", """select family, path, count(*) as instances, count_if(conv) as converted_instances,
 round(avg(case when not conv then err end), 4) + 0.0 as missed_mean_error_deg from st group by family, path""", extra=_STATES)
 def conversion_coverage(t: Tables) -> DataFrame:

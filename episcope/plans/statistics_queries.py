@@ -10,7 +10,7 @@ from episcope.operators import lineage as L
 from episcope.operators import statistics as M
 from episcope.operators import transforms as X
 from episcope.plans.registry import query
-from episcope.plans.views import Tables
+from episcope.plans.views import UNITS_PER_SECOND, Tables
 
 SIZES = (1, 8, 32, 128)
 FEATURES = {"state": "state", "actions": "actions"}
@@ -72,8 +72,10 @@ er as (select cs.arm, cs.order_name, cs.batch_size, cs.feature_group, cs.compone
 ce as (select arm, order_name, batch_size, feature_group, max(mean_error) as m, max(std_error) as s from er group by all)"""
 
 
-@query("A4", "v_vec", """select count(*) as rows, 0::bigint as null_vectors, count_if(vec_id % 10 = 1) as wrong_width, count_if(vec_id % 10 = 2) as null_elements,
-count_if(vec_id % 10 = 3) as nonfinite_elements, 'array<float>' as vector_type from v_vec""")
+@query("A4", "v_vec", """select count(*) as rows, count_if(s is null) as null_vectors, count_if(len(s) <> 64) as wrong_width, count_if(len(list_filter(s, lambda x: x is null)) > 0) as null_elements,
+count_if(len(list_filter(s, lambda x: x is not null and not isfinite(x))) > 0) as nonfinite_elements, 'array<float>' as vector_type from (
+select case vec_id % 10 when 1 then state[1:63] when 2 then list_transform(state, lambda x, i: case when i <> 6 then x end)
+  when 3 then list_transform(state, lambda x, i: case when i = 8 then 'inf'::float else x end) else state end as s from v_vec)""")
 def vector_guard(t: Tables) -> DataFrame:
     """A tenth each is too short, holds a null, or holds an infinity."""
     k = F.col("vec_id") % 10
@@ -147,8 +149,11 @@ def stats_error(t: Tables) -> DataFrame:
     return _round(out, "max_mean_error max_std_error max_q01_error max_q99_error max_quantile_tolerance")
 
 
-@query("D15", "v_stats", """select label, feature_group, count(*) as components, count_if(component_index = 63 and label % 3 = 0) as unmatched,
-bool_and(not (component_index = 63 and label % 3 = 0) and not (label % 4 = 1 and component_index = 2)) as agrees from v_stats group by label, feature_group""")
+@query("D15", "v_stats", """select coalesce(s.label, p.label) as label, coalesce(s.feature_group, p.feature_group) as feature_group, count(*) as components, count_if(s.mean is null or p.mean is null) as unmatched,
+bool_and(coalesce(greatest(abs(s.mean - p.mean), abs(s.std - p.std)) <= 1e-5, false)) as agrees from v_stats s
+full join pub p on p.label = s.label and p.feature_group = s.feature_group and p.component_index = s.component_index group by all""",
+       extra="""pub as (select label, feature_group, component_index, mean + case when label % 4 = 1 and component_index = 2 then 0.01 else 0 end as mean, std from v_stats
+where not (component_index = 63 and label % 3 = 0))""")
 def published_crosscheck(t: Tables) -> DataFrame:
     """The published table lacks a component of some labels and is off in one of others."""
     off = F.when((F.col("label") % 4 == 1) & (F.col("component_index") == 2), 0.01).otherwise(0.0)
@@ -254,7 +259,23 @@ def stat_shape(t: Tables) -> DataFrame:
     return _findings(t).select("label", "feature_group", "shape_bad")
 
 
-@query("K7", "v_stat_arrays", """select label, feature_group, label % 7 = 5 as nonfinite, label % 7 = 1 as quantile_order_bad, label % 7 = 2 as mean_outside, label % 7 = 3 as negative_std from v_stat_arrays""")
+def _pairs(a: str, b: str, broken: str) -> str:
+    """Whether some pair of finite components of two arrays is ``broken`` (over p.x and p.y)."""
+    zipped = f"list_transform(range(1, least(len({a}), len({b})) + 1), lambda i: {{'x': {a}[i], 'y': {b}[i]}})"
+    return f"len(list_filter({zipped}, lambda p: isfinite(p.x) and isfinite(p.y) and {broken})) > 0"
+
+
+_ALL_METRICS = (*M.ARRAY_METRICS, "count")
+_STAT_SQL = {
+    "shape_bad": " or ".join(["len(min) = 0", "len(count) <> 1", *[f"len({m}) <> len(min)" for m in M.ARRAY_METRICS]]),
+    "nonfinite": " or ".join(f"len(list_filter({m}, lambda x: not isfinite(x))) > 0" for m in _ALL_METRICS),
+    "quantile_order_bad": " or ".join(_pairs(a, b, "p.x > p.y + 1e-9") for a, b in zip(M.ORDERED_METRICS, M.ORDERED_METRICS[1:])),
+    "mean_outside": _pairs("mean", "min", "p.x < p.y - 1e-5") + " or " + _pairs("mean", "max", "p.x > p.y + 1e-5"),
+    "negative_std": "len(list_filter(std, lambda x: not isnan(x) and x < -1e-12)) > 0",
+}
+
+
+@query("K7", "v_stat_arrays", "select label, feature_group, " + ", ".join(f"{_STAT_SQL[f]} as {f}" for f in ("nonfinite", "quantile_order_bad", "mean_outside", "negative_std")) + " from v_stat_arrays")
 def stat_values(t: Tables) -> DataFrame:
     return _findings(t).select("label", "feature_group", "nonfinite", "quantile_order_bad", "mean_outside", "negative_std")
 
@@ -264,35 +285,95 @@ def stat_sample_count(t: Tables) -> DataFrame:
     return _findings(t).select("label", "feature_group", "sample_count_bad")
 
 
-@query("K10", "v_stat_arrays", f"""select counter, violations, case when violations = 0 then 'pass' else 'violations' end as status from (
-select 'shape_bad' as counter, count_if(label % 7 = 4) as violations from v_stat_arrays union all select 'nonfinite', count_if(label % 7 = 5) from v_stat_arrays
-union all select 'quantile_order_bad', count_if(label % 7 = 1) from v_stat_arrays union all select 'mean_outside', count_if(label % 7 = 2) from v_stat_arrays
-union all select 'negative_std', count_if(label % 7 = 3) from v_stat_arrays
-union all select 'sample_count_bad', count_if(cast(count[1] as bigint) <> case when feature_group = 'actions' then {_IMG} else length end) from v_stat_arrays
-union all select 'feature_rows', count(*) from v_stat_arrays)""")
+@query("K10", "v_stat_arrays", "select counter, violations, case when violations = 0 then 'pass' else 'violations' end as status from (" + " union all ".join(
+    f"select '{name}' as counter, count_if({bad}) as violations from v_stat_arrays" for name, bad in {
+        **_STAT_SQL, "sample_count_bad": f"cast(count[1] as bigint) <> case when feature_group = 'actions' then {_IMG} else length end", "feature_rows": "true"}.items()) + ")")
 def contract_stats(t: Tables) -> DataFrame:
     named = {f: F.col(f) for f in M.STAT_FINDINGS}
     return L.violation_counts(_findings(t), {**named, "feature_rows": F.lit(True)})
 
 
+_QUANTILES = {"q01": 0.01, "q10": 0.1, "q50": 0.5, "q90": 0.9, "q99": 0.99}
+_WIDE_COUNTERS = {
+    "shape_bad": "len(q99) <> len(min)", "nonfinite": "len(list_filter(q50, lambda x: not isfinite(x))) > 0",
+    "quantile_order_bad": _STAT_SQL["quantile_order_bad"], "mean_outside": _STAT_SQL["mean_outside"], "negative_std": _STAT_SQL["negative_std"],
+    "sample_count_bad": "count[1]::bigint <> length",
+}
+
+
+def _near(a: str, b: str) -> str:
+    return f"abs({a} - ({b})) <= greatest(1e-5, 1e-7 * greatest(abs({a}), abs({b})))"
+
+
+def _closed(rate: float) -> str:
+    wanted = {"min": "0", "max": f"(length - 1) / {rate}", "mean": f"(length - 1) / {2 * rate}",
+              "std": f"case when length > 1 then sqrt((length * length - 1) / 12.0) else 0 end / {rate}"}
+    return "not (" + " and ".join(_near(f"{m}[1]", w) for m, w in wanted.items()) + ")"
+
+
+_WIDE = """wide as (select *, top / r as hi, ln / r as sd from (select episode_index, length, episode_index % 11 as k, feature, r,
+  (length - 1)::double as top, case when length > 1 then sqrt((length * length - 1) / 12.0) else 0 end as ln, sum_task::double as code
+  from v_episodes, (select 'frame_index' as feature, 1.0::double as r union all select 'task_index', 1.0 union all select 'timestamp', 15.0))),
+st as (select episode_index, length, feature, k, case when feature = 'task_index' then [code] else [0.0] end as min,
+  case when feature = 'task_index' then [code] else [hi] end as max,
+  case when feature = 'task_index' then [code + case when k = 2 then 10 else 0 end] else [hi / 2 + case when k = 2 then 10000 else 0 end] end as mean,
+  case when feature = 'task_index' then [case when k = 8 then 0.5 else 0.0 end * case when k = 3 then -1 else 1 end] else [sd * case when k = 3 then -1 else 1 end] end as std,
+  case when feature = 'task_index' then [code] when k = 4 then [hi * 0.99, 0.0] else [hi * 0.99] end as q99, case when feature = 'task_index' then [code] else [hi * case when k = 1 then 0.9 else 0.1 end] end as q10,
+  case when feature = 'task_index' then [code] when k = 5 then ['nan'::double] else [hi * 0.5] end as q50, case when feature = 'task_index' then [code] else [hi * case when k = 1 then 0.1 else 0.9 end] end as q90,
+  case when feature = 'task_index' then [code] else [hi * 0.01] end as q01, [(length + case when k = 6 then 1 else 0 end)::double] as count from wide)"""
+
+
+@query("K10 features", "v_episodes", "select counter, violations, case when violations = 0 then 'pass' else 'violations' end as status from ("
+       + " union all ".join(f"select '{name}' as counter, count_if({bad}) as violations from st" for name, bad in _WIDE_COUNTERS.items())
+       + f" union all select 'frame_index_closed_form', count_if({_closed(1.0)}) from st where feature = 'frame_index'"
+       + f" union all select 'timestamp_closed_form', count_if({_closed(15.0)}) from st where feature = 'timestamp'"
+       + f" union all select 'task_not_constant', count_if(not ({_near('min[1]', 'max[1]')} and {_near('std[1]', '0')})) from st where feature = 'task_index'"
+       + " union all select 'features_without_metrics', 2)", extra=_WIDE)
+def contract_statistics(t: Tables) -> DataFrame:
+    """Stored episode statistics as wide columns: three whole features, two without quantiles, faults of each kind."""
+    meta, k = t.episode_meta, F.col("episode_index") % 11
+    rates = {"frame_index": 1.0, "timestamp": UNITS_PER_SECOND}
+    columns = {}
+    for feature, rate in rates.items():
+        hi = (F.col("length") - 1) / rate
+        swap = {"q10": 0.9, "q90": 0.1}
+        for q, share in _QUANTILES.items():
+            bent = F.when(k == 1, hi * swap[q]).otherwise(hi * share) if q in swap else hi * share
+            columns[f"stats/{feature}/{q}"] = F.array(bent)
+        columns[f"stats/{feature}/q99"] = F.when(k == 4, F.array(hi * 0.99, F.lit(0.0))).otherwise(F.array(hi * 0.99))
+        columns[f"stats/{feature}/q50"] = F.array(F.when(k == 5, F.lit(float("nan"))).otherwise(hi * 0.5))
+        columns[f"stats/{feature}/mean"] = F.array(hi / 2 + F.when(k == 2, 10000.0).otherwise(0.0))
+    code = L.cell("task_index", "min")
+    columns |= {f"stats/task_index/{q}": F.array(code) for q in _QUANTILES}
+    columns["stats/task_index/mean"] = F.array(code + F.when(k == 2, 10.0).otherwise(0.0))
+    columns["stats/task_index/std"] = F.array(F.when(k == 8, 0.5).otherwise(0.0))
+    meta = meta.withColumns(columns)
+    flip = {f"stats/{f}/std": F.transform(F.col(f"`stats/{f}/std`"), lambda x: F.when(k == 3, -x).otherwise(x)) for f in (*rates, "task_index")}
+    more = {f"stats/{f}/count": F.transform(F.col(f"`stats/{f}/count`"), lambda x: x + F.when(k == 6, 1.0).otherwise(0.0)) for f in (*rates, "task_index")}
+    return M.contract_statistics(meta.withColumns(flip | more), UNITS_PER_SECOND)
+
+
 def _features(df: DataFrame) -> DataFrame:
     return df.select(F.concat("feature_group", F.lit("."), F.col("label").cast("string")).alias("feature"))
 
 
-_COV = "(select distinct feature_group || '.' || label as feature, label, feature_group from v_stats)"
+_COV = """used as (select distinct feature_group || '.' || label as feature from v_stats),
+declared as (select distinct feature_group || '.' || label as feature from v_stats where label % 4 <> 1),
+published as (select distinct feature_group || '.' || label as feature from v_stats where not (label % 5 = 2 and feature_group = 'state'))"""
 
 
-@query("C9", "v_stats", f"""select feature, 'declared' as missing_from from {_COV} where label % 4 = 1
-union all select feature, 'published' from {_COV} where label % 5 = 2 and feature_group = 'state'""")
+@query("C9", "v_stats", """select feature, 'declared' as missing_from from used where feature not in (select feature from declared)
+union all select feature, 'published' from used where feature not in (select feature from published)""", extra=_COV)
 def feature_coverage(t: Tables) -> DataFrame:
     declared = t.stats.where(F.col("label") % 4 != 1)
     published = t.stats.where(~((F.col("label") % 5 == 2) & (F.col("feature_group") == "state")))
     return M.feature_coverage(_features(t.stats), _features(declared), _features(published))
 
 
-@query("K11", "v_stats", f"""select counter, violations, case when violations = 0 then 'pass' else 'violations' end as status from (
-select 'features_missing_from_declared' as counter, (select count(*) from {_COV} where label % 4 = 1) as violations
-union all select 'features_missing_from_published', (select count(*) from {_COV} where label % 5 = 2 and feature_group = 'state') union all select 'empty_task_table', 0::bigint)""")
+@query("K11", "v_stats v_tasks", """select counter, violations, case when violations = 0 then 'pass' else 'violations' end as status from (
+select 'features_missing_from_declared' as counter, (select count(*) from used where feature not in (select feature from declared)) as violations
+union all select 'features_missing_from_published', (select count(*) from used where feature not in (select feature from published))
+union all select 'empty_task_table', (select cast(count(*) = 0 as bigint) from v_tasks))""", extra=_COV)
 def contract_companions(t: Tables) -> DataFrame:
     declared = t.stats.where(F.col("label") % 4 != 1)
     published = t.stats.where(~((F.col("label") % 5 == 2) & (F.col("feature_group") == "state")))
