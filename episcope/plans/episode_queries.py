@@ -289,15 +289,29 @@ def identity_summary_local(t: Tables) -> DataFrame:
     return L.identity_summary_local(t.episode_meta)
 
 
-@query("K4", "v_episodes", """select counter, violations, case when violations = 0 then 'pass' else 'violations' end as status from (
-select 'index_std_mismatches' as counter, cast(0 as bigint) as violations union all select 'frame_index_mismatches', 0
-union all select 'timestamp_mismatches', (select count_if(length > 1) from v_episodes))""")
+def _near(a: str, b: str) -> str:
+    return f"abs(({a}) - ({b})) <= greatest(1e-5, 1e-7 * greatest(abs({a}), abs({b})))"
+
+
+_RUN_STD = "(case when length > 1 then sqrt((length * length - 1) / 12.0) else 0 end)"
+#: Stored times are frame numbers over 15; the check expects them over 30.
+_OFF_TIME = " and ".join(_near(f"{x} / 15.0", f"{x} / 30.0") for x in ("(length - 1)", "((length - 1) / 2.0)", _RUN_STD))
+
+
+@query("K4", "v_episodes", counters_sql({
+    "index_std_mismatches": f"not ({_near(_RUN_STD, 'sqrt(greatest(length * length - 1, 0) / 12.0)')})",
+    "frame_index_mismatches": f"not ({_near('length - 1', 'dataset_to_index - dataset_from_index - 1')} and {_near(_RUN_STD, 'sqrt(greatest(length * length - 1, 0) / 12.0)')})",
+    "timestamp_mismatches": f"not ({_OFF_TIME})"}, "v_episodes"))
 def uniform_std_check(t: Tables) -> DataFrame:
     """The stored times use another frame rate than the declared one, so every time summary fails."""
     return L.uniform_std_check(t.episode_meta, fps=2 * UNITS_PER_SECOND)
 
 
-@query("K9", "v_episodes", counters_sql({"nonconstant_task": "episode_index % 7 = 2", "nonintegral_task": "episode_index % 7 = 4"}, "v_episodes"))
+@query("K9", "v_episodes", counters_sql({
+    "nonconstant_task": f"not ({_near('low', 'high')} and {_near('std', '0')})",
+    "nonintegral_task": f"not ({_near('low', 'round(low)')})"}, "bent"),
+    extra="""bent as (select sum_task + case when episode_index % 7 = 4 then 0.25 else 0 end as low, sum_task + case when episode_index % 7 = 4 then 0.25 else 0 end as high,
+  case when episode_index % 7 = 2 then 0.5 else 0 end as std from v_episodes)""")
 def stat_constant_task(t: Tables) -> DataFrame:
     k = F.col("episode_index") % 7
     planted = t.episode_meta.withColumns({

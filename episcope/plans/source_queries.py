@@ -286,9 +286,17 @@ def _ledger(t: Tables) -> DataFrame:
     })
 
 
-@query("X2", "", """select ledger, count(*) as events, case when ledger = '1-URGENT' then count(*) - 100 else 0 end as sequence_breaks, count_if(k % 50 = 7) as predecessor_breaks,
-count_if(k % 50 = 3 or (ledger = '1-URGENT' and s > 100)) as digest_mismatches, 1::bigint as bindings, case when ledger = '5-LOW' then 2::bigint else 1 end as terminals, true as terminal_is_last, false as accepted
-from (select o_orderpriority as ledger, o_orderkey as k, row_number() over (partition by o_orderpriority order by o_orderkey) as s from orders) group by ledger""")
+@query("X2", "", """select *, sequence_breaks = 0 and predecessor_breaks = 0 and digest_mismatches = 0 and bindings = 1 and terminals = 1 and terminal_is_last as accepted from (
+select ledger, count(*) as events, count_if(sequence <> n) as sequence_breaks, count_if(previous <> coalesce(before, repeat('0', 64))) as predecessor_breaks,
+  count_if(claimed <> sha256(concat_ws('|', sequence, binding, event, payload))) as digest_mismatches, count(distinct binding) as bindings,
+  count_if(event = 'RUN_COMPLETE') as terminals, max_by(event = 'RUN_COMPLETE', sequence) as terminal_is_last
+from (select *, row_number() over (partition by ledger order by sequence) as n, lag(claimed) over (partition by ledger order by sequence) as before from bent) group by ledger)""",
+       extra="""signed as (select ledger, k, s, 'bbbbbbbb' as binding, event, payload, sha256(concat_ws('|', s, 'bbbbbbbb', event, payload)) as claimed from (
+  select o_orderpriority as ledger, o_orderkey as k, row_number() over w as s, concat_ws(':', o_orderkey, o_orderstatus) as payload,
+    case when lead(o_orderkey) over w is null or (o_orderpriority = '5-LOW' and row_number() over w = 10) then 'RUN_COMPLETE' else 'STEP' end as event
+  from orders window w as (partition by o_orderpriority order by o_orderkey))),
+bent as (select ledger, binding, event, claimed, case when k % 50 = 7 then repeat('f', 64) else coalesce(lag(claimed) over (partition by ledger order by s), repeat('0', 64)) end as previous,
+  case when k % 50 = 3 then payload || '!' else payload end as payload, case when ledger = '1-URGENT' and s > 100 then s + 1 else s end as sequence from signed)""")
 def ledger_verify(t: Tables) -> DataFrame:
     out = H.ledger_verify(_ledger(t), ["sequence", "binding", "event", "payload"])
     return out.withColumn("accepted", H.ledger_accepted())
