@@ -24,7 +24,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, as ``doc_id`` and ``text``; a null text is empty.
 
-    Other columns, also ones named like an operator's results, are left behind here.
+    Other columns, also ones named like an operator's results, are left behind here. An id that is no whole
+    number becomes null where the session casts so (with ANSI casts it is an error).
     """
     ship_package(docs.sparkSession)
     return docs.select(

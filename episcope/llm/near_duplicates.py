@@ -314,7 +314,8 @@ def _unique_ids(signed: DataFrame) -> bool:
 def keep_one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` without those that are near duplicates of a kept one; columns stay as they are.
 
-    Rows are told apart by id; of rows that share an id with the kept row, all stay.
+    Rows are told apart by id; of rows that share an id with the kept row, all stay, and so does every row
+    without an id.
     """
     classes = near_duplicate_classes(docs, threshold, id_col=id_col, text_col=text_col)
     gone = classes.groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("kept")).filter("not kept").select(id_col)

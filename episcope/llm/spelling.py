@@ -8,8 +8,9 @@ Words that are reached are verified letter by letter.
 
 The trie is cut below its first levels (length and three groups): each subtree is a key of a shuffle. A word
 goes as a question to the few subtrees that its budget reaches, 17 at most, whose words are as long as itself
-or one longer, so a pair is found once. A subtree of more than ``slice_size`` words is dealt into slices that
-are asked one by one, which bounds the memory of a task; words of one subtree never meet as pairs of rows.
+or one longer, so a pair is found once. A subtree of more than ``slice_size`` words is dealt into slices, and its
+questions into parts of about that number, which bounds a task's rows and memory; words of one subtree never
+meet as pairs of rows.
 """
 
 from __future__ import annotations
@@ -122,14 +123,14 @@ class Trie:
 
 
 def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each (subtree, slice); its own words come first, then the questions."""
+    """Pairs of each (subtree, slice, part of the questions); its own words come first, then the questions."""
     table = _group_table()
     place, stored, trie = None, [], None
     left: list[str] = []
     right: list[str] = []
-    for (subtree, piece_of, asks), piece in parts(batches, ["subtree", "slice", "asks"]):
-        if (subtree, piece_of) != place:
-            place, stored, trie = (subtree, piece_of), [], None
+    for (*here, asks), piece in parts(batches, ["subtree", "slice", "part", "asks"]):
+        if here != place:
+            place, stored, trie = here, [], None
         if not asks:
             stored += piece.column("word").to_pylist()
             continue
@@ -168,14 +169,20 @@ def near_words(words: DataFrame, slice_size: int = 4096) -> DataFrame:
     steps = [{}] + [{i: d} for i in levels for d in (1, -1)] + [{i: 1, j: -1} for i in levels for j in levels if i != j]
     reached = [_subtree(F.col("size"), moved(s)) for s in steps]
     reached += [_subtree(F.col("size") + 1, moved(s)) for s in ({}, *({i: 1} for i in levels))]
-    asked = top.select("word", F.explode(F.array(*reached)).alias("subtree"))
-    asked = asked.join(sizes, "subtree").select(
-        "subtree", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("asks"), "word"
+    asked = top.select("word", F.explode(F.array(*reached)).alias("subtree")).join(sizes, "subtree")
+    # Questions of a subtree are dealt into parts as well; each part meets every slice once.
+    parts_of = asked.groupBy("subtree").agg(F.ceil(F.count("*") / slice_size).cast("int").alias("parts"))
+    own_part = lambda: F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(parts_of, "subtree").select(
+        "subtree", every("slices").alias("slice"), own_part().alias("part"), F.lit(True).alias("asks"), "word"
     )
-    kept = stored.join(sizes, "subtree").select(
-        "subtree", F.pmod(F.xxhash64("word"), F.col("slices")).cast("int").alias("slice"), F.lit(False).alias("asks"), "word"
+    kept = stored.join(sizes, "subtree").join(parts_of, "subtree").select(
+        "subtree", F.pmod(F.xxhash64("word"), F.col("slices")).cast("int").alias("slice"), every("parts").alias("part"),
+        F.lit(False).alias("asks"), "word",
     )
-    dealt = kept.unionByName(asked).repartition("subtree", "slice").sortWithinPartitions("subtree", "slice", "asks")
+    keys = ("subtree", "slice", "part")
+    dealt = kept.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "asks")
     return dealt.mapInArrow(_near_pairs, "a string, b string")
 
 

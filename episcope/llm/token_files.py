@@ -9,7 +9,7 @@ Blocks are Parquet rows, so that writing is atomic per task, works on every file
 and a lost executor only repeats its shard.
 
 Defined results: a null or empty text has the end id only; documents that share an id keep their rows,
-ordered by the text; a null id comes first; an empty table gives an empty file.
+in a fixed order (by the text within a shard, by its hash across the end of one); a null id comes first; an empty table gives an empty file.
 """
 
 from __future__ import annotations
