@@ -8,10 +8,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from episcope.functions.columns import close, image_sample_count
+from episcope.operators import conversion as V
 from episcope.operators import digests as H
 from episcope.operators import expectations as E
 from episcope.operators import frames as R
 from episcope.operators import lineage as L
+from episcope.operators import statistics as M
 from episcope.operators import transforms as X
 from episcope.sources import readers as S
 from episcope.sources import sinks as W
@@ -226,3 +228,38 @@ def test_what_a_rule_saw(spark):
     got = [r["observed"] for r in E.run_suite(df, suite, observed=True).orderBy("ordinal").collect()]
     assert got == ["7", "b", '{"y":0.5,"x":9}', None, "3", None]
     assert "observed" not in E.run_suite(df, suite).columns
+
+
+def test_statistics_contract_over_discovered_features(spark):
+    metrics = ("min", "q01", "q10", "q50", "q90", "q99", "max", "mean", "std", "count")
+    good = {"min": [0.0], "q01": [0.1], "q10": [0.2], "q50": [1.0], "q90": [1.5], "q99": [1.9], "max": [2.0], "mean": [1.0], "std": [0.816496580927726], "count": [3.0]}
+    bad = good | {"q10": [1.8], "std": [-0.5], "count": [4.0]}
+    rows = [(3, *[good[m] for m in metrics], [1.0]), (3, *[bad[m] for m in metrics], [1.0]), (3, *[None] * 10, None)]
+    names = [f"stats/frame_index/{m}" for m in metrics]
+    meta = spark.createDataFrame(rows, "length long, " + ", ".join(f"`{n}` array<double>" for n in [*names, "stats/other/min"]))
+    got = {r["counter"]: r["violations"] for r in M.contract_statistics(meta, 15.0).collect()}
+    assert got["features_without_metrics"] == 1
+    assert got["quantile_order_bad"] == got["negative_std"] == 1
+    assert got["frame_index_closed_form"] == 2 and got["timestamp_closed_form"] == got["task_not_constant"] == 0
+    none = {r["counter"]: r["violations"] for r in M.contract_statistics(meta.select("length", "`stats/other/min`")).collect()}
+    assert none.pop("features_without_metrics") == 1 and set(none.values()) == {0}
+
+
+def test_structure_accepts_what_values_do_not(spark):
+    kind = "path string, row long, value array<double>"
+    source = spark.createDataFrame([("a", 1, [1.0, 2.0]), ("b", 1, [3.0])], kind)
+    same = source.withColumn("version", F.lit(2))
+    swapped = spark.createDataFrame([("a", 1, [2.0, 1.0]), ("b", 1, [3.0])], kind).withColumn("version", F.lit(2))
+    assert tuple(V.schema_baseline(source, swapped, "version", 2).first()) == (2, 2, True, 2, 2, 1, 2, 2, True)
+    assert V.schema_baseline(source, same, "version", 2).first()["unchanged"] == 2
+    wide = spark.createDataFrame([("a", 1, [2.0, 1.0, 0.0]), ("c", 1, [3.0])], kind).withColumn("version", F.lit(1))
+    assert tuple(V.schema_baseline(source, wide, "version", 2).first()) == (2, 2, False, 0, 1, 0, 1, 1, False)
+
+
+def test_fitted_parameters_equal_the_fitted_suite(spark):
+    fixture = spark.createDataFrame([(1, 0.5, "a", True), (4, None, "b", False)], "i long, x double, s string, b boolean")
+    rows = spark.createDataFrame([(0, 0.5, "a", True), (5, 0.4, "z", True), (2, None, None, None)], "i long, x double, s string, b boolean")
+    row, late = E.fit_parameters(fixture)
+    asked = E.run_suite(rows.crossJoin(F.broadcast(row)), late[1:]).where("success = false").select("type", "unexpected_count")
+    known = E.run_suite(rows, E.fit_suite(fixture)[1:]).where("success = false").select("type", "unexpected_count")
+    assert sorted(map(tuple, asked.collect())) == sorted(map(tuple, known.collect())) != []
