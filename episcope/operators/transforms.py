@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -39,24 +40,20 @@ def repack(df: DataFrame, structure: Mapping[str, object], keep: Sequence[str] =
 
 
 def renamed_by_pattern(names: Sequence[str], patterns: Mapping[str, str | None]) -> dict[str, str | None]:
-    """Old to new names: the first pattern matching a whole name decides, ``None`` drops it."""
-    compiled = [(re.compile(p), r) for p, r in patterns.items()]
-    out: dict[str, str | None] = {}
-    for name in names:
-        rule = next(((p, r) for p, r in compiled if p.fullmatch(name)), None)
-        if rule is None:
-            out[name] = name
-        else:
-            out[name] = None if rule[1] is None else rule[0].sub(rule[1], name, count=1)
-    kept = [n for n in out.values() if n is not None]
-    repeated = {n for n in kept if kept.count(n) > 1}
-    if repeated:
-        raise ValueError(f"several columns would be named {sorted(repeated)}")
-    nodes = {n[: m.start()] for n in kept for m in re.finditer("/", n)}
-    clash = nodes & set(kept)
-    if clash:
-        raise ValueError(f"names are both a leaf and a parent: {sorted(clash)}")
-    return out
+    """Old to new names: a rule that fits a whole name renames it, ``None`` drops it; earlier rules win.
+
+    The new names must form a tree of columns, with every leaf named once.
+    """
+    table: dict[str, str | None] = {old: old for old in names}
+    for pattern, template in reversed(patterns.items()):  # the first rule is laid on last
+        fits = {old: m for old in names if (m := re.fullmatch(pattern, old))}
+        table |= {old: None if template is None else m.expand(template) for old, m in fits.items()}
+    leaves = Counter(n for n in table.values() if n is not None)
+    inner = {leaf[:at] for leaf in leaves for at, c in enumerate(leaf) if c == "/"}
+    wrong = sorted(n for n, columns in leaves.items() if columns > 1 or n in inner)
+    if wrong:
+        raise ValueError(f"new names that several columns take or that hold other columns: {wrong}")
+    return table
 
 
 def rename_by_pattern(df: DataFrame, patterns: Mapping[str, str | None]) -> DataFrame:
@@ -93,8 +90,9 @@ def wide_stats(stats: DataFrame, keys: Sequence[str] = (), metrics: Sequence[str
 
 
 def with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Attach one row of statistics arrays to every row."""
-    return df.crossJoin(F.broadcast(stats))  # one row, as wide as a vector
+    """Attach the one row of statistics arrays to every row; more than one row fails the job, none gives nulls."""
+    row = stats.select(F.struct(*stats.columns).alias("_row")).scalar()
+    return df.withColumn("_stats", row).select(*[f"`{c}`" for c in df.columns], *[F.col("_stats")[c].alias(c) for c in stats.columns])
 
 
 def _zip3(x: Column, a: Column, b: Column, rule) -> Column:

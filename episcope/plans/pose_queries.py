@@ -437,11 +437,14 @@ def pad_to_dim(t: Tables) -> DataFrame:
 # ---- structure -----------------------------------------------------------------------------------
 
 
-@query("B3", "v_episodes", "select episode_index, cast(sum_index_min as double) as stats__index__min, 'stats/index/max' as restored from v_episodes")
+@query("B3", "v_episodes", """select episode_index, cast(sum_index_min as double) as stats__index__min, cast(sum_index_min + length - 1 as double) as stats__index__max,
+cast(sum_episode as double) as stats__episode_index__mean, 'stats/index/min,stats/index/max,stats/episode_index/mean' as restored from v_episodes""")
 def safe_names(t: Tables) -> DataFrame:
+    """Cells under their flat names, and the names that the inverse gives back."""
     flat = X.safe_names(t.episode_meta)
-    back = [c for c in X.slash_names(flat).columns if c == "stats/index/max"][0]
-    return flat.select("episode_index", F.get("stats__index__min", F.lit(0)).alias("stats__index__min"), F.lit(back).alias("restored"))
+    names = ("stats__index__min", "stats__index__max", "stats__episode_index__mean")
+    back = X.slash_names(flat.select(*names)).columns
+    return flat.select("episode_index", *[F.get(n, F.lit(0)).alias(n) for n in names], F.lit(",".join(back)).alias("restored"))
 
 
 @query("B5", "v_vec", "select vec_id, " + _sql_vector("state[i]") + " as cam_high, " + _sql_vector("actions[i]") + " as cam_low, label from v_vec")

@@ -136,16 +136,16 @@ def verify_digests(t: Tables) -> DataFrame:
     return H.verify_digests(seen, manifest, "doc_id")
 
 
-@query("B8", "v_segments", "select doc_id, camera, from_timestamp, to_timestamp from v_segments")
+@query("B8", "v_segments", "select doc_id, camera, doc_id // 1000 as chunk_index, doc_id % 1000 as file_index, from_timestamp, to_timestamp from v_segments")
 def long_cameras(t: Tables) -> DataFrame:
     cameras = ("de", "en", "es", "fr")
     wide = t.segments.select("doc_id", *[
         F.when(F.col("camera") == cam, value).alias(f"videos/{cam}/{name}")
         for cam in cameras
-        for name, value in (("chunk_index", F.lit(0)), ("file_index", F.lit(0)), ("from_timestamp", F.col("from_timestamp")), ("to_timestamp", F.col("to_timestamp")))
+        for name, value in (("chunk_index", F.floor(F.col("doc_id") / 1000)), ("file_index", F.col("doc_id") % 1000), ("from_timestamp", F.col("from_timestamp")), ("to_timestamp", F.col("to_timestamp")))
     ])
     long = S.long_cameras(wide, ["doc_id"])
-    return long.where(F.col("chunk_index").isNotNull()).select("doc_id", "camera", "from_timestamp", "to_timestamp")
+    return long.where(F.col("chunk_index").isNotNull()).select("doc_id", "camera", "chunk_index", "file_index", "from_timestamp", "to_timestamp")
 
 
 _STD = "case when length > 1 then sqrt((length * length - 1) / 12.0) else 0 end"

@@ -32,6 +32,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def release_scratch(spark: SparkSession) -> bool:
+    """Remove the tables that this application wrote to the shared folder; True if there were any.
+
+    For the end of an application, when its results are stored elsewhere: frames that read these tables, and
+    views kept by ``plans.views``, cannot be used afterwards.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_folder(spark)}/{spark.sparkContext.applicationId}")
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 _SHIPPED: set[str] = set()
 
 

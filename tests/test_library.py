@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from episcope import session
 from episcope.functions.columns import close, image_sample_count
 from episcope.operators import conversion as V
 from episcope.operators import digests as H
@@ -263,3 +264,10 @@ def test_fitted_parameters_equal_the_fitted_suite(spark):
     asked = E.run_suite(rows.crossJoin(F.broadcast(row)), late[1:]).where("success = false").select("type", "unexpected_count")
     known = E.run_suite(rows, E.fit_suite(fixture)[1:]).where("success = false").select("type", "unexpected_count")
     assert sorted(map(tuple, asked.collect())) == sorted(map(tuple, known.collect())) != []
+
+
+def test_scratch_tables_of_an_application_can_be_released(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_folder", lambda _: str(tmp_path))
+    assert session.written(spark.range(5), "some").count() == 5
+    assert session.release_scratch(spark) and not session.release_scratch(spark)
+    assert not (tmp_path / spark.sparkContext.applicationId).exists()
