@@ -1,163 +1,232 @@
 """Cross-entropy difference between a target and a background model.
 
-Both are bigram models with Witten-Bell smoothing over one vocabulary: the commonest tokens of all
-documents, a sign for all others, and one for a text's ends. The background counts every document; the
-target counts those labelled as wanted. A document's score is its cross-entropy per token under the
-target less that under the background: lower is more like the target.
+Both are bigram models over one vocabulary: every token of every document, and a sign for a text's ends.
+The background counts all documents; the target counts those labelled as wanted. Pair counts have a
+Dirichlet prior of weight ``prior`` around the token's own probability, which has one added to each count:
 
-Counts are made over all documents, per task first. The vocabulary's size is a documented parameter,
-and so bounds the table of pairs (its square) that the driver turns into two matrices of logarithms.
+    P(b | a) = (n(ab) + prior * P(b)) / (n(a) + prior),   P(b) = (n(b) + 1) / (all + kinds)
+
+A document's score is its cross-entropy per token under the target less that under the background: lower
+is more like the target.
+
+No model is gathered anywhere. Texts become chunks of token numbers, each with its own small table of
+tokens. A chunk asks once for each of its n-grams (64-bit keys, so that a question has one size); the
+questions of a range of keys meet in one group, where counts are summed and go back to the chunks that
+asked, if they differ from what a chunk counted itself. So a rare n-gram, which is most of them, costs
+one question and no answer, and a common one costs a question per chunk. The ranges grow in number
+with the tokens of the corpus, so a group keeps its size.
 
 Defined results: a null or empty text is an end sign only; repeated rows count and score as rows; an
 id with several labels is wanted if one says so; with no wanted document the target knows the shared
-vocabulary only (all tokens alike); an empty table gives no rows.
+vocabulary only (all tokens alike); an empty table gives no rows. Two n-grams whose keys are equal
+count as one (among 10^9 kinds this is expected for less than one pair in 30 corpora).
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episcope.llm.common import saved, text_groups
+from episcope.llm.common import id_and_text, mixed, saved, text_groups
 from episcope.session import ship_package
 
-END, OTHER = 0, 1
+END = 0
+#: A chunk is closed behind the text with which it has so many places, or so many kinds of tokens.
+CHUNK_PLACES, CHUNK_KINDS = 1 << 19, 60_000
+#: Places of the corpus per range of keys.
+RANGE_PLACES = 1 << 20
 _TOKEN = re.compile(r"\w+|[^\w\s]")
-_FLUSH = 200_000
+_CHUNK = "chunk long, doc_ids array<long>, lengths binary, tokens binary, words binary"
 
 
 def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def vocabulary(texts: DataFrame, size: int) -> dict[str, int]:
-    """The ``size`` - 2 commonest tokens of all texts, numbered from 2 (ties in order of the token)."""
+def as_chunks(texts: DataFrame, places: int = CHUNK_PLACES, kinds: int = CHUNK_KINDS) -> DataFrame:
+    """Rows of many texts: ids, tokens per text, hashes of the chunk's tokens, and its words as their numbers.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    The words of all texts stand in one row of numbers, with END before, between and behind them.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        made = 0
+        numbers: dict[str, int] = {"": END}
+        ids, lengths, words = [], [], [END]
 
         def out() -> pa.RecordBatch:
-            made = {"token": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())}
-            return pa.RecordBatch.from_pydict(made)
+            row = {
+                "chunk": [first + made], "doc_ids": [ids], "lengths": [np.array(lengths, np.uint32).tobytes()],
+                "tokens": [np.array([xxhash.xxh64_intdigest(t) for t in numbers], np.uint64).tobytes()],
+                "words": [np.array(words, _width(len(numbers))).tobytes()],
+            }
+            kinds_of = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(row.items(), kinds_of, strict=True)})
 
-        for batch in batches:
-            for text in batch.column("text"):
-                seen.update(tokens(text.as_py()))
-                if len(seen) > _FLUSH:
-                    yield out()
-                    seen = Counter()
-        yield out()
-
-    counts = texts.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(size - 2).collect()
-    return {r["token"]: i + 2 for i, r in enumerate(top)}
-
-
-def as_ids(texts: DataFrame, words: dict[str, int]) -> DataFrame:
-    """doc_id, wanted, ids (16-bit numbers as bytes)."""
-    sent = texts.sparkSession.sparkContext.broadcast(words)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = sent.value.get
         for batch in batches:
             for at, group in text_groups(batch):
-                rows = [np.asarray([place(t, OTHER) for t in tokens(x)], np.uint16).tobytes() for x in group]
-                part = {c: batch.column(c)[at : at + len(group)] for c in ("doc_id", "wanted")}
-                yield pa.RecordBatch.from_pydict(part | {"ids": pa.array(rows, pa.binary())})
-
-    return texts.mapInArrow(number, "doc_id long, wanted boolean, ids binary")
-
-
-def _pairs(ids: bytes, size: int) -> np.ndarray:
-    """Each token with the one before, ends included, as one number."""
-    row = np.frombuffer(ids, np.uint16).astype(np.int64)
-    return np.concatenate([[END], row]) * size + np.concatenate([row, [END]])
-
-
-def pair_counts(ids: DataFrame, size: int) -> DataFrame:
-    """pair, background, target: how often a pair occurs in all and in wanted documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one cell per pair that occurs, so at most size squared cells, in a task
-        total: dict[bool, np.ndarray] = {w: np.zeros(size * size, np.int32) for w in (False, True)}
+                for doc, text in zip(batch.column("doc_id")[at : at + len(group)].to_pylist(), group, strict=True):
+                    found = [numbers.setdefault(t, len(numbers)) for t in tokens(text)]
+                    ids.append(doc)
+                    lengths.append(len(found))
+                    words += found
+                    words.append(END)
+                    if len(words) > places or len(numbers) >= kinds:
+                        yield out()
+                        made += 1
+                        numbers = {"": END}
+                        ids, lengths, words = [], [], [END]
+        if ids:
+            yield out()
+
+    return texts.mapInArrow(number, _CHUNK)
+
+
+def _width(kinds: int) -> type:
+    return np.uint16 if kinds <= 1 << 16 else np.uint32
+
+
+class Grams:
+    """The n-grams of a chunk: first its tokens, then its pairs, each kind once."""
+
+    def __init__(self, tokens: bytes, words: bytes, lengths: bytes):
+        hashes = np.frombuffer(tokens, np.uint64)
+        row = np.frombuffer(words, _width(len(hashes))).astype(np.int64)
+        self.lengths = np.frombuffer(lengths, np.uint32).astype(np.int64)
+        self.second, self.kinds = row[1:], len(hashes)
+        pairs, self.places = np.unique(row[:-1] * self.kinds + self.second, return_inverse=True)
+        self.a, self.b = pairs // self.kinds, pairs % self.kinds
+        # the last bit of a key tells pairs from tokens
+        two = mixed(mixed(hashes)[self.a] + hashes[self.b])
+        keys = np.concatenate([hashes & ~np.uint64(1), two | np.uint64(1)])
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def counts(self, wanted: np.ndarray | None = None) -> np.ndarray:
+        """How often each n-gram occurs, in the order of keys; only in ``wanted`` texts if they are given."""
+        inside = slice(None) if wanted is None else np.repeat(wanted, self.lengths + 1)
+        single = np.bincount(self.second[inside], minlength=self.kinds)
+        return np.concatenate([single, np.bincount(self.places[inside], minlength=len(self.a))])[self.order]
+
+    def sections(self, bits: int) -> np.ndarray:
+        """Where each range of keys begins, and the end."""
+        inner = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, np.uint64)
+        return np.concatenate([[0], np.searchsorted(self.keys, inner), [len(self.keys)]])
+
+
+def questions(chunks: DataFrame, bits: int) -> DataFrame:
+    """part, chunk, keys, background, target: a chunk's n-grams of one range of keys, with its own counts."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for wanted, row in zip(batch.column("wanted").to_pylist(), batch.column("ids"), strict=True):
-                pairs, n = np.unique(_pairs(row.as_py(), size), return_counts=True)
-                total[wanted][pairs] += n.astype(np.int32)
-        both = total[False] + total[True]
-        used = np.flatnonzero(both)
-        for part in np.array_split(used, max(1, -(-len(used) // 50_000))):
-            yield pa.RecordBatch.from_pydict(
-                {"pair": pa.array(part, pa.int64()), "background": pa.array(both[part].astype(np.int64)),
-                 "target": pa.array(total[True][part].astype(np.int64))}
-            )
-
-    counted = ids.select("wanted", "ids").mapInArrow(count, "pair long, background long, target long")
-    return counted.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def witten_bell(pair: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
-    """Matrix of log P(second | first): pair counts backed by unigrams, which have one added to each."""
-    table = np.zeros((size, size), np.float32)
-    table.reshape(-1)[pair] = count
-    single = table.sum(axis=0, dtype=np.float64) + 1.0
-    single /= single.sum()
-    seen, kinds = table.sum(axis=1, dtype=np.float64), np.count_nonzero(table, axis=1)
-    kinds = np.maximum(kinds, 1)
-    for a in range(0, size, 128):  # a few rows at a time: no second matrix in memory
-        rows = slice(a, a + 128)
-        table[rows] += (kinds[rows, None] * single[None, :]).astype(np.float32)
-        table[rows] /= (seen[rows] + kinds[rows])[:, None].astype(np.float32)
-    return np.log(table, out=table)
+            for row in range(batch.num_rows):
+                at = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
+                grams = Grams(at("tokens"), at("words"), at("lengths"))
+                wanted = np.zeros(len(grams.lengths), bool)
+                wanted[np.array(at("wanted") or [], np.int64)] = True
+                counts = {"background": grams.counts(), "target": grams.counts(wanted)}
+                ends = grams.sections(bits)
+                used = np.flatnonzero(np.diff(ends))
+                cut = lambda v: pa.array([v[ends[i] : ends[i + 1]].tobytes() for i in used], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_pydict(
+                    {"part": pa.array(used, pa.int64()), "chunk": pa.array([at("chunk")] * len(used), pa.int64()), "keys": cut(grams.keys)}
+                    | {c: cut(v.astype(np.uint32)) for c, v in counts.items()}
+                )
+
+    wanted = chunks.select("chunk", "tokens", "words", "lengths", "wanted")
+    return wanted.mapInArrow(ask, "part long, chunk long, keys binary, background binary, target binary")
+
+
+def _answers(asked: pa.Table) -> pa.Table:
+    """Answers of one range of keys, by chunk: bits of the n-grams that have one, and the sums for these.
+
+    Its first row also has the range's kinds of tokens and their sums.
+    """
+    read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in asked.column(c)]
+    keys = read("keys", np.uint64)
+    ends = np.cumsum([0, *map(len, keys)])
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    own = {c: np.concatenate(read(c, np.uint32)) for c in ("background", "target")}
+    # sums of whole numbers below 2**53 are exact
+    sums = {c: np.bincount(place, weights=v).astype(np.int64) for c, v in own.items()}
+    background, target = sums["background"][place], sums["target"][place]
+    differ = (background != own["background"]) | (target != 0)
+    out: dict[str, list] = {"chunk": asked.column("chunk").to_pylist(), "part": asked.column("part").to_pylist()}
+    spans = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    out["answered"] = [np.packbits(differ[s]).tobytes() for s in spans]
+    for name, values in (("background", background), ("target", target)):
+        out[name] = [values[s][differ[s]].tobytes() for s in spans]
+    single = (distinct & np.uint64(1)) == 0
+    totals = {"kinds": int(single.sum()), "all_background": int(sums["background"][single].sum()), "all_target": int(sums["target"][single].sum())}
+    for name, value in totals.items():
+        out[name] = [value] + [0] * (len(spans) - 1)
+    return pa.table(out)
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    schema = "chunk long, part long, answered binary, background binary, target binary, kinds long, all_background long, all_target long"
+    return asked.groupBy("part").applyInArrow(_answers, schema)
+
+
+def _log_probabilities(grams: Grams, counts: np.ndarray, kinds: int, total: int, prior: float) -> np.ndarray:
+    """Of each kind of pair of a chunk, from counts in the order of keys."""
+    n = np.empty(len(counts), np.float64)
+    n[grams.order] = counts
+    single, pair = n[: grams.kinds], n[grams.kinds :]
+    return np.log((pair + prior * (single[grams.b] + 1.0) / (total + kinds)) / (single[grams.a] + prior))
 
 
 def cross_entropy_difference(
     docs: DataFrame, labels: DataFrame, label_col: str = "quality", wanted_value: int = 1, folds: int = 5,
-    vocabulary_size: int = 2048, id_col: str = "doc_id", text_col: str = "text",
+    prior: float = 100.0, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, target, background (nats per token), difference, for every row.
 
     Labels of fold 0 (checksum of the id modulo ``folds``) are not learned from.
     """
     ship_package(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     held = lambda c: F.coalesce(F.crc32(c.cast("string")) % folds == 0, F.lit(False))
     wanted = (
-        labels.filter((F.col(label_col) == wanted_value) & ~held(F.col("doc_id")))
-        .select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("wanted", F.lit(True))
+        labels.filter((F.col(label_col) == wanted_value) & ~held(F.col("doc_id")) & F.col("doc_id").isNotNull())
+        .select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     )
-    words = vocabulary(texts, vocabulary_size)
-    marked = texts.join(wanted, "doc_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-    ids = saved(as_ids(marked.select("doc_id", "wanted", "text"), words), "models-ids")
-    counts = pair_counts(ids, vocabulary_size).toArrow()  # at most vocabulary_size squared rows
-    pair = counts["pair"].to_numpy()
-    models = tuple(witten_bell(pair, counts[c].to_numpy(), vocabulary_size) for c in ("target", "background"))
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-    del counts, models
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = (m.reshape(-1) for m in sent.value)
-        for batch in batches:
-            n, t, b = [], [], []
-            for row in batch.column("ids"):
-                pairs = _pairs(row.as_py(), vocabulary_size)
-                n.append(len(pairs) - 1)
-                t.append(-float(target[pairs].mean(dtype=np.float64)))
-                b.append(-float(background[pairs].mean(dtype=np.float64)))
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()),
-                 "target": pa.array(t, pa.float64()), "background": pa.array(b, pa.float64())}
-            )
-
-    scored = ids.select("doc_id", "ids").mapInArrow(score, "doc_id long, n_tokens long, target double, background double")
-    scored = saved(scored, "models-scored")  # then the driver and the executors can let the matrices go
-    sent.destroy()
+    chunks = saved(as_chunks(id_and_text(docs, id_col, text_col)), "models-chunks")
+    # labels meet ids and places only; texts and their numbers do not move for them
+    places = chunks.select("chunk", F.posexplode("doc_ids").alias("place", "doc_id")).filter("doc_id is not null")
+    marks = places.join(wanted, "doc_id").groupBy("chunk").agg(F.collect_list("place").alias("wanted"))
+    size = chunks.agg(F.sum(F.length("words")).alias("n")).first()["n"] or 0
+    bits = max(0, (size // 2 // RANGE_PLACES).bit_length())
+    found = saved(answers(questions(chunks.join(marks, "chunk", "left"), bits)), "models-answers")
+    totals = found.agg(*(F.sum(c).alias(c) for c in ("kinds", "all_background", "all_target"))).first()
+    kinds, all_background, all_target = (int(x or 0) for x in totals)
+
+    def score(chunk: pa.Table, answered: pa.Table) -> pa.Table:
+        at = lambda c: chunk.column(c)[0].as_py()
+        grams = Grams(at("tokens"), at("words"), at("lengths"))
+        ends = grams.sections(bits)
+        background, target = grams.counts(), np.zeros(len(grams.keys), np.int64)
+        for row in answered.select(["part", "answered", "background", "target"]).to_pylist():
+            first, end = ends[row["part"]], ends[row["part"] + 1]
+            told = first + np.flatnonzero(np.unpackbits(np.frombuffer(row["answered"], np.uint8), count=int(end - first)))
+            background[told] = np.frombuffer(row["background"], np.int64)
+            target[told] = np.frombuffer(row["target"], np.int64)
+        starts = np.concatenate([[0], np.cumsum(grams.lengths + 1)[:-1]])
+        out = {"doc_id": chunk.column("doc_ids").combine_chunks().flatten(), "n_tokens": pa.array(grams.lengths, pa.int64())}
+        for name, counts, total in (("target", target, all_target), ("background", background, all_background)):
+            logs = _log_probabilities(grams, counts, kinds, total, prior)[grams.places]
+            out[name] = pa.array(-np.add.reduceat(logs, starts) / (grams.lengths + 1), pa.float64())
+        return pa.table(out)
+
+    sides = chunks.groupBy("chunk").cogroup(found.drop("kinds", "all_background", "all_target").groupBy("chunk"))
+    scored = sides.applyInArrow(score, "doc_id long, n_tokens long, target double, background double")
     return scored.select(
         "doc_id", held(F.col("doc_id")).alias("held_out"), "n_tokens", "target", "background",
         (F.col("target") - F.col("background")).alias("difference"),
