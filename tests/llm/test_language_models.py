@@ -32,10 +32,10 @@ def by_hand(rows, labels, prior):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("prior", "chunk", "reach"), [(100.0, 1 << 19, 1 << 20), (2.5, 12, 4), (2.5, 1, 1 << 20)])
+@pytest.mark.parametrize(("prior", "chunk", "reach"), [(100.0, 1 << 20, 1 << 21), (2.5, 12, 4), (2.5, 1, 1 << 21)])
 def test_scores_against_plain_models(spark, monkeypatch, prior, chunk, reach):
     monkeypatch.setattr(lm, "RANGE_PLACES", reach)
-    monkeypatch.setattr(lm.as_chunks, "__defaults__", (chunk, lm.CHUNK_KINDS))
+    monkeypatch.setattr(lm.as_chunks, "__defaults__", (chunk,))
     labels = [(i, int(i % 2 == 0)) for i in range(9)] + [(1, 1), (None, 1), (3, None)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in TEXTS], "doc_id long, text string, target string").repartition(3)
     frame = lm.cross_entropy_difference(docs, spark.createDataFrame(labels, "doc_id long, quality int"), prior=prior)
