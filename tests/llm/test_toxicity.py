@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import pytest
+
 from episcope.llm import toxicity as t
 
 
@@ -72,3 +75,36 @@ def test_held_out_accuracy_on_documents(spark):
     rows = got.join(labels, "doc_id").collect()
     assert sum(r["predicted"] == r["toxic"] for r in rows) >= 0.93 * len(rows)
     assert sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.01 * len(rows)
+
+
+def plain_scores(text, lexicon):
+    """Every word against every term and every phrase of the lexicon, one by one."""
+    words = t.folded_words(text or "")
+    lifted = set()
+    for phrase in (p.split() for p in lexicon.exceptions):
+        for i in range(len(words) - len(phrase) + 1):
+            if words[i : i + len(phrase)] == phrase:
+                lifted |= set(range(i, i + len(phrase)))
+    heaviest = {}
+    for i, w in enumerate(words):
+        whole = [v for term, v in lexicon.weights.items() if term == f" {w} "]
+        stems = [v for term, v in lexicon.weights.items() if term[-1] != " " and w.startswith(term[1:])]
+        if i not in lifted and whole + stems:
+            heaviest[i] = max(whole + stems)
+    density = sum(heaviest.values()) / (len(words) + lexicon.prior_words)
+    return 1 / (1 + math.exp(-(lexicon.slope * density + lexicon.intercept))), len(heaviest), len(words)
+
+
+def test_scores_of_all_documents_against_plain_scorer(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    planted_docs, planted_labels = planted(spark)
+    for frame, marks in ((docs, labels), (planted_docs, planted_labels)):
+        lexicon = t.fit_lexicon(frame.select("doc_id", "text"), marks)
+        assert lexicon.weights
+        texts = [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()]
+        want = sorted(((i, *plain_scores(x, lexicon)) for i, x in texts), key=str)
+        rows = t.toxicity_scores(frame, lexicon).collect()
+        got = sorted(((r["doc_id"], r["score"], r["n_hits"], r["n_words"]) for r in rows), key=str)
+        assert len(got) == len(want)
+        for a, b in zip(got, want, strict=True):
+            assert a[0] == b[0] and a[2:] == b[2:] and a[1] == pytest.approx(b[1], abs=1e-9)
