@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episcope.llm import decontamination, line_templates, near_duplicates, packing, toxicity
-from episcope.llm.common import id_and_text, saved
+from episcope.llm.common import fresh, id_and_text, saved
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +26,19 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines whose template recurs; ``n_chars`` follows the text."""
-    cleaned = line_templates.drop_recurring_lines(docs)
+    """Documents without lines whose template recurs; ``n_chars`` follows the text.
+
+    Columns of the input that are named like the operator's counts keep their values.
+    """
+    clashing = [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")]
+    aside = dict(zip(clashing, fresh(docs.columns, *(f"own_{c}" for c in clashing)), strict=True))
+    cleaned = line_templates.drop_recurring_lines(docs.withColumnsRenamed(aside))
+    changed = F.col("n_dropped") > 0
+    columns = {c: F.col(aside.get(c, c)).alias(c) for c in docs.columns}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return cleaned.select(*docs.columns)
+        n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars"))
+        columns["n_chars"] = n_chars.cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return cleaned.select(*columns.values())
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
