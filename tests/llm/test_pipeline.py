@@ -1,4 +1,5 @@
 import corpus_pipeline as p
+from pyspark.sql import functions as F
 
 from episcope.llm.decontamination import plain
 
@@ -35,3 +36,17 @@ def test_run_is_the_stages(spark, sf_dir):
         docs = p.saved(stage(spark, docs, sf_dir), f"test-{name}")
     key = lambda df: sorted(tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in df.collect())
     assert key(p.run(spark, sf_dir)) == key(docs)
+
+
+def test_extra_columns_with_clashing_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plain_rows, names = docs, ("n_lines", "N_Dropped", "_key", "label", "score", "doc", "wanted")
+    extra = docs.select("*", *((F.col("doc_id") * 10 + i).alias(c) for i, c in enumerate(names)))
+    for name, stage in p.STAGES[:-1]:
+        columns = extra.columns
+        plain_rows, extra = (p.saved(stage(spark, df, sf_dir), f"test-{name}") for df in (plain_rows, extra))
+        assert extra.columns == columns
+        rows = extra.collect()
+        assert all(r[c] == r["doc_id"] * 10 + i for r in rows for i, c in enumerate(names)), name
+        key = lambda r: (r["doc_id"], r["text"])
+        assert sorted(map(key, rows)) == sorted(map(key, plain_rows.collect())), name
