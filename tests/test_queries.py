@@ -1,7 +1,9 @@
 """Every registered query against its SQL twin, and the ordered ones again with forced splitting."""
 
+import duckdb
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from episcope.plans.catalog import QUERIES
@@ -39,6 +41,15 @@ def test_query_matches_sql_when_split(spark, duck, sf_dir, split_small, name):
     check(spark, duck, sf_dir, name)
 
 
+def test_inventory_of_more_than_a_thousand_files(spark, tmp_path):
+    user = F.col("id").alias("user_id")
+    events = spark.range(10_045).select(F.col("id").alias("event_id"), user, F.lit("click").alias("event_type"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    check(spark, con, str(tmp_path), "data_file_inventory")
+
+
 def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
