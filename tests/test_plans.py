@@ -34,6 +34,14 @@ def test_split_scan_has_no_unpartitioned_window_and_bounded_broadcasts(spark, sf
     assert "CartesianProduct" not in text
 
 
+def test_backfills_need_no_frame_that_ends_with_the_group(spark, sf_dir):
+    """Spark evaluates such a frame anew for every row, which is quadratic in the rows of a group."""
+    frames = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = plan(ordered_scan(frames, ["event_type"], ["event_id"], fills={"before": "value"}, backfills={"after": "value"}))
+    frames_of_windows = [line for line in text.splitlines() if "windowspecdefinition" in line]
+    assert frames_of_windows and not any("unboundedfollowing" in w.lower() for w in frames_of_windows)
+
+
 def test_first_rows_per_group_are_cut_before_the_shuffle(spark, sf_dir):
     frames = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert "WindowGroupLimit" in plan(R.examples(frames, ["user_id"], ["event_id"], 3))
