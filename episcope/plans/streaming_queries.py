@@ -85,6 +85,7 @@ def stream_chain(t: Tables) -> DataFrame:
     slices = [kept, kept.where(F.col("frame_index") % 10 == 7)]
     keys = ["split", "episode_index"]
     statuses = K.run_in_slices(
-        slices, lambda stream: K.stream_chain(stream, keys, "frame_index", "ts", "1 day", 86_400_000, block=128), "append", idle_batches=False
+        slices, lambda stream: K.stream_chain(stream, keys, "frame_index", "ts", "1 day", 86_400_000, block=128, together=32),
+        "append", idle_batches=False,
     )
     return K.chain_status(statuses, keys)

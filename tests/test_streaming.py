@@ -37,6 +37,24 @@ def test_a_block_that_expired_comes_back(spark, tmp_path):
     assert done["gaps"] == 73 - 9
 
 
+@pytest.mark.parametrize("expiry_ms", [1, 10**9])
+def test_neighbours_that_share_a_state_keep_their_own_status(spark, tmp_path, expiry_ms):
+    path = str(tmp_path / "frames")
+    files = [[(e, f) for e in (-5, -1, 0, 3, 4) for f in (0, 1, 66 + e)], [(9, 5)], [(-1, 1), (3, 2), (3, 200)], [(9, 6)], [(0, 1), (9, 0), (3, 2)]]
+    for rows in files:
+        df = spark.createDataFrame([(e, f, DAY + dt.timedelta(hours=f)) for e, f in rows], SCHEMA)
+        df.coalesce(1).write.mode("append").parquet(path)
+    out = K.stream_chain(K.read_table_stream(spark, path), ["episode_index"], "frame_index", "ts", "1 hour", expiry_ms, block=64, together=4)
+    statuses = K.run_to_end(out, "append", into_memory=False, idle_batches=False)
+    come = [(b, e, f // 64) for b, rows in enumerate(files) for e, f in rows]
+    assert statuses.count() == len(set(come))  # one status a batch and touched block of an episode
+    frames = {e: [f for rows in files for x, f in rows if x == e] for _, e, _ in come}
+    got = {r.episode_index: (r.rows, r.gaps, r.duplicates) for r in K.chain_status(statuses, ["episode_index"]).collect()}
+    assert got == {e: (len(f), max(f) + 1 - len(set(f)), len(f) - len(set(f))) for e, f in frames.items()}
+    again = statuses.where("episode_index = 3 and block = 0").select("generation").distinct().count()
+    assert again == (3 if expiry_ms == 1 else 1)
+
+
 def test_windows_close_behind_the_watermark(spark, tmp_path):
     stream = arrive(spark, str(tmp_path / "frames"), ((0, 1, 30), (60, 61), (100,), (2,)))
     out = K.stream_expectations(stream, [E.between("frame_index", 0, 60)], "ts", "1 day", "12 hours")
