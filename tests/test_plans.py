@@ -2,12 +2,14 @@
 
 import contextlib
 import io
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from episcope.operators import frames as R
 from episcope.operators.ordered import ordered_scan
+from episcope.plans import cases as P
 from episcope.plans.catalog import QUERIES
 from episcope.plans.views import Tables
 
@@ -51,3 +53,9 @@ def test_first_rows_per_group_are_cut_before_the_shuffle(spark, sf_dir):
 def test_no_cartesian_product(spark, sf_dir, name):
     text = plan(QUERIES[name].run(Tables(spark, sf_dir)))
     assert "CartesianProduct" not in text and "BatchEvalPython" not in text
+
+
+def test_cases_are_built_side_by_side(monkeypatch):
+    meet = threading.Barrier(2, timeout=20)  # breaks if one case waits for another
+    monkeypatch.setattr(P, "CASES", {name: lambda t, n=name: (meet.wait(), t + n)[1] for name in ("a", "b")})
+    assert P.made("x") == {"a": "xa", "b": "xb"}
