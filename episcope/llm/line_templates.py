@@ -42,10 +42,22 @@ LEADERS = 16
 LONG_LINES = ((8, 5), (20, 3))
 
 
+def _any(text: Column, parts: Sequence[str]) -> Column:
+    """True if a text contains one of ``parts`` (searched as bytes, which costs less than a pattern)."""
+    found = F.lit(False)
+    for part in parts:
+        found = found | F.contains(text, F.lit(part))
+    return found
+
+
 def _tokens(line: Column) -> Column:
     """Tokens of a line; those with a digit become the variable field."""
+    digits = _any(line, "0123456789")
     masked = F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)
-    return F.split(F.trim(F.when(F.rlike(line, F.lit("[0-9]")), masked).otherwise(line)), r"[ \t\r\x0b\f]+")
+    # between single blanks no pattern is needed
+    odd = _any(line, ("  ", "\t", "\r", "\x0b", "\f")) | digits
+    split = F.split(F.trim(F.when(digits, masked).otherwise(line)), r"[ \t\r\x0b\f]+")
+    return F.when(odd, split).otherwise(F.split(F.trim(line), " "))
 
 
 def _key(text_col: str) -> Column:
@@ -56,34 +68,35 @@ def _key(text_col: str) -> Column:
 def _lines(docs: DataFrame, text_col: str, min_tokens: int, min_chars: int) -> DataFrame:
     """One row per line that may be dropped: key of its text, place, leaf, body, tokens (n), and the line.
 
-    Lines are parsed here only; the rows are written, and later steps read the columns they need.
+    Lines are parsed here only; the rows are written, and later steps read the columns they need. Each line is a
+    row before it is parsed, since generated code runs over columns but not inside functions over arrays.
     """
-    df = docs.filter(F.col(text_col).isNotNull()).select(_key(text_col).alias("key"), F.split(text_col, "\n").alias("lines"))
-
-    cut = lambda line: F.struct(F.length(F.trim(line)).alias("chars"), _tokens(line).alias("tokens"))
-
-    def parsed(it: Column) -> Column:
-        tokens = it["tokens"]
-        return F.struct(
-            F.size(tokens).alias("n"), F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEAD)).alias("leaf"),
-            F.xxhash64(tokens).alias("body"), it["chars"].alias("chars"),
-        )
-
-    df = df.select("key", "lines", F.transform("lines", cut).alias("cut"))  # tokens are made once a line
-    df = df.select("key", "lines", F.transform("cut", parsed).alias("parsed"))
-    df = df.select("key", "lines", F.posexplode("parsed").alias("place", "it"))
-    rows = df.filter((F.col("it.chars") >= min_chars) & (F.col("it.n") >= min_tokens)).select(
-        "key", "place", "it.leaf", "it.body", "it.n", F.get("lines", F.col("place")).alias("line")
+    line = F.col("line")
+    df = docs.filter(F.col(text_col).isNotNull()).select(
+        _key(text_col).alias("key"), F.posexplode(F.split(text_col, "\n")).alias("place", "line")
     )
-    return saved(rows, "lines")
+    df = df.filter(F.length(F.trim(line)) >= min_chars).select("key", "place", "line", _tokens(line).alias("tokens"))
+    rows = df.select(
+        "key", "place", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEAD)).alias("leaf"),
+        F.xxhash64("tokens").alias("body"), F.size("tokens").alias("n"), "line",
+    )
+    # the count of tokens is compared after it is written: a filter before would make the tokens twice
+    return saved(rows, "lines").filter(F.col("n") >= min_tokens)
 
 
 def _sketches(docs: DataFrame, text_col: str) -> DataFrame:
     """id (hash of the text) and sketch: the smallest hashes of pairs of words, for every text."""
-    words = F.split(F.trim(text_col), r"\s+")
-    df = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("id"), words.alias("words"))
+    df = docs.filter(F.col(text_col).isNotNull()).select(
+        F.xxhash64(text_col).alias("id"), F.replace(F.trim(text_col), F.lit("\n"), F.lit(" ")).alias("flat")
+    )
+    odd = _any(F.col("flat"), ("  ", "\t", "\r", "\x0b", "\f"))
+    df = df.select("id", F.when(odd, F.split("flat", r"\s+")).otherwise(F.split("flat", " ")).alias("words"))
     pairs = F.transform("words", lambda word, i: F.xxhash64(word, F.get("words", i + 1)))
-    return df.select("id", F.slice(F.sort_array(F.array_distinct(pairs)), 1, SKETCH).alias("sketch"))
+    df = df.select("id", F.sort_array(pairs).alias("pairs"))
+    # of sorted hashes the first few hold the smallest different ones, unless pairs repeat a lot
+    df = df.select("id", "pairs", F.array_distinct(F.slice("pairs", 1, 2 * SKETCH)).alias("first"))
+    enough = (F.size("first") >= SKETCH) | (F.size("pairs") <= 2 * SKETCH)
+    return df.select("id", F.slice(F.when(enough, F.col("first")).otherwise(F.array_distinct("pairs")), 1, SKETCH).alias("sketch"))
 
 
 def near_copies(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -207,23 +220,26 @@ def drop_recurring_lines(
     found = recurring_lines(lines, near_copies(docs, text_col), min_documents, similarity, long_lines)
     drops = saved(found.select("leaf", "body"), "lines-drops")
     # equal texts share a key: their places are the same, so one row per key is enough
-    key, gone, left = fresh(docs.columns, "_key", "_gone", "_left")
+    key, gone, left, all_lines, ends = fresh(docs.columns, "_key", "_gone", "_left", "_lines", "_ends")
     places = lines.select("key", "place", "leaf", "body").join(drops, ["leaf", "body"]).groupBy(F.col("key").alias(key)).agg(
         F.sort_array(F.collect_set("place")).alias(gone)
     )
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", text_col)]
     rows = docs.select(*kept_columns, text_col, _key(text_col).alias(key))
     met = rows.join(saved(places, "lines-gone"), key, "left")
-    lines_of = F.split(text_col, "\n")
-    ends = F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size(lines_of)))
+    # made once a row, and only for texts that lose lines; inside the function below they would be made per line
+    cut = F.col(gone).isNotNull()
+    met = met.withColumn(all_lines, F.when(cut, F.split(text_col, "\n")))
+    met = met.withColumn(ends, F.when(cut, F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size(all_lines)))))
     between = F.transform(
         F.slice(ends, 2, F.size(ends)),
-        lambda end, i: F.slice(lines_of, F.get(ends, i) + 2, end - F.get(ends, i) - 1),
+        lambda end, i: F.slice(all_lines, F.get(ends, i) + 2, end - F.get(ends, i) - 1),
     )
-    met = met.withColumn(left, F.when(F.col(gone).isNotNull(), F.array_join(F.flatten(between), "\n")))
+    met = met.withColumn(left, F.when(cut, F.array_join(F.flatten(between), "\n")))
+    n_breaks = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
     return met.select(
         *kept_columns,
         F.coalesce(left, text_col).alias(text_col),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines_of)).alias("n_lines"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(n_breaks + 1).alias("n_lines"),
         F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias("n_dropped"),
     )

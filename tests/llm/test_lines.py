@@ -187,3 +187,33 @@ def test_every_family_of_a_leaf(spark):
     texts = ["\n".join([prose(i, 0), line(i), prose(i, 1)]) for i in range(18 * 6)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["n_dropped"] for r in lt.drop_recurring_lines(docs, min_documents=6).collect()} == {1}
+
+
+ODD = [
+    "", " ", "\n", " \n\n a", "one two three four five", "  led by blanks and two  inside ", "tab\tand\x0bform\ffeed\rreturn and more words",
+    "\tstarts with a tab 10:30 x9y z ", "unit 7 of 12", "a\u00a0b c\u2003d e f g h", "grüße an 3 ß²  Wörter ٣ x", "last line\n", "x " * 300,
+    " ".join(f"p{i % 3}" for i in range(400)), " ".join(chr(97 + i % 26) * (1 + i // 26) for i in range(200)),
+    " ".join(["same", "pair"] * 150 + [chr(97 + i) for i in range(20)]), "a\n b\nc \n\nd\te", None,
+]
+
+
+def test_tokens_and_sketches_are_those_of_the_patterns(spark):
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    masked = F.regexp_replace("line", r"(?<!\S)[^\s0-9]*+[0-9]\S*+", lt.VARIABLE)
+    plain = F.split(F.trim(F.when(F.rlike("line", F.lit("[0-9]")), masked).otherwise(F.col("line"))), r"[ \t\r\x0b\f]+")
+    for r in lines.select("line", plain.alias("want"), lt._tokens(F.col("line")).alias("got")).collect():
+        assert r["got"] == r["want"], r
+    words = docs.filter("text is not null").select(F.xxhash64("text").alias("id"), F.split(F.trim("text"), r"\s+").alias("words"))
+    pairs = F.transform("words", lambda word, i: F.xxhash64(word, F.get("words", i + 1)))
+    want = words.select("id", F.slice(F.sort_array(F.array_distinct(pairs)), 1, lt.SKETCH).alias("sketch"))
+    assert sorted(lt._sketches(docs, "text").collect()) == sorted(want.collect())
+
+
+def test_lines_are_parsed_in_generated_code(spark, monkeypatch):
+    """No function over arrays takes part, which would run outside generated code and per element."""
+    plans = []
+    monkeypatch.setattr(lt, "saved", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    assert lt._lines(docs, "text", 3, 16).count() > 0
+    assert "lambdafunction" not in plans[0] and plans[0].count("xxhash64(") and plans[0].count("regexp_replace(") == 1
