@@ -22,7 +22,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -47,12 +47,45 @@ _WORD = re.compile(r"[@$]?\w(?:[\w@$!|+]*\w)?")
 STEM_LENGTHS = (3, 4, 5, 6, 7)
 
 
+_OTHER = re.compile(r"[^\x00-\x7f]+")
+_NO_WORD = re.compile(r"[^\w\x00-\x7f]")
+#: Bytes of UTF-8 text; ASCII that cannot be in a word becomes a blank.
+_BLANKED = bytes(b if b >= 0x80 or re.match(r"[\w@$!|+]", chr(b)) else 0x20 for b in range(256))
+#: Folded runs of letters beyond ASCII; a worker remembers so many short ones.
+_FOLDED: dict[str, str] = {}
+REMEMBERED, SHORT = 1 << 14, 16
+
+
+def _folded(run: re.Match) -> str:
+    """A run of letters beyond ASCII, folded; what is left of it beyond ASCII is letters and digits."""
+    text = run[0]
+    folded = _FOLDED.get(text)
+    if folded is None:
+        folded = _NO_WORD.sub(" ", unicodedata.normalize("NFKD", text).translate(_FOLD))
+        if len(text) <= SHORT:
+            if len(_FOLDED) >= REMEMBERED:
+                _FOLDED.clear()
+            _FOLDED[text] = folded
+    return folded
+
+
+def _signed(run: str) -> list[str]:
+    return [w if w.isalpha() or w.isdigit() else w.translate(_SIGNS) for w in _WORD.findall(run)]
+
+
 def folded_words(text: str) -> list[str]:
-    """Words of a text, lower case, with look-alikes and stand-ins replaced."""
+    """Words of a text, lower case, with look-alikes and stand-ins replaced.
+
+    Folding does not reach from one run beyond ASCII to the next, so only these runs are folded. Then
+    what cannot be in a word is blanked, and only runs that are not plain letters are matched by pattern.
+    """
     text = text.lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_FOLD)
-    return [w if w.isalpha() or w.isdigit() else w.translate(_SIGNS) for w in _WORD.findall(text)]
+        text = _OTHER.sub(_folded, text)
+    runs = text.encode().translate(_BLANKED).decode().split()
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in ((run,) if run.isalpha() else _signed(run))]
 
 
 def terms_of(words: set[str]) -> set[str]:
@@ -63,6 +96,17 @@ def terms_of(words: set[str]) -> set[str]:
     return found
 
 
+def term_finder(among: set[str]) -> Callable[[list[str]], set[str]]:
+    """A function that gives the terms of ``among`` that words hold, in one pass over them."""
+    if not among:
+        return lambda words: set()
+    automaton = ahocorasick.Automaton()
+    for term in among:
+        automaton.add_word(term, term)
+    automaton.make_automaton()
+    return lambda words: {term for _, term in automaton.iter(f" {' '.join(words)} ")}
+
+
 @dataclass
 class Lexicon:
     """Weights of terms, phrases that lift a word's weight, and the curve from density to score."""
@@ -129,10 +173,10 @@ def _term_counts(rows: DataFrame, only: set[str] | None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        find = term_finder(only) if only is not None else lambda words: terms_of(set(words))
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found = terms_of(set(folded_words(text)))
-                seen.update(found if only is None else found & only)
+                seen.update(find(folded_words(text)))
         yield pa.RecordBatch.from_pydict(
             {"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())}
         )
@@ -228,11 +272,13 @@ def _exceptions(rows: DataFrame, strong: set[str], least: int) -> set[str]:
     """Pairs of words around a strong term that clean documents use and toxic ones do not."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = term_finder(strong)
         for batch in batches:
             around = []
             for text in batch.column("text"):
                 words = folded_words(text.as_py())
-                known = {w for w in set(words) if not strong.isdisjoint(terms_of({w}))}
+                held = tuple(find(words))
+                known = {w for w in set(words) if f" {w} ".startswith(held)} if held else ()
                 pairs = zip(words, words[1:], strict=False) if known else ()
                 around.append(sorted({f" {a} {b} " for a, b in pairs if a in known or b in known}))
             label = batch.column("label").cast(pa.int32())
@@ -251,6 +297,7 @@ def _strong_terms(rows: DataFrame, strong: set[str], exceptions: set[str]) -> Da
     """label and the strong terms of each row, without words inside an exception phrase."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = term_finder(strong)
         for batch in batches:
             found = []
             for text in batch.column("text"):
@@ -259,7 +306,7 @@ def _strong_terms(rows: DataFrame, strong: set[str], exceptions: set[str]) -> Da
                     lifted = [f" {a} {b} " in exceptions for a, b in zip(words, words[1:], strict=False)]
                     near = zip(words, [False, *lifted], [*lifted, False], strict=False)
                     words = [w for w, before, after in near if not before and not after]
-                found.append(sorted(terms_of(set(words)) & strong))
+                found.append(sorted(find(words)))
             label = batch.column("label").cast(pa.int32())
             yield pa.RecordBatch.from_pydict({"label": label, "terms": pa.array(found, pa.list_(pa.string()))})
 

@@ -11,6 +11,58 @@ def test_folding():
     assert t.folded_words("") == []
 
 
+def folded_at_once(text):
+    """The words of a text folded as a whole."""
+    text = text.lower()
+    if not text.isascii():
+        text = t.unicodedata.normalize("NFKD", text).translate(t._FOLD)
+    return [w if w.isalpha() or w.isdigit() else w.translate(t._SIGNS) for w in t._WORD.findall(text)]
+
+
+def test_folding_by_runs(monkeypatch):
+    import random
+    import sys
+
+    draw = random.Random(3)
+    spaces = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()] + list("-.,'\x00\u200b\u00ad—„")
+    letters = list("aAzZ019@$!|+_ıİıßſKÅΣσςéïаеіԛ²٣") + ["e\u0301", "\u0323\u0307", "\u0345", "½", "ﬁ", "ｉ", "Ⅷ", "각", "…", "é" * 80]
+    texts = ["".join(draw.choice(spaces if draw.random() < 0.25 else letters) for _ in range(60)) for _ in range(3000)]
+    texts += [chr(c) + "a" + chr(c) + " \u0301" + chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    monkeypatch.setattr(t, "REMEMBERED", 50)
+    t._FOLDED.clear()
+    for text in texts:
+        assert t.folded_words(text) == folded_at_once(text), ascii(text)
+        assert len(t._FOLDED) <= 50
+    t._FOLDED.clear()
+
+
+def test_only_what_needs_it_is_folded_and_matched(monkeypatch):
+    signed, normal = [], []
+    signs = t._signed
+    monkeypatch.setattr(t, "_signed", lambda run: signed.append(run) or signs(run))
+    t._FOLDED.clear()
+    text = "the 1diot, and the Ídiot-grüße; " * 50
+    want = folded_at_once(text)
+    normalize = t.unicodedata.normalize
+
+    class Counted:
+        @staticmethod
+        def normalize(form, run):
+            normal.append(run)
+            return normalize(form, run)
+
+    monkeypatch.setattr(t, "unicodedata", Counted)
+    assert t.folded_words(text) == want and set(signed) == {"1diot"} and sorted(normal) == ["í", "üß"]
+    t._FOLDED.clear()
+
+
+def test_terms_found_are_those_of_the_words():
+    words = ["idiot", "the", "thesis", "ab", "idiots", "the"]
+    for among in (set(), {" idi", " the ", " thes", " idiot ", " idiots", " zzz"}, t.terms_of(set(words))):
+        assert t.term_finder(among)(words) == t.terms_of(set(words)) & among
+    assert t.term_finder({" abc"})([]) == set()
+
+
 def test_exceptions_and_length():
     lexicon = t.Lexicon({" scum": 3.0, " idiot ": 2.0}, {" scum river "}, slope=40.0, intercept=-4.0)
     a = lexicon.automaton()
