@@ -52,11 +52,10 @@ def _any(text: Column, parts: Sequence[str]) -> Column:
 
 def _tokens(line: Column) -> Column:
     """Tokens of a line; those with a digit become the variable field."""
-    digits = _any(line, "0123456789")
     masked = F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)
-    # between single blanks no pattern is needed
-    odd = _any(line, ("  ", "\t", "\r", "\x0b", "\f")) | digits
-    split = F.split(F.trim(F.when(digits, masked).otherwise(line)), r"[ \t\r\x0b\f]+")
+    split = F.split(F.trim(F.when(F.rlike(line, F.lit("[0-9]")), masked).otherwise(line)), r"[ \t\r\x0b\f]+")
+    # without digits and between single blanks no pattern is needed; one test keeps the generated code small
+    odd = F.contains(line, F.lit("  ")) | F.rlike(line, F.lit(r"[0-9\t\r\x0b\f]"))
     return F.when(odd, split).otherwise(F.split(F.trim(line), " "))
 
 
